@@ -130,14 +130,21 @@ FINDING_COLS = ["rule_id", "rule_name", "severity", "severity_rank", "start", "e
 
 
 def scan_text(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ("doc_id",),
-              rules: Sequence[Rule] = ALL_RULES, keep_cols: Sequence[str] = ()) -> DataFrame:
+              rules: Sequence[Rule] = ALL_RULES, keep_cols: Sequence[str] = (),
+              outer: bool = False) -> DataFrame:
     """Findings table: one row per validated rule hit.
 
     Columns: ``id_cols + keep_cols + FINDING_COLS``. Map-only (no shuffle).
+    ``outer=True`` keeps one all-NULL finding row for texts without hits, so
+    per-document aggregates need no join back to the text table.
     """
     cols = list(id_cols) + [c for c in keep_cols if c not in id_cols]
     hits = with_rule_hits(df.select(*cols, text_col), text_col, rules).drop(text_col)
-    exploded = hits.select(*cols, F.explode_outer("_hits").alias("_h")).where(F.col("_h").isNotNull())
+    # explode_outer + filter: a plain explode makes Catalyst infer `size(hits) > 0`
+    # and push that copy of the whole scan below the projection.
+    exploded = hits.select(*cols, F.explode_outer("_hits").alias("_h"))
+    if not outer:
+        exploded = exploded.where(F.col("_h").isNotNull())
     out = exploded.select(*cols, F.col("_h.rule_ord").alias("rule_ord"),
                           F.col("_h.s").alias("start"), F.col("_h.e").alias("end"),
                           F.col("_h.m").alias("matched"))
@@ -269,6 +276,24 @@ def worst_severity(findings: DataFrame, group_cols: Sequence[str]) -> DataFrame:
                                              F.count(F.lit(1)).alias("n_findings"))
 
 
+def gate(df: DataFrame, text_col: str = "text", threshold: str = "high",
+         rules: Sequence[Rule] = ALL_RULES) -> DataFrame:
+    """Row-local gate: worst rank, finding count and ``gate_failed`` per text row.
+
+    No aggregation and no join: the worst severity is ``array_max`` over the
+    row's hit array, so the gate costs one map-only pass.
+    """
+    t = 99 if threshold == "never" else SEVERITY_RANK[threshold]
+    ranks = F.array(*[F.lit(r.rank) for r in ALL_RULES])
+    staged = with_rule_hits(df, text_col, rules)
+    worst = F.coalesce(F.array_max(F.transform("_hits", lambda h: F.element_at(ranks, h["rule_ord"] + 1))),
+                       F.lit(0))
+    return (staged.withColumn("worst_rank", worst)
+                  .withColumn("n_findings", F.size("_hits"))
+                  .withColumn("gate_failed", worst >= t)
+                  .drop("_hits"))
+
+
 def fail_on(docs: DataFrame, findings: DataFrame, id_cols: Sequence[str] = ("doc_id",),
             threshold: str = "high") -> DataFrame:
     """Per document: worst rank and ``gate_failed`` (worst >= threshold; 'never' disables).
@@ -296,3 +321,14 @@ def severity_counts(findings: DataFrame, group_cols: Sequence[str] = ()) -> Data
 
 def order_findings(findings: DataFrame, tie_cols: Iterable[str] = ("rule_ord", "start")) -> DataFrame:
     return findings.orderBy(F.desc("severity_rank"), *tie_cols)
+
+
+def scan_text_raw(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ("doc_id",),
+                  rules: Sequence[Rule] = ALL_RULES) -> DataFrame:
+    """Regex candidates before validators (to audit the validators)."""
+    cols = list(id_cols)
+    hits = with_rule_hits(df.select(*cols, text_col), text_col, rules, validate=False).drop(text_col)
+    exploded = hits.select(*cols, F.explode_outer("_hits").alias("_h")).where(F.col("_h").isNotNull())
+    out = exploded.select(*cols, F.col("_h.rule_ord").alias("rule_ord"), F.col("_h.s").alias("start"),
+                          F.col("_h.e").alias("end"), F.col("_h.m").alias("matched"))
+    return attach_rule_meta(out).select(*cols, *FINDING_COLS)

@@ -92,3 +92,90 @@ def scan_severity_pivot(spark, sf_dir):
 def pages_findings(spark, sf_dir):
     pages = read_table(spark, sf_dir, "pages", ["page_id", "html"], balance=True)
     return S.scan_text(pages, text_col="html", id_cols=["page_id"])
+
+
+# ---------------------------------------------------------------------------
+# 2.4 projections on findings
+# ---------------------------------------------------------------------------
+
+HITS_SQL = Q.raw_hits_sql(TEXTS_SQL, ["doc_id"], "text")
+KEPT_SQL = Q.kept_spans_sql(HITS_SQL, "doc_id")
+_REDACT_SQL = Q.rebuild_sql("t.text", "kp.k", "'[REDACTED:' || {rid} || ']'")
+_MARK_SQL = Q.rebuild_sql(
+    "t.text", "kp.k",
+    "'<span class=\"pg-u pg-' || {sev} || '\">' || " + Q.html_escape_sql("{inside}") + " || '</span>'",
+    Q.html_escape_sql("{x}"))
+
+
+@register("redact_documents", f"""
+SELECT t.doc_id, {_REDACT_SQL} AS redacted, coalesce(kp.n_hits, 0) AS n_findings
+FROM {TEXTS_SQL} t LEFT JOIN {KEPT_SQL} kp USING (doc_id)""")
+def redact_documents(spark, sf_dir):
+    return S.redact(texts(spark, sf_dir)).select("doc_id", "redacted", "n_findings")
+
+
+@register("mark_spans", f"""
+SELECT t.doc_id, {_MARK_SQL} AS marked
+FROM {TEXTS_SQL} t LEFT JOIN {KEPT_SQL} kp USING (doc_id)""")
+def mark_spans(spark, sf_dir):
+    return S.mark_spans(texts(spark, sf_dir)).select("doc_id", "marked")
+
+
+_RANKS = "[" + ", ".join(str(r.rank) for r in ALL_RULES) + "]"
+
+
+@register("dedupe_contained", f"""
+WITH h AS ({HITS_SQL})
+SELECT h1.doc_id, rm.rule_id, h1.start, h1."end", h1.m AS matched
+FROM h h1 JOIN {Q.rule_meta_sql()} rm USING (rule_ord)
+WHERE NOT EXISTS (SELECT 1 FROM h h2 WHERE h2.doc_id = h1.doc_id
+  AND {_RANKS}[h2.rule_ord + 1] >= {_RANKS}[h1.rule_ord + 1]
+  AND length(h2.m) > length(h1.m) AND contains(h2.m, h1.m))""")
+def dedupe_contained(spark, sf_dir):
+    f = S.scan_text_deduped(texts(spark, sf_dir))
+    return f.select("doc_id", "rule_id", "start", "end", "matched")
+
+
+@register("suppress_findings", f"""
+WITH f AS ({FINDINGS_SQL}),
+ign AS (SELECT DISTINCT rule_id, matched FROM ({Q.findings_sql('pages', ['page_id'], 'html')}))
+SELECT f.doc_id, f.rule_id, f.start, f."end", f.matched FROM f
+WHERE NOT EXISTS (SELECT 1 FROM ign WHERE ign.rule_id = f.rule_id AND ign.matched = f.matched)""")
+def suppress_findings(spark, sf_dir):
+    """Document findings minus values already reported (ignored) on web pages."""
+    f = S.scan_text(texts(spark, sf_dir))
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "html"], balance=True)
+    ignored = S.scan_text(pages, text_col="html", id_cols=["page_id"]).select("rule_id", "matched")
+    return S.suppress(f, ignored, keys=("rule_id", "matched")).select("doc_id", "rule_id", "start", "end", "matched")
+
+
+@register("fail_on_gate", f"""
+SELECT t.doc_id, coalesce(w.worst_rank, 0) AS worst_rank, coalesce(w.n, 0) AS n_findings,
+       coalesce(w.worst_rank, 0) >= 3 AS gate_failed
+FROM {TEXTS_SQL} t LEFT JOIN (SELECT doc_id, max({_RANKS}[rule_ord + 1]) AS worst_rank, count(*) AS n
+                              FROM ({HITS_SQL}) GROUP BY doc_id) w USING (doc_id)""")
+def fail_on_gate(spark, sf_dir):
+    return S.gate(texts(spark, sf_dir), threshold="high").select("doc_id", "worst_rank", "n_findings", "gate_failed")
+
+
+_CARD = [RULES_BY_ID["credit_card"]]
+_AADHAAR = [RULES_BY_ID["india_aadhaar"]]
+
+
+@register("luhn_cards", f"""
+SELECT doc_id, start, m AS matched, {Q.luhn_ok_sql('m')} AS luhn_ok, {Q.card_ok_sql('m')} AS card_ok
+FROM ({Q.raw_hits_sql(TEXTS_SQL, ['doc_id'], 'text', _CARD, validate=False)})""")
+def luhn_cards(spark, sf_dir):
+    from veilscan.functions.validators import card_ok, luhn_ok
+    f = S.scan_text_raw(texts(spark, sf_dir), rules=_CARD)
+    return f.select("doc_id", "start", "matched", luhn_ok(F.col("matched")).alias("luhn_ok"),
+                    card_ok(F.col("matched")).alias("card_ok"))
+
+
+@register("verhoeff_ids", f"""
+SELECT doc_id, start, m AS matched, {Q.verhoeff_ok_sql('m')} AS verhoeff_ok
+FROM ({Q.raw_hits_sql(TEXTS_SQL, ['doc_id'], 'text', _AADHAAR, validate=False)})""")
+def verhoeff_ids(spark, sf_dir):
+    from veilscan.functions.validators import verhoeff_ok
+    f = S.scan_text_raw(texts(spark, sf_dir), rules=_AADHAAR)
+    return f.select("doc_id", "start", "matched", verhoeff_ok(F.col("matched")).alias("verhoeff_ok"))

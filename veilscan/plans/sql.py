@@ -104,3 +104,47 @@ def findings_sql(src: str, id_cols: list[str], text_col: str, rules: list[Rule]
     return (f"SELECT {ids}, rm.rule_id, rm.rule_name, rm.severity, rm.severity_rank, h.start, h.\"end\", "
             f"h.m AS matched, rm.confidence, rm.explanation, h.rule_ord "
             f"FROM ({raw_hits_sql(src, id_cols, text_col, rules)}) h JOIN {rule_meta_sql()} rm USING (rule_ord)")
+
+
+def luhn_ok_sql(m: str) -> str:
+    d = f"regexp_replace({m}, '[{JS_WS_CLASS}-]', '', 'g')"
+    n = f"length({d})"
+    dig = f"try_cast(substr({d}, {n} - k, 1) AS INTEGER)"
+    luhn = (f"(list_sum(list_transform(range({n}), lambda k: CASE WHEN k % 2 = 1 THEN "
+            f"(CASE WHEN 2*{dig} > 9 THEN 2*{dig} - 9 ELSE 2*{dig} END) ELSE {dig} END)) % 10 = 0)")
+    return f"({n} BETWEEN 13 AND 19 AND regexp_full_match({d}, '[0-9]+') AND coalesce({luhn}, false))"
+
+
+HIT_STRUCT = "STRUCT(s INTEGER, ne INTEGER, o INTEGER, e INTEGER)"
+
+
+def kept_spans_sql(hits: str, id_col: str) -> str:
+    """Per id: sorted hit list, greedy non-overlapping subset and hit count."""
+    return f"""(SELECT {id_col}, count(*) AS n_hits,
+  list_reduce(list_sort(list(struct_pack(s := start::INTEGER, ne := (-"end")::INTEGER, o := rule_ord::INTEGER, e := "end"::INTEGER))),
+    lambda acc, x: CASE WHEN x.s >= acc.last THEN struct_pack(last := x.e, out := list_append(acc.out, x)) ELSE acc END,
+    struct_pack(last := 0, out := []::{HIT_STRUCT}[])).out AS k
+  FROM ({hits}) GROUP BY {id_col})"""
+
+
+def rule_list_sql(attr: str) -> str:
+    return "[" + ", ".join(q(str(getattr(r, attr))) for r in ALL_RULES) + "]"
+
+
+def rebuild_sql(text: str, k: str, wrap: str, gap: str = "{x}") -> str:
+    """Rebuild text from kept spans ``k``; ``wrap`` may use {inside}, {sev}, {rid}."""
+    prev = f"(CASE WHEN i = 1 THEN 0 ELSE {k}[i-1].e END)"
+    inside = f"substr({text}, {k}[i].s + 1, {k}[i].e - {k}[i].s)"
+    rid = f"({rule_list_sql('id')})[{k}[i].o + 1]"
+    sev = f"({rule_list_sql('severity')})[{k}[i].o + 1]"
+    before = gap.format(x=f"substr({text}, {prev} + 1, {k}[i].s - {prev})")
+    w = wrap.format(inside=inside, rid=rid, sev=sev)
+    body = f"coalesce(array_to_string(list_transform(range(1, len({k}) + 1), lambda i: {before} || {w}), ''), '')"
+    tail = gap.format(x=f"substr({text}, coalesce({k}[len({k})].e, 0) + 1)")
+    return f"(CASE WHEN {text} IS NULL THEN NULL ELSE {body} || {tail} END)"
+
+
+def html_escape_sql(x: str) -> str:
+    sq = "''''"  # a single quote as a SQL literal
+    return (f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), "
+            f"'\"', '&quot;'), {sq}, '&#039;')")
