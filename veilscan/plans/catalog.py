@@ -179,3 +179,245 @@ def verhoeff_ids(spark, sf_dir):
     from veilscan.functions.validators import verhoeff_ok
     f = S.scan_text_raw(texts(spark, sf_dir), rules=_AADHAAR)
     return f.select("doc_id", "start", "matched", verhoeff_ok(F.col("matched")).alias("verhoeff_ok"))
+
+
+# ---------------------------------------------------------------------------
+# 2.5 entropy
+# ---------------------------------------------------------------------------
+from veilscan.operators import entropy as EN  # noqa: E402
+from veilscan.operators import rewrite as RW  # noqa: E402
+from veilscan.operators import cost as CO  # noqa: E402
+from veilscan.operators import policy as PO  # noqa: E402
+from veilscan.plans.fixtures import prompt_fixtures_df, prompt_fixtures_sql  # noqa: E402
+
+
+def _entropy_sql(allow_filter: str = "") -> str:
+    tok = Q.q("(" + EN.TOKEN_PATTERN + ")")
+    split = Q.q(EN.TOKEN_PATTERN)
+    cand = f"""
+WITH c AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(hs) + 1), lambda i: struct_pack(m := hs[i],
+     s := coalesce(list_sum(list_transform(ps[1:i], lambda y: length(y))), 0) +
+          coalesce(list_sum(list_transform(hs[1:i-1], lambda y: length(y))), 0)))) AS h
+  FROM (SELECT doc_id, regexp_extract_all(text, {tok}, 1) AS hs, string_split_regex(text, {split}) AS ps
+        FROM {TEXTS_SQL} WHERE text IS NOT NULL) WHERE len(hs) > 0),
+t AS (SELECT doc_id, h.m AS token, h.s AS start, h.s + length(h.m) AS "end" FROM c),
+f AS (SELECT * FROM t WHERE length(token) >= {EN.MIN_LENGTH}
+      AND NOT (regexp_full_match(token, '[A-Za-z]+')
+               AND (length(token) - length(regexp_replace(token, '[aeiouAEIOU]', '', 'g'))) / length(token) > 0.25)
+      {allow_filter}),
+e AS (SELECT *, -list_sum(list_transform(list_distinct(string_split(token, '')), lambda ch:
+        ((length(token) - length(replace(token, ch, ''))) / length(token)) *
+        log2((length(token) - length(replace(token, ch, ''))) / length(token)))) AS h,
+        regexp_full_match(token, '[0-9a-fA-F]+') AS hex FROM f)
+SELECT doc_id, token, floor(h * 100 + 0.5) / 100 AS entropy, start, "end",
+  printf('%s (%d chars, %.2f bits/char)', CASE WHEN hex THEN 'high-entropy hex string' ELSE 'high-entropy token' END,
+         length(token), h) AS reason
+FROM e WHERE h >= CASE WHEN hex THEN {EN.HEX_MIN_ENTROPY} ELSE {EN.MIN_ENTROPY} END"""
+    return cand
+
+
+@register("high_entropy_tokens", _entropy_sql())
+def high_entropy_tokens(spark, sf_dir):
+    return EN.high_entropy_tokens(texts(spark, sf_dir))
+
+
+_ALLOW_SQL = f"""AND 'sha256:' || sha256(token) NOT IN (
+  SELECT 'sha256:' || sha256(tok) FROM (
+    SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {Q.q('(' + EN.TOKEN_PATTERN + ')')}, 1)) AS tok FROM documents)
+  GROUP BY 1 HAVING count(*) >= 2)"""
+
+
+@register("entropy_allowlisted", _entropy_sql(_ALLOW_SQL))
+def entropy_allowlisted(spark, sf_dir):
+    """High-entropy tokens minus an allowlist of tokens recurring in >= 2 documents."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], balance=True)
+    cands = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("(" + EN.TOKEN_PATTERN + ")"), 1))
+                        .alias("token"))
+    allow = EN.recurring_token_allowlist(cands, "doc_id", 2)
+    return EN.high_entropy_tokens(texts(spark, sf_dir), allowed=allow)
+
+
+# ---------------------------------------------------------------------------
+# 2.6 rewriting, 2.7 cost, policy
+# ---------------------------------------------------------------------------
+
+def prompts(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"], balance=True)
+    user = conv.where(F.col("role") == "user").select("conv_id", "turn", "text")
+    return user.unionByName(prompt_fixtures_df(spark))
+
+
+PROMPTS_SQL = (f"(SELECT conv_id, turn, text FROM conversations WHERE role = 'user' "
+               f"UNION ALL SELECT * FROM {prompt_fixtures_sql()})")
+
+
+def _optimize_sql() -> str:
+    inter = ["text"]
+    for s in RW.SUBSTITUTIONS:
+        inter.append(Q.re2_sub(inter[-1], s.pattern, s.replacement))
+    n_ops = " + ".join(f"len(regexp_extract_all({inter[k]}, {Q.q(Q.to_re2(s.pattern, True))}, 0))"
+                       for k, s in enumerate(RW.SUBSTITUTIONS))
+    opt = Q.cleanup_sql(inter[-1], "text")
+    tt = Q.js_trim_sql("text")
+    verbs = "[" + ", ".join(Q.q(v) for v in RW.TASK_VERBS) + "]"
+    fw = f"lower(regexp_extract({tt}, '^\\w+', 0))"
+    task = (f"(length({fw}) > 0 AND NOT list_contains({verbs}, {fw}) AND "
+            f"regexp_matches({tt}, {Q.q(Q.to_re2(r'^(can|could|would|will|is|do|are|i)\b', True))}) "
+            f"AND length({tt}) > 30)")
+    fmt = (f"(length({tt}) > 120 AND NOT regexp_matches({tt}, "
+           f"'(?i)(format|json|list|bullet|table|paragraph|markdown|csv|yaml|xml)'))")
+    return f"""
+WITH p AS (SELECT conv_id, turn, text, {opt} AS o, ({n_ops}) AS n_ops,
+              CAST(ceil(length(text) / 4) AS INTEGER) AS ot, {task} AS task, {fmt} AS fmt FROM {PROMPTS_SQL}),
+r AS (SELECT *, CAST(ceil(length(o) / 4) AS INTEGER) AS nt FROM p),
+s AS (SELECT *, ot - nt AS saved, CASE WHEN ot = 0 THEN 0.0 ELSE floor((ot - nt) / ot * 10000 + 0.5) / 100 END AS pct,
+             (CASE WHEN task THEN 1 ELSE 0 END) + (CASE WHEN fmt THEN 1 ELSE 0 END) AS n_issues FROM r)
+SELECT conv_id, turn,
+  CASE WHEN ot < 10 THEN false ELSE ((saved >= 5 AND pct >= 10) OR n_issues > 0 OR n_ops >= 3) END AS should_suggest,
+  CASE WHEN ot < 10 THEN text ELSE o END AS optimized_text,
+  CASE WHEN ot < 10 THEN 0 ELSE n_ops END AS n_optimizations,
+  CASE WHEN ot < 10 THEN 0 ELSE n_issues END AS n_structural_issues,
+  ot AS original_tokens, CASE WHEN ot < 10 THEN ot ELSE nt END AS optimized_tokens,
+  CASE WHEN ot < 10 THEN 0 ELSE saved END AS tokens_saved,
+  CASE WHEN ot < 10 THEN 0.0 ELSE pct END::DOUBLE AS percent_saved
+FROM s"""
+
+
+@register("optimize_prompts", _optimize_sql())
+def optimize_prompts(spark, sf_dir):
+    o = RW.optimize_prompt(prompts(spark, sf_dir))
+    return o.select("conv_id", "turn", "should_suggest", "optimized_text",
+                    F.size("optimizations").alias("n_optimizations"),
+                    F.size("structural_issues").alias("n_structural_issues"),
+                    "original_tokens", "optimized_tokens", "tokens_saved", "percent_saved")
+
+
+@register("structural_issues", f"""
+WITH p AS (SELECT conv_id, turn, text FROM {PROMPTS_SQL}),
+x AS (SELECT conv_id, turn, {Q.js_trim_sql('text')} AS tt FROM p WHERE ceil(length(text) / 4) >= 10)
+SELECT conv_id, turn, 'missing_task_verb' AS issue FROM x
+WHERE length(lower(regexp_extract(tt, '^\\w+', 0))) > 0
+  AND NOT list_contains([{', '.join(Q.q(v) for v in RW.TASK_VERBS)}], lower(regexp_extract(tt, '^\\w+', 0)))
+  AND regexp_matches(tt, {Q.q(Q.to_re2(r'^(can|could|would|will|is|do|are|i)\b', True))}) AND length(tt) > 30
+UNION ALL
+SELECT conv_id, turn, 'missing_output_format' AS issue FROM x
+WHERE length(tt) > 120 AND NOT regexp_matches(tt, '(?i)(format|json|list|bullet|table|paragraph|markdown|csv|yaml|xml)')""")
+def structural_issues(spark, sf_dir):
+    o = RW.optimize_prompt(prompts(spark, sf_dir))
+    return o.select("conv_id", "turn", F.explode("structural_issues.type").alias("issue"))
+
+
+def _compress_sql_expr(t: str, level: str) -> str:
+    fence = Q.to_re2(RW.FENCE)
+    seg = "p"
+    for pat, rep in RW.LEVEL_RULES[level]:
+        seg = Q.re2_sub(seg, pat, rep)
+    seg = f"regexp_replace({seg}, ' {{2,}}', ' ', 'g')"
+    seg = f"regexp_replace({seg}, '[ \t]+([.,!?;:])', {Q.q(chr(92) + '1')}, 'g')"
+    parts = f"string_split_regex({t}, {Q.q(fence)})"
+    fences = f"regexp_extract_all({t}, {Q.q('(' + fence + ')')}, 1)"
+    joined = (f"array_to_string(list_transform(range(1, len({parts}) + 1), lambda i: "
+              f"coalesce((list_transform([{parts}[i]], lambda p: {seg}))[1], '') || coalesce({fences}[i], '')), '')")
+    r = f"regexp_replace({joined}, '\n{{3,}}', '\n\n', 'g')"
+    r = Q.js_trim_sql(r)
+    return Q.recap_sql(r, t)
+
+
+def _compress_levels_sql() -> str:
+    branches = []
+    for lv in RW.LEVELS:
+        ct = _compress_sql_expr("text", lv)
+        branches.append(f"""SELECT conv_id, turn, '{lv}' AS level, CAST(ceil(length(text)/4) AS INTEGER) AS original_tokens,
+  CAST(ceil(length(c)/4) AS INTEGER) AS compressed_tokens, c AS compressed_text,
+  {Q.q(RW.WARNINGS[lv])} AS warning,
+  len(regexp_extract_all(text, {Q.q('(' + Q.to_re2(RW.FENCE) + ')')}, 1)) AS preserved_code_blocks
+FROM (SELECT conv_id, turn, text, {ct} AS c FROM {PROMPTS_SQL})""")
+    inner = " UNION ALL ".join(branches)
+    return f"""SELECT *, original_tokens - compressed_tokens AS tokens_saved,
+  (CASE WHEN original_tokens = 0 THEN 0.0 ELSE floor((original_tokens - compressed_tokens) / original_tokens * 10000 + 0.5) / 100 END)::DOUBLE AS percent_saved
+FROM ({inner})"""
+
+
+@register("compress_levels", _compress_levels_sql())
+def compress_levels(spark, sf_dir):
+    p = prompts(spark, sf_dir)
+    out = None
+    for lv in RW.LEVELS:
+        c = RW.compress_prompt(p, level=lv).drop("text")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+def _flags_sql() -> str:
+    cav = Q.q(Q.to_re2(RW.FLAG_CAVEMAN, True))
+    med = Q.q(Q.to_re2(RW.FLAG_MEDIUM, True))
+    body = "substr(text, length(m) + 1)"
+    return f"""
+WITH f AS (SELECT conv_id, turn, text,
+     CASE WHEN regexp_matches(text, {cav}) THEN 'caveman' WHEN regexp_matches(text, {med}) THEN 'medium' END AS level,
+     CASE WHEN regexp_matches(text, {cav}) THEN regexp_extract(text, {cav}, 0) ELSE regexp_extract(text, {med}, 0) END AS m
+   FROM {PROMPTS_SQL}),
+g AS (SELECT conv_id, turn, level, {Q.js_trim_sql('m')} AS flag, {body} AS body FROM f WHERE level IS NOT NULL),
+h AS (SELECT *, CASE WHEN level = 'caveman' THEN {_compress_sql_expr('body', 'caveman')}
+                     ELSE {_compress_sql_expr('body', 'medium')} END AS sent FROM g)
+SELECT conv_id, turn, level, flag, body,
+  CASE WHEN length({Q.js_trim_sql('body')}) = 0 THEN NULL ELSE sent END AS sent_text,
+  CASE WHEN length({Q.js_trim_sql('body')}) = 0 THEN NULL
+       ELSE CAST(ceil(length(body)/4) AS INTEGER) - CAST(ceil(length(sent)/4) AS INTEGER) END AS tokens_saved
+FROM h"""
+
+
+@register("compress_flags", _flags_sql())
+def compress_flags(spark, sf_dir):
+    c = RW.compress_for_send(prompts(spark, sf_dir))
+    return c.where(F.col("flag").isNotNull()).select(
+        "conv_id", "turn", F.col("flag.level").alias("level"), F.col("flag.flag").alias("flag"),
+        F.col("flag.body").alias("body"), F.col("outcome.sent_text").alias("sent_text"),
+        F.col("outcome.tokens_saved").alias("tokens_saved"))
+
+
+_PRICING_SQL = ("(SELECT * FROM (VALUES " + ", ".join(
+    f"({Q.q(m)}, {i}::DOUBLE, {o}::DOUBLE)" for m, _l, i, o in CO.PRICING) + ") AS pr(model, pin, pout))")
+
+
+@register("estimate_cost", f"""
+WITH t AS (SELECT conv_id, turn, CAST(ceil(length(text)/4) AS INTEGER) AS input_tokens FROM {PROMPTS_SQL}),
+j AS (SELECT t.*, pr.*, least(input_tokens, {CO.OUTPUT_TOKEN_CAP}) AS estimated_output_tokens FROM t CROSS JOIN {_PRICING_SQL} pr)
+SELECT conv_id, turn, model, input_tokens, estimated_output_tokens,
+  floor(input_tokens / 1e6 * pin * 1e6 + 0.5) / 1e6 AS input_cost_usd,
+  floor(estimated_output_tokens / 1e6 * pout * 1e6 + 0.5) / 1e6 AS estimated_output_cost_usd,
+  floor((input_tokens / 1e6 * pin + estimated_output_tokens / 1e6 * pout) * 1e6 + 0.5) / 1e6 AS total_estimated_usd,
+  true AS approximate, '{CO.PRICING_LAST_UPDATED}' AS pricing_last_updated
+FROM j""")
+def estimate_cost(spark, sf_dir):
+    p = prompts(spark, sf_dir).select("conv_id", "turn", "text")
+    return CO.estimate_cost(p, CO.pricing_df(spark)).drop("text")
+
+
+_PROMPT_HITS = Q.raw_hits_sql(PROMPTS_SQL, ["conv_id", "turn"], "text")
+
+
+@register("prompt_policy", f"""
+WITH o AS ({_optimize_sql()}),
+fl AS ({_flags_sql()}),
+h AS (SELECT conv_id, turn, count_if({_RANKS}[rule_ord + 1] = 4) AS n_critical,
+             count_if({_RANKS}[rule_ord + 1] <> 4) AS n_noncritical FROM ({_PROMPT_HITS}) GROUP BY conv_id, turn),
+x AS (SELECT p.conv_id, p.turn, p.text, coalesce(h.n_critical, 0) AS n_critical,
+             coalesce(h.n_noncritical, 0) AS n_noncritical, fl.sent_text, o.should_suggest, o.tokens_saved,
+             o.optimized_text
+      FROM {PROMPTS_SQL} p LEFT JOIN h USING (conv_id, turn) LEFT JOIN fl USING (conv_id, turn)
+      LEFT JOIN o USING (conv_id, turn)),
+d AS (SELECT *, CASE WHEN text IS NULL OR length(text) = 0 THEN 'pass'
+                     WHEN n_critical > 0 THEN 'block_secrets'
+                     WHEN sent_text IS NOT NULL THEN 'compress'
+                     WHEN n_critical + n_noncritical > 0 THEN 'warn'
+                     WHEN should_suggest AND tokens_saved >= 3 THEN 'tip'
+                     ELSE 'pass' END AS decision FROM x)
+SELECT conv_id, turn, n_critical, n_noncritical, decision,
+       CASE WHEN decision = 'compress' THEN sent_text WHEN decision = 'tip' THEN optimized_text END AS reply_text
+FROM d""")
+def prompt_policy(spark, sf_dir):
+    """Decision ladder with the default switches (block secrets, flags on)."""
+    out = PO.prompt_policy(prompts(spark, sf_dir))
+    return out.select("conv_id", "turn", "n_critical", "n_noncritical", "decision", "reply_text")

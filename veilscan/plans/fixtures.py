@@ -68,3 +68,40 @@ def fixtures_sql(id_col: str = "doc_id", text_col: str = "text") -> str:
     for i, parts in TEXT_FIXTURES:
         rows.append(f"({i}::BIGINT, concat({', '.join(_duck_lit(p) for p in parts)}, ''))")
     return f"(SELECT * FROM (VALUES {', '.join(rows)}) AS v({id_col}, {text_col}))"
+
+
+# Prompt rows (conv_id < 0) unioned with the user turns of `conversations`,
+# whose generated prose has no filler phrases, flags or code fences.
+PROMPT_FIXTURES: list[tuple[int, str]] = [
+    (-1, "I was wondering if you could please help me out with something I have been thinking about. "
+         "I would like you to write a short essay for me, if possible, about the effect of long commutes "
+         "on team morale. I think it would be great if you could cover a few different angles. Make sure to "
+         "include some real-world examples in order to support the main points. Thanks so much in advance!"),
+    (-2, "Could you please write a function that validates the emails in this list"),
+    (-3, "Please review this code and tell me if it is correct:\n\n```python\ndef add(a, b):\n"
+         "    return a + b  # I would like you to please check this\n```\n\nThanks in advance!"),
+    (-4, "pg Could you please just basically explain how a hash map works in order to help me study"),
+    (-5, "pg! Show me the file the user opened on the desktop and explain the error in the log"),
+    (-6, "pg "),
+    (-7, "pgadmin shows a connection error when I open the dashboard, what does it mean?"),
+    (-8, "Write Python function for prime numbers."),
+    (-9, "I would really appreciate it if you could just basically explain what a monad is, "
+         "due to the fact that I am confused at this point in time."),
+    (-10, "Can you tell me what the difference between a process and a thread is in an operating system "
+          "and how the scheduler decides which one runs next on a machine with many cores"),
+    (-11, "This might be a silly question, but what is a large number of records for a single table in "
+          "a relational database? I'm not sure if this is right but I think it is a million."),
+    (-12, "hi"),
+    (-13, "My card is 4242 4242 4242 4242, can you check why the payment failed? Thank you."),
+    (-14, "Summarize this thread for my manager. Reach me at bob@example.org if something is unclear."),
+    (-15, "prompt-guard When you get a chance, please write a list of ten onboarding tasks for a new engineer"),
+]
+
+
+def prompt_fixtures_df(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, 0, t) for i, t in PROMPT_FIXTURES], "conv_id BIGINT, turn BIGINT, text STRING")
+
+
+def prompt_fixtures_sql() -> str:
+    rows = ", ".join(f"({i}::BIGINT, 0::BIGINT, {_duck_lit(t)})" for i, t in PROMPT_FIXTURES)
+    return f"(SELECT * FROM (VALUES {rows}) AS v(conv_id, turn, text))"

@@ -148,3 +148,33 @@ def html_escape_sql(x: str) -> str:
     sq = "''''"  # a single quote as a SQL literal
     return (f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), "
             f"'\"', '&quot;'), {sq}, '&#039;')")
+
+
+# ---------------------------------------------------------------------------
+# Rewriting (DuckDB); `$1` back-references become `\1`
+# ---------------------------------------------------------------------------
+
+WS_RE2 = f"[{JS_WS_CLASS}]"
+
+
+def re2_sub(x: str, pattern: str, repl: str, ignore_case: bool = True) -> str:
+    return f"regexp_replace({x}, {q(to_re2(pattern, ignore_case))}, {q(repl.replace('$1', chr(92) + '1'))}, 'g')"
+
+
+def js_trim_sql(x: str) -> str:
+    return f"regexp_replace({x}, {q('^' + WS_RE2 + '+|' + WS_RE2 + '+' + chr(92) + 'z')}, '', 'g')"
+
+
+def recap_sql(r: str, original: str) -> str:
+    of = f"substr({js_trim_sql(original)}, 1, 1)"
+    return (f"(CASE WHEN regexp_full_match({of}, '[A-Z]') AND regexp_full_match(substr({r}, 1, 1), '[a-z]') "
+            f"THEN upper(substr({r}, 1, 1)) || substr({r}, 2) ELSE {r} END)")
+
+
+def cleanup_sql(x: str, original: str) -> str:
+    r = f"regexp_replace({x}, ' {{2,}}', ' ', 'g')"
+    r = f"regexp_replace({r}, {q(WS_RE2 + '+([.,!?;:])')}, {q(chr(92) + '1')}, 'g')"
+    r = f"regexp_replace({r}, '[ \t]+\n', '\n', 'g')"
+    r = f"regexp_replace({r}, '\n{{3,}}', '\n\n', 'g')"
+    r = js_trim_sql(r)
+    return recap_sql(r, original)
