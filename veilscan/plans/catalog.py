@@ -421,3 +421,171 @@ def prompt_policy(spark, sf_dir):
     """Decision ladder with the default switches (block secrets, flags on)."""
     out = PO.prompt_policy(prompts(spark, sf_dir))
     return out.select("conv_id", "turn", "n_critical", "n_noncritical", "decision", "reply_text")
+
+
+# ---------------------------------------------------------------------------
+# 2.8 tool-definition documents
+# ---------------------------------------------------------------------------
+from veilscan.operators import tooldocs as TD  # noqa: E402
+from veilscan.plans.fixtures import tool_doc_fixtures_df, tool_doc_fixtures_sql  # noqa: E402
+
+TOOL_INPUT_DESC = "Free text input."
+
+
+def tool_documents(spark, sf_dir):
+    """One server-config document per `documents` row: server = source, one tool per line.
+
+    Built with ``to_json`` from the row itself, so document count and size grow
+    with the table; plus the hand-written fixture documents.
+    """
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"], balance=True)
+    lines = F.split("text", "\n", -1)
+    tool = lambda l: F.struct(
+        F.coalesce(F.nullif(F.lower(F.regexp_extract(l, "^[A-Za-z]+", 0)), F.lit("")), F.lit("tool")).alias("name"),
+        l.alias("description"),
+        F.struct(F.lit("object").alias("type"),
+                 F.struct(F.struct(F.lit("string").alias("type"), F.lit(TOOL_INPUT_DESC).alias("description"))
+                          .alias("input")).alias("properties")).alias("inputSchema"))
+    server = F.struct(F.lit("npx").alias("command"), F.array(F.lit("-y"), F.col("lang")).alias("args"),
+                      F.create_map(F.lit("DOC_NOTE"), F.element_at(lines, 1)).alias("env"),
+                      F.transform(lines, tool).alias("tools"))
+    raw = F.to_json(F.struct(F.create_map(F.col("source"), server).alias("mcpServers")))
+    return d.select("doc_id", raw.alias("raw")).unionByName(tool_doc_fixtures_df(spark))
+
+
+def tool_documents_parsed(spark, sf_dir):
+    return TD.parse_documents(tool_documents(spark, sf_dir))
+
+
+_TOOL_TEXT_SQL = f"""json_object('mcpServers', json_object(source, json_object('command', 'npx',
+  'args', json_array('-y', lang), 'env', json_object('DOC_NOTE', string_split(text, chr(10))[1]),
+  'tools', list_transform(string_split(text, chr(10)), lambda l: json_object(
+      'name', coalesce(nullif(lower(regexp_extract(l, '^[A-Za-z]+', 0)), ''), 'tool'), 'description', l,
+      'inputSchema', json_object('type', 'object', 'properties', json_object('input',
+          json_object('type', 'string', 'description', {Q.q(TOOL_INPUT_DESC)}))))))))"""
+TOOL_DOCS_SQL = (f"(SELECT doc_id, CAST({_TOOL_TEXT_SQL} AS VARCHAR) AS raw FROM documents "
+                 f"UNION ALL SELECT * FROM {tool_doc_fixtures_sql()})")
+
+_CLEAN = ("regexp_replace(regexp_replace(regexp_replace(raw, '/\\*[\\s\\S]*?\\*/', '', 'g'), "
+          "'(?m)(^|[^:])//.*$', '\\1', 'g'), ',(\\s*[}\\]])', '\\1', 'g')")
+PARSED_SQL = f"""(SELECT doc_id, raw, CASE WHEN json_valid(raw) THEN raw WHEN json_valid({_CLEAN}) THEN {_CLEAN} END AS j
+  FROM {TOOL_DOCS_SQL})"""
+NODES_SQL = f"""(SELECT p.doc_id, t.key, replace(t.fullkey, '"', '') AS fullkey, t.path, t.type, t.value, t.id, t.parent
+  FROM {PARSED_SQL} p, json_tree(p.j) t WHERE p.j IS NOT NULL)"""
+_TOOL_RE = "^\\$\\.(mcpServers|servers)\\.([^.\\[]+)\\.tools\\[([0-9]+)\\]$|^\\$\\.tools\\[([0-9]+)\\]$"
+TOOLS_SQL = f"""(SELECT doc_id, fullkey AS tk, id AS tid, value AS tool,
+   CASE WHEN starts_with(fullkey, '$.tools') THEN 2 WHEN starts_with(fullkey, '$.mcpServers') THEN 0 ELSE 1 END AS mrank,
+   regexp_extract(fullkey, '{_TOOL_RE}', 2) AS server,
+   CASE WHEN starts_with(fullkey, '$.tools') THEN substr(fullkey, 3)
+        ELSE 'mcpServers.' || regexp_replace(fullkey, '^\\$\\.(mcpServers|servers)\\.', '') END AS loc,
+   CASE WHEN starts_with(fullkey, '$.tools') THEN substr(fullkey, 3)
+        ELSE regexp_replace(fullkey, '^\\$\\.(mcpServers|servers)\\.', '') END AS shadow_loc,
+   CAST(coalesce(nullif(regexp_extract(fullkey, '{_TOOL_RE}', 3), ''), regexp_extract(fullkey, '{_TOOL_RE}', 4)) AS INTEGER) AS idx
+  FROM {NODES_SQL} WHERE regexp_matches(fullkey, '{_TOOL_RE}'))"""
+
+
+def _redact_sql(x: str, n: int = 48) -> str:
+    c = f"regexp_replace(regexp_replace({x}, {Q.q(Q.WS_RE2 + '+')}, ' ', 'g'), '^ | \\z', '', 'g')"
+    return f"(CASE WHEN length({c}) <= {n} THEN {c} ELSE substr({c}, 1, {n}) || '...' END)"
+
+
+STRINGS_SQL = f"""(
+  SELECT n.doc_id, t.loc || substr(n.fullkey, length(t.tk) + 1) AS path, n.value ->> '$' AS text
+  FROM {NODES_SQL} n JOIN {TOOLS_SQL} t ON n.doc_id = t.doc_id
+   AND (n.fullkey = t.tk OR starts_with(n.fullkey, t.tk || '.') OR starts_with(n.fullkey, t.tk || '['))
+  WHERE n.type = 'VARCHAR'
+  UNION ALL
+  SELECT n.doc_id, t.loc || substr(par.fullkey, length(t.tk) + 1) || '.<key:' || {_redact_sql('n.key', 24)} || '>' AS path,
+         n.key AS text
+  FROM {NODES_SQL} n JOIN {NODES_SQL} par ON par.doc_id = n.doc_id AND par.id = n.parent AND par.type = 'OBJECT'
+  JOIN {TOOLS_SQL} t ON n.doc_id = t.doc_id
+   AND (par.fullkey = t.tk OR starts_with(par.fullkey, t.tk || '.') OR starts_with(par.fullkey, t.tk || '[')))"""
+
+
+def _poison_sql() -> str:
+    br = []
+    for r in TD.POISON_RULES:
+        p = Q.q(Q.to_re2(r.pattern, True))
+        ow = "[" + ", ".join(Q.q(o) for o in r.owasp) + "]"
+        br.append(f"""SELECT doc_id, 'tool_poisoning' AS category, {Q.q(r.id)} AS rule_id, {Q.q(r.title)} AS title,
+  {Q.q(r.severity)} AS severity, {SEVERITY_RANK_SQL[r.severity]} AS severity_rank, {r.confidence}::DOUBLE AS confidence,
+  path AS location, {_redact_sql(f'regexp_extract(text, {p}, 0)')} AS evidence, {Q.q(r.explanation)} AS explanation,
+  {ow} AS owasp FROM s WHERE regexp_matches(text, {p})""")
+    for cid, title, cls, sev, expl in TD.UNICODE_CLASSES:
+        br.append(f"""SELECT doc_id, 'hidden_unicode', {Q.q('unicode_' + cid)}, {Q.q(title)}, {Q.q(sev)},
+  {SEVERITY_RANK_SQL[sev]}, 0.95::DOUBLE, path, {Q.q(title + ' present (rendered invisible)')}, {Q.q(expl)},
+  ['LLM01', 'T2'] FROM s WHERE regexp_matches(text, {Q.q(cls)})""")
+    return f"WITH s AS {STRINGS_SQL} " + " UNION ALL ".join(br)
+
+
+SEVERITY_RANK_SQL = {"low": 1, "medium": 2, "high": 3, "critical": 4}
+
+
+@register("poison_scan", _poison_sql())
+def poison_scan(spark, sf_dir):
+    """Tool poisoning and hidden unicode over every string leaf and key of every tool."""
+    return TD.poison_findings(tool_documents_parsed(spark, sf_dir))
+
+
+@register("hidden_unicode", f"SELECT * FROM ({_poison_sql()}) WHERE category = 'hidden_unicode'")
+def hidden_unicode(spark, sf_dir):
+    return TD.poison_findings(tool_documents_parsed(spark, sf_dir)).where(F.col("category") == "hidden_unicode")
+
+
+@register("tool_shadowing", f"""
+WITH t AS (SELECT tt.doc_id, tn.value ->> '$' AS name, shadow_loc, mrank, server, idx
+           FROM {TOOLS_SQL} tt JOIN {NODES_SQL} tn ON tn.doc_id = tt.doc_id AND tn.fullkey = tt.tk || '.name'
+           AND tn.type = 'VARCHAR')
+SELECT doc_id, 'tool_shadowing' AS category, 'duplicate_tool_name' AS rule_id,
+  'Tool name collision: "' || name || '"' AS title, 'high' AS severity, 3 AS severity_rank, 0.85::DOUBLE AS confidence,
+  string_agg(shadow_loc, ', ' ORDER BY mrank, server, idx) AS location,
+  '"' || name || '" defined ' || count(*) || ' times' AS evidence, {Q.q(TD.SHADOW_EXPLANATION)} AS explanation,
+  ['LLM01', 'T2'] AS owasp
+FROM t GROUP BY doc_id, name HAVING count(*) > 1""")
+def tool_shadowing(spark, sf_dir):
+    return TD.shadowing_findings(tool_documents_parsed(spark, sf_dir))
+
+
+_CFG_RE = "^\\$\\.(mcpServers|servers)\\.([^.\\[]+)\\.(command|url|args\\[[0-9]+\\]|env\\..+)$"
+CONFIG_VALUES_SQL = f"""(SELECT doc_id, regexp_extract(fullkey, '{_CFG_RE}', 2) || '.' || regexp_extract(fullkey, '{_CFG_RE}', 3) AS path,
+   value ->> '$' AS text FROM {NODES_SQL} WHERE type = 'VARCHAR' AND regexp_matches(fullkey, '{_CFG_RE}'))"""
+
+
+@register("config_secrets", f"""
+WITH h AS ({Q.raw_hits_sql(CONFIG_VALUES_SQL, ['doc_id', 'path'], 'text')}),
+k AS (SELECT h1.* FROM h h1 WHERE NOT EXISTS (SELECT 1 FROM h h2 WHERE h2.doc_id = h1.doc_id AND h2.path = h1.path
+      AND {_RANKS}[h2.rule_ord + 1] >= {_RANKS}[h1.rule_ord + 1] AND length(h2.m) > length(h1.m) AND contains(h2.m, h1.m)))
+SELECT k.doc_id, 'secret_in_config' AS category, rm.rule_id, 'Hardcoded secret in config: ' || rm.rule_name AS title,
+  rm.severity, rm.severity_rank, rm.confidence, 'mcpServers.' || k.path AS location, {_redact_sql('k.m')} AS evidence,
+  rm.explanation || {Q.q(TD.CONFIG_SUFFIX)} AS explanation, ['LLM06', 'T3'] AS owasp
+FROM k JOIN {Q.rule_meta_sql()} rm USING (rule_ord)""")
+def config_secrets(spark, sf_dir):
+    return TD.config_secret_findings(tool_documents_parsed(spark, sf_dir))
+
+
+_BAD_DOCS_SQL = f"(SELECT doc_id, raw FROM {PARSED_SQL} WHERE j IS NULL UNION ALL SELECT page_id, html FROM pages)"
+
+
+@register("doc_fallback", f"""
+SELECT h.doc_id, 'secret_in_config' AS category, rm.rule_id, 'Hardcoded secret: ' || rm.rule_name AS title, rm.severity,
+  rm.severity_rank, rm.confidence, '(raw text, offset ' || h.start || ')' AS location, {_redact_sql('h.m')} AS evidence,
+  rm.explanation, ['LLM06'] AS owasp
+FROM ({Q.raw_hits_sql(_BAD_DOCS_SQL, ['doc_id'], 'raw')}) h JOIN {Q.rule_meta_sql()} rm USING (rule_ord)
+UNION ALL
+SELECT doc_id, 'parse_warning', 'parse_failed', 'Could not parse as JSON', 'low', 1, 1.0::DOUBLE, '(file)',
+  'structural checks skipped', {Q.q(TD.PARSE_EXPLANATION)}, []::VARCHAR[] FROM {_BAD_DOCS_SQL}""")
+def doc_fallback(spark, sf_dir):
+    """Unparsable documents (fixtures + raw web pages as configs): raw scan + parse warning."""
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "html"], balance=True).select(
+        F.col("page_id").alias("doc_id"), F.col("html").alias("raw"))
+    docs = TD.parse_documents(tool_documents(spark, sf_dir).unionByName(pages))
+    return TD.fallback_findings(docs)
+
+
+@register("tool_doc_counts", f"""
+SELECT p.doc_id, p.j IS NOT NULL AS parsed,
+  coalesce((SELECT count(*) FROM {NODES_SQL} n WHERE n.doc_id = p.doc_id AND regexp_matches(n.fullkey, '^\\$\\.(mcpServers|servers)\\.[^.\\[]+$')), 0) AS servers_scanned,
+  coalesce((SELECT count(*) FROM {TOOLS_SQL} t WHERE t.doc_id = p.doc_id), 0) AS tools_scanned
+FROM {PARSED_SQL} p""")
+def tool_doc_counts(spark, sf_dir):
+    return TD.document_counts(tool_documents_parsed(spark, sf_dir))
