@@ -733,3 +733,170 @@ UNION ALL SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM adv WHERE adv.config
 def monitor_store(spark, sf_dir):
     _f, _n, store = PN.monitor(part_pins(spark, sf_dir, True), part_pins(spark, sf_dir, False))
     return store
+
+
+# ---------------------------------------------------------------------------
+# 2.10 traces: one span per `events` row, session = user_id
+# ---------------------------------------------------------------------------
+from veilscan.operators import traces as TR  # noqa: E402
+
+_TOOL_FOR_TYPE = [("error", "read_secret_store"), ("purchase", "http_post"), ("view", "fetch_page"),
+                  ("signup", "create_account"), ("click", "ui_click")]
+
+
+def trace_spans(spark, sf_dir) -> DataFrame:
+    """JSONL span lines built from `events` (+ page URLs as destinations)."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value", "props"], balance=True)
+    pages = read_table(spark, sf_dir, "pages", ["page_id", "url"])
+    ev = ev.withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    ev = ev.join(pages, ev["k"] == pages["page_id"], "left")
+    et = F.col("event_type")
+    tool = F.lit("ui_click")
+    for t, n in reversed(_TOOL_FOR_TYPE):
+        tool = F.when(et == t, F.lit(n)).otherwise(tool)
+    args = (F.when(et.isin("purchase", "view") & F.col("url").isNotNull(),
+                   F.to_json(F.struct(F.col("url").alias("url"), F.col("k").alias("k"))))
+             .when((et == "click") & (F.col("value") > 95),
+                   F.to_json(F.struct(F.concat(F.lit("https://webhook.site/"), F.col("event_id").cast("string")).alias("url"))))
+             .otherwise(F.col("props")))
+    result = (F.when(et == "error", F.concat(F.lit("token="), F.sha2(F.col("event_id").cast("string"), 256)))
+               .when((et == "signup") & (F.col("value") > 90),
+                     F.concat(F.lit("contact user"), F.col("user_id").cast("string"), F.lit("@example.com")))
+               .otherwise(F.concat(F.lit('{"status":"ok","value":'), F.col("value").cast("string"), F.lit("}"))))
+    attrs = F.create_map(F.lit("gen_ai.operation.name"), F.lit("execute_tool"), F.lit("gen_ai.tool.name"), tool,
+                         F.lit("gen_ai.tool.call.arguments"), args, F.lit("gen_ai.tool.call.result"), result,
+                         F.lit("outcome"), F.when(et == "error", F.lit("error")).otherwise(F.lit("ok")))
+    line = F.to_json(F.struct(F.lit("execute_tool").alias("name"),
+                              F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+                              attrs.alias("attributes")))
+    return ev.select(F.col("user_id").alias("session_id"), "ts", "event_id", line.alias("line"))
+
+
+def trace_events(spark, sf_dir) -> DataFrame:
+    return TR.ingest_spans(trace_spans(spark, sf_dir), order_col=["ts", "event_id"])
+
+
+def known_destinations(spark, sf_dir) -> DataFrame:
+    """Hosts of English pages count as previously seen destinations."""
+    pages = read_table(spark, sf_dir, "pages", ["url"])
+    return pages.where(F.col("url").contains("/en/")).select(
+        F.lower(F.regexp_extract("url", TR._j(TR.URL_PATTERN, True), 1)).alias("domain")).distinct()
+
+
+_TOOL_CASE = "CASE " + " ".join(f"WHEN event_type = '{t}' THEN '{n}'" for t, n in _TOOL_FOR_TYPE) + " ELSE 'ui_click' END"
+TRACE_EVENTS_SQL = f"""(SELECT user_id AS session_id,
+   CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS "index",
+   strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestamp, {_TOOL_CASE} AS tool_name, NULL::VARCHAR AS server,
+   CASE WHEN event_type IN ('purchase', 'view') AND url IS NOT NULL THEN '{{"url":' || to_json(url) || ',"k":' || k || '}}'
+        WHEN event_type = 'click' AND value > 95 THEN '{{"url":"https://webhook.site/' || event_id || '"}}'
+        ELSE props END AS arguments_text,
+   CASE WHEN event_type = 'error' THEN 'token=' || sha256(CAST(event_id AS VARCHAR))
+        WHEN event_type = 'signup' AND value > 90 THEN 'contact user' || user_id || '@example.com'
+        ELSE '{{"status":"ok","value":' || CAST(value AS VARCHAR) || '}}' END AS result_text,
+   CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS outcome
+ FROM (SELECT e.*, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events e) e
+ LEFT JOIN pages p ON e.k = p.page_id)"""
+
+
+@register("trace_ingest", f"SELECT * FROM {TRACE_EVENTS_SQL}")
+def trace_ingest(spark, sf_dir):
+    return trace_events(spark, sf_dir)
+
+
+_URL_RE2 = Q.to_re2(TR.URL_PATTERN, True)
+_FIELDS_SQL = f"""(SELECT session_id, "index", tool_name, 'arguments' AS field, arguments_text AS text FROM {TRACE_EVENTS_SQL} WHERE length(arguments_text) > 0
+  UNION ALL SELECT session_id, "index", tool_name, 'result', result_text FROM {TRACE_EVENTS_SQL} WHERE length(result_text) > 0)"""
+_SINK_COND = " OR ".join([f"regexp_matches(domain, {Q.q(Q.to_re2(TR.RAW_IP_HOST))})"] +
+                         [f"contains(domain, {Q.q(s)})" for s in TR.SUSPICIOUS_SINKS])
+
+
+@register("sink_findings", f"""
+WITH u AS (SELECT session_id, "index", tool_name, field, raw, lower(regexp_extract(raw, {Q.q(_URL_RE2)}, 1)) AS domain
+           FROM (SELECT *, unnest(regexp_extract_all(text, {Q.q('(' + _URL_RE2 + ')')}, 1)) AS raw FROM {_FIELDS_SQL}))
+SELECT session_id, ["index"] AS event_indexes, 'exfil_domain' AS category, 'suspicious_sink' AS rule_id,
+  'Suspicious data sink: ' || domain AS title, 'high' AS severity, 3 AS severity_rank, 0.8::DOUBLE AS confidence,
+  'tool_call[' || "index" || '] ' || tool_name || '.' || field AS location,
+  CASE WHEN length(raw) > 50 THEN substr(raw, 1, 50) || '...' ELSE raw END AS evidence,
+  {Q.q(TR.SINK_EXPL)} AS explanation, ['LLM06', 'T2'] AS owasp
+FROM u WHERE {_SINK_COND}""")
+def sink_findings(spark, sf_dir):
+    return TR.sink_findings(trace_events(spark, sf_dir))
+
+
+@register("trace_secrets", f"""
+SELECT h.session_id, [h."index"] AS event_indexes,
+  CASE WHEN h.field = 'result' THEN 'secret_in_result' ELSE 'secret_in_config' END AS category, rm.rule_id,
+  'Secret in tool ' || h.field || ': ' || rm.rule_name AS title, rm.severity, rm.severity_rank, rm.confidence,
+  'tool_call[' || h."index" || '] ' || h.tool_name || '.' || h.field AS location,
+  CASE WHEN length(h.m) > 40 THEN substr(h.m, 1, 40) || '...' ELSE h.m END AS evidence,
+  rm.explanation || CASE WHEN h.field = 'result' THEN {Q.q(TR.RESULT_SUFFIX)} ELSE {Q.q(TR.ARGS_SUFFIX)} END AS explanation,
+  ['LLM06', 'T2'] AS owasp
+FROM ({Q.raw_hits_sql(_FIELDS_SQL, ['session_id', '"index"', 'tool_name', 'field'], 'text')}) h
+JOIN {Q.rule_meta_sql()} rm USING (rule_ord)""")
+def trace_secrets(spark, sf_dir):
+    return TR.secret_findings(trace_events(spark, sf_dir))
+
+
+def _toxic_sql(with_known: bool) -> str:
+    sens = Q.q(Q.to_re2(TR.SENSITIVE_SOURCE, True))
+    send = Q.q(Q.to_re2(TR.SEND_TOOL, True))
+    res_hits = Q.raw_hits_sql(f"(SELECT session_id, \"index\", result_text FROM {TRACE_EVENTS_SQL})",
+                              ["session_id", '"index"'], "result_text")
+    internal = ("(d = 'localhost' OR ends_with(d, '.local') OR ends_with(d, '.internal') OR d = '127.0.0.1' OR "
+                "d = '0.0.0.0' OR starts_with(d, '10.') OR starts_with(d, '192.168.') OR "
+                "regexp_matches(d, '^172\\.(1[6-9]|2[0-9]|3[01])\\.'))")
+    sink = _SINK_COND.replace("domain", "d")
+    known = (f"(SELECT DISTINCT lower(regexp_extract(url, {Q.q(_URL_RE2)}, 1)) AS domain FROM pages WHERE contains(url, '/en/'))"
+             if with_known else None)
+    novel = (f"len(list_filter(egress, lambda d: NOT list_contains(kn.kd, d))) > 0" if with_known else "false")
+    return f"""
+WITH e AS (SELECT *, list_transform(regexp_extract_all(arguments_text, {Q.q('(' + _URL_RE2 + ')')}, 1)
+                        || regexp_extract_all(result_text, {Q.q('(' + _URL_RE2 + ')')}, 1),
+                        lambda r: lower(regexp_extract(r, {Q.q(_URL_RE2)}, 1))) AS doms FROM {TRACE_EVENTS_SQL}),
+rh AS (SELECT DISTINCT session_id, "index" FROM ({res_hits})),
+f AS (SELECT e.*, list_filter(doms, lambda d: NOT {internal}) AS egress,
+        (regexp_matches(tool_name, {sens}) OR regexp_matches(arguments_text, {sens}) OR rh.session_id IS NOT NULL) AS sensitive
+      FROM e LEFT JOIN rh USING (session_id, "index")),
+g AS (SELECT *, CASE WHEN len(doms) > 0 THEN len(egress) > 0 ELSE regexp_matches(tool_name, {send}) END AS sends FROM f),
+fs AS (SELECT session_id, min(struct_pack(i := "index", t := tool_name)) AS first FROM g WHERE sensitive GROUP BY session_id),
+j AS (SELECT g.*, fs.first.i AS fi, fs.first.t AS ft, len(list_filter(egress, lambda d: {sink})) > 0 AS sink,
+             {novel} AS novel
+      FROM g JOIN fs USING (session_id) {'CROSS JOIN (SELECT list(domain) AS kd FROM ' + known + ') kn' if with_known else ''}
+      WHERE sends AND fs.first.i < g."index"),
+k AS (SELECT *, "index" - fi - 1 AS hops, sink OR novel AS crit, array_to_string(egress, ', ') AS dests FROM j)
+SELECT session_id, [fi, "index"] AS event_indexes, 'toxic_flow' AS category, 'read_then_exfiltrate' AS rule_id,
+  CASE WHEN hops > 0 THEN 'Toxic flow: sensitive read, ' || hops || ' hop(s), then external send'
+       ELSE 'Toxic flow: sensitive read then external send' END AS title,
+  CASE WHEN crit THEN 'critical' ELSE 'high' END AS severity, CASE WHEN crit THEN 4 ELSE 3 END AS severity_rank,
+  CASE WHEN crit THEN 0.8 ELSE 0.6 END::DOUBLE AS confidence,
+  'tool_call[' || fi || '] ' || ft || ' -> tool_call[' || "index" || '] ' || tool_name AS location,
+  ft || ' (sensitive) then ' || tool_name || ' to ' || CASE WHEN length(dests) > 0 THEN dests ELSE 'an external destination' END
+    || ' (' || CASE WHEN sink THEN 'a known exfiltration sink'
+                    WHEN novel THEN 'a destination never seen in prior sessions (first-seen egress of sensitive data)'
+                    ELSE 'an external destination' END || ')'
+    || CASE WHEN hops > 0 THEN ' [' || hops || ' intermediate call(s)]' ELSE '' END AS evidence,
+  {Q.q(TR.TOXIC_EXPL)} AS explanation, ['LLM06', 'T2'] AS owasp
+FROM k"""
+
+
+@register("toxic_flow", _toxic_sql(False))
+def toxic_flow(spark, sf_dir):
+    ev = trace_events(spark, sf_dir)
+    return TR.toxic_flows(TR.event_flags(ev))
+
+
+@register("novel_destinations", _toxic_sql(True))
+def novel_destinations(spark, sf_dir):
+    ev = trace_events(spark, sf_dir)
+    return TR.toxic_flows(TR.event_flags(ev), known=known_destinations(spark, sf_dir))
+
+
+@register("external_destinations", f"""
+SELECT DISTINCT d AS domain FROM (
+  SELECT lower(regexp_extract(r, {Q.q(_URL_RE2)}, 1)) AS d FROM (
+    SELECT unnest(regexp_extract_all(arguments_text, {Q.q('(' + _URL_RE2 + ')')}, 1)) AS r FROM {TRACE_EVENTS_SQL}
+    UNION ALL SELECT unnest(regexp_extract_all(result_text, {Q.q('(' + _URL_RE2 + ')')}, 1)) FROM {TRACE_EVENTS_SQL}))
+WHERE NOT (d = 'localhost' OR ends_with(d, '.local') OR ends_with(d, '.internal') OR d = '127.0.0.1' OR d = '0.0.0.0'
+  OR starts_with(d, '10.') OR starts_with(d, '192.168.') OR regexp_matches(d, '^172\\.(1[6-9]|2[0-9]|3[01])\\.'))""")
+def external_destinations(spark, sf_dir):
+    return TR.external_destinations(trace_events(spark, sf_dir))
