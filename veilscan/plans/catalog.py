@@ -900,3 +900,105 @@ WHERE NOT (d = 'localhost' OR ends_with(d, '.local') OR ends_with(d, '.internal'
   OR starts_with(d, '10.') OR starts_with(d, '192.168.') OR regexp_matches(d, '^172\\.(1[6-9]|2[0-9]|3[01])\\.'))""")
 def external_destinations(spark, sf_dir):
     return TR.external_destinations(trace_events(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------
+# 2.10 trust levels, 2.11 audit log, Article 12 export
+# ---------------------------------------------------------------------------
+from veilscan.operators import audit as AU  # noqa: E402
+
+
+def trace_findings(spark, sf_dir, events=None) -> DataFrame:
+    ev = events if events is not None else trace_events(spark, sf_dir)
+    return TR.analyze_events(ev)
+
+
+_ALL_TRACE_FINDINGS_SQL = f"""(SELECT session_id, event_indexes, rule_id, severity_rank FROM (
+  SELECT session_id, event_indexes, rule_id, severity_rank FROM ({_toxic_sql(False)})
+  UNION ALL SELECT session_id, event_indexes, rule_id, severity_rank FROM (
+    SELECT h.session_id, [h."index"] AS event_indexes, rm.rule_id, rm.severity_rank
+    FROM ({Q.raw_hits_sql(_FIELDS_SQL, ['session_id', '"index"', 'tool_name', 'field'], 'text')}) h
+    JOIN {Q.rule_meta_sql()} rm USING (rule_ord))
+  UNION ALL SELECT session_id, ["index"], 'suspicious_sink', 3 FROM (
+    SELECT session_id, "index", lower(regexp_extract(raw, {Q.q(_URL_RE2)}, 1)) AS domain
+    FROM (SELECT *, unnest(regexp_extract_all(text, {Q.q('(' + _URL_RE2 + ')')}, 1)) AS raw FROM {_FIELDS_SQL}))
+    WHERE {_SINK_COND}))"""
+
+
+@register("trust_levels", f"""
+WITH f AS (SELECT session_id, unnest(event_indexes) AS "index", rule_id, severity_rank FROM {_ALL_TRACE_FINDINGS_SQL}),
+g AS (SELECT session_id, "index", list_sort(list(rule_id)) AS finding_rule_ids, max(severity_rank) AS worst_rank
+      FROM f GROUP BY session_id, "index")
+SELECT e.session_id, e."index", e.tool_name, coalesce(g.finding_rule_ids, []::VARCHAR[]) AS finding_rule_ids,
+  coalesce(g.worst_rank, 0) AS worst_rank,
+  CASE coalesce(g.worst_rank, 0) WHEN 4 THEN 'L0' WHEN 3 THEN 'L1' WHEN 2 THEN 'L2' WHEN 1 THEN 'L3' ELSE 'L4' END AS trust_level
+FROM {TRACE_EVENTS_SQL} e LEFT JOIN g USING (session_id, "index")""")
+def trust_levels(spark, sf_dir):
+    ev = trace_events(spark, sf_dir)
+    t = TR.trust_levels(ev, trace_findings(spark, sf_dir, ev))
+    return t.select("session_id", "index", "tool_name", "finding_rule_ids", "worst_rank", "trust_level")
+
+
+def audit_log(spark, sf_dir) -> DataFrame:
+    ev = trace_events(spark, sf_dir)
+    findings = trace_findings(spark, sf_dir, ev)
+    calls = TR.trust_levels(ev, findings)
+    stats = (findings.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_findings"),
+                                                F.max(F.col("severity_rank") == 4).alias("any_critical")))
+    per_session = ev.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_calls"))
+    stats = per_session.join(stats, "session_id", "left").select(
+        "session_id", "n_calls", F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
+        F.coalesce("any_critical", F.lit(False)).alias("any_critical"))
+    return AU.build_audit_log(AU.record_templates(calls, stats))
+
+
+@register("audit_build")
+def audit_build(spark, sf_dir):
+    """Hash-chained audit log of every session (start + one record per call + close)."""
+    return audit_log(spark, sf_dir)
+
+
+def _tampered(spark, sf_dir) -> DataFrame:
+    """The built log with one record edited in every session whose first call read secrets."""
+    log = audit_log(spark, sf_dir).checkpoint(eager=True)
+    first_tool = log.where(F.col("n") == 1).select(
+        "session_id", F.get_json_object("record", "$.action_detail.tool_name").alias("t1"))
+    j = log.join(first_tool, "session_id", "left")
+    edit = (F.col("t1") == "read_secret_store") & (F.col("n") == 2)
+    return j.withColumn("record", F.when(edit, F.regexp_replace("record", '"outcome":"ok"', '"outcome":"edited"'))
+                        .otherwise(F.col("record"))).drop("t1")
+
+
+@register("audit_verify")
+def audit_verify(spark, sf_dir):
+    """Parallel chain verification of the (partly tampered) log."""
+    t = _tampered(spark, sf_dir)
+    return AU.verify_audit_log(t, "session_id", "n", "record")
+
+
+@register("audit_anchor")
+def audit_anchor(spark, sf_dir):
+    """Anchors of the built log, checked against a log whose last records were edited."""
+    log = audit_log(spark, sf_dir).checkpoint(eager=True)
+    anchors = AU.compute_anchor(log)
+    last = log.groupBy("session_id").agg(F.max("n").alias("last"))
+    edited = log.join(last, "session_id").withColumn(
+        "record", F.when(F.col("n") == F.col("last"), F.regexp_replace("record", '"outcome":"ok"', '"outcome":"x"'))
+        .otherwise(F.col("record"))).drop("last")
+    ver = AU.verify_audit_log(edited, "session_id", "n", "record")
+    return AU.check_anchor(ver, anchors.select("session_id", "token")).select(
+        "session_id", "ok", "broken_at", "anchor_ok", "n_records")
+
+
+@register("article12", f"""
+WITH f AS (SELECT session_id, count(*) AS total_findings FROM {_ALL_TRACE_FINDINGS_SQL} GROUP BY session_id)
+SELECT e.session_id, 'EU AI Act Article 12 (record-keeping), operation-level event log' AS standard,
+  'agent' AS agent_id, '0' AS agent_version, count(*) AS total_tool_calls, coalesce(any_value(f.total_findings), 0) AS total_findings
+FROM {TRACE_EVENTS_SQL} e LEFT JOIN f USING (session_id) GROUP BY e.session_id""")
+def article12(spark, sf_dir):
+    ev = trace_events(spark, sf_dir)
+    findings = trace_findings(spark, sf_dir, ev)
+    flagged = TR.trust_levels(ev, findings)
+    per = findings.groupBy("session_id").agg(F.count(F.lit(1)).alias("total_findings"))
+    header, _entries = AU.export_article12(ev, flagged, per)
+    return header
