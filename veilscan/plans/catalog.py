@@ -1002,3 +1002,90 @@ def article12(spark, sf_dir):
     per = findings.groupBy("session_id").agg(F.count(F.lit(1)).alias("total_findings"))
     header, _entries = AU.export_article12(ev, flagged, per)
     return header
+
+
+# ---------------------------------------------------------------------------
+# 2.2 / 2.12 reports over tool-document findings
+# ---------------------------------------------------------------------------
+from veilscan.operators import report as RP  # noqa: E402
+
+_BAD_TOOL_DOCS_SQL = f"(SELECT doc_id, raw FROM {PARSED_SQL} WHERE j IS NULL)"
+_FALLBACK_TOOL_SQL = ORACLE["doc_fallback"].replace(_BAD_DOCS_SQL, _BAD_TOOL_DOCS_SQL)
+_FCOLS = "doc_id, category, rule_id, title, severity, severity_rank, confidence, location, evidence, explanation, owasp"
+ALL_TOOL_FINDINGS_SQL = (f"(SELECT {_FCOLS} FROM ({ORACLE['config_secrets']}) UNION ALL SELECT {_FCOLS} FROM ({ORACLE['poison_scan']}) "
+                         f"UNION ALL SELECT {_FCOLS} FROM ({ORACLE['tool_shadowing']}) UNION ALL SELECT {_FCOLS} FROM ({_FALLBACK_TOOL_SQL}))")
+
+
+def tool_findings(spark, sf_dir) -> DataFrame:
+    return TD.scan_documents(tool_documents_parsed(spark, sf_dir))
+
+
+def manifest(spark, sf_dir) -> DataFrame:
+    """Servers to rank: every labelled document plus the fixture documents."""
+    lab = read_table(spark, sf_dir, "labels", ["doc_id"])
+    fx = tool_doc_fixtures_df(spark).select("doc_id")
+    return lab.unionByName(fx).distinct().withColumn("name", F.concat(F.lit("server-"), F.col("doc_id").cast("string")))
+
+
+_MANIFEST_SQL = f"(SELECT DISTINCT doc_id, 'server-' || doc_id AS name FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM {tool_doc_fixtures_sql()}))"
+
+
+@register("leaderboard", f"""
+WITH f AS (SELECT * FROM {ALL_TOOL_FINDINGS_SQL} WHERE category <> 'parse_warning'),
+g AS (SELECT doc_id, count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high,
+             count_if(severity = 'medium') AS medium, count_if(severity = 'low') AS low,
+             first(title || ' (' || severity || ')' ORDER BY severity_rank DESC, location, rule_id, evidence) AS top_issue
+      FROM f GROUP BY doc_id),
+m AS (SELECT m.doc_id, m.name, EXISTS (SELECT 1 FROM {TOOL_DOCS_SQL} d WHERE d.doc_id = m.doc_id) AS readable FROM {_MANIFEST_SQL} m)
+SELECT m.name, CASE WHEN NOT readable THEN 'ERROR' WHEN coalesce(g.critical, 0) > 0 THEN 'BLOCKED'
+                    WHEN coalesce(g.high, 0) > 0 THEN 'WARN' ELSE 'CLEAN' END AS verdict,
+  coalesce(g.critical, 0) AS critical, coalesce(g.high, 0) AS high, coalesce(g.medium, 0) AS medium,
+  coalesce(g.low, 0) AS low,
+  CASE WHEN NOT readable THEN 'could not read ' || m.name ELSE coalesce(g.top_issue, 'none') END AS top_issue,
+  CASE WHEN NOT readable THEN 2 WHEN coalesce(g.critical, 0) > 0 THEN 0 WHEN coalesce(g.high, 0) > 0 THEN 1 ELSE 3 END AS verdict_order
+FROM m LEFT JOIN g USING (doc_id)""")
+def leaderboard(spark, sf_dir):
+    return RP.safety_leaderboard(manifest(spark, sf_dir), tool_documents(spark, sf_dir),
+                                 tool_findings(spark, sf_dir)).drop("doc_id")
+
+
+_CASES_SQL = "(SELECT doc_id, toxic = 1 AS malicious FROM labels)"
+
+
+@register("evaluate_rules", f"""
+WITH f AS (SELECT doc_id, max(severity_rank) AS worst,
+                  list_sort(list(DISTINCT rule_id)) AS ids FROM {ALL_TOOL_FINDINGS_SQL} GROUP BY doc_id),
+c AS (SELECT c.doc_id, c.malicious, coalesce(f.worst, 0) AS worst FROM {_CASES_SQL} c LEFT JOIN f USING (doc_id))
+SELECT doc_id, malicious, CASE WHEN malicious THEN worst >= 3 ELSE worst < 2 END AS pass FROM c""")
+def evaluate_rules(spark, sf_dir):
+    """Labelled cases (labels.toxic as the malicious flag) scored against the tool-document findings."""
+    lab = read_table(spark, sf_dir, "labels", ["doc_id", "toxic"])
+    cases = lab.select("doc_id", (F.col("toxic") == 1).alias("malicious"))
+    per_case, _summary = RP.evaluate_rules(cases, tool_findings(spark, sf_dir))
+    return per_case.select("doc_id", "malicious", "pass")
+
+
+@register("evaluate_summary", f"""
+WITH f AS (SELECT doc_id, max(severity_rank) AS worst FROM {ALL_TOOL_FINDINGS_SQL} GROUP BY doc_id),
+c AS (SELECT c.malicious, CASE WHEN c.malicious THEN coalesce(f.worst, 0) >= 3 ELSE coalesce(f.worst, 0) < 2 END AS pass
+      FROM {_CASES_SQL} c LEFT JOIN f USING (doc_id))
+SELECT count(*) AS total, count_if(malicious) AS malicious, count_if(NOT malicious) AS benign,
+  count_if(malicious AND pass) AS detected, count_if(NOT malicious AND NOT pass) AS false_positives,
+  CASE WHEN count_if(malicious) = 0 THEN 1.0 ELSE count_if(malicious AND pass) / count_if(malicious) END AS recall
+FROM c""")
+def evaluate_summary(spark, sf_dir):
+    lab = read_table(spark, sf_dir, "labels", ["doc_id", "toxic"])
+    cases = lab.select("doc_id", (F.col("toxic") == 1).alias("malicious"))
+    _per_case, summary = RP.evaluate_rules(cases, tool_findings(spark, sf_dir))
+    return summary
+
+
+@register("sarif_results", f"""
+SELECT doc_id, rule_id, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning'
+  ELSE 'note' END AS level,
+  title || ' at ' || location || ': ' || explanation || ' (evidence: ' || evidence || ')' AS message,
+  location, severity, confidence, category
+FROM {ALL_TOOL_FINDINGS_SQL}""")
+def sarif_results(spark, sf_dir):
+    res, _rules, _doc = RP.to_sarif(tool_findings(spark, sf_dir), artifact_col="doc_id")
+    return res.select("doc_id", "rule_id", "level", "message", "location", "severity", "confidence", "category")
