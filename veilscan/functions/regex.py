@@ -209,3 +209,13 @@ def _offsets(hits: Column, gaps: Column) -> Column:
     folded = F.aggregate(F.filter(pairs, lambda z: z["m"].isNotNull()), init, step, lambda acc: acc["out"])
     return F.when(F.size(hits) > 0, folded).otherwise(
         F.array().cast("array<struct<s:int,e:int,m:string>>"))
+
+
+def explode_rows(c):
+    """``explode`` without Catalyst's inferred ``size(c) > 0`` pre-filter.
+
+    A plain explode makes the optimizer add that filter below the projection
+    that builds ``c``, so an expensive array (a regex scan, a JSON walk) would
+    be computed twice. Use with ``.where(<alias>.isNotNull())``.
+    """
+    return F.explode_outer(c)

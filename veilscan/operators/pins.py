@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilscan.functions.regex import explode_rows
+
 from veilscan.functions.regex import JS_WS_CLASS, to_java
 from veilscan.operators.tooldocs import POISON_RULES, _finding, tools_of
 
@@ -64,7 +66,7 @@ def collect_tools(docs: DataFrame, path_col: str = "config_path") -> DataFrame:
         key = F.when(n > 0, F.concat(t["base"], F.lit("#"), n.cast("string"))).otherwise(t["base"])
         return F.struct(key.alias("key"), t["name"].alias("name"), t["loc"].alias("loc"), t["tool"].alias("tool"))
 
-    ex = with_base.select(path_col, F.explode(F.transform("_t", numbered)).alias("t"))
+    ex = with_base.select(path_col, explode_rows(F.transform("_t", numbered)).alias("t")).where(F.col("t").isNotNull())
     tool = F.col("t.tool")
     desc_v = F.try_variant_get(tool, "$.description", "variant")
     schema = F.coalesce(F.try_variant_get(tool, "$.inputSchema", "variant"),
@@ -140,7 +142,7 @@ def diff_pins(current: DataFrame, lock: DataFrame, keys=("config_path", "key"))
     fs = (F.when(F.col("p").isNull(), F.array(added))
            .when(F.col("c").isNull(), F.array(removed))
            .otherwise(compare_pins("p", "c")))
-    return j.select(*ks, F.explode(fs).alias("f")).select(*ks, "f.*")
+    return j.select(*ks, explode_rows(fs).alias("f")).where(F.col("f").isNotNull()).select(*ks, "f.*")
 
 
 def monitor(current: DataFrame, store: DataFrame, keys=("config_path", "key")) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -159,7 +161,7 @@ def monitor(current: DataFrame, store: DataFrame, keys=("config_path", "key")) -
         "confidence:double,location:string,evidence:string,explanation:string,owasp:array<string>>>")
     ).otherwise(compare_pins("p", "c"))
     j = j.withColumn("_d", drift)
-    findings = j.select(*ks, F.explode("_d").alias("f")).select(*ks, "f.*").withColumn(
+    findings = j.select(*ks, explode_rows("_d").alias("f")).where(F.col("f").isNotNull()).select(*ks, "f.*").withColumn(
         "location", F.concat(F.col("config_path"), F.lit(" :: "), F.col("location")))
     newly = j.where(F.col("p").isNull()).agg(F.count(F.lit(1)).alias("newly_pinned"))
     extra = [k for k in ks if k not in PIN_COLS]

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilscan.functions.regex import explode_rows
+
 from veilscan.functions.regex import JS_WS_CLASS, to_java
 from veilscan.functions.rules import SEVERITY_RANK
 from veilscan.operators import scan as S
@@ -226,7 +228,7 @@ def parse_documents(df: DataFrame, raw_col: str = "raw") -> DataFrame:
 def tool_rows(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:
     """One row per tool: (ids, server, idx, loc, shadow_loc, name, tool)."""
     ids = list(id_cols)
-    t = docs.where(F.col("doc").isNotNull()).select(*ids, F.explode(tools_of(F.col("doc"))).alias("_t"))
+    t = docs.where(F.col("doc").isNotNull()).select(*ids, explode_rows(tools_of(F.col("doc"))).alias("_t")).where(F.col("_t").isNotNull())
     return t.select(*ids, "_t.server", "_t.idx", "_t.loc", "_t.shadow_loc",
                     F.try_variant_get("_t.tool", "$.name", "string").alias("name"), F.col("_t.tool").alias("tool"))
 
@@ -235,9 +237,14 @@ def poison_findings(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:
     """Poisoning + hidden unicode over every string leaf / key of every tool."""
     ids = list(id_cols)
     tools = walk_strings(tool_rows(docs, ids))
-    per_tool = tools.select(*ids, F.flatten(F.transform("strings", lambda s: string_findings(s["text"], s["path"])))
-                            .alias("_f"))
-    return per_tool.select(*ids, F.explode("_f").alias("f")).select(*ids, "f.*")
+    # one row per string so the nine regex checks run in generated code, not
+    # inside an interpreted lambda over the string array
+    strings = tools.select(*ids, explode_rows("strings").alias("s")).where(F.col("s").isNotNull()).select(*ids, "s.path", "s.text")
+    per = strings.select(*ids, string_findings(F.col("text"), F.col("path")).alias("_f"))
+    # explode_outer + null filter: a plain explode lets Catalyst infer and push
+    # down a size(_f) > 0 filter that evaluates every regex a second time
+    ex = per.select(*ids, F.explode_outer("_f").alias("f")).where(F.col("f").isNotNull())
+    return ex.select(*ids, "f.*")
 
 
 def shadowing_findings(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:
@@ -254,7 +261,7 @@ def shadowing_findings(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:
         return F.struct(n.alias("name"), locs.alias("locs"))
 
     grouped = named.select(*ids, F.transform(F.array_distinct(F.transform("_n", lambda x: x["name"])), group).alias("_g"))
-    ex = grouped.select(*ids, F.explode("_g").alias("g")).where(F.size("g.locs") > 1)
+    ex = grouped.select(*ids, explode_rows("_g").alias("g")).where(F.col("g").isNotNull() & (F.size("g.locs") > 1))
     f = _finding("tool_shadowing", "duplicate_tool_name",
                  F.concat(F.lit('Tool name collision: "'), F.col("g.name"), F.lit('"')), "high", 0.85,
                  F.array_join("g.locs", ", "),
@@ -272,7 +279,7 @@ def config_values(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:
                                         F.create_map().cast("map<string,variant>")))
 
     servers = docs.where(F.col("doc").isNotNull()).select(
-        *ids, F.explode(F.concat(per_map("mcpServers"), per_map("servers"))).alias("e"))
+        *ids, explode_rows(F.concat(per_map("mcpServers"), per_map("servers"))).alias("e")).where(F.col("e").isNotNull())
     v = F.col("e.value")
     name = F.col("e.key")
 
@@ -289,7 +296,7 @@ def config_values(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:
                                                F.create_map().cast("map<string,variant>"))),
                       lambda kv: F.struct(F.concat(name, F.lit(".env."), kv["key"]).alias("path"),
                                           F.when(_is_string(kv["value"]), _str(kv["value"])).alias("text")))
-    vals = servers.select(*ids, F.explode(F.concat(cmd, args, env, url)).alias("c"))
+    vals = servers.select(*ids, explode_rows(F.concat(cmd, args, env, url)).alias("c")).where(F.col("c").isNotNull())
     return vals.select(*ids, "c.path", "c.text").where(F.col("text").isNotNull())
 
 

@@ -15,6 +15,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilscan.functions.regex import explode_rows
+
 from veilscan.functions.rules import ALL_RULES
 from veilscan.operators import entropy as EN
 from veilscan.operators import scan as S
@@ -191,7 +193,8 @@ def entropy_findings(events: DataFrame, allowed: DataFrame | None = None) -> Dat
 
 def sink_findings(events: DataFrame) -> DataFrame:
     fr = field_rows(events)
-    u = fr.select("session_id", "index", "tool_name", "field", F.explode(extract_domains(F.col("text"))).alias("u"))
+    u = fr.select("session_id", "index", "tool_name", "field", explode_rows(extract_domains(F.col("text"))).alias("u"))
+    u = u.where(F.col("u").isNotNull())
     u = u.where(is_suspicious_sink(F.col("u.domain")))
     raw = F.col("u.raw")
     fin = _finding("exfil_domain", "suspicious_sink", F.concat(F.lit("Suspicious data sink: "), F.col("u.domain")), "high",
@@ -273,9 +276,9 @@ def analyze_events(events: DataFrame, known: DataFrame | None = None, detect_ent
 
 
 def external_destinations(events: DataFrame) -> DataFrame:
-    d = events.select(F.explode(F.concat(extract_domains(F.col("arguments_text")),
+    d = events.select(explode_rows(F.concat(extract_domains(F.col("arguments_text")),
                                          extract_domains(F.col("result_text")))).alias("u"))
-    return d.select(F.col("u.domain").alias("domain")).where(~is_internal_domain(F.col("domain"))).distinct()
+    return d.where(F.col("u").isNotNull()).select(F.col("u.domain").alias("domain")).where(~is_internal_domain(F.col("domain"))).distinct()
 
 
 def trust_levels(events: DataFrame, findings: DataFrame) -> DataFrame:
