@@ -99,3 +99,18 @@ def evaluate_rules(cases: DataFrame, findings: DataFrame, id_col: str = "doc_id"
     summary = summary.withColumn("recall", F.when(F.col("malicious") == 0, F.lit(1.0))
                                  .otherwise(F.col("detected") / F.col("malicious")))
     return per_case, summary
+
+
+def session_summary(static_findings: DataFrame, drift_findings: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Per config: high/critical static findings (parse warnings excluded) plus high/critical drift."""
+    hi = F.col("severity_rank") >= 3
+    s = static_findings.where(hi & (F.col("category") != "parse_warning")).select(id_col, F.lit("static").alias("kind"))
+    d = drift_findings.where(hi).select(id_col, F.lit("drift").alias("kind"))
+    u = s.unionByName(d)
+    return u.groupBy(id_col).agg(F.count_if(F.col("kind") == "static").alias("static"),
+                                 F.count_if(F.col("kind") == "drift").alias("drift"),
+                                 F.count(F.lit(1)).alias("total"))
+
+
+def order_by_severity(findings: DataFrame, *ties: str) -> DataFrame:
+    return findings.orderBy(F.desc("severity_rank"), *ties)
