@@ -63,6 +63,8 @@ def sequence_within(df: DataFrame, key: str, order: Sequence[str], out: str = "i
     local sort) and a small per-(partition, key) count table supplies the
     offsets. No task ever holds a whole group.
     """
+    from veilscan.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)  # reliable checkpoints need the shared folder
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
     ranged = df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
     ranged = ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
