@@ -332,3 +332,24 @@ def scan_text_raw(df: DataFrame, text_col: str = "text", id_cols: Sequence[str]
     out = exploded.select(*cols, F.col("_h.rule_ord").alias("rule_ord"), F.col("_h.s").alias("start"),
                           F.col("_h.e").alias("end"), F.col("_h.m").alias("matched"))
     return attach_rule_meta(out).select(*cols, *FINDING_COLS)
+
+
+def any_rule_hit(text: Column | str, rules: Sequence[Rule] = ALL_RULES) -> Column:
+    """TRUE when at least one (validated) rule hit exists in the text.
+
+    Existence only: one guarded ``rlike`` per rule, OR-ed so evaluation stops
+    at the first rule that fires; validator rules extract and test candidates.
+    """
+    t = _col(text)
+    out = None
+    for r in rules:
+        pat = to_java(r.pattern, r.ignore_case)
+        if r.validator:
+            check = card_ok if r.validator == "card" else verhoeff_ok
+            c = F.exists(F.regexp_extract_all(t, F.lit("(" + pat + ")"), 1), check)
+        else:
+            c = t.rlike(pat)
+        g = _guard(t, r)
+        c = c if g is None else (g & c)
+        out = c if out is None else (out | c)
+    return F.coalesce(out, F.lit(False))

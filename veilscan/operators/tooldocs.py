@@ -38,6 +38,9 @@ class PoisonRule:
     confidence: float
     explanation: str
     owasp: tuple[str, ...]
+    # Lower-case substrings at least one of which every match contains (a
+    # cheap `instr` guard derived from the pattern's mandatory words).
+    keywords: tuple[str, ...] = ()
 
 
 # ---------------------------------------------------------------------------
@@ -48,32 +51,32 @@ POISON_RULES: list[PoisonRule] = [
                r"\b(ignore|disregard|forget|override)\s+(all\s+|any\s+|the\s+|your\s+|previous\s+|prior\s+|above\s+)*(instructions?|rules?|prompts?|context|directions?)\b",
                "critical", 0.9,
                "Tool text instructs the model to ignore or override prior instructions. Tool descriptions should describe behavior, not redirect the model. Classic tool-poisoning / prompt-injection.",
-               ("LLM01", "T2")),
+               ("LLM01", "T2"), keywords=("ignore", "disregard", "forget", "override")),
     PoisonRule("hidden_from_user", "Instruction to hide actions from the user",
                r"\b(do not|don'?t|never)\s+(tell|inform|mention|show|reveal|disclose|notify)\s+(the\s+)?(user|human|person)\b|\b(secretly|silently|without\s+(telling|informing|notifying))\b",
                "critical", 0.88,
                "Tool text tells the model to conceal an action from the user. Legitimate tools have no reason to request secrecy. Strong indicator of a poisoned tool.",
-               ("LLM01", "T2", "T6")),
+               ("LLM01", "T2", "T6"), keywords=("not", "don", "never", "secretly", "silently", "without")),
     PoisonRule("embedded_directive_tags", "Embedded directive / system tags in description",
                r"<\s*(important|system|instructions?|secret|admin|s>|\/s>)\s*>|\[\s*(system|important|instructions?)\s*\]",
                "high", 0.8,
                "Description embeds pseudo-system tags (for example <important> or [system]) to smuggle directives into the model context. Descriptions are data, not a place for system instructions.",
-               ("LLM01", "T2")),
+               ("LLM01", "T2"), keywords=("<", "[")),
     PoisonRule("exfiltration_directive", "Exfiltration directive (read-and-send)",
                r"\b(reads?|reading|cat|loads?|loading|opens?|opening|accesses?|accessing|fetch(?:es)?|fetching)\b[^.]{0,40}\b(\.env|\.ssh|id_rsa|credentials?|secrets?|api[_\s-]?keys?|private[_\s-]?key|~\/\.|\/etc\/passwd)\b|\b(sends?|sending|forwards?|forwarding|posts?|posting|uploads?|uploading|exfiltrates?|bccs?|emails?|emailing)\b[^.]{0,40}\b(to|content|file|data|contents|result)\b",
                "critical", 0.75,
                "Tool text describes reading sensitive files or forwarding data elsewhere. Combined read-and-send instructions in a tool description are a hallmark of exfiltration tooling.",
-               ("LLM01", "T2", "LLM06")),
+               ("LLM01", "T2", "LLM06"), keywords=("read", "cat", "load", "open", "access", "fetch", "send", "forward", "post", "upload", "exfiltrat", "bcc", "email")),
     PoisonRule("tool_redirection", "Cross-tool redirection (shadowing language)",
                r"\b(instead of|rather than|do not use|don'?t use|in place of)\b[^.]{0,40}\b(tool|function|server|the other)\b|\b(before|prior to)\s+(using|calling|invoking)\b[^.]{0,40}\b(any|other|each|every)\b[^.]{0,20}\btool\b",
                "high", 0.7,
                "Tool text references or redirects the use of other tools. Tool shadowing works by one server's description hijacking how the model uses a different, trusted tool.",
-               ("LLM01", "T2")),
+               ("LLM01", "T2"), keywords=("instead of", "rather than", "not use", "don", "in place of", "before", "prior to")),
     PoisonRule("imperative_to_model", "Imperative command aimed at the model",
                r"\b(you must|you should always|always (call|use|run|send|include)|make sure to (call|send|include|attach)|it is (required|mandatory) that you)\b",
                "medium", 0.55,
                "Description issues imperative commands to the model rather than describing the tool. Low on its own, but a common carrier for injected behavior; weigh with other findings.",
-               ("LLM01", "T2")),
+               ("LLM01", "T2"), keywords=("you must", "you should always", "always", "make sure to", "it is required", "it is mandatory")),
 ]
 
 # Hidden-unicode classes (code point sets), severities, texts.
@@ -210,10 +213,16 @@ def walk_strings(df: DataFrame, tool_col: str = "tool", loc_col: str = "loc", ou
 def string_findings(text: Column, location: Column) -> Column:
     """ARRAY of poisoning (first match per rule) and hidden-unicode findings for one string."""
     out = []
+    low = F.lower(text)
     for r in POISON_RULES:
         pat = to_java(r.pattern, ignore_case=True)
         m = F.regexp_extract(text, pat, 0)
-        out.append(F.when(text.rlike(pat), _finding("tool_poisoning", r.id, r.title, r.severity, r.confidence,
+        guard = None
+        for k in r.keywords:
+            g = F.instr(low, k) > 0
+            guard = g if guard is None else (guard | g)
+        hit = text.rlike(pat) if guard is None else (guard & text.rlike(pat))
+        out.append(F.when(hit, _finding("tool_poisoning", r.id, r.title, r.severity, r.confidence,
                                                     location, redact_evidence(m), r.explanation, r.owasp)))
     for cid, title, cls, sev, expl in UNICODE_CLASSES:
         out.append(F.when(text.rlike(cls), _finding("hidden_unicode", f"unicode_{cid}", title, sev, 0.95, location,

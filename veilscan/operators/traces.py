@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,15 +64,18 @@ def sequence_within(df: DataFrame, key: str, order: Sequence[str], out: str = "i
     local sort) and a small per-(partition, key) count table supplies the
     offsets. No task ever holds a whole group.
     """
-    from veilscan.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)  # reliable checkpoints need the shared folder
+    from veilscan.session import materialize
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
+    # The range partitioner samples its input: persist it so an expensive
+    # input (span parsing) is evaluated once; dropped after materialising.
+    src = df.persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = src.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
     ranged = ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
     # ids are position dependent: materialise once (reliable checkpoint in the
     # shared checkpoint dir) so the count table and the rows agree, also after
     # an executor loss.
-    ranged = ranged.checkpoint(eager=True)
+    ranged = materialize(ranged)
+    src.unpersist()
     stats = ranged.groupBy("_pid", key).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_min"))
     w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
@@ -83,7 +87,7 @@ def sequence_within(df: DataFrame, key: str, order: Sequence[str], out: str = "i
 # Ingest
 # ---------------------------------------------------------------------------
 
-def span_attr(span: Column, key: str) -> Column:
+def span_attr(span: Column, key: str) -> Column:  # noqa: D401 (single lookup, builds tables per call)
     """Attribute value from a flat object or an OTLP key/value array; non-strings as JSON text."""
     flat = F.try_variant_get(span, f"$.attributes['{key}']", "variant")
 
@@ -100,6 +104,34 @@ def span_attr(span: Column, key: str) -> Column:
     return F.when(flat_ok, as_text(flat)).when(inner.isNotNull(), as_text(inner))
 
 
+def _as_text(v: Column) -> Column:
+    """JSON value as text: strings as-is, everything else serialised; JSON null -> NULL."""
+    t = F.schema_of_variant(v)
+    return (F.when(v.isNull() | (t == "VOID"), F.lit(None).cast("string"))
+             .when(t == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v)))
+
+
+def _otlp_inner(x: Column) -> Column:
+    return F.coalesce(*[F.try_variant_get(x, f"$.value.{k}", "variant")
+                        for k in ("stringValue", "intValue", "boolValue", "doubleValue", "value")])
+
+
+def span_attr_tables(span: Column) -> tuple[Column, Column]:
+    """(flat MAP<STRING,STRING>, OTLP ARRAY<STRUCT<k,v>>) of a span's attributes, built once per span."""
+    flat = F.transform_values(F.try_variant_get(span, "$.attributes", "map<string,variant>"), lambda _k, v: _as_text(v))
+    arr = F.try_variant_get(span, "$.attributes", "array<variant>")
+    entries = F.transform(arr, lambda x: F.struct(F.try_variant_get(x, "$.key", "string").alias("k"),
+                                                  _as_text(_otlp_inner(x)).alias("v")))
+    return flat, entries
+
+
+def lookup_attr(flat: Column, entries: Column, key: str) -> Column:
+    """Flat value when present and non-null, else the first OTLP entry with that key and a value."""
+    hit = F.filter(F.coalesce(entries, F.array().cast("array<struct<k:string,v:string>>")),
+                   lambda e: (e["k"] == key) & e["v"].isNotNull())
+    return F.coalesce(F.try_element_at(flat, F.lit(key)), F.try_element_at(hit, F.lit(1))["v"])
+
+
 def ingest_spans(lines: DataFrame, session_col: str = "session_id", line_col: str = "line",
                  order_col: str | Sequence[str] = "line_no") -> DataFrame:
     """JSONL spans -> tool-call events. Blank / invalid / non-tool-call lines are dropped;
@@ -107,22 +139,26 @@ def ingest_spans(lines: DataFrame, session_col: str = "session_id", line_col: st
     order = [order_col] if isinstance(order_col, str) else list(order_col)
     s = lines.select(session_col, *order, F.try_parse_json(F.trim(F.col(line_col))).alias("span"))
     s = s.where(F.col("span").isNotNull())
-    span = F.col("span")
-    name = F.when(F.schema_of_variant(F.try_variant_get(span, "$.name", "variant")) == "STRING",
-                  F.try_variant_get(span, "$.name", "string"))
-    is_call = ((span_attr(span, "gen_ai.operation.name") == "execute_tool")
-               | (span_attr(span, "mcp.method.name") == "tools/call")
+    flat, entries = span_attr_tables(F.col("span"))
+    name_v = F.try_variant_get(F.col("span"), "$.name", "variant")
+    ts_v = F.try_variant_get(F.col("span"), "$.timestamp", "variant")
+    # stage 1: attribute tables and top-level fields, computed once per span
+    s = s.select(session_col, *order, flat.alias("_flat"), entries.alias("_otlp"),
+                 F.when(F.schema_of_variant(name_v) == "STRING", F.try_variant_get(name_v, "$", "string")).alias("_name"),
+                 F.when(F.schema_of_variant(ts_v) == "STRING", F.try_variant_get(ts_v, "$", "string")).alias("_ts"))
+    A = lambda k: lookup_attr(F.col("_flat"), F.col("_otlp"), k)
+    name = F.col("_name")
+    is_call = ((F.coalesce(A("gen_ai.operation.name") == "execute_tool", F.lit(False)))
+               | F.coalesce(A("mcp.method.name") == "tools/call", F.lit(False))
                | F.coalesce(name, F.lit("")).rlike(f"(?i){TOOL_CALL_NAME}"))
-    ts_top = F.when(F.schema_of_variant(F.try_variant_get(span, "$.timestamp", "variant")) == "STRING",
-                    F.try_variant_get(span, "$.timestamp", "string"))
-    ts = F.coalesce(F.nullif(ts_top, F.lit("")), F.nullif(span_attr(span, "timestamp"), F.lit("")), F.lit("(unknown)"))
+    ts = F.coalesce(F.nullif(F.col("_ts"), F.lit("")), F.nullif(A("timestamp"), F.lit("")), F.lit("(unknown)"))
     ev = s.where(is_call).select(
         F.col(session_col).alias("session_id"), *order, ts.alias("timestamp"),
-        F.coalesce(span_attr(span, "gen_ai.tool.name"), span_attr(span, "tool.name"), name, F.lit("unknown")).alias("tool_name"),
-        F.coalesce(span_attr(span, "mcp.session.id"), span_attr(span, "server.address")).alias("server"),
-        F.coalesce(span_attr(span, "gen_ai.tool.call.arguments"), span_attr(span, "tool.arguments"), F.lit("")).alias("arguments_text"),
-        F.coalesce(span_attr(span, "gen_ai.tool.call.result"), span_attr(span, "tool.result"), F.lit("")).alias("result_text"),
-        F.coalesce(span_attr(span, "outcome"), F.lit("ok")).alias("outcome"))
+        F.coalesce(A("gen_ai.tool.name"), A("tool.name"), name, F.lit("unknown")).alias("tool_name"),
+        F.coalesce(A("mcp.session.id"), A("server.address")).alias("server"),
+        F.coalesce(A("gen_ai.tool.call.arguments"), A("tool.arguments"), F.lit("")).alias("arguments_text"),
+        F.coalesce(A("gen_ai.tool.call.result"), A("tool.result"), F.lit("")).alias("result_text"),
+        F.coalesce(A("outcome"), F.lit("ok")).alias("outcome"))
     return sequence_within(ev, "session_id", order).select(*EVENT_COLS)
 
 
@@ -212,16 +248,15 @@ def event_flags(events: DataFrame, sensitive: Column | None = None, sends: Colum
 
     ``sensitive`` / ``sends`` override the default predicates (Columns over the event row).
     """
-    res_hit = S.with_rule_hits(events, "result_text", out_col="_rh")
     doms = F.concat(extract_domains(F.col("arguments_text")), extract_domains(F.col("result_text")))
     sens = sensitive if sensitive is not None else (
         F.col("tool_name").rlike(_j(SENSITIVE_SOURCE, True)) | F.col("arguments_text").rlike(_j(SENSITIVE_SOURCE, True))
-        | (F.size("_rh") > 0))
-    out = res_hit.withColumn("reads_sensitive", sens).withColumn("domains", doms)
+        | S.any_rule_hit(F.col("result_text")))
+    out = events.withColumn("reads_sensitive", sens).withColumn("domains", doms)
     out = out.withColumn("egress", F.filter("domains", lambda d: ~is_internal_domain(d["domain"])))
     default_send = F.when(F.size("domains") > 0, F.size("egress") > 0).otherwise(
         F.col("tool_name").rlike(_j(SEND_TOOL, True)))
-    return out.withColumn("sends_external", sends if sends is not None else default_send).drop("_rh")
+    return out.withColumn("sends_external", sends if sends is not None else default_send)
 
 
 def toxic_flows(flagged: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -284,13 +319,23 @@ def external_destinations(events: DataFrame) -> DataFrame:
 
 
 def trust_levels(events: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per call: flagged rule ids (sorted), worst rank and trust level L0..L4."""
-    per = (findings.select("session_id", F.explode("event_indexes").alias("index"), "rule_id", "severity_rank")
-           .groupBy("session_id", "index")
+    """Per call: flagged rule ids (sorted), worst rank, trust level L0..L4 and
+    ``n_owned`` (findings whose first referenced call is this one, so that
+    summing it per session counts every finding exactly once)."""
+    ex = findings.select("session_id", F.posexplode("event_indexes").alias("pos", "index"), "rule_id", "severity_rank")
+    per = (ex.groupBy("session_id", "index")
            .agg(F.array_sort(F.collect_list("rule_id")).alias("finding_rule_ids"),
-                F.max("severity_rank").alias("worst_rank")))
+                F.max("severity_rank").alias("worst_rank"), F.count_if(F.col("pos") == 0).alias("n_owned")))
     j = events.join(per, ["session_id", "index"], "left")
     w = F.coalesce(F.col("worst_rank"), F.lit(0))
     level = (F.when(w == 4, "L0").when(w == 3, "L1").when(w == 2, "L2").when(w == 1, "L3").otherwise("L4"))
-    return j.withColumn("finding_rule_ids", F.coalesce("finding_rule_ids", F.array().cast("array<string>"))) \
-            .withColumn("worst_rank", w).withColumn("trust_level", level)
+    return (j.withColumn("finding_rule_ids", F.coalesce("finding_rule_ids", F.array().cast("array<string>")))
+             .withColumn("worst_rank", w).withColumn("trust_level", level)
+             .withColumn("n_owned", F.coalesce("n_owned", F.lit(0))))
+
+
+def session_stats(calls: DataFrame) -> DataFrame:
+    """Per session: calls, findings and whether any finding is critical, from ``trust_levels`` rows."""
+    return calls.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_calls"),
+                                           F.sum("n_owned").alias("n_findings"),
+                                           F.max(F.col("worst_rank") == 4).alias("any_critical"))

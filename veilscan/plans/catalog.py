@@ -17,6 +17,7 @@ from veilscan.functions.rules import ALL_RULES, RULES_BY_ID, rules_df
 from veilscan.operators import scan as S
 from veilscan.plans import sql as Q
 from veilscan.plans.fixtures import fixtures_df, fixtures_sql
+from veilscan.session import materialize
 from veilscan.sources.readers import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -940,16 +941,12 @@ def trust_levels(spark, sf_dir):
 
 
 def audit_log(spark, sf_dir) -> DataFrame:
+    """One job: findings feed only the per-call aggregate; session stats are
+    summed from the per-call rows, so the aggregation exchange is reused by
+    the start, call and close record branches instead of recomputed."""
     ev = trace_events(spark, sf_dir)
-    findings = trace_findings(spark, sf_dir, ev)
-    calls = TR.trust_levels(ev, findings)
-    stats = (findings.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_findings"),
-                                                F.max(F.col("severity_rank") == 4).alias("any_critical")))
-    per_session = ev.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_calls"))
-    stats = per_session.join(stats, "session_id", "left").select(
-        "session_id", "n_calls", F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
-        F.coalesce("any_critical", F.lit(False)).alias("any_critical"))
-    return AU.build_audit_log(AU.record_templates(calls, stats))
+    calls = TR.trust_levels(ev, trace_findings(spark, sf_dir, ev))
+    return AU.build_audit_log(AU.record_templates(calls, TR.session_stats(calls)))
 
 
 @register("audit_build")
@@ -960,7 +957,7 @@ def audit_build(spark, sf_dir):
 
 def _tampered(spark, sf_dir) -> DataFrame:
     """The built log with one record edited in every session whose first call read secrets."""
-    log = audit_log(spark, sf_dir).checkpoint(eager=True)
+    log = materialize(audit_log(spark, sf_dir))
     first_tool = log.where(F.col("n") == 1).select(
         "session_id", F.get_json_object("record", "$.action_detail.tool_name").alias("t1"))
     j = log.join(first_tool, "session_id", "left")
@@ -979,7 +976,7 @@ def audit_verify(spark, sf_dir):
 @register("audit_anchor")
 def audit_anchor(spark, sf_dir):
     """Anchors of the built log, checked against a log whose last records were edited."""
-    log = audit_log(spark, sf_dir).checkpoint(eager=True)
+    log = materialize(audit_log(spark, sf_dir))
     anchors = AU.compute_anchor(log)
     last = log.groupBy("session_id").agg(F.max("n").alias("last"))
     edited = log.join(last, "session_id").withColumn(

@@ -52,3 +52,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``, computing ``df`` once.
+
+    A reliable checkpoint recomputes its input when writing; persisting first
+    makes the eager count fill the cache and the write read from it. The cache
+    is dropped once the checkpoint files exist.
+    """
+    from pyspark import StorageLevel
+    checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    done = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return done
