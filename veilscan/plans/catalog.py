@@ -1086,3 +1086,96 @@ FROM {ALL_TOOL_FINDINGS_SQL}""")
 def sarif_results(spark, sf_dir):
     res, _rules, _doc = RP.to_sarif(tool_findings(spark, sf_dir), artifact_col="doc_id")
     return res.select("doc_id", "rule_id", "level", "message", "location", "severity", "confidence", "category")
+
+
+# ---------------------------------------------------------------------------
+# Audit oracles: the same records built with string SQL, chained with a
+# recursive CTE (sequential per session, fine at sf0.01 for the gate).
+# ---------------------------------------------------------------------------
+
+def _q_json(x: str) -> str:
+    return f"CAST(to_json({x}) AS VARCHAR)"
+
+
+_AUDIT_CALLS_SQL = f"""
+fx AS (SELECT session_id, unnest(event_indexes) AS "index", unnest(range(len(event_indexes))) AS pos, rule_id,
+              severity_rank FROM {_ALL_TRACE_FINDINGS_SQL}),
+per AS (SELECT session_id, "index", list_sort(list(rule_id)) AS ids, max(severity_rank) AS worst,
+               count_if(pos = 0) AS owned FROM fx GROUP BY session_id, "index"),
+calls AS (SELECT e.*, coalesce(per.ids, []::VARCHAR[]) AS ids, coalesce(per.worst, 0) AS worst,
+                 coalesce(per.owned, 0) AS owned FROM {TRACE_EVENTS_SQL} e LEFT JOIN per USING (session_id, "index")),
+stats AS (SELECT session_id, count(*) AS n_calls, sum(owned) AS n_findings, max(worst = 4) AS any_critical
+          FROM calls GROUP BY session_id),
+tpl AS (
+  SELECT session_id, 0 AS n,
+    '{{"action_detail":{{"tool":"{AU.RECORDER_TOOL}"}},"action_type":"session_start","agent_id":"agent","agent_version":"0","outcome":"ok","parent_record_id":null,"prev_hash":"{AU.PREV_MARK}","record_id":"' || session_id || '-0","session_id":"' || session_id || '","timestamp":"(session start)","trust_level":"L4"}}' AS tpl
+  FROM stats
+  UNION ALL
+  SELECT session_id, "index" + 1,
+    '{{"action_detail":{{"finding_rule_ids":' || {_q_json('ids')} || ',"flagged":' || CASE WHEN len(ids) > 0 THEN 'true' ELSE 'false' END
+    || ',"parameters_hash":"sha256:' || sha256(arguments_text) || '","tool_name":' || {_q_json('tool_name')}
+    || ',"tool_server":' || coalesce({_q_json('server')}, 'null') || '}},"action_type":"tool_call","agent_id":"agent","agent_version":"0","outcome":'
+    || {_q_json('outcome')} || ',"parent_record_id":"' || session_id || '-' || "index" || '","prev_hash":"{AU.PREV_MARK}","record_id":"'
+    || session_id || '-' || ("index" + 1) || '","session_id":"' || session_id || '","timestamp":' || {_q_json('timestamp')}
+    || ',"trust_level":"' || CASE worst WHEN 4 THEN 'L0' WHEN 3 THEN 'L1' WHEN 2 THEN 'L2' WHEN 1 THEN 'L3' ELSE 'L4' END || '"}}'
+  FROM calls
+  UNION ALL
+  SELECT session_id, n_calls + 1,
+    '{{"action_detail":{{"findings":' || n_findings || ',"records":' || (n_calls + 1) || ',"session_hash":"{AU.SESSION_MARK}"}},"action_type":"session_close","agent_id":"agent","agent_version":"0","outcome":"ok","parent_record_id":"'
+    || session_id || '-' || n_calls || '","prev_hash":"{AU.PREV_MARK}","record_id":"' || session_id || '-' || (n_calls + 1)
+    || '","session_id":"' || session_id || '","timestamp":"(session close)","trust_level":"' || CASE WHEN any_critical THEN 'L0' ELSE 'L4' END || '"}}'
+  FROM stats),
+chain AS (
+  SELECT session_id, n, replace(tpl, '"{AU.PREV_MARK}"', 'null') AS line,
+         'sha256:' || sha256(replace(tpl, '"{AU.PREV_MARK}"', 'null')) AS hash,
+         'sha256:' || sha256(replace(tpl, '"{AU.PREV_MARK}"', 'null')) AS acc
+  FROM tpl WHERE n = 0
+  UNION ALL
+  SELECT t.session_id, t.n,
+    replace(replace(t.tpl, '"{AU.PREV_MARK}"', '"' || c.hash || '"'), '"{AU.SESSION_MARK}"',
+            '"sha256:' || sha256(c.acc || CAST(t.n AS VARCHAR)) || '"'),
+    'sha256:' || sha256(replace(replace(t.tpl, '"{AU.PREV_MARK}"', '"' || c.hash || '"'), '"{AU.SESSION_MARK}"',
+            '"sha256:' || sha256(c.acc || CAST(t.n AS VARCHAR)) || '"')),
+    c.acc || 'sha256:' || sha256(replace(replace(t.tpl, '"{AU.PREV_MARK}"', '"' || c.hash || '"'), '"{AU.SESSION_MARK}"',
+            '"sha256:' || sha256(c.acc || CAST(t.n AS VARCHAR)) || '"'))
+  FROM chain c JOIN tpl t ON t.session_id = c.session_id AND t.n = c.n + 1)"""
+
+
+def _verify_sql(log: str) -> str:
+    """Verification of a (session_id, n, line) relation, as the Spark job does it."""
+    return f"""
+v AS (SELECT session_id, n AS pos, 'sha256:' || sha256(line) AS h, json_extract_string(line, '$.prev_hash') AS prev_field
+      FROM {log}),
+j AS (SELECT v.*, p.h AS expected_prev, min(v.pos) OVER (PARTITION BY v.session_id) AS p0
+      FROM v LEFT JOIN v p ON p.session_id = v.session_id AND p.pos + 1 = v.pos),
+bad AS (SELECT *, CASE WHEN h IS NULL THEN 'record is not valid JSON'
+                       WHEN NOT coalesce(prev_field = expected_prev, prev_field IS NULL AND expected_prev IS NULL AND pos = p0, false)
+                       THEN 'prev_hash mismatch (a record was inserted, removed, or edited at or before line ' || (pos - p0) || ')'
+                  END AS reason FROM j),
+agg AS (SELECT session_id, count(*) AS n_records, arg_max(h, pos) AS head_hash FROM v GROUP BY session_id),
+br AS (SELECT session_id, arg_min(struct_pack(at := pos - p0, reason := reason), pos) AS b FROM bad
+       WHERE reason IS NOT NULL GROUP BY session_id),
+res AS (SELECT a.session_id, br.b IS NULL AS ok, br.b.at AS broken_at, br.b.reason AS reason, a.n_records, a.head_hash
+        FROM agg a LEFT JOIN br USING (session_id))"""
+
+
+ORACLE["audit_build"] = f"""WITH RECURSIVE {_AUDIT_CALLS_SQL}
+SELECT session_id, CAST(n AS INTEGER) AS n, line AS record, hash FROM chain"""
+
+ORACLE["audit_verify"] = f"""WITH RECURSIVE {_AUDIT_CALLS_SQL},
+ft AS (SELECT session_id, json_extract_string(line, '$.action_detail.tool_name') AS t1 FROM chain WHERE n = 1),
+tam AS (SELECT c.session_id, c.n, CASE WHEN ft.t1 = 'read_secret_store' AND c.n = 2
+                                       THEN replace(c.line, '"outcome":"ok"', '"outcome":"edited"') ELSE c.line END AS line
+        FROM chain c LEFT JOIN ft USING (session_id)),
+{_verify_sql('tam')}
+SELECT session_id, ok, CAST(broken_at AS INTEGER) AS broken_at, reason, n_records, head_hash FROM res"""
+
+ORACLE["audit_anchor"] = f"""WITH RECURSIVE {_AUDIT_CALLS_SQL},
+last AS (SELECT session_id, max(n) AS mx FROM chain GROUP BY session_id),
+anc AS (SELECT c.session_id, count(*) AS record_count, arg_max(c.hash, c.n) AS head FROM chain c GROUP BY c.session_id),
+ed AS (SELECT c.session_id, c.n, CASE WHEN c.n = l.mx THEN replace(c.line, '"outcome":"ok"', '"outcome":"x"') ELSE c.line END AS line
+       FROM chain c JOIN last l USING (session_id)),
+{_verify_sql('ed')}
+SELECT r.session_id, r.ok AND (a.record_count = r.n_records AND a.head = r.head_hash) AS ok, CAST(r.broken_at AS INTEGER) AS broken_at,
+       (a.record_count = r.n_records AND a.head = r.head_hash) AS anchor_ok, r.n_records
+FROM res r JOIN anc a USING (session_id)"""
