@@ -8,6 +8,7 @@ so the chain is evaluated once per row.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -250,15 +251,24 @@ def compress_prompt(df: DataFrame, text_col: str = "text", level: str = "medium"
         F.size(F.regexp_extract_all(t, F.lit("(" + to_java(FENCE) + ")"), 1)).alias("preserved_code_blocks"))
 
 
-# Compression flags (checked in order).
-FLAG_CAVEMAN = r"^\s*pg!\s+"
-FLAG_MEDIUM = r"^\s*(pg|prompt-?guard)\s+"
+# Compression flags (checked in order): the caveman flag, then the medium
+# flag words. Further alias words can be passed by the caller.
+CAVEMAN_FLAGS = ("pg!",)
+MEDIUM_FLAGS = ("pg",)
 
 
-def parse_compress_flag(text: Column) -> Column:
+def flag_pattern(words) -> str:
+    return r"^\s*(?:" + "|".join(re.escape(w) for w in words) + r")\s+"
+
+
+FLAG_CAVEMAN = flag_pattern(CAVEMAN_FLAGS)
+FLAG_MEDIUM = flag_pattern(MEDIUM_FLAGS)
+
+
+def parse_compress_flag(text: Column, caveman_flags=CAVEMAN_FLAGS, medium_flags=MEDIUM_FLAGS) -> Column:
     """STRUCT<level, body, flag> or NULL when the text carries no flag."""
-    cav = to_java(FLAG_CAVEMAN, ignore_case=True)
-    med = to_java(FLAG_MEDIUM, ignore_case=True)
+    cav = to_java(flag_pattern(caveman_flags), ignore_case=True)
+    med = to_java(flag_pattern(medium_flags), ignore_case=True)
     m_cav = F.regexp_extract(text, cav, 0)
     m_med = F.regexp_extract(text, med, 0)
     is_cav = text.rlike(cav)

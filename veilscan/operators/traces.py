@@ -219,7 +219,7 @@ def entropy_findings(events: DataFrame, allowed: DataFrame | None = None) -> Dat
     t = EN.high_entropy_tokens(fr, text_col="text", id_cols=["session_id", "index", "tool_name", "field"], allowed=allowed)
     is_res = F.col("field") == "result"
     expl = F.concat(F.lit("A "), F.col("reason"), F.lit(" that matches no known key format but looks like a credential. "
-                                                         "Lower confidence than a named rule. If benign, run 'scan-mcp allow <token>' to suppress it."))
+                                                         "Lower confidence than a named rule. If benign, add its sha256 hash to the allowlist to suppress it."))
     fin = _finding(F.when(is_res, F.lit("secret_in_result")).otherwise(F.lit("secret_in_config")), "high_entropy_token",
                    F.concat(F.lit("Possible secret in tool "), F.col("field"), F.lit(" (high entropy)")), "medium", 0.5,
                    _loc(F.col("field")),

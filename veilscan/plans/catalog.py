@@ -1179,3 +1179,35 @@ ed AS (SELECT c.session_id, c.n, CASE WHEN c.n = l.mx THEN replace(c.line, '"out
 SELECT r.session_id, r.ok AND (a.record_count = r.n_records AND a.head = r.head_hash) AS ok, CAST(r.broken_at AS INTEGER) AS broken_at,
        (a.record_count = r.n_records AND a.head = r.head_hash) AS anchor_ok, r.n_records
 FROM res r JOIN anc a USING (session_id)"""
+
+
+# ---------------------------------------------------------------------------
+# 2.5 entropy layer on traces (opt-in): only fields where no named rule fired
+# ---------------------------------------------------------------------------
+
+@register("trace_entropy", f"""
+WITH fr AS {_FIELDS_SQL},
+named AS (SELECT DISTINCT session_id, "index", field FROM ({Q.raw_hits_sql(_FIELDS_SQL, ['session_id', '"index"', 'field'], 'text')})),
+clean AS (SELECT fr.* FROM fr WHERE NOT EXISTS (SELECT 1 FROM named n WHERE n.session_id = fr.session_id
+          AND n."index" = fr."index" AND n.field = fr.field)),
+c AS (SELECT session_id, "index", tool_name, field, unnest(regexp_extract_all(text, {Q.q('(' + EN.TOKEN_PATTERN + ')')}, 1)) AS token
+      FROM clean),
+f AS (SELECT * FROM c WHERE length(token) >= {EN.MIN_LENGTH}
+      AND NOT (regexp_full_match(token, '[A-Za-z]+')
+               AND (length(token) - length(regexp_replace(token, '[aeiouAEIOU]', '', 'g'))) / length(token) > 0.25)),
+e AS (SELECT *, -list_sum(list_transform(list_distinct(string_split(token, '')), lambda ch:
+        ((length(token) - length(replace(token, ch, ''))) / length(token)) *
+        log2((length(token) - length(replace(token, ch, ''))) / length(token)))) AS h,
+        regexp_full_match(token, '[0-9a-fA-F]+') AS hex FROM f)
+SELECT session_id, ["index"] AS event_indexes, CASE WHEN field = 'result' THEN 'secret_in_result' ELSE 'secret_in_config' END AS category,
+  'high_entropy_token' AS rule_id, 'Possible secret in tool ' || field || ' (high entropy)' AS title, 'medium' AS severity,
+  2 AS severity_rank, 0.5::DOUBLE AS confidence, 'tool_call[' || "index" || '] ' || tool_name || '.' || field AS location,
+  CASE WHEN length(token) > 16 THEN substr(token, 1, 12) || '...' ELSE token END AS evidence,
+  'A ' || printf('%s (%d chars, %.2f bits/char)', CASE WHEN hex THEN 'high-entropy hex string' ELSE 'high-entropy token' END,
+                 length(token), h)
+      || ' that matches no known key format but looks like a credential. Lower confidence than a named rule. If benign, add its sha256 hash to the allowlist to suppress it.' AS explanation,
+  ['LLM06'] AS owasp
+FROM e WHERE h >= CASE WHEN hex THEN {EN.HEX_MIN_ENTROPY} ELSE {EN.MIN_ENTROPY} END""")
+def trace_entropy(spark, sf_dir):
+    """Opt-in entropy findings on tool-call fields that no named rule flagged."""
+    return TR.entropy_findings(trace_events(spark, sf_dir))

@@ -94,7 +94,7 @@ PROMPT_FIXTURES: list[tuple[int, str]] = [
     (-12, "hi"),
     (-13, "My card is 4242 4242 4242 4242, can you check why the payment failed? Thank you."),
     (-14, "Summarize this thread for my manager. Reach me at bob@example.org if something is unclear."),
-    (-15, "prompt-guard When you get a chance, please write a list of ten onboarding tasks for a new engineer"),
+    (-15, "PG   When you get a chance, please write a list of ten onboarding tasks for a new engineer"),
 ]
 
 
