@@ -219,3 +219,33 @@ def explode_rows(c):
     be computed twice. Use with ``.where(<alias>.isNotNull())``.
     """
     return F.explode_outer(c)
+
+
+# ---------------------------------------------------------------------------
+# SQL-text forms. Building higher-order functions from Python lambdas costs
+# many Py4J round trips per lambda; the same expressions written as Spark SQL
+# text are parsed once on the JVM (one call per expression).
+# ---------------------------------------------------------------------------
+
+OFFSET_TYPE = "array<struct<s:int,e:int,m:string>>"
+
+
+def q_ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def offsets_sql(text_sql: str, hits_sql: str, java_pattern: str) -> str:
+    """SQL for the offsets of precomputed match strings ``hits_sql`` in ``text_sql``
+    (gaps from a ``split`` of the same pattern; run only when there are hits)."""
+    gaps = f"transform(split({text_sql}, {sql_str(java_pattern)}, -1), p -> length(p))"
+    pairs = f"zip_with(slice({gaps}, 1, size({hits_sql})), {hits_sql}, (g, mm) -> named_struct('g', g, 'm', mm))"
+    init = f"named_struct('pos', 0, 'out', CAST(array() AS {OFFSET_TYPE}))"
+    step = ("(acc, z) -> named_struct('pos', acc.pos + z.g + length(z.m), 'out', array_append(acc.out, "
+            "named_struct('s', acc.pos + z.g, 'e', acc.pos + z.g + length(z.m), 'm', z.m)))")
+    return (f"CASE WHEN size({hits_sql}) > 0 THEN aggregate({pairs}, {init}, {step}, acc -> acc.out) "
+            f"ELSE CAST(array() AS {OFFSET_TYPE}) END")
+
+
+def matches_with_offsets_sql(text_sql: str, java_pattern: str) -> str:
+    hits = f"regexp_extract_all({text_sql}, {sql_str('(' + java_pattern + ')')}, 1)"
+    return offsets_sql(text_sql, hits, java_pattern)

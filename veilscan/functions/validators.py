@@ -96,3 +96,48 @@ def verhoeff_ok(c: Column) -> Column:
     c_final = F.aggregate(F.sequence(F.lit(0), F.lit(11)), F.lit(0), step)
     ok_shape = d.rlike("^[2-9][0-9]{11}$")
     return ok_shape & F.when(ok_shape, c_final == 0).otherwise(F.lit(False))
+
+
+# ---------------------------------------------------------------------------
+# The same validators as Spark SQL text (for expressions built as SQL).
+# ---------------------------------------------------------------------------
+
+def _strip_sql(m: str) -> str:
+    from veilscan.functions.regex import sql_str
+    return f"regexp_replace({m}, {sql_str('[' + JS_WS_CLASS + '-]')}, '')"
+
+
+def luhn_ok_sql(m: str) -> str:
+    d = _strip_sql(m)
+    n = f"length({d})"
+    x = f"(ascii(substring({d}, i, 1)) - 48)"
+    total = (f"aggregate(sequence(1, greatest({n}, 1)), 0, (acc, i) -> acc + CASE WHEN ({n} - i) % 2 = 1 "
+             f"THEN (CASE WHEN {x} * 2 > 9 THEN {x} * 2 - 9 ELSE {x} * 2 END) ELSE {x} END)")
+    return f"({n} >= 13 AND {n} <= 19 AND {d} RLIKE '^[0-9]+$' AND {total} % 10 = 0)"
+
+
+def card_ok_sql(m: str) -> str:
+    d = _strip_sql(m)
+    n = f"length({d})"
+    p2, p3, p4 = (f"try_cast(substring({d}, 1, {k}) AS INT)" for k in (2, 3, 4))
+    sw = lambda s: f"startswith({d}, '{s}')"
+    network = (f"(({sw('4')} AND {n} IN (13, 16, 19)) OR "
+               f"((({p2} BETWEEN 51 AND 55) OR ({p4} BETWEEN 2221 AND 2720)) AND {n} = 16) OR "
+               f"(({sw('34')} OR {sw('37')}) AND {n} = 15) OR "
+               f"(({sw('6011')} OR {p2} = 65 OR ({p3} BETWEEN 644 AND 649)) AND {n} IN (16, 19)) OR "
+               f"((({p3} BETWEEN 300 AND 305) OR {sw('36')} OR {sw('38')} OR {sw('39')}) AND {n} = 14) OR "
+               f"(({p4} BETWEEN 3528 AND 3589) AND {n} BETWEEN 16 AND 19) OR "
+               f"({sw('62')} AND {n} BETWEEN 16 AND 19))")
+    return (f"({d} RLIKE '^[0-9]+$' AND {n} IN (13, 14, 15, 16, 19) AND {luhn_ok_sql(m)} "
+            f"AND coalesce({network}, false))")
+
+
+def verhoeff_ok_sql(m: str) -> str:
+    d = _strip_sql(m)
+    td = "array(" + ", ".join("array(" + ", ".join(map(str, r)) + ")" for r in VERHOEFF_D) + ")"
+    tp = "array(" + ", ".join("array(" + ", ".join(map(str, r)) + ")" for r in VERHOEFF_P) + ")"
+    x = f"(ascii(substring({d}, 12 - i, 1)) - 48)"
+    fold = (f"aggregate(sequence(0, 11), 0, (c, i) -> try_element_at(try_element_at({td}, c + 1), "
+            f"try_element_at(try_element_at({tp}, (i % 8) + 1), {x} + 1) + 1))")
+    ok_shape = f"({d} RLIKE '^[2-9][0-9]{{11}}$')"
+    return f"({ok_shape} AND CASE WHEN {ok_shape} THEN {fold} = 0 ELSE false END)"

@@ -16,9 +16,10 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.functions.regex import matches_with_offsets, offsets_from_matches, raw_matches, to_java
+from veilscan.functions.regex import (matches_with_offsets, offsets_from_matches, offsets_sql, q_ident,
+                                      raw_matches, to_java)
 from veilscan.functions.rules import ALL_RULES, RULE_ORD, SEVERITY_RANK, Rule
-from veilscan.functions.validators import card_ok, verhoeff_ok
+from veilscan.functions.validators import card_ok, card_ok_sql, verhoeff_ok, verhoeff_ok_sql
 
 HIT_TYPE = "array<struct<rule_ord:int,s:int,e:int,m:string>>"
 
@@ -97,16 +98,20 @@ def with_rule_hits(df: DataFrame, text_col: str = "text", rules: Sequence[Rule]
             h = F.when(g, h).otherwise(F.array().cast("array<string>"))
         raw_cols.append(F.when(t.isNull(), F.array().cast("array<string>")).otherwise(h).alias(f"_raw{k}"))
     staged = df.select("*", *raw_cols)
+    # stage 2 as SQL text: one JVM parse per rule instead of many Py4J calls
+    # per higher-order-function lambda
+    t_sql = q_ident(text_col)
     arrays = []
     for k, r in enumerate(rules):
-        raw = F.col(f"_raw{k}")
-        offs = offsets_from_matches(t, to_java(r.pattern, r.ignore_case), raw)
-        tagged = F.transform(offs, _tagger(RULE_ORD.get(r.id)))
+        raw = q_ident(f"_raw{k}")
+        offs = offsets_sql(t_sql, raw, to_java(r.pattern, r.ignore_case))
+        tagged = (f"transform({offs}, x -> named_struct('rule_ord', CAST({RULE_ORD.get(r.id)} AS INT), "
+                  f"'s', x.s, 'e', x.e, 'm', x.m))")
         if validate and r.validator:
-            check = card_ok if r.validator == "card" else verhoeff_ok
-            tagged = F.filter(tagged, _checker(check))
-        arrays.append(F.when(F.size(raw) > 0, tagged).otherwise(_empty_hits()))
-    out = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
+            check = card_ok_sql("x.m") if r.validator == "card" else verhoeff_ok_sql("x.m")
+            tagged = f"filter({tagged}, x -> {check})"
+        arrays.append(f"CASE WHEN size({raw}) > 0 THEN {tagged} ELSE CAST(array() AS {HIT_TYPE}) END")
+    out = F.expr(arrays[0] if len(arrays) == 1 else "concat(" + ", ".join(arrays) + ")")
     return staged.select(*df.columns, out.alias(out_col))
 
 
