@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from veilscan.functions.regex import explode_rows
 
-from veilscan.functions.regex import JS_WS_CLASS, to_java
+from veilscan.functions.regex import JS_WS_CLASS, q_ident, sql_str, to_java
 from veilscan.functions.rules import SEVERITY_RANK
 from veilscan.operators import scan as S
 from veilscan.sources.readers import tolerant_parse
@@ -138,59 +138,60 @@ def _str(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
-def tools_of(doc: Column) -> Column:
-    """ARRAY<STRUCT<server, idx, loc, shadow_loc, tool VARIANT>> over mcpServers, servers, root tools."""
-    def server_tools(map_name):
-        servers = F.map_entries(F.coalesce(_as_map(F.try_variant_get(doc, f"$.{map_name}", "variant")),
-                                           F.create_map().cast("map<string,variant>")))
+TOOL_TYPE = "array<struct<server:string,idx:int,loc:string,shadow_loc:string,tool:variant>>"
 
-        def per_server(e):
-            tools = F.coalesce(_as_array(F.try_variant_get(e["value"], "$.tools", "variant")),
-                               F.array().cast("array<variant>"))
-            return F.transform(tools, lambda t, i: F.struct(
-                e["key"].alias("server"), i.alias("idx"),
-                F.concat(F.lit("mcpServers."), e["key"], F.lit(".tools["), i.cast("string"), F.lit("]")).alias("loc"),
-                F.concat(e["key"], F.lit(".tools["), i.cast("string"), F.lit("]")).alias("shadow_loc"),
-                t.alias("tool")))
-        return F.flatten(F.transform(servers, per_server))
 
-    root = F.coalesce(_as_array(F.try_variant_get(doc, "$.tools", "variant")), F.array().cast("array<variant>"))
-    root_tools = F.transform(root, lambda t, i: F.struct(
-        F.lit(None).cast("string").alias("server"), i.alias("idx"),
-        F.concat(F.lit("tools["), i.cast("string"), F.lit("]")).alias("loc"),
-        F.concat(F.lit("tools["), i.cast("string"), F.lit("]")).alias("shadow_loc"), t.alias("tool")))
-    return F.concat(server_tools("mcpServers"), server_tools("servers"), root_tools)
+def tools_of_sql(doc: str = "doc") -> str:
+    """SQL: ARRAY<STRUCT<server, idx, loc, shadow_loc, tool>> over mcpServers, servers, root tools."""
+    d = q_ident(doc)
+    empty_map = "CAST(map() AS map<string,variant>)"
+    empty_arr = "CAST(array() AS array<variant>)"
+
+    def server_tools(map_name: str) -> str:
+        return (f"flatten(transform(map_entries(coalesce(try_variant_get({d}, '$.{map_name}', 'map<string,variant>'), {empty_map})), "
+                f"e -> transform(coalesce(try_variant_get(e.value, '$.tools', 'array<variant>'), {empty_arr}), "
+                f"(t, i) -> named_struct('server', e.key, 'idx', i, "
+                f"'loc', concat('mcpServers.', e.key, '.tools[', CAST(i AS STRING), ']'), "
+                f"'shadow_loc', concat(e.key, '.tools[', CAST(i AS STRING), ']'), 'tool', t))))")
+
+    root = (f"transform(coalesce(try_variant_get({d}, '$.tools', 'array<variant>'), {empty_arr}), "
+            f"(t, i) -> named_struct('server', CAST(NULL AS STRING), 'idx', i, "
+            f"'loc', concat('tools[', CAST(i AS STRING), ']'), 'shadow_loc', concat('tools[', CAST(i AS STRING), ']'), "
+            f"'tool', t))")
+    return f"concat({server_tools('mcpServers')}, {server_tools('servers')}, {root})"
+
+
+def tools_of(doc="doc") -> Column:
+    """Column form of ``tools_of_sql``; ``doc`` is a column name (or ``F.col(name)``)."""
+    name = doc if isinstance(doc, str) else "doc"
+    return F.expr(tools_of_sql(name))
 
 
 NODE_TYPE = "array<struct<path:string,v:variant>>"
 LEAF_TYPE = "array<struct<path:string,text:string>>"
 
 
-def _step(nodes: Column) -> tuple[Column, Column]:
-    """One level of the walk: (child nodes, string leaves incl. object keys) of ``nodes``."""
-    def children(x):
-        m = _as_map(x["v"])
-        a = _as_array(x["v"])
-        from_obj = F.transform(F.map_entries(F.coalesce(m, F.create_map().cast("map<string,variant>"))),
-                               lambda e: F.struct(F.concat(x["path"], F.lit("."), e["key"]).alias("path"),
-                                                  e["value"].alias("v")))
-        from_arr = F.transform(F.coalesce(a, F.array().cast("array<variant>")),
-                               lambda e, i: F.struct(F.concat(x["path"], F.lit("["), i.cast("string"), F.lit("]")).alias("path"),
-                                                     e.alias("v")))
-        return F.when(m.isNotNull(), from_obj).when(a.isNotNull(), from_arr).otherwise(F.array().cast(NODE_TYPE))
-
-    def keys(x):
-        m = _as_map(x["v"])
-        return F.transform(F.map_keys(F.coalesce(m, F.create_map().cast("map<string,variant>"))),
-                           lambda k: F.struct(F.concat(x["path"], F.lit(".<key:"), redact_evidence(k, 24), F.lit(">")).alias("path"),
-                                              k.alias("text")))
-
-    kids = F.flatten(F.transform(nodes, children))
-    leaves = F.concat(
-        F.transform(F.filter(nodes, lambda x: _is_string(x["v"])),
-                    lambda x: F.struct(x["path"].alias("path"), _str(x["v"]).alias("text"))),
-        F.flatten(F.transform(nodes, keys)))
-    return kids, leaves
+def _redact_sql(x: str, n: int) -> str:
+    c = (f"regexp_replace(regexp_replace({x}, {sql_str('[' + JS_WS_CLASS + ']+')}, ' '), "
+         f"{sql_str('^ | ' + chr(92) + 'z')}, '')")
+    return f"CASE WHEN length({c}) <= {n} THEN {c} ELSE concat(substring({c}, 1, {n}), '...') END"
+
+
+def _step_sql(nodes: str) -> tuple[str, str]:
+    """One level of the walk as SQL: (child nodes, string leaves incl. object keys)."""
+    as_map = "try_variant_get(x.v, '$', 'map<string,variant>')"
+    as_arr = "try_variant_get(x.v, '$', 'array<variant>')"
+    kids = (f"flatten(transform({nodes}, x -> CASE "
+            f"WHEN {as_map} IS NOT NULL THEN transform(map_entries({as_map}), "
+            f"e -> named_struct('path', concat(x.path, '.', e.key), 'v', e.value)) "
+            f"WHEN {as_arr} IS NOT NULL THEN transform({as_arr}, "
+            f"(e, i) -> named_struct('path', concat(x.path, '[', CAST(i AS STRING), ']'), 'v', e)) "
+            f"ELSE CAST(array() AS {NODE_TYPE}) END))")
+    strings = (f"transform(filter({nodes}, x -> schema_of_variant(x.v) = 'STRING'), "
+               f"x -> named_struct('path', x.path, 'text', try_variant_get(x.v, '$', 'string')))")
+    keys = (f"flatten(transform({nodes}, x -> transform(map_keys(coalesce({as_map}, CAST(map() AS map<string,variant>))), "
+            f"k -> named_struct('path', concat(x.path, '.<key:', {_redact_sql('k', 24)}, '>'), 'text', k))))")
+    return kids, f"concat({strings}, {keys})"
 
 
 def walk_strings(df: DataFrame, tool_col: str = "tool", loc_col: str = "loc", out_col: str = "strings",
@@ -202,9 +203,10 @@ def walk_strings(df: DataFrame, tool_col: str = "tool", loc_col: str = "loc", ou
     """
     cur = df.withColumn("_nodes", F.array(F.struct(F.col(loc_col).alias("path"), F.col(tool_col).alias("v"))))
     cur = cur.withColumn(out_col, F.array().cast(LEAF_TYPE))
+    kids, leaves = _step_sql("`_nodes`")
     for _ in range(max_depth):
-        kids, leaves = _step(F.col("_nodes"))
-        cur = cur.withColumn(out_col, F.concat(F.col(out_col), leaves)).withColumn("_nodes", kids)
+        cur = (cur.withColumn(out_col, F.expr(f"concat({q_ident(out_col)}, {leaves})"))
+                  .withColumn("_nodes", F.expr(kids)))
     too_deep = F.size("_nodes") > 0
     return cur.withColumn(out_col, F.when(too_deep, F.raise_error(F.lit("tool definition nested deeper than limit")))
                           .otherwise(F.col(out_col))).drop("_nodes")
@@ -356,4 +358,4 @@ def document_counts(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:
     n_srv = F.greatest(n_servers("mcpServers"), F.lit(0)) + F.greatest(n_servers("servers"), F.lit(0))
     return docs.select(*ids, d.isNotNull().alias("parsed"),
                        F.when(d.isNotNull(), n_srv).otherwise(0).alias("servers_scanned"),
-                       F.when(d.isNotNull(), F.size(tools_of(d))).otherwise(0).alias("tools_scanned"))
+                       F.when(d.isNotNull(), F.size(tools_of("doc"))).otherwise(0).alias("tools_scanned"))
