@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.functions.regex import (matches_with_offsets, offsets_from_matches, offsets_sql, q_ident,
-                                      raw_matches, to_java)
+                                      raw_matches, sql_str, to_java)
 from veilscan.functions.rules import ALL_RULES, RULE_ORD, SEVERITY_RANK, Rule
 from veilscan.functions.validators import card_ok, card_ok_sql, verhoeff_ok, verhoeff_ok_sql
 
@@ -211,9 +211,15 @@ def redact_text(text: Column, hits: Column) -> Column:
 def redact(df: DataFrame, text_col: str = "text", mode: str = "redact",
            rules: Sequence[Rule] = ALL_RULES, out_col: str = "redacted") -> DataFrame:
     """Add ``out_col`` (redacted text) and ``n_findings``. ``mode='warn'`` keeps text."""
-    staged = with_rule_hits(df, text_col, rules)
-    red = (F.col(text_col) if mode == "warn" else redact_text(F.col(text_col), F.col("_hits")))
-    return staged.withColumn(out_col, red).withColumn("n_findings", F.size("_hits")).drop("_hits")
+    if mode == "warn":
+        staged = with_rule_hits(df, text_col, rules)
+        return staged.withColumn(out_col, F.col(text_col)).withColumn("n_findings", F.size("_hits")).drop("_hits")
+    staged = _with_kept(df, text_col, rules)
+    ids = _rule_attr_array_sql("id")
+    red = rebuild_sql(q_ident(text_col), "`_kept`",
+                      lambda h, _inside: f"concat('[REDACTED:', element_at({ids}, {h}.rule_ord + 1), ']')")
+    return (staged.withColumn(out_col, F.expr(red)).withColumn("n_findings", F.size("_hits"))
+                  .drop("_hits", "_kept"))
 
 
 def _html_escape(c: Column) -> Column:
@@ -235,8 +241,14 @@ def mark_spans_text(text: Column, hits: Column) -> Column:
 
 def mark_spans(df: DataFrame, text_col: str = "text", out_col: str = "marked",
                rules: Sequence[Rule] = ALL_RULES) -> DataFrame:
-    staged = with_rule_hits(df, text_col, rules)
-    return staged.withColumn(out_col, mark_spans_text(F.col(text_col), F.col("_hits"))).drop("_hits")
+    staged = _with_kept(df, text_col, rules)
+    sev = _rule_attr_array_sql("severity")
+    marked = rebuild_sql(
+        q_ident(text_col), "`_kept`",
+        lambda h, inside: (f"concat('<span class=\"pg-u pg-', element_at({sev}, {h}.rule_ord + 1), '\">', "
+                           f"{html_escape_sql(inside)}, '</span>')"),
+        html_escape_sql)
+    return staged.withColumn(out_col, F.expr(marked)).drop("_hits", "_kept")
 
 
 # ---------------------------------------------------------------------------
@@ -259,7 +271,9 @@ def scan_text_deduped(df: DataFrame, text_col: str = "text", id_cols: Sequence[s
     """``scan_text`` followed by contained-match dedupe per text value (row-local)."""
     cols = list(id_cols) + [c for c in keep_cols if c not in id_cols]
     hits = with_rule_hits(df.select(*cols, text_col), text_col, rules).drop(text_col)
-    hits = hits.select(*cols, dedupe_contained_hits(F.col("_hits")).alias("_hits"))
+    dedup = (f"filter(`_hits`, f -> NOT exists(`_hits`, o -> element_at({RANKS_SQL}, o.rule_ord + 1) >= "
+             f"element_at({RANKS_SQL}, f.rule_ord + 1) AND length(o.m) > length(f.m) AND instr(o.m, f.m) > 0))")
+    hits = hits.select(*cols, F.expr(dedup).alias("_hits"))
     exploded = hits.select(*cols, F.explode_outer("_hits").alias("_h")).where(F.col("_h").isNotNull())
     out = exploded.select(*cols, F.col("_h.rule_ord").alias("rule_ord"),
                           F.col("_h.s").alias("start"), F.col("_h.e").alias("end"),
@@ -289,10 +303,8 @@ def gate(df: DataFrame, text_col: str = "text", threshold: str = "high",
     row's hit array, so the gate costs one map-only pass.
     """
     t = 99 if threshold == "never" else SEVERITY_RANK[threshold]
-    ranks = F.array(*[F.lit(r.rank) for r in ALL_RULES])
     staged = with_rule_hits(df, text_col, rules)
-    worst = F.coalesce(F.array_max(F.transform("_hits", lambda h: F.element_at(ranks, h["rule_ord"] + 1))),
-                       F.lit(0))
+    worst = F.expr(f"coalesce(array_max(transform(`_hits`, h -> element_at({RANKS_SQL}, h.rule_ord + 1))), 0)")
     return (staged.withColumn("worst_rank", worst)
                   .withColumn("n_findings", F.size("_hits"))
                   .withColumn("gate_failed", worst >= t)
@@ -358,3 +370,46 @@ def any_rule_hit(text: Column | str, rules: Sequence[Rule] = ALL_RULES) -> Colum
         c = c if g is None else (g & c)
         out = c if out is None else (out | c)
     return F.coalesce(out, F.lit(False))
+
+
+# ---------------------------------------------------------------------------
+# SQL-text forms of the row-local array operators (cheap to build, see regex.py)
+# ---------------------------------------------------------------------------
+
+def _rule_attr_array_sql(attr: str) -> str:
+    return "array(" + ", ".join(sql_str(str(getattr(r, attr))) for r in ALL_RULES) + ")"
+
+
+RANKS_SQL = "array(" + ", ".join(str(r.rank) for r in ALL_RULES) + ")"
+
+
+def drop_overlaps_sql(hits: str) -> str:
+    """Sort by (start, end desc, rule_ord); keep first, skip hits starting before the last kept end."""
+    ordered = (f"transform(array_sort(transform({hits}, x -> named_struct('k1', x.s, 'k2', -x.e, 'k3', x.rule_ord, "
+               f"'h', x))), k -> k.h)")
+    return (f"aggregate({ordered}, named_struct('last', 0, 'out', CAST(array() AS {HIT_TYPE})), "
+            f"(acc, h) -> CASE WHEN h.s >= acc.last THEN named_struct('last', h.e, 'out', array_append(acc.out, h)) "
+            f"ELSE acc END, acc -> acc.out)")
+
+
+def rebuild_sql(text: str, kept: str, wrap, gap=lambda x: x) -> str:
+    """Text with each kept span replaced by ``wrap(h, inside)``; gaps pass through ``gap``."""
+    prev = f"CASE WHEN i = 0 THEN 0 ELSE element_at({kept}, i).e END"
+    before = gap(f"substring({text}, {prev} + 1, h.s - ({prev}))")
+    inside = f"substring({text}, h.s + 1, h.e - h.s)"
+    body = f"array_join(transform({kept}, (h, i) -> concat({before}, {wrap('h', inside)})), '')"
+    last = f"CASE WHEN size({kept}) > 0 THEN element_at({kept}, -1).e ELSE 0 END"
+    tail = gap(f"substring({text}, ({last}) + 1, greatest(length({text}) - ({last}), 0))")
+    return f"CASE WHEN {text} IS NULL THEN NULL ELSE concat({body}, {tail}) END"
+
+
+def html_escape_sql(x: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")):
+        x = f"replace({x}, {sql_str(a)}, {sql_str(b)})"
+    return x
+
+
+def _with_kept(df: DataFrame, text_col: str, rules: Sequence[Rule]) -> DataFrame:
+    staged = with_rule_hits(df, text_col, rules)
+    # the fold in its own projection: the rebuild reads it many times
+    return staged.withColumn("_kept", F.expr(drop_overlaps_sql("`_hits`")))
