@@ -18,8 +18,13 @@ def test_taint_stream_matches_batch(spark):
     ev = C.trace_events(spark, SF_SMALL)
     src = tempfile.mkdtemp(prefix="vs-taint-src-")
     # three files in index order; one file per micro-batch
+    import time
+    now = time.time()
     for k, (lo, hi) in enumerate([(0, 3), (3, 8), (8, 1 << 30)]):
-        ev.where((F.col("index") >= lo) & (F.col("index") < hi)).coalesce(1).write.parquet(os.path.join(src, f"part{k}"))
+        d = os.path.join(src, f"part{k}")
+        ev.where((F.col("index") >= lo) & (F.col("index") < hi)).coalesce(1).write.parquet(d)
+        for f in os.listdir(d):  # the file source orders by modification time
+            os.utime(os.path.join(d, f), (now - 600 + 100 * k, now - 600 + 100 * k))
     stream = (spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(src))
     out = tempfile.mkdtemp(prefix="vs-taint-out-")
@@ -42,7 +47,12 @@ def test_monitor_stream_matches_batch(spark):
     src = tempfile.mkdtemp(prefix="vs-mon-src-")
     base.coalesce(1).write.parquet(os.path.join(src, "a_base"))
     cur.coalesce(1).write.parquet(os.path.join(src, "b_cur"))
-    os.utime(os.path.join(src, "b_cur"))
+    # the file source orders by modification time: make the baseline clearly older
+    import time
+    now = time.time()
+    for sub, t in (("a_base", now - 600), ("b_cur", now)):
+        for f in os.listdir(os.path.join(src, sub)):
+            os.utime(os.path.join(src, sub, f), (t, t))
     stream = (spark.readStream.schema("config_path STRING, raw STRING").option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(src))
     out = tempfile.mkdtemp(prefix="vs-mon-out-")

@@ -24,8 +24,15 @@ from veilscan.operators import traces as TR
 from veilscan.session import checkpoint_dir
 
 
-def state_root(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), "veilscan-state", name)
+def state_root(spark: SparkSession, name: str, out_path: str | None = None) -> str:
+    """State / checkpoint folder of one stream, inside the shared checkpoint folder.
+
+    Namespaced by the stream kind and its output path: the shared folder
+    outlives jobs, so two streams (or two runs writing elsewhere) must not
+    resume each other's offsets or state.
+    """
+    root = os.path.join(checkpoint_dir(spark), "veilscan-state", name)
+    return root if out_path is None else os.path.join(root, hashlib.sha1(out_path.encode()).hexdigest())
 
 
 def _read_versions(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -44,8 +51,7 @@ def scan_stream(spark: SparkSession, source: str, schema: str, sink: str, text_c
     src = spark.readStream.schema(schema).format(fmt).load(source)
     findings = S.scan_text(src, text_col=text_col, id_cols=list(id_cols))
     w = (findings.writeStream.format("parquet").option("path", sink)
-         .option("checkpointLocation", os.path.join(state_root(spark, "scan"), "ckpt",
-                                                    hashlib.sha1(sink.encode()).hexdigest()))
+         .option("checkpointLocation", os.path.join(state_root(spark, "scan", sink), "ckpt"))
          .outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
@@ -82,9 +88,10 @@ def taint_batch(batch: DataFrame, batch_id: int, state_path: str, out_path: str)
 
 
 def taint_stream(spark: SparkSession, events: DataFrame, out_path: str, available_now: bool = True) -> StreamingQuery:
-    state = os.path.join(state_root(spark, "taint"), "first_sensitive")
+    root = state_root(spark, "taint", out_path)
+    state = os.path.join(root, "first_sensitive")
     w = (events.writeStream.foreachBatch(lambda b, i: taint_batch(b, i, state, out_path))
-         .option("checkpointLocation", os.path.join(state_root(spark, "taint"), "ckpt")))
+         .option("checkpointLocation", os.path.join(root, "ckpt")))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
@@ -115,9 +122,10 @@ def monitor_batch(batch: DataFrame, batch_id: int, store_path: str, out_path: st
 
 
 def monitor_stream(spark: SparkSession, docs: DataFrame, out_path: str, available_now: bool = True) -> StreamingQuery:
-    store = os.path.join(state_root(spark, "monitor"), "pins")
+    root = state_root(spark, "monitor", out_path)
+    store = os.path.join(root, "pins")
     w = (docs.writeStream.foreachBatch(lambda b, i: monitor_batch(b, i, store, out_path))
-         .option("checkpointLocation", os.path.join(state_root(spark, "monitor"), "ckpt")))
+         .option("checkpointLocation", os.path.join(root, "ckpt")))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
@@ -140,8 +148,9 @@ def destinations_batch(batch: DataFrame, batch_id: int, known_path: str, out_pat
 
 def destinations_stream(spark: SparkSession, events: DataFrame, out_path: str,
                         available_now: bool = True) -> StreamingQuery:
-    known = os.path.join(state_root(spark, "destinations"), "known")
+    root = state_root(spark, "destinations", out_path)
+    known = os.path.join(root, "known")
     w = (events.writeStream.foreachBatch(lambda b, i: destinations_batch(b, i, known, out_path))
-         .option("checkpointLocation", os.path.join(state_root(spark, "destinations"), "ckpt")))
+         .option("checkpointLocation", os.path.join(root, "ckpt")))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
