@@ -36,25 +36,36 @@ def round6(x: Column) -> Column:
     return F.floor(x * 1e6 + 0.5) / 1e6
 
 
-def estimate_cost(df: DataFrame, pricing: DataFrame, text_col: str = "text", models: list[str] | None = None,
-                  expected_output_tokens: Column | int | None = None, token_counter=approx_tokens) -> DataFrame:
-    """One row per (text row, model): tokens and rounded USD costs.
-
-    Unknown models are rejected up front (the model list is validated against
-    the pricing table on the driver: a handful of names, not data).
-    """
-    known = {m for m, *_ in PRICING}
+def _price_rows(models: list[str] | None, prices=None):
+    table = list(prices) if prices is not None else PRICING
+    known = {m for m, *_ in table}
     if models:
         bad = [m for m in models if m not in known]
         if bad:
             raise ValueError(f"unknown model(s): {bad}")
-        pricing = pricing.where(F.col("model").isin(models))
+    return [p for p in table if not models or p[0] in models]
+
+
+def estimate_cost(df: DataFrame, prices=None, text_col: str = "text",
+                  models: list[str] | None = None, expected_output_tokens: Column | int | None = None,
+                  token_counter=approx_tokens) -> DataFrame:
+    """One row per (text row, model): tokens and rounded USD costs.
+
+    The price list (built-in, or ``prices`` as (model, label, input, output)
+    tuples) is a handful of literals: each text row is expanded with an
+    ``explode`` of that literal array -- a projection, no join and nothing
+    broadcast that could grow. Unknown models are rejected up front.
+    """
     tok = df.withColumn("input_tokens", token_counter(F.col(text_col)))
+    rows = _price_rows(models, prices)
+    arr = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(float(i)).alias("input_usd_per_m"),
+                             F.lit(float(o)).alias("output_usd_per_m")) for m, _l, i, o in rows])
+    j = tok.select("*", F.explode(arr).alias("_p")).select(
+        *tok.columns, "_p.model", "_p.input_usd_per_m", "_p.output_usd_per_m")
     if expected_output_tokens is None:
         out_tok = F.least(F.col("input_tokens"), F.lit(OUTPUT_TOKEN_CAP))
     else:
         out_tok = F.lit(expected_output_tokens) if isinstance(expected_output_tokens, int) else expected_output_tokens
-    j = tok.crossJoin(F.broadcast(pricing))
     in_cost = F.col("input_tokens") / 1e6 * F.col("input_usd_per_m")
     out_cost = F.col("estimated_output_tokens") / 1e6 * F.col("output_usd_per_m")
     j = j.withColumn("estimated_output_tokens", out_tok.cast("int"))
@@ -63,4 +74,4 @@ def estimate_cost(df: DataFrame, pricing: DataFrame, text_col: str = "text", mod
              .withColumn("total_estimated_usd", round6(in_cost + out_cost))
              .withColumn("approximate", F.lit(True))
              .withColumn("pricing_last_updated", F.lit(PRICING_LAST_UPDATED))
-             .drop("input_usd_per_m", "output_usd_per_m", "label"))
+             .drop("input_usd_per_m", "output_usd_per_m"))

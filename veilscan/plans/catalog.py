@@ -393,7 +393,7 @@ SELECT conv_id, turn, model, input_tokens, estimated_output_tokens,
 FROM j""")
 def estimate_cost(spark, sf_dir):
     p = prompts(spark, sf_dir).select("conv_id", "turn", "text")
-    return CO.estimate_cost(p, CO.pricing_df(spark)).drop("text")
+    return CO.estimate_cost(p).drop("text")
 
 
 _PROMPT_HITS = Q.raw_hits_sql(PROMPTS_SQL, ["conv_id", "turn"], "text")
