@@ -16,7 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilscan.functions.regex import explode_rows
+from veilscan.functions.regex import explode_rows, q_ident, sql_str
 
 from veilscan.functions.rules import ALL_RULES
 from veilscan.operators import entropy as EN
@@ -126,10 +126,13 @@ def span_attr_tables(span: Column) -> tuple[Column, Column]:
 
 
 def lookup_attr(flat: Column, entries: Column, key: str) -> Column:
-    """Flat value when present and non-null, else the first OTLP entry with that key and a value."""
-    hit = F.filter(F.coalesce(entries, F.array().cast("array<struct<k:string,v:string>>")),
-                   lambda e: (e["k"] == key) & e["v"].isNotNull())
-    return F.coalesce(F.try_element_at(flat, F.lit(key)), F.try_element_at(hit, F.lit(1))["v"])
+    """Flat value when present and non-null, else the first OTLP entry with that key and a value.
+
+    Reads the staged ``_flat`` / ``_otlp`` columns (built as SQL text: cheap to plan).
+    """
+    k = sql_str(key)
+    return F.expr(f"coalesce(try_element_at(`_flat`, {k}), try_element_at(filter(coalesce(`_otlp`, "
+                  f"CAST(array() AS array<struct<k:string,v:string>>)), e -> e.k = {k} AND e.v IS NOT NULL), 1).v)")
 
 
 def ingest_spans(lines: DataFrame, session_col: str = "session_id", line_col: str = "line",
@@ -166,11 +169,26 @@ def ingest_spans(lines: DataFrame, session_col: str = "session_id", line_col: st
 # Per-call columns
 # ---------------------------------------------------------------------------
 
-def extract_domains(text: Column) -> Column:
-    """ARRAY<STRUCT<domain, raw>> of URLs in the text (host lower-cased)."""
+def extract_domains_sql(text_sql: str) -> str:
     p = _j(URL_PATTERN, ci=True)
-    raws = F.regexp_extract_all(text, F.lit("(" + p + ")"), 1)
-    return F.transform(raws, lambda r: F.struct(F.lower(F.regexp_extract(r, p, 1)).alias("domain"), r.alias("raw")))
+    return (f"transform(regexp_extract_all({text_sql}, {sql_str('(' + p + ')')}, 1), "
+            f"r -> named_struct('domain', lower(regexp_extract(r, {sql_str(p)}, 1)), 'raw', r))")
+
+
+def extract_domains(text) -> Column:
+    """ARRAY<STRUCT<domain, raw>> of URLs in the text (host lower-cased); ``text`` is a column name."""
+    name = text if isinstance(text, str) else text._jc.toString()
+    return F.expr(extract_domains_sql(q_ident(name)))
+
+
+def _sink_sql(d: str) -> str:
+    return " OR ".join([f"{d} RLIKE {sql_str(_j(RAW_IP_HOST))}"] + [f"instr({d}, {sql_str(x)}) > 0" for x in SUSPICIOUS_SINKS])
+
+
+def _internal_sql(d: str) -> str:
+    return (f"({d} = 'localhost' OR endswith({d}, '.local') OR endswith({d}, '.internal') OR {d} = '127.0.0.1' OR "
+            f"{d} = '0.0.0.0' OR startswith({d}, '10.') OR startswith({d}, '192.168.') OR "
+            f"{d} RLIKE {sql_str(r'^172\.(1[6-9]|2\d|3[01])\.')})")
 
 
 def is_suspicious_sink(d: Column) -> Column:
@@ -231,7 +249,7 @@ def entropy_findings(events: DataFrame, allowed: DataFrame | None = None) -> Dat
 
 def sink_findings(events: DataFrame) -> DataFrame:
     fr = field_rows(events)
-    u = fr.select("session_id", "index", "tool_name", "field", explode_rows(extract_domains(F.col("text"))).alias("u"))
+    u = fr.select("session_id", "index", "tool_name", "field", explode_rows(extract_domains("text")).alias("u"))
     u = u.where(F.col("u").isNotNull())
     u = u.where(is_suspicious_sink(F.col("u.domain")))
     raw = F.col("u.raw")
@@ -248,12 +266,12 @@ def event_flags(events: DataFrame, sensitive: Column | None = None, sends: Colum
 
     ``sensitive`` / ``sends`` override the default predicates (Columns over the event row).
     """
-    doms = F.concat(extract_domains(F.col("arguments_text")), extract_domains(F.col("result_text")))
+    doms = F.concat(extract_domains("arguments_text"), extract_domains("result_text"))
     sens = sensitive if sensitive is not None else (
         F.col("tool_name").rlike(_j(SENSITIVE_SOURCE, True)) | F.col("arguments_text").rlike(_j(SENSITIVE_SOURCE, True))
         | S.any_rule_hit(F.col("result_text")))
     out = events.withColumn("reads_sensitive", sens).withColumn("domains", doms)
-    out = out.withColumn("egress", F.filter("domains", lambda d: ~is_internal_domain(d["domain"])))
+    out = out.withColumn("egress", F.expr(f"filter(`domains`, d -> NOT {_internal_sql('d.domain')})"))
     default_send = F.when(F.size("domains") > 0, F.size("egress") > 0).otherwise(
         F.col("tool_name").rlike(_j(SEND_TOOL, True)))
     return out.withColumn("sends_external", sends if sends is not None else default_send)
@@ -277,11 +295,11 @@ def toxic_flows(flagged: DataFrame, known: DataFrame | None = None) -> DataFrame
         j = j.join(nov, ["session_id", "index"], "left")
     else:
         j = j.withColumn("novel", F.lit(False))
-    sink = F.exists("egress", lambda d: is_suspicious_sink(d["domain"]))
+    sink = F.expr(f"exists(`egress`, d -> {_sink_sql('d.domain')})")
     novel = F.coalesce(F.col("novel"), F.lit(False))
     critical = sink | novel
     hops = F.col("index") - F.col("first.index") - 1
-    dests = F.array_join(F.transform("egress", lambda d: d["domain"]), ", ")
+    dests = F.expr("array_join(transform(`egress`, d -> d.domain), ', ')")
     why = (F.when(sink, F.lit("a known exfiltration sink"))
             .when(novel, F.lit("a destination never seen in prior sessions (first-seen egress of sensitive data)"))
             .otherwise(F.lit("an external destination")))
@@ -313,8 +331,8 @@ def analyze_events(events: DataFrame, known: DataFrame | None = None, detect_ent
 
 
 def external_destinations(events: DataFrame) -> DataFrame:
-    d = events.select(explode_rows(F.concat(extract_domains(F.col("arguments_text")),
-                                         extract_domains(F.col("result_text")))).alias("u"))
+    d = events.select(explode_rows(F.concat(extract_domains("arguments_text"),
+                                         extract_domains("result_text"))).alias("u"))
     return d.where(F.col("u").isNotNull()).select(F.col("u.domain").alias("domain")).where(~is_internal_domain(F.col("domain"))).distinct()
 
 
