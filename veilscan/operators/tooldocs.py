@@ -212,6 +212,9 @@ def walk_strings(df: DataFrame, tool_col: str = "tool", loc_col: str = "loc", ou
                           .otherwise(F.col(out_col))).drop("_nodes")
 
 
+_ANY_HIDDEN = "[" + "".join(c[2][1:-1] for c in UNICODE_CLASSES) + "]"
+
+
 def string_findings(text: Column, location: Column) -> Column:
     """ARRAY of poisoning (first match per rule) and hidden-unicode findings for one string."""
     out = []
@@ -226,8 +229,11 @@ def string_findings(text: Column, location: Column) -> Column:
         hit = text.rlike(pat) if guard is None else (guard & text.rlike(pat))
         out.append(F.when(hit, _finding("tool_poisoning", r.id, r.title, r.severity, r.confidence,
                                                     location, redact_evidence(m), r.explanation, r.owasp)))
+    # pure-ASCII strings (byte length == character length) cannot hold any of
+    # the hidden code points; one combined class gates the three class checks
+    non_ascii = (F.octet_length(text) > F.length(text)) & text.rlike(_ANY_HIDDEN)
     for cid, title, cls, sev, expl in UNICODE_CLASSES:
-        out.append(F.when(text.rlike(cls), _finding("hidden_unicode", f"unicode_{cid}", title, sev, 0.95, location,
+        out.append(F.when(non_ascii & text.rlike(cls), _finding("hidden_unicode", f"unicode_{cid}", title, sev, 0.95, location,
                                                      f"{title} present (rendered invisible)", expl, ("LLM01", "T2"))))
     return F.filter(F.array(*out), lambda x: x.isNotNull())
 
