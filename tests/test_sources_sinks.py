@@ -73,3 +73,23 @@ def test_state_tables(spark):
                               "doc": {"tools": [{"name": "a"}]}}]}, fh)
     c = load_corpus(spark, corpus).first()
     assert c.id == "c1" and c.malicious and c.expect_rule_id == "x" and json.loads(c.raw) == {"tools": [{"name": "a"}]}
+
+
+def test_manifest_and_pinned_case(spark):
+    from veilscan.operators.report import evaluate_rules
+    from veilscan.sources.readers import load_manifest
+    d = tempfile.mkdtemp(prefix="vs-man-")
+    p = os.path.join(d, "servers.json")
+    with open(p, "w") as fh:
+        json.dump({"servers": [{"name": "notes", "source": "samples/notes.json", "homepage": "https://x.example"},
+                               {"name": "files", "source": "samples/files.json"}]}, fh)
+    m = {r.name: (r.source, r.homepage) for r in load_manifest(spark, p).collect()}
+    assert m == {"notes": ("samples/notes.json", "https://x.example"), "files": ("samples/files.json", None)}
+    cases = spark.createDataFrame([(1, True), (2, False)], "doc_id BIGINT, malicious BOOLEAN")
+    static = spark.createDataFrame([(2, "imperative_to_model", 2)], "doc_id BIGINT, rule_id STRING, severity_rank INT")
+    drift = spark.createDataFrame([(1, "tool_changed", 4)], "doc_id BIGINT, rule_id STRING, severity_rank INT")
+    per_case, summary = evaluate_rules(cases, static, pin_findings=drift)
+    res = {r.doc_id: r["pass"] for r in per_case.collect()}
+    assert res == {1: True, 2: False}
+    s = summary.first()
+    assert s.detected == 1 and s.false_positives == 1 and s.recall == 1.0

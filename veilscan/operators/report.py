@@ -76,12 +76,18 @@ def safety_leaderboard(manifest: DataFrame, docs: DataFrame, findings: DataFrame
                     order.alias("verdict_order"))
 
 
-def evaluate_rules(cases: DataFrame, findings: DataFrame, id_col: str = "doc_id"):
+def evaluate_rules(cases: DataFrame, findings: DataFrame, id_col: str = "doc_id",
+                   pin_findings: DataFrame | None = None):
     """Per case pass/fail and one summary row (recall, false positives).
 
     Malicious cases without an expectation pass on any finding >= high; benign
-    cases pass when nothing >= medium fired.
+    cases pass when nothing >= medium fired. Cases that carry a pin add their
+    drift findings (``pin_findings``: ``diff_pins`` of the case document against
+    its pin, keyed by the same id).
     """
+    if pin_findings is not None:
+        findings = findings.select(id_col, "rule_id", "severity_rank").unionByName(
+            pin_findings.select(id_col, "rule_id", "severity_rank"))
     worst = findings.groupBy(id_col).agg(F.max("severity_rank").alias("worst"),
                                          F.array_sort(F.collect_set("rule_id")).alias("rule_ids"))
     c = cases.join(worst, id_col, "left").withColumn("worst", F.coalesce("worst", F.lit(0)))

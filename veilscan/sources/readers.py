@@ -99,3 +99,13 @@ def load_string_list(spark: SparkSession, path: str | None, col: str) -> DataFra
     except Exception:  # missing file -> empty set, like the reference
         return spark.createDataFrame([], f"{col} STRING")
     return df.select(F.explode(F.from_json("value", "array<string>")).alias(col)).distinct()
+
+
+def load_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Registry manifest ({servers: [{name, source, homepage?}]}) -> (name, source, homepage)."""
+    raw = spark.read.text(path, wholetext=True)
+    servers = raw.select(F.explode(F.try_variant_get(F.try_parse_json("value"), "$.servers", "array<variant>")).alias("s"))
+    s = F.col("s")
+    return servers.select(F.try_variant_get(s, "$.name", "string").alias("name"),
+                          F.try_variant_get(s, "$.source", "string").alias("source"),
+                          F.try_variant_get(s, "$.homepage", "string").alias("homepage"))
