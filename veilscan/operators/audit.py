@@ -16,10 +16,6 @@ compared with the next line's ``prev_hash`` through an equi-join on
 
 from __future__ import annotations
 
-import hashlib
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,27 +75,35 @@ def record_templates(calls: DataFrame, session_stats: DataFrame, agent_id: str =
     return start.unionByName(mid).unionByName(close)
 
 
-def _fold_with_count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Like ``_chain`` but the closing summary also appends the record count."""
-    cur, prev, summary, count = None, None, None, 0
-    prev_token, sess_token = f'"{PREV_MARK}"', f'"{SESSION_MARK}"'
-    for b in batches:
-        lines, hashes = [], []
-        for sid, tpl in zip(b["session_id"].tolist(), b["template"].tolist()):
-            if sid != cur:
-                cur, prev, summary, count = sid, None, hashlib.sha256(), 0
-            line = tpl.replace(prev_token, "null" if prev is None else f'"{prev}"', 1)
-            if sess_token in line:
-                s = summary.copy()
-                s.update(str(count).encode("utf-8"))
-                line = line.replace(sess_token, f'"sha256:{s.hexdigest()}"', 1)
-            h = "sha256:" + hashlib.sha256(line.encode("utf-8")).hexdigest()
-            summary.update(h.encode("utf-8"))
-            count += 1
-            lines.append(line)
-            hashes.append(h)
-            prev = h
-        yield pd.DataFrame({"session_id": b["session_id"], "n": b["n"], "record": lines, "hash": hashes})
+def _make_fold(prev_mark: str, session_mark: str):
+    """The sequential hash fold over (session_id, n)-sorted rows of one partition.
+
+    Built as a closure so it is shipped to the Python workers by value: the
+    workers need only hashlib and pandas, not this package.
+    """
+    def fold(batches):
+        import hashlib as _hl
+        import pandas as _pd
+        cur, prev, summary, count = None, None, None, 0
+        prev_token, sess_token = f'"{prev_mark}"', f'"{session_mark}"'
+        for b in batches:
+            lines, hashes = [], []
+            for sid, tpl in zip(b["session_id"].tolist(), b["template"].tolist()):
+                if sid != cur:
+                    cur, prev, summary, count = sid, None, _hl.sha256(), 0
+                line = tpl.replace(prev_token, "null" if prev is None else f'"{prev}"', 1)
+                if sess_token in line:
+                    s = summary.copy()
+                    s.update(str(count).encode("utf-8"))   # closing summary: all hashes + record count
+                    line = line.replace(sess_token, f'"sha256:{s.hexdigest()}"', 1)
+                h = "sha256:" + _hl.sha256(line.encode("utf-8")).hexdigest()
+                summary.update(h.encode("utf-8"))
+                count += 1
+                lines.append(line)
+                hashes.append(h)
+                prev = h
+            yield _pd.DataFrame({"session_id": b["session_id"], "n": b["n"], "record": lines, "hash": hashes})
+    return fold
 
 
 def build_audit_log(templates: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -107,7 +111,8 @@ def build_audit_log(templates: DataFrame, partitions: int | None = None) -> Data
     n = partitions or templates.sparkSession.sparkContext.defaultParallelism
     sid_type = dict(templates.dtypes)["session_id"]
     ordered = templates.repartition(n, "session_id").sortWithinPartitions("session_id", "n")
-    return ordered.mapInPandas(_fold_with_count, f"session_id {sid_type}, n int, record string, hash string")
+    return ordered.mapInPandas(_make_fold(PREV_MARK, SESSION_MARK),
+                               f"session_id {sid_type}, n int, record string, hash string")
 
 
 def record_hash(raw: Column) -> Column:
