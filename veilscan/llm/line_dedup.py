@@ -9,7 +9,7 @@ a lone line.
 
 A chunk of two or more lines and at least ``MIN_WORDS`` words is removed
 wherever it occurs after its first occurrence (smallest document id, then
-position). Equal 128-bit hashes only propose: for each hash the smallest and
+position). Equal 64-bit hashes only propose: for each hash the smallest and
 the largest chunk text are compared byte by byte in the aggregate, which proves
 all of them equal, and a hash shared by different texts removes nothing.
 
@@ -21,8 +21,9 @@ sends one row a task), their hashes once, and the documents once to meet their
 lists of removed chunks.
 
 Defined cases: null and empty texts pass unchanged; documents of one line are
-never changed; rows that repeat id and text are one document to the operator:
-they lose the same chunks; null ids come first; extra columns are carried.
+never changed; rows that share an id are one document to the operator, so
+repeated rows lose the same chunks; rows without an id are told apart by their
+text and come first; extra columns are carried.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,35 +84,35 @@ def eligible(body: bytes, lines: int) -> bool:
     return lines >= MIN_LINES and len(body.split(None, MIN_WORDS)) >= MIN_WORDS
 
 
-def _signed(x: int) -> int:
+def digest(body: bytes) -> int:
+    """Signed 64-bit hash of a chunk."""
+    from xxhash import xxh3_64_intdigest
+
+    x = xxh3_64_intdigest(body, 1)
     return x - (1 << 64) if x >> 63 else x
 
 
 def chunk_rows(keyed: DataFrame, with_body: bool) -> DataFrame:
-    """One row for each eligible chunk of (id, key, text) rows."""
+    """One row for each eligible chunk of (id, alt, text) rows."""
     id_type = keyed.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, key long, pos int, h1 long, h2 long" + (", body string" if with_body else "")
+    schema = f"id {id_type}, alt long, pos int, h long" + (", body string" if with_body else "")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        from xxhash import xxh3_128_intdigest
-
         for batch in batches:
-            row, pos, high, low, bodies = [], [], [], [], []
+            row, pos, hashes, bodies = [], [], [], []
             for k, text in enumerate(batch.column(2)):
                 raw = (text.as_py() or "").encode()
                 for n, (start, end, lines) in enumerate(chunks(raw)):
                     body = raw[start:end].rstrip()
                     if eligible(body, lines):
-                        digest = xxh3_128_intdigest(body)
                         row.append(k)
                         pos.append(n)
-                        high.append(_signed(digest >> 64))
-                        low.append(_signed(digest & 0xFFFFFFFFFFFFFFFF))
+                        hashes.append(digest(body))
                         if with_body:
                             bodies.append(body)
             at = pa.array(row, pa.int64())
-            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(high, pa.int64()), pa.array(low, pa.int64())]
-            names = ["id", "key", "pos", "h1", "h2"]
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(pos, pa.int32()), pa.array(hashes, pa.int64())]
+            names = ["id", "alt", "pos", "h"]
             if with_body:
                 columns.append(pa.array(bodies, pa.binary()).cast(pa.string()))
                 names.append("body")
@@ -120,27 +121,33 @@ def chunk_rows(keyed: DataFrame, with_body: bool) -> DataFrame:
     return keyed.mapInArrow(run, schema)
 
 
+def alternate(id_col: Column, text: Column) -> Column:
+    """What tells rows without an id apart; null for all others."""
+    return F.when(id_col.isNull(), F.xxhash64(text))
+
+
 def removals(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, key, gone: the chunk numbers that each document loses."""
-    keyed = documents.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    """id, alt, gone: number and hash of the chunks that each document loses."""
+    keyed = documents.select(F.col(id_col).alias("id"), alternate(F.col(id_col), F.col(text_col)).alias("alt"), F.col(text_col).cast("string").alias("text"))
     repeated = (
         chunk_rows(keyed, True)
-        .groupBy("h1", "h2")
-        .agg(F.min("body").alias("low"), F.max("body").alias("high"), F.min(F.struct("id", "key", "pos")).alias("first"), F.count("*").alias("n"))
+        .groupBy("h")
+        .agg(F.min("body").alias("low"), F.max("body").alias("high"), F.min(F.struct("id", "alt", "pos")).alias("first"), F.count("*").alias("n"))
         .where("n > 1 AND low = high")
-        .select("h1", "h2", "first")
+        .select("h", "first")
     )
-    found = chunk_rows(keyed, False).join(repeated, ["h1", "h2"])
-    later = found.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key")) & (F.col("pos") == F.col("first.pos"))))
+    found = chunk_rows(keyed, False).join(repeated, "h")
+    later = found.where(~F.struct("id", "alt", "pos").eqNullSafe(F.col("first")))
     # bounded by the document's own chunks; equal rows name each chunk once
-    return later.groupBy("id", "key").agg(F.collect_set("pos").alias("gone"))
+    return later.groupBy("id", "alt").agg(F.collect_set(F.struct("pos", "h")).alias("gone"))
 
 
 def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_kept: float = MIN_KEPT) -> DataFrame:
     """The rows with the shortened text, ``removed_chunks``, ``removed_bytes`` and ``copied``."""
-    gone = removals(documents, id_col, text_col).select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
+    gone = removals(documents, id_col, text_col).select(F.col("id").alias("__id"), F.col("alt").alias("__alt"), F.col("gone").alias("__gone"))
+    same = documents[id_col].eqNullSafe(gone["__id"]) & alternate(documents[id_col], documents[text_col]).eqNullSafe(gone["__alt"])
     own = [documents[c] for c in documents.columns]
-    rows = documents.join(gone, documents[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(documents[text_col]) == gone["__key"]), "left").select(*own, "__gone")
+    rows = documents.join(gone, same, "left").select(*own, "__gone")
     kinds = T.StructType([*documents.schema.fields, T.StructField("removed_chunks", T.IntegerType()), T.StructField("removed_bytes", T.LongType()), T.StructField("copied", T.BooleanType())])
     at = documents.columns.index(text_col)
 
@@ -148,17 +155,20 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             texts, counts, sizes, copied = [], [], [], []
             for text, gone in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
-                lost = set(gone.as_py() or ())
-                if not lost:
+                lost = {(x["pos"], x["h"]) for x in gone.as_py() or ()}
+                raw = text.as_py().encode() if lost else b""
+                parts = [(raw[a:b], n) for n, (a, b, _) in enumerate(chunks(raw))]
+                # rows that share an id share the list: a chunk goes where its own hash is meant
+                held = [part for part, n in parts if (n, digest(part.rstrip())) not in lost]
+                if len(held) == len(parts):
                     texts.append(text.as_py())
                     counts.append(0)
                     sizes.append(0)
                     copied.append(False)
                     continue
-                raw = text.as_py().encode()
-                kept = b"".join(raw[a:b] for n, (a, b, _) in enumerate(chunks(raw)) if n not in lost)
+                kept = b"".join(held)
                 texts.append(kept.decode())
-                counts.append(len(lost))
+                counts.append(len(parts) - len(held))
                 sizes.append(len(raw) - len(kept))
                 copied.append(len(kept.strip()) < min_kept * len(raw))
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
