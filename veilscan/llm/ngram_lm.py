@@ -45,7 +45,7 @@ from .common import partitions, stage, work_dir
 #: Text bytes for each shard of the model: bounds what one task merges.
 SHARD_BYTES = 64 << 20
 #: Text bytes that a task turns into tokens at once.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 #: Tokens that a task gathers before it sends its distinct keys.
 GATHER = 4 << 20
 SEPARATORS = np.zeros(256, dtype=bool)
