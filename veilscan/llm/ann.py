@@ -17,8 +17,8 @@ or cluster makes no task larger. Block sizes are bounded by ``BLOCK_ROWS`` and
 vectors are indexed, and scores are inner products of the original vectors in
 double precision.
 
-Defined cases: vectors that are null, zero, of another length than most, or
-that hold a null or non-finite component take no part; equal scores go to the
+Defined cases: rows without an id, and vectors that are null, zero, of another
+length than most, or that hold a null or non-finite component take no part; equal scores go to the
 smaller id; repeated rows count as they occur, apart from a query's own id;
 fewer than k candidates give all; extra columns are ignored.
 """
@@ -177,7 +177,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     spark = table.sparkSession
 
     def rows(df):
-        kept = df.where(valid(f"`{vector_col}`"))
+        kept = df.where(F.col(id_col).isNotNull() & F.expr(valid(f"`{vector_col}`")))
         return kept.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
 
     base, asked = rows(table), rows(queries)

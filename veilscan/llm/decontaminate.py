@@ -1,7 +1,7 @@
 """Benchmark decontamination by the q-gram lemma and banded alignment.
 
 Texts and items are compared as bytes with A-Z lower-cased and runs of white
-space made one space. An item of m bytes may occur with up to
+space (and zero bytes) made one space. An item of m bytes may occur with up to
 e = floor(rate * m) edits. Each edit destroys at most q of its m - q + 1 q-grams,
 so a region holding such an occurrence shares at least m + 1 - q (e + 1) of
 them, and they lie on diagonals (text position minus item position) no more
@@ -45,7 +45,7 @@ SCHEMA = "item_id long, start long, end long, edits int"
 
 
 def normal(text: str | None) -> bytes:
-    return b" ".join((text or "").encode().lower().split())
+    return b" ".join((text or "").encode().replace(b"\0", b" ").lower().split())
 
 
 def grams(buf: bytes) -> np.ndarray:
@@ -232,7 +232,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch], index: Index, id_type: pa.Da
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if made := normal(text.as_py()):
                 ids.append(doc)
-                texts.append(made.replace(b"\0", b" "))
+                texts.append(made)
                 size += len(made)
             if size >= SCAN_BYTES:
                 yield close(ids, texts)

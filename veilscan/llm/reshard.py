@@ -15,7 +15,8 @@ plus the block's base slot, so no shard passes through one task.
 
 Defined cases: a null text has size 1; null ids are rows like others; repeated
 rows keep all their copies, each with its own slot; an empty table gives an
-empty result; extra columns are carried by ``rewrite`` and ignored elsewhere.
+empty result; extra columns are carried by ``rewrite``, except
+those named like the operator's own (``OWN``), which it replaces.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from .common import text_or_empty
 #: Blocks are at most this share of a new shard (a row may be larger on its own).
 BALANCE = 1 / 256
 
+#: Columns that the operator adds; extra input columns of these names are replaced.
+OWN = {"old_shard", "buckets", "blk", "size", "text_crc32", "shard", "base", "slot"}
 PLAN = T.StructType([T.StructField("old_shard", T.IntegerType()), T.StructField("blk", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("base", T.LongType())])
 
 
@@ -140,6 +143,7 @@ def plan_reshard(rows: DataFrame, place_col: str, shards: int, id_col: str = "do
     form one old shard, so old shard i is at home in new shard i.
     """
     spark = rows.sparkSession
+    rows = rows.drop(*(OWN - {place_col, id_col, text_col}))
     text = text_or_empty(F.col(text_col))
     sized = rows.withColumns({"size": size_of(F.col(text_col)), "text_crc32": F.crc32(text.cast("binary"))})
     places = sorted((r[0] or "", r[1]) for r in sized.groupBy(place_col).agg(F.sum("size")).collect())
