@@ -188,12 +188,6 @@ def raw_matches(text: Column, java_pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit("(" + java_pattern + ")"), 1)
 
 
-def offsets_from_matches(text: Column, java_pattern: str, hits: Column) -> Column:
-    """Stage 2: recover offsets of precomputed ``hits`` (``split`` runs only on rows with hits)."""
-    gaps = F.transform(F.split(text, java_pattern, -1), lambda p: F.length(p))
-    return _offsets(hits, gaps)
-
-
 def _offsets(hits: Column, gaps: Column) -> Column:
     pairs = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(hits), F.lit(1))), hits,
                        lambda g, m: F.struct(g.alias("g"), m.alias("m")))
@@ -245,7 +239,3 @@ def offsets_sql(text_sql: str, hits_sql: str, java_pattern: str) -> str:
     return (f"CASE WHEN size({hits_sql}) > 0 THEN aggregate({pairs}, {init}, {step}, acc -> acc.out) "
             f"ELSE CAST(array() AS {OFFSET_TYPE}) END")
 
-
-def matches_with_offsets_sql(text_sql: str, java_pattern: str) -> str:
-    hits = f"regexp_extract_all({text_sql}, {sql_str('(' + java_pattern + ')')}, 1)"
-    return offsets_sql(text_sql, hits, java_pattern)

@@ -1,7 +1,7 @@
 """Hash-chained audit logs: build, verify, anchor, per-session export.
 
 Building: every record's canonical JSON (sorted keys, compact) is produced by
-Spark in parallel with a placeholder where ``prev_hash`` goes. Only the chain
+Spark in parallel, as the texts before and after ``prev_hash``. Only the chain
 itself is sequential: record n's hash covers record n-1's hash. That fold runs
 in ``mapInPandas`` over partitions hashed by session and sorted by record
 number, streaming Arrow batches with O(1) state per session (a running
@@ -19,10 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PREV_MARK = "@@PREV_HASH@@"
-SESSION_MARK = "@@SESSION_HASH@@"
 RECORDER_TOOL = "veilscan-recorder"
 ANCHOR_PREFIX = "vs-anchor:v1"
+ARTICLE12_NOTE = "Local export. Retain per Article 19/26 (minimum 6 months)."
 
 
 def _canonical(struct_col: Column) -> Column:
@@ -30,52 +29,74 @@ def _canonical(struct_col: Column) -> Column:
     return F.to_json(F.parse_json(F.to_json(struct_col, {"ignoreNullFields": "false"})))
 
 
-def _record(session: Column, n: Column, ts: Column, action_type: str, detail: Column, outcome: Column,
-            trust: Column, agent_id: str, agent_version: str) -> Column:
+def _inside(struct_col: Column) -> Column:
+    """Canonical JSON of a struct without its braces."""
+    text = _canonical(struct_col)
+    return F.substr(text, F.lit(2), F.length(text) - 2)
+
+
+def _after_detail(session: Column, n: Column, action_type: str, outcome: Column, agent_id: str,
+                  agent_version: str) -> Column:
+    """The fields that sort between ``action_detail`` and ``prev_hash``, and the latter's name."""
+    parent = F.when(n == 0, F.lit(None).cast("string")).otherwise(
+        F.concat(session.cast("string"), F.lit("-"), (n - 1).cast("string")))
+    fields = F.struct(F.lit(action_type).alias("action_type"), F.lit(agent_id).alias("agent_id"),
+                      F.lit(agent_version).alias("agent_version"), outcome.alias("outcome"),
+                      parent.alias("parent_record_id"))
+    return F.concat(F.lit(","), _inside(fields), F.lit(',"prev_hash":'))
+
+
+def _tail(session: Column, n: Column, ts: Column, trust: Column) -> Column:
+    """The fields that sort after ``prev_hash``, to the end of the record."""
     sid = session.cast("string")
-    return F.struct(
-        detail.alias("action_detail"), F.lit(action_type).alias("action_type"), F.lit(agent_id).alias("agent_id"),
-        F.lit(agent_version).alias("agent_version"), outcome.alias("outcome"),
-        F.when(n == 0, F.lit(None).cast("string")).otherwise(F.concat(sid, F.lit("-"), (n - 1).cast("string")))
-        .alias("parent_record_id"),
-        F.lit(PREV_MARK).alias("prev_hash"), F.concat(sid, F.lit("-"), n.cast("string")).alias("record_id"),
-        sid.alias("session_id"), ts.alias("timestamp"), trust.alias("trust_level"))
+    fields = F.struct(F.concat(sid, F.lit("-"), n.cast("string")).alias("record_id"), sid.alias("session_id"),
+                      ts.alias("timestamp"), trust.alias("trust_level"))
+    return F.concat(F.lit(","), _inside(fields), F.lit("}"))
 
 
 def record_templates(calls: DataFrame, session_stats: DataFrame, agent_id: str = "agent",
                      agent_version: str = "0") -> DataFrame:
-    """Canonical record templates: (session_id, n, template).
+    """Canonical records around their hashes: (session_id, n, head, after_session, tail).
+
+    A record is ``head + prev_hash + tail``; the closing one is
+    ``head + session_hash + after_session + prev_hash + tail``. The hashes are
+    put between columns, never searched for, so no text of a trace can stand in
+    their way.
 
     ``calls``: session_id, index, timestamp, tool_name, server, arguments_text,
     outcome, finding_rule_ids, trust_level (see ``traces.trust_levels``).
     ``session_stats``: session_id, n_calls, n_findings, any_critical.
     """
+    sid, zero, none = F.col("session_id"), F.lit(0).cast("long"), F.lit(None).cast("string")
+
+    def detail(fields: Column) -> Column:
+        return F.concat(F.lit('{"action_detail":'), _canonical(fields))
+
     start = session_stats.select(
-        "session_id", F.lit(0).alias("n"),
-        _canonical(_record(F.col("session_id"), F.lit(0), F.lit("(session start)"), "session_start",
-                           F.struct(F.lit(RECORDER_TOOL).alias("tool")), F.lit("ok"), F.lit("L4"),
-                           agent_id, agent_version)).alias("template"))
-    detail = F.struct(F.col("finding_rule_ids").alias("finding_rule_ids"),
-                      (F.size("finding_rule_ids") > 0).alias("flagged"),
-                      F.concat(F.lit("sha256:"), F.sha2(F.col("arguments_text"), 256)).alias("parameters_hash"),
-                      F.col("tool_name").alias("tool_name"), F.col("server").alias("tool_server"))
-    n = (F.col("index") + 1).cast("int")
+        "session_id", zero.alias("n"),
+        F.concat(detail(F.struct(F.lit(RECORDER_TOOL).alias("tool"))),
+                 _after_detail(sid, zero, "session_start", F.lit("ok"), agent_id, agent_version)).alias("head"),
+        none.alias("after_session"), _tail(sid, zero, F.lit("(session start)"), F.lit("L4")).alias("tail"))
+    call = F.struct(F.col("finding_rule_ids").alias("finding_rule_ids"),
+                    (F.size("finding_rule_ids") > 0).alias("flagged"),
+                    F.concat(F.lit("sha256:"), F.sha2(F.col("arguments_text"), 256)).alias("parameters_hash"),
+                    F.col("tool_name").alias("tool_name"), F.col("server").alias("tool_server"))
+    n = (F.col("index") + 1).cast("long")
     mid = calls.select(
         "session_id", n.alias("n"),
-        _canonical(_record(F.col("session_id"), n, F.col("timestamp"), "tool_call", detail, F.col("outcome"),
-                           F.col("trust_level"), agent_id, agent_version)).alias("template"))
-    nc = (F.col("n_calls") + 1).cast("int")
-    close_detail = F.struct(F.col("n_findings").alias("findings"), nc.alias("records"),
-                            F.lit(SESSION_MARK).alias("session_hash"))
+        F.concat(detail(call), _after_detail(sid, n, "tool_call", F.col("outcome"), agent_id, agent_version)).alias("head"),
+        none.alias("after_session"), _tail(sid, n, F.col("timestamp"), F.col("trust_level")).alias("tail"))
+    nc = (F.col("n_calls") + 1).cast("long")
+    counts = F.struct(F.col("n_findings").alias("findings"), nc.alias("records"))
     close = session_stats.select(
         "session_id", nc.alias("n"),
-        _canonical(_record(F.col("session_id"), nc, F.lit("(session close)"), "session_close", close_detail,
-                           F.lit("ok"), F.when(F.col("any_critical"), F.lit("L0")).otherwise(F.lit("L4")),
-                           agent_id, agent_version)).alias("template"))
+        F.concat(F.lit('{"action_detail":{'), _inside(counts), F.lit(',"session_hash":')).alias("head"),
+        F.concat(F.lit("}"), _after_detail(sid, nc, "session_close", F.lit("ok"), agent_id, agent_version)).alias("after_session"),
+        _tail(sid, nc, F.lit("(session close)"), F.when(F.col("any_critical"), F.lit("L0")).otherwise(F.lit("L4"))).alias("tail"))
     return start.unionByName(mid).unionByName(close)
 
 
-def _make_fold(prev_mark: str, session_mark: str):
+def _make_fold():
     """The sequential hash fold over (session_id, n)-sorted rows of one partition.
 
     Built as a closure so it is shipped to the Python workers by value: the
@@ -85,17 +106,17 @@ def _make_fold(prev_mark: str, session_mark: str):
         import hashlib as _hl
         import pandas as _pd
         cur, prev, summary, count = None, None, None, 0
-        prev_token, sess_token = f'"{prev_mark}"', f'"{session_mark}"'
         for b in batches:
             lines, hashes = [], []
-            for sid, tpl in zip(b["session_id"].tolist(), b["template"].tolist()):
+            for sid, head, after, tail in zip(b["session_id"].tolist(), b["head"].tolist(),
+                                              b["after_session"].tolist(), b["tail"].tolist()):
                 if sid != cur:
                     cur, prev, summary, count = sid, None, _hl.sha256(), 0
-                line = tpl.replace(prev_token, "null" if prev is None else f'"{prev}"', 1)
-                if sess_token in line:
+                if isinstance(after, str):   # closing summary: all hashes + record count
                     s = summary.copy()
-                    s.update(str(count).encode("utf-8"))   # closing summary: all hashes + record count
-                    line = line.replace(sess_token, f'"sha256:{s.hexdigest()}"', 1)
+                    s.update(str(count).encode("utf-8"))
+                    head = f'{head}"sha256:{s.hexdigest()}"{after}'
+                line = head + ("null" if prev is None else f'"{prev}"') + tail
                 h = "sha256:" + _hl.sha256(line.encode("utf-8")).hexdigest()
                 summary.update(h.encode("utf-8"))
                 count += 1
@@ -106,13 +127,11 @@ def _make_fold(prev_mark: str, session_mark: str):
     return fold
 
 
-def build_audit_log(templates: DataFrame, partitions: int | None = None) -> DataFrame:
+def build_audit_log(templates: DataFrame) -> DataFrame:
     """(session_id, n, record JSON line, hash) with the hash chain filled in."""
-    n = partitions or templates.sparkSession.sparkContext.defaultParallelism
     sid_type = dict(templates.dtypes)["session_id"]
-    ordered = templates.repartition(n, "session_id").sortWithinPartitions("session_id", "n")
-    return ordered.mapInPandas(_make_fold(PREV_MARK, SESSION_MARK),
-                               f"session_id {sid_type}, n int, record string, hash string")
+    ordered = templates.repartition("session_id").sortWithinPartitions("session_id", "n")
+    return ordered.mapInPandas(_make_fold(), f"session_id {sid_type}, n long, record string, hash string")
 
 
 def record_hash(raw: Column) -> Column:
@@ -201,6 +220,7 @@ def export_article12(events: DataFrame, flagged: DataFrame, findings_per_session
         "total_findings", F.coalesce("total_findings", F.lit(0)))
     header = head.select(
         "session_id", F.lit("EU AI Act Article 12 (record-keeping), operation-level event log").alias("standard"),
+        F.lit(ARTICLE12_NOTE).alias("note"),
         F.lit(agent_id).alias("agent_id"), F.lit(agent_version).alias("agent_version"),
         "total_tool_calls", "total_findings")
     return header, entries

@@ -1,13 +1,8 @@
-"""Token cost estimates: text rows x pricing dimension.
-
-The pricing table has one row per model (6 rows), so the cross join with the
-text table is a broadcast nested-loop join whose build side is bounded by the
-number of models, not by the data.
-"""
+"""Token cost estimates: each text row is expanded by the literal price list (six models); no join."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.operators.rewrite import approx_tokens
@@ -27,10 +22,6 @@ PRICING_LAST_UPDATED = "2026-06-12"
 OUTPUT_TOKEN_CAP = 1024
 
 
-def pricing_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PRICING, "model STRING, label STRING, input_usd_per_m DOUBLE, output_usd_per_m DOUBLE")
-
-
 def round6(x: Column) -> Column:
     """Math.round(x * 1e6) / 1e6 (half up toward +inf)."""
     return F.floor(x * 1e6 + 0.5) / 1e6
@@ -48,8 +39,8 @@ def _price_rows(models: list[str] | None, prices=None):
 
 def estimate_cost(df: DataFrame, prices=None, text_col: str = "text",
                   models: list[str] | None = None, expected_output_tokens: Column | int | None = None,
-                  token_counter=approx_tokens) -> DataFrame:
-    """One row per (text row, model): tokens and rounded USD costs.
+                  token_counter=approx_tokens, rounded: bool = True) -> DataFrame:
+    """One row per (text row, model): tokens and USD costs, rounded to six places unless told otherwise.
 
     The price list (built-in, or ``prices`` as (model, label, input, output)
     tuples) is a handful of literals: each text row is expanded with an
@@ -69,9 +60,10 @@ def estimate_cost(df: DataFrame, prices=None, text_col: str = "text",
     in_cost = F.col("input_tokens") / 1e6 * F.col("input_usd_per_m")
     out_cost = F.col("estimated_output_tokens") / 1e6 * F.col("output_usd_per_m")
     j = j.withColumn("estimated_output_tokens", out_tok.cast("int"))
-    return (j.withColumn("input_cost_usd", round6(in_cost))
-             .withColumn("estimated_output_cost_usd", round6(out_cost))
-             .withColumn("total_estimated_usd", round6(in_cost + out_cost))
+    cost = round6 if rounded else (lambda x: x)
+    return (j.withColumn("input_cost_usd", cost(in_cost))
+             .withColumn("estimated_output_cost_usd", cost(out_cost))
+             .withColumn("total_estimated_usd", cost(in_cost + out_cost))
              .withColumn("approximate", F.lit(True))
              .withColumn("pricing_last_updated", F.lit(PRICING_LAST_UPDATED))
              .drop("input_usd_per_m", "output_usd_per_m"))

@@ -10,13 +10,13 @@ which spreads evenly (keys are unique per document).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilscan.functions.regex import explode_rows
 
 from veilscan.functions.regex import JS_WS_CLASS, to_java
-from veilscan.operators.tooldocs import POISON_RULES, _finding, tools_of
+from veilscan.operators.tooldocs import FINDING_TYPE, POISON_RULES, _finding, tools_of
 
 PIN_COLS = ["key", "name", "description", "schema_canonical", "annotations_canonical", "full_hash", "location"]
 
@@ -135,7 +135,7 @@ def diff_pins(current: DataFrame, lock: DataFrame, keys=("config_path", "key"))
     added = _finding("drift", "tool_added", F.concat(F.lit('New tool since pin: "'), F.col("c.name"), F.lit('"')),
                      "medium", 0.9, F.col("c.location"), F.concat(key, F.lit(" not present in the lockfile")),
                      ADDED_EXPL, ("LLM03", "T2"))
-    removed_name = F.array_join(F.slice(F.split(key, "/"), 2, 1 << 20), "/")
+    removed_name = F.expr("substring(key, instr(key, '/') + 1)")
     removed = _finding("drift", "tool_removed", F.concat(F.lit('Pinned tool removed: "'), removed_name, F.lit('"')),
                        "low", 0.9, F.col("p.location"), F.concat(key, F.lit(" was pinned but is no longer present")),
                        REMOVED_EXPL, ("LLM03",))
@@ -145,27 +145,32 @@ def diff_pins(current: DataFrame, lock: DataFrame, keys=("config_path", "key"))
     return j.select(*ks, explode_rows(fs).alias("f")).where(F.col("f").isNotNull()).select(*ks, "f.*")
 
 
-def monitor(current: DataFrame, store: DataFrame, keys=("config_path", "key")) -> tuple[DataFrame, DataFrame, DataFrame]:
+def monitor(current: DataFrame, store: DataFrame, keys=("config_path", "key"),
+            order_col: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One monitoring pass.
 
     Returns (findings, newly_pinned_count, next_store). Unseen keys are pinned
     silently; seen and changed keys report drift (location prefixed with the
-    config path) and advance; unchanged and missing keys keep their pin.
+    config path) and advance; unchanged and missing keys keep their pin. When a
+    key occurs more than once, its occurrences are taken in ``order_col`` order
+    (without one: by their hash), each compared with the one before it, and the
+    last becomes the pin.
     """
     ks = list(keys)
-    c = current.select(*ks, F.struct(*PIN_COLS).alias("c"))
+    order = F.col(order_col) if order_col else F.col("full_hash")
+    c = current.select(*ks, F.struct(*PIN_COLS).alias("c"), order.alias("_order"))
     p = store.select(*ks, F.struct(*PIN_COLS).alias("p"))
-    j = c.join(p, ks, "left")
-    drift = F.when(F.col("p").isNull(), F.array().cast(
-        "array<struct<category:string,rule_id:string,title:string,severity:string,severity_rank:int,"
-        "confidence:double,location:string,evidence:string,explanation:string,owasp:array<string>>>")
-    ).otherwise(compare_pins("p", "c"))
+    turn = Window.partitionBy(*ks).orderBy("_order")
+    j = c.withColumn("_before", F.lag("c").over(turn)).withColumn("_last", F.lead("c").over(turn).isNull())
+    j = j.join(p, ks, "left").withColumn("p", F.coalesce("_before", "p"))
+    drift = F.when(F.col("p").isNull(), F.array().cast(f"array<{FINDING_TYPE}>")).otherwise(compare_pins("p", "c"))
     j = j.withColumn("_d", drift)
     findings = j.select(*ks, explode_rows("_d").alias("f")).where(F.col("f").isNotNull()).select(*ks, "f.*").withColumn(
         "location", F.concat(F.col("config_path"), F.lit(" :: "), F.col("location")))
     newly = j.where(F.col("p").isNull()).agg(F.count(F.lit(1)).alias("newly_pinned"))
     extra = [k for k in ks if k not in PIN_COLS]
-    advanced = j.where(F.col("p").isNull() | (F.size("_d") > 0)).select(*extra, "c.*")
+    moved = j.where("_last AND (p IS NULL OR _before IS NOT NULL OR size(_d) > 0)")
+    advanced = moved.select(*extra, "c.*")
     kept = store.join(advanced.select(*ks), ks, "left_anti")
     next_store = advanced.unionByName(kept.select(*extra, *PIN_COLS))
     return findings, newly, next_store

@@ -31,11 +31,15 @@ def to_sarif(findings: DataFrame, artifact_col: str = "doc_id"):
                  F.lit(" (evidence: "), F.col("evidence"), F.lit(")")).alias("message"),
         "location", "severity", "confidence", "owasp", "category")
     first = F.min_by(F.struct("title", "explanation", "owasp", "category"), F.struct(artifact_col, "location"))
-    rules = findings.groupBy("rule_id").agg(first.alias("f")).select(
-        F.col("rule_id").alias("id"), F.col("f.title").alias("name"),
-        F.struct(F.col("f.title").alias("text")).alias("shortDescription"),
-        F.struct(F.col("f.explanation").alias("text")).alias("fullDescription"),
-        F.struct(F.col("f.owasp").alias("owasp"), F.col("f.category").alias("category")).alias("properties"))
+
+    def rule_struct(rule_id):
+        return F.struct(
+            rule_id.alias("id"), F.col("f.title").alias("name"),
+            F.struct(F.col("f.title").alias("text")).alias("shortDescription"),
+            F.struct(F.col("f.explanation").alias("text")).alias("fullDescription"),
+            F.struct(F.col("f.owasp").alias("owasp"), F.col("f.category").alias("category")).alias("properties"))
+
+    rules = findings.groupBy("rule_id").agg(first.alias("f")).select(rule_struct(F.col("rule_id")).alias("r")).select("r.*")
     result_struct = F.struct(
         F.col("rule_id").alias("ruleId"), F.col("level").alias("level"),
         F.struct(F.col("message").alias("text")).alias("message"),
@@ -44,10 +48,13 @@ def to_sarif(findings: DataFrame, artifact_col: str = "doc_id"):
             .alias("physicalLocation"),
             F.array(F.struct(F.col("location").alias("fullyQualifiedName"))).alias("logicalLocations"))).alias("locations"),
         F.struct("severity", "confidence", "owasp", "category").alias("properties"))
-    per_doc = res.groupBy(artifact_col).agg(F.collect_list(result_struct).alias("results"))
-    doc = per_doc.select(artifact_col, F.to_json(F.struct(
+    per_doc = res.groupBy(artifact_col).agg(F.sort_array(F.collect_list(result_struct)).alias("results"))
+    # an artifact's own rules, each described by its first finding there (bounded by the rule lists)
+    own = findings.groupBy(artifact_col, "rule_id").agg(first.alias("f")).groupBy(artifact_col).agg(
+        F.sort_array(F.collect_list(rule_struct(F.col("rule_id")))).alias("rules"))
+    doc = per_doc.join(own, artifact_col).select(artifact_col, F.to_json(F.struct(
         F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"),
-        F.array(F.struct(F.struct(F.struct(F.lit(TOOL_NAME).alias("name")).alias("driver")).alias("tool"),
+        F.array(F.struct(F.struct(F.struct(F.lit(TOOL_NAME).alias("name"), F.col("rules").alias("rules")).alias("driver")).alias("tool"),
                          F.col("results").alias("results"))).alias("runs"))).alias("sarif"))
     return res, rules, doc
 
@@ -80,23 +87,39 @@ def evaluate_rules(cases: DataFrame, findings: DataFrame, id_col: str = "doc_id"
                    pin_findings: DataFrame | None = None):
     """Per case pass/fail and one summary row (recall, false positives).
 
-    Malicious cases without an expectation pass on any finding >= high; benign
-    cases pass when nothing >= medium fired. Cases that carry a pin add their
-    drift findings (``pin_findings``: ``diff_pins`` of the case document against
-    its pin, keyed by the same id).
+    A malicious case passes on a finding that has its expected category and
+    rule id (``expect_category``, ``expect_rule_id``; a null one fits any), or,
+    expecting nothing in particular, on any finding >= high. A benign case passes
+    when nothing >= medium fired. Cases that carry a pin add their drift
+    findings (``pin_findings``: ``diff_pins`` of the case document against its
+    pin, keyed by the same id). Reasons list distinct rule ids in order.
     """
-    if pin_findings is not None:
-        findings = findings.select(id_col, "rule_id", "severity_rank").unionByName(
-            pin_findings.select(id_col, "rule_id", "severity_rank"))
-    worst = findings.groupBy(id_col).agg(F.max("severity_rank").alias("worst"),
-                                         F.array_sort(F.collect_set("rule_id")).alias("rule_ids"))
-    c = cases.join(worst, id_col, "left").withColumn("worst", F.coalesce("worst", F.lit(0)))
-    passed = F.when(F.col("malicious"), F.col("worst") >= 3).otherwise(F.col("worst") < 2)
+    cols = [id_col, "category", "rule_id", "severity_rank"]
+
+    def known(df):  # findings without a category fit no expected one
+        return (df if "category" in df.columns else df.withColumn("category", F.lit(None).cast("string"))).select(*cols)
+
+    findings = known(findings) if pin_findings is None else known(findings).unionByName(known(pin_findings))
+    for col in ("expect_category", "expect_rule_id"):
+        if col not in cases.columns:
+            cases = cases.withColumn(col, F.lit(None).cast("string"))
+    category, rule = F.col("expect_category"), F.col("expect_rule_id")
+    free = category.isNull() & rule.isNull()
+    fits = F.when(free, F.col("severity_rank") >= 3).otherwise(
+        (category.isNull() | (F.col("category") == category)) & (rule.isNull() | (F.col("rule_id") == rule)))
+    tripped = F.when(F.col("severity_rank") >= 2, F.col("rule_id"))
+    got = findings.join(cases.select(id_col, "expect_category", "expect_rule_id"), id_col).groupBy(id_col).agg(
+        F.max(fits).alias("fits"), F.array_sort(F.collect_set("rule_id")).alias("rule_ids"),
+        F.array_sort(F.collect_set(tripped)).alias("tripped"))
+    c = cases.join(got, id_col, "left")
+    n_tripped = F.coalesce(F.size("tripped"), F.lit(0))
+    passed = F.when(F.col("malicious"), F.coalesce("fits", F.lit(False))).otherwise(n_tripped <= 0)
+    wanted = F.when(free, F.lit('"high+"')).otherwise(F.to_json(F.struct(category.alias("category"), rule.alias("ruleId"))))
+    ids = F.coalesce(F.nullif(F.array_join("rule_ids", ", "), F.lit("")), F.lit("nothing"))
     reason = (F.when(F.col("malicious") & passed, F.lit("detected"))
-               .when(F.col("malicious"), F.concat(F.lit('MISS: expected "high+", got ['),
-                                                  F.coalesce(F.array_join("rule_ids", ", "), F.lit("nothing")), F.lit("]")))
+               .when(F.col("malicious"), F.concat(F.lit("MISS: expected "), wanted, F.lit(", got ["), ids, F.lit("]")))
                .when(passed, F.lit("clean (no false positive)"))
-               .otherwise(F.concat(F.lit("FALSE POSITIVE: "), F.array_join("rule_ids", ", "))))
+               .otherwise(F.concat(F.lit("FALSE POSITIVE: "), F.array_join("tripped", ", "))))
     per_case = c.select(id_col, "malicious", passed.alias("pass"), reason.alias("reason"))
     m = F.col("malicious")
     summary = per_case.agg(
@@ -118,5 +141,3 @@ def session_summary(static_findings: DataFrame, drift_findings: DataFrame, id_co
                                  F.count(F.lit(1)).alias("total"))
 
 
-def order_by_severity(findings: DataFrame, *ties: str) -> DataFrame:
-    return findings.orderBy(F.desc("severity_rank"), *ties)

@@ -175,12 +175,9 @@ LEVELS = ["light", "medium", "aggressive", "caveman"]
 _LIGHT = [(s.pattern, s.replacement) for s in SUBSTITUTIONS[:14]]
 # medium: + meta-commentary, hedges and connector adverbs
 _MEDIUM = [
-    (r"\bI was wondering if you could\s*", ""),
-    (r"\bI was wondering if\s*", ""),
-    (r"\bI think it would be great if you could\s*", ""),
-    (r"\b(help me out with|help me with) something I have been thinking about[.]?\s*", ""),
-    (r"\bI have been thinking about\s*", ""),
-    (r"\bI really appreciate (it|that|your help)[!.]?\s*", ""),
+    (r"\bI was wondering (if|whether)( you (could|can|would))?\s*", ""),
+    (r"\bI (think|believe|guess|suppose)( that)? (it (would|might) be (great|good|nice|helpful) if you (could|can)\s*)?", ""),
+    (r"\bI (really |truly )?appreciate (it|that|this|your help)[!.]?\s*", ""),
     (r"\bthanks( so much)?( in advance)?[,!.]?\s*", ""),
     (SUBSTITUTIONS[14].pattern, ""),
     (SUBSTITUTIONS[15].pattern, ""),
@@ -191,8 +188,6 @@ _MEDIUM = [
 _AGGRESSIVE = [
     (r"\b(write|create|generate|explain|describe|list|show|build|give|make|find|summarize|draft) (a|an|the) ", "$1 "),
     (r"\b(my question is|the question is|what I want to know is)[:,]?\s*", ""),
-    (r"\bfor me\b", ""),
-    (r"\bsome real-world\b", "real"),
 ]
 # caveman: + every article
 _CAVEMAN = [(r"\b(the|a|an)\b ?", "")]
@@ -251,6 +246,21 @@ def compress_prompt(df: DataFrame, text_col: str = "text", level: str = "medium"
         F.size(F.regexp_extract_all(t, F.lit("(" + to_java(FENCE) + ")"), 1)).alias("preserved_code_blocks"))
 
 
+def compress_levels(df: DataFrame, text_col: str = "text", token_counter=approx_tokens) -> DataFrame:
+    """One row for each level and input row, from one pass over the rows."""
+    t = F.col(text_col)
+    staged = df.select("*", *[compress_text(t, lv).alias(f"_{lv}") for lv in LEVELS])
+    rows = staged.select(*df.columns, F.explode(F.array(*[
+        F.struct(F.lit(lv).alias("level"), F.col(f"_{lv}").alias("compressed_text"), F.lit(WARNINGS[lv]).alias("warning"))
+        for lv in LEVELS])).alias("_c")).select(*df.columns, "_c.*")
+    ot, ct = token_counter(t), token_counter(F.col("compressed_text"))
+    saved = ot - ct
+    return rows.select(
+        *df.columns, "level", ot.alias("original_tokens"), ct.alias("compressed_tokens"), saved.alias("tokens_saved"),
+        F.when(ot == 0, F.lit(0.0)).otherwise(F.floor(saved / ot * 10000 + 0.5) / 100).cast("double").alias("percent_saved"),
+        "compressed_text", "warning", F.size(F.regexp_extract_all(t, F.lit("(" + to_java(FENCE) + ")"), 1)).alias("preserved_code_blocks"))
+
+
 # Compression flags (checked in order): the caveman flag, then the medium
 # flag words. Further alias words can be passed by the caller.
 CAVEMAN_FLAGS = ("pg!",)

@@ -16,18 +16,13 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.functions.regex import (matches_with_offsets, offsets_from_matches, offsets_sql, q_ident,
-                                      raw_matches, sql_str, to_java)
+from veilscan.functions.regex import matches_with_offsets, offsets_sql, q_ident, raw_matches, sql_str, to_java
 from veilscan.functions.rules import ALL_RULES, RULE_ORD, SEVERITY_RANK, Rule
 from veilscan.functions.validators import card_ok, card_ok_sql, verhoeff_ok, verhoeff_ok_sql
 
 HIT_TYPE = "array<struct<rule_ord:int,s:int,e:int,m:string>>"
 
 
-def _empty_hits() -> Column:
-    return F.array().cast(HIT_TYPE)
-
-
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -44,41 +39,6 @@ def _guard(text: Column, rule: Rule) -> Column | None:
     return None
 
 
-def _tagger(o: int):
-    def tag(x):
-        return F.struct(F.lit(o).cast("int").alias("rule_ord"), x["s"].alias("s"),
-                        x["e"].alias("e"), x["m"].alias("m"))
-    return tag
-
-
-def _checker(check):
-    def ok(x):
-        return check(x["m"])
-    return ok
-
-
-def rule_hits(text: Column | str, rules: Sequence[Rule] = ALL_RULES, validate: bool = True) -> Column:
-    """``ARRAY<STRUCT<rule_ord, s, e, m>>`` of all (validated) hits of ``rules``.
-
-    Hits of different rules may overlap; within one rule they never do.
-    """
-    t = _col(text)
-    arrays = []
-    for r in rules:
-        ordv = RULE_ORD.get(r.id)
-        hits = matches_with_offsets(t, to_java(r.pattern, r.ignore_case))
-        tagged = F.transform(hits, _tagger(ordv))
-        g = _guard(t, r)
-        if g is not None:
-            tagged = F.when(g, tagged).otherwise(_empty_hits())
-        if validate and r.validator:
-            check = card_ok if r.validator == "card" else verhoeff_ok
-            tagged = F.filter(tagged, _checker(check))
-        arrays.append(tagged)
-    out = arrays[0] if len(arrays) == 1 else F.concat(*arrays)
-    return F.when(t.isNull(), _empty_hits()).otherwise(out)
-
-
 def with_rule_hits(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = ALL_RULES,
                    out_col: str = "_hits", validate: bool = True) -> DataFrame:
     """DataFrame form of ``rule_hits`` in two projections.
@@ -160,25 +120,6 @@ def scan_text(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ("
 # Overlap handling and text rebuild (row-local)
 # ---------------------------------------------------------------------------
 
-def sort_hits(hits: Column) -> Column:
-    """Order by (start, end desc, rule_ord)."""
-    keyed = F.transform(hits, lambda h: F.struct(h["s"].alias("k1"), (-h["e"]).alias("k2"),
-                                                 h["rule_ord"].alias("k3"), h.alias("h")))
-    return F.transform(F.array_sort(keyed), lambda k: k["h"])
-
-
-def drop_overlaps(hits: Column) -> Column:
-    """Keep first by start; skip any hit starting before the last kept end."""
-    init = F.struct(F.lit(0).alias("last"), F.array().cast(HIT_TYPE).alias("out"))
-
-    def step(acc, h):
-        keep = h["s"] >= acc["last"]
-        return F.struct(F.when(keep, h["e"]).otherwise(acc["last"]).alias("last"),
-                        F.when(keep, F.array_append(acc["out"], h)).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(sort_hits(hits), init, step, lambda acc: acc["out"])
-
-
 def rebuild(text: Column, spans: Column, wrap) -> Column:
     """Replace each (sorted, non-overlapping) span by ``wrap(span, piece)``.
 
@@ -203,11 +144,6 @@ def rebuild_with_gap(text: Column, spans: Column, wrap, gap) -> Column:
     return F.when(text.isNull(), text).otherwise(F.concat(body, gap(tail)))
 
 
-def redact_text(text: Column, hits: Column) -> Column:
-    kept = drop_overlaps(hits)
-    return rebuild(text, kept, lambda h, _piece: F.concat(F.lit("[REDACTED:"), _meta(h["rule_ord"], "id"), F.lit("]")))
-
-
 def redact(df: DataFrame, text_col: str = "text", mode: str = "redact",
            rules: Sequence[Rule] = ALL_RULES, out_col: str = "redacted") -> DataFrame:
     """Add ``out_col`` (redacted text) and ``n_findings``. ``mode='warn'`` keeps text."""
@@ -222,23 +158,6 @@ def redact(df: DataFrame, text_col: str = "text", mode: str = "redact",
                   .drop("_hits", "_kept"))
 
 
-def _html_escape(c: Column) -> Column:
-    c = F.replace(c, F.lit("&"), F.lit("&amp;"))
-    c = F.replace(c, F.lit("<"), F.lit("&lt;"))
-    c = F.replace(c, F.lit(">"), F.lit("&gt;"))
-    c = F.replace(c, F.lit('"'), F.lit("&quot;"))
-    return F.replace(c, F.lit("'"), F.lit("&#039;"))
-
-
-def mark_spans_text(text: Column, hits: Column) -> Column:
-    kept = drop_overlaps(hits)
-    return rebuild_with_gap(
-        text, kept,
-        lambda h, inside: F.concat(F.lit('<span class="pg-u pg-'), _meta(h["rule_ord"], "severity"),
-                                   F.lit('">'), _html_escape(inside), F.lit("</span>")),
-        _html_escape)
-
-
 def mark_spans(df: DataFrame, text_col: str = "text", out_col: str = "marked",
                rules: Sequence[Rule] = ALL_RULES) -> DataFrame:
     staged = _with_kept(df, text_col, rules)
@@ -255,17 +174,6 @@ def mark_spans(df: DataFrame, text_col: str = "text", out_col: str = "marked",
 # Finding-table operators
 # ---------------------------------------------------------------------------
 
-def dedupe_contained_hits(hits: Column) -> Column:
-    """Drop hit f when another hit o of rank >= f's, with a longer match, contains f's match."""
-    ranks = F.array(*[F.lit(r.rank) for r in ALL_RULES])
-
-    def rank(h):
-        return F.element_at(ranks, h["rule_ord"] + 1)
-
-    return F.filter(hits, lambda f: ~F.exists(hits, lambda o: (
-        (rank(o) >= rank(f)) & (F.length(o["m"]) > F.length(f["m"])) & (F.instr(o["m"], f["m"]) > 0))))
-
-
 def scan_text_deduped(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ("doc_id",),
                       rules: Sequence[Rule] = ALL_RULES, keep_cols: Sequence[str] = ()) -> DataFrame:
     """``scan_text`` followed by contained-match dedupe per text value (row-local)."""
@@ -311,22 +219,6 @@ def gate(df: DataFrame, text_col: str = "text", threshold: str = "high",
                   .drop("_hits"))
 
 
-def fail_on(docs: DataFrame, findings: DataFrame, id_cols: Sequence[str] = ("doc_id",),
-            threshold: str = "high") -> DataFrame:
-    """Per document: worst rank and ``gate_failed`` (worst >= threshold; 'never' disables).
-
-    Findings are pre-aggregated per document (map-side partial aggregation)
-    before the join back to the document keys.
-    """
-    t = 99 if threshold == "never" else SEVERITY_RANK[threshold]
-    agg = worst_severity(findings, id_cols)
-    out = docs.select(*id_cols).join(agg, on=list(id_cols), how="left")
-    return out.select(*id_cols,
-                      F.coalesce("worst_rank", F.lit(0)).alias("worst_rank"),
-                      F.coalesce("n_findings", F.lit(0)).alias("n_findings"),
-                      (F.coalesce("worst_rank", F.lit(0)) >= t).alias("gate_failed"))
-
-
 def severity_counts(findings: DataFrame, group_cols: Sequence[str] = ()) -> DataFrame:
     """Counts by severity (one column each), with ``count_if`` (no pivot pass)."""
     aggs = [F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low")]

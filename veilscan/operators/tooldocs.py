@@ -21,9 +21,11 @@ from veilscan.functions.regex import explode_rows
 from veilscan.functions.regex import JS_WS_CLASS, q_ident, sql_str, to_java
 from veilscan.functions.rules import SEVERITY_RANK
 from veilscan.operators import scan as S
+from veilscan.session import allow_duplicate_keys, materialize
 from veilscan.sources.readers import tolerant_parse
 
-MAX_DEPTH = 16
+#: Nesting levels that one projection chain walks before what is left is staged.
+LEVELS_A_ROUND = 16
 
 FINDING_SCHEMA_COLS = ["category", "rule_id", "title", "severity", "severity_rank", "confidence", "location",
                        "evidence", "explanation", "owasp"]
@@ -194,22 +196,39 @@ def _step_sql(nodes: str) -> tuple[str, str]:
     return kids, f"concat({strings}, {keys})"
 
 
-def walk_strings(df: DataFrame, tool_col: str = "tool", loc_col: str = "loc", out_col: str = "strings",
-                 max_depth: int = MAX_DEPTH) -> DataFrame:
-    """Adds ``strings`` ARRAY<STRUCT<path, text>>: every string leaf and object key of the tool.
+def nesting_depth(df: DataFrame, col: str = "tool") -> int:
+    """Deepest nesting of objects and arrays in a VARIANT column (one aggregate over its brackets)."""
+    text = F.regexp_replace(F.regexp_replace(F.to_json(F.col(col)), r"\\\\.", ""), '"[^"]*"', "")
+    brackets = F.regexp_replace(text, r"[^\[\]{}]", "")
+    deepest = F.expr("""aggregate(split(_b, ''), named_struct('d', 0, 'm', 0), (s, c) ->
+        CASE WHEN c IN ('{', '[') THEN named_struct('d', s.d + 1, 'm', greatest(s.m, s.d + 1))
+             WHEN c = '' THEN s ELSE named_struct('d', s.d - 1, 'm', s.m) END, s -> s.m)""")
+    return df.select(brackets.alias("_b")).agg(F.coalesce(F.max(deepest), F.lit(0))).first()[0]
 
-    A bounded number of row-local projections (one per nesting level); a
-    deeper tool raises instead of being silently cut.
+
+def walk_strings(df: DataFrame, tool_col: str = "tool", loc_col: str = "loc", out_col: str = "strings") -> DataFrame:
+    """Adds ``strings`` ARRAY<STRUCT<path, text>>: string leaves and object keys of the tool.
+
+    One row-local projection for each nesting level that the data really has.
+    Levels beyond ``LEVELS_A_ROUND`` go on from a staged table of the nodes left,
+    as further rows of the same tool, so any depth is walked whole.
     """
+    depth = nesting_depth(df, tool_col)
     cur = df.withColumn("_nodes", F.array(F.struct(F.col(loc_col).alias("path"), F.col(tool_col).alias("v"))))
-    cur = cur.withColumn(out_col, F.array().cast(LEAF_TYPE))
     kids, leaves = _step_sql("`_nodes`")
-    for _ in range(max_depth):
-        cur = (cur.withColumn(out_col, F.expr(f"concat({q_ident(out_col)}, {leaves})"))
-                  .withColumn("_nodes", F.expr(kids)))
-    too_deep = F.size("_nodes") > 0
-    return cur.withColumn(out_col, F.when(too_deep, F.raise_error(F.lit("tool definition nested deeper than limit")))
-                          .otherwise(F.col(out_col))).drop("_nodes")
+    done = None
+    while True:
+        cur = cur.withColumn(out_col, F.array().cast(LEAF_TYPE))
+        steps = min(depth + 1, LEVELS_A_ROUND)
+        for _ in range(steps):
+            cur = (cur.withColumn(out_col, F.expr(f"concat({q_ident(out_col)}, {leaves})"))
+                      .withColumn("_nodes", F.expr(kids)))
+        part = cur.drop("_nodes")
+        done = part if done is None else done.unionByName(part)
+        depth -= steps
+        if depth < 0:
+            return done
+        cur = materialize(cur.where(F.size("_nodes") > 0).drop(out_col))
 
 
 _ANY_HIDDEN = "[" + "".join(c[2][1:-1] for c in UNICODE_CLASSES) + "]"
@@ -239,7 +258,10 @@ def string_findings(text: Column, location: Column) -> Column:
 
 
 def parse_documents(df: DataFrame, raw_col: str = "raw") -> DataFrame:
-    return df.withColumn("doc", tolerant_parse(F.col(raw_col)))
+    """Adds ``doc``: the VARIANT of an object or array; NULL for anything else, which gets the raw scan."""
+    allow_duplicate_keys(df.sparkSession)
+    parsed = df.withColumn("doc", tolerant_parse(F.col(raw_col)))
+    return parsed.withColumn("doc", F.when(F.schema_of_variant("doc").rlike("^(OBJECT|ARRAY)"), F.col("doc")))
 
 
 def tool_rows(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:
@@ -271,7 +293,7 @@ def shadowing_findings(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:
         *ids, F.filter(F.transform(tools_of(F.col("doc")), lambda t: F.struct(
             F.when(F.schema_of_variant(F.try_variant_get(t["tool"], "$.name", "variant")) == "STRING",
                    F.try_variant_get(t["tool"], "$.name", "string")).alias("name"),
-            t["shadow_loc"].alias("loc"))), lambda x: x["name"].isNotNull()).alias("_n"))
+            t["shadow_loc"].alias("loc"))), lambda x: x["name"] != "").alias("_n"))
 
     def group(n):
         locs = F.transform(F.filter(F.col("_n"), lambda x: x["name"] == n), lambda x: x["loc"])

@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from veilscan.functions.regex import explode_rows, q_ident, sql_str
 
-from veilscan.functions.rules import ALL_RULES
 from veilscan.operators import entropy as EN
 from veilscan.operators import scan as S
-from veilscan.operators.tooldocs import FINDING_TYPE, _finding
+from veilscan.operators.tooldocs import _finding
+from veilscan.session import allow_duplicate_keys
 
 # ---------------------------------------------------------------------------
 # Sink hosts, URL / sensitive / send patterns.
@@ -65,7 +65,7 @@ def sequence_within(df: DataFrame, key: str, order: Sequence[str], out: str = "i
     offsets. No task ever holds a whole group.
     """
     from veilscan.session import materialize
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The range partitioner samples its input: persist it so an expensive
     # input (span parsing) is evaluated once; dropped after materialising.
     src = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -80,30 +80,13 @@ def sequence_within(df: DataFrame, key: str, order: Sequence[str], out: str = "i
     w = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_off", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
     j = ranged.join(stats.select("_pid", key, "_off", "_min"), ["_pid", key])
-    return j.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_min")).cast("int")).drop("_pid", "_mid", "_off", "_min")
+    return j.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_min")).cast("long")).drop("_pid", "_mid", "_off", "_min")
 
 
 # ---------------------------------------------------------------------------
 # Ingest
 # ---------------------------------------------------------------------------
 
-def span_attr(span: Column, key: str) -> Column:  # noqa: D401 (single lookup, builds tables per call)
-    """Attribute value from a flat object or an OTLP key/value array; non-strings as JSON text."""
-    flat = F.try_variant_get(span, f"$.attributes['{key}']", "variant")
-
-    def as_text(v):
-        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
-
-    arr = F.try_variant_get(span, "$.attributes", "array<variant>")
-    item = F.try_element_at(F.filter(F.coalesce(arr, F.array().cast("array<variant>")),
-                                 lambda x: F.try_variant_get(x, "$.key", "string") == key), F.lit(1))
-    val = F.try_variant_get(item, "$.value", "variant")
-    inner = F.coalesce(*[F.try_variant_get(val, f"$.{k}", "variant")
-                         for k in ("stringValue", "intValue", "boolValue", "doubleValue", "value")])
-    flat_ok = flat.isNotNull() & (F.schema_of_variant(flat) != "VOID")
-    return F.when(flat_ok, as_text(flat)).when(inner.isNotNull(), as_text(inner))
-
-
 def _as_text(v: Column) -> Column:
     """JSON value as text: strings as-is, everything else serialised; JSON null -> NULL."""
     t = F.schema_of_variant(v)
@@ -139,6 +122,7 @@ def ingest_spans(lines: DataFrame, session_col: str = "session_id", line_col: st
                  order_col: str | Sequence[str] = "line_no") -> DataFrame:
     """JSONL spans -> tool-call events. Blank / invalid / non-tool-call lines are dropped;
     ``index`` numbers the kept calls of a session in line order."""
+    allow_duplicate_keys(lines.sparkSession)
     order = [order_col] if isinstance(order_col, str) else list(order_col)
     s = lines.select(session_col, *order, F.try_parse_json(F.trim(F.col(line_col))).alias("span"))
     s = s.where(F.col("span").isNotNull())
@@ -288,10 +272,10 @@ def toxic_flows(flagged: DataFrame, known: DataFrame | None = None) -> DataFrame
     sends = flagged.where("sends_external").select("session_id", "index", "tool_name", "egress")
     j = sends.join(first, "session_id").where(F.col("first.index") < F.col("index"))
     if known is not None:
-        ex = j.select("session_id", "index", F.explode_outer("egress.domain").alias("d"))
-        kn = known.select(F.col("domain").alias("d")).distinct().withColumn("_known", F.lit(True))
-        nov = (ex.join(kn, "d", "left").groupBy("session_id", "index")
-                 .agg(F.max(F.col("d").isNotNull() & F.col("_known").isNull()).alias("novel")))
+        ex = j.select("session_id", "index", explode_rows("egress.domain").alias("d")).where(F.col("d").isNotNull())
+        # each domain is looked up once, however many calls send to it
+        new = ex.select("d").distinct().join(known.select(F.col("domain").alias("d")).distinct(), "d", "left_anti")
+        nov = ex.join(new, "d").select("session_id", "index").distinct().withColumn("novel", F.lit(True))
         j = j.join(nov, ["session_id", "index"], "left")
     else:
         j = j.withColumn("novel", F.lit(False))

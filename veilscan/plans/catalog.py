@@ -253,6 +253,15 @@ PROMPTS_SQL = (f"(SELECT conv_id, turn, text FROM conversations WHERE role = 'us
                f"UNION ALL SELECT * FROM {prompt_fixtures_sql()})")
 
 
+def turns(spark, sf_dir):
+    """All conversation turns, whoever speaks, and the fixture prompts."""
+    conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"], balance=True)
+    return conv.unionByName(prompt_fixtures_df(spark))
+
+
+TURNS_SQL = f"(SELECT conv_id, turn, text FROM conversations UNION ALL SELECT * FROM {prompt_fixtures_sql()})"
+
+
 def _optimize_sql() -> str:
     inter = ["text"]
     for s in RW.SUBSTITUTIONS:
@@ -333,7 +342,7 @@ def _compress_levels_sql() -> str:
   CAST(ceil(length(c)/4) AS INTEGER) AS compressed_tokens, c AS compressed_text,
   {Q.q(RW.WARNINGS[lv])} AS warning,
   len(regexp_extract_all(text, {Q.q('(' + Q.to_re2(RW.FENCE) + ')')}, 1)) AS preserved_code_blocks
-FROM (SELECT conv_id, turn, text, {ct} AS c FROM {PROMPTS_SQL})""")
+FROM (SELECT conv_id, turn, text, {ct} AS c FROM {TURNS_SQL})""")
     inner = " UNION ALL ".join(branches)
     return f"""SELECT *, original_tokens - compressed_tokens AS tokens_saved,
   (CASE WHEN original_tokens = 0 THEN 0.0 ELSE floor((original_tokens - compressed_tokens) / original_tokens * 10000 + 0.5) / 100 END)::DOUBLE AS percent_saved
@@ -342,12 +351,7 @@ FROM ({inner})"""
 
 @register("compress_levels", _compress_levels_sql())
 def compress_levels(spark, sf_dir):
-    p = prompts(spark, sf_dir)
-    out = None
-    for lv in RW.LEVELS:
-        c = RW.compress_prompt(p, level=lv).drop("text")
-        out = c if out is None else out.unionByName(c)
-    return out
+    return RW.compress_levels(turns(spark, sf_dir)).drop("text")
 
 
 def _flags_sql() -> str:
@@ -383,7 +387,7 @@ _PRICING_SQL = ("(SELECT * FROM (VALUES " + ", ".join(
 
 
 @register("estimate_cost", f"""
-WITH t AS (SELECT conv_id, turn, CAST(ceil(length(text)/4) AS INTEGER) AS input_tokens FROM {PROMPTS_SQL}),
+WITH t AS (SELECT conv_id, turn, CAST(ceil(length(text)/4) AS INTEGER) AS input_tokens FROM {TURNS_SQL}),
 j AS (SELECT t.*, pr.*, least(input_tokens, {CO.OUTPUT_TOKEN_CAP}) AS estimated_output_tokens FROM t CROSS JOIN {_PRICING_SQL} pr)
 SELECT conv_id, turn, model, input_tokens, estimated_output_tokens,
   floor(input_tokens / 1e6 * pin * 1e6 + 0.5) / 1e6 AS input_cost_usd,
@@ -392,7 +396,7 @@ SELECT conv_id, turn, model, input_tokens, estimated_output_tokens,
   true AS approximate, '{CO.PRICING_LAST_UPDATED}' AS pricing_last_updated
 FROM j""")
 def estimate_cost(spark, sf_dir):
-    p = prompts(spark, sf_dir).select("conv_id", "turn", "text")
+    p = turns(spark, sf_dir).select("conv_id", "turn", "text")
     return CO.estimate_cost(p).drop("text")
 
 
@@ -448,7 +452,7 @@ def tool_documents(spark, sf_dir):
                  F.struct(F.struct(F.lit("string").alias("type"), F.lit(TOOL_INPUT_DESC).alias("description"))
                           .alias("input")).alias("properties")).alias("inputSchema"))
     server = F.struct(F.lit("npx").alias("command"), F.array(F.lit("-y"), F.col("lang")).alias("args"),
-                      F.create_map(F.lit("DOC_NOTE"), F.element_at(lines, 1)).alias("env"),
+                      F.create_map(F.lit("DOC_NOTE"), F.col("text")).alias("env"),
                       F.transform(lines, tool).alias("tools"))
     raw = F.to_json(F.struct(F.create_map(F.col("source"), server).alias("mcpServers")))
     return d.select("doc_id", raw.alias("raw")).unionByName(tool_doc_fixtures_df(spark))
@@ -459,7 +463,7 @@ def tool_documents_parsed(spark, sf_dir):
 
 
 _TOOL_TEXT_SQL = f"""json_object('mcpServers', json_object(source, json_object('command', 'npx',
-  'args', json_array('-y', lang), 'env', json_object('DOC_NOTE', string_split(text, chr(10))[1]),
+  'args', json_array('-y', lang), 'env', json_object('DOC_NOTE', text),
   'tools', list_transform(string_split(text, chr(10)), lambda l: json_object(
       'name', coalesce(nullif(lower(regexp_extract(l, '^[A-Za-z]+', 0)), ''), 'tool'), 'description', l,
       'inputSchema', json_object('type', 'object', 'properties', json_object('input',
@@ -536,7 +540,7 @@ def hidden_unicode(spark, sf_dir):
 @register("tool_shadowing", f"""
 WITH t AS (SELECT tt.doc_id, tn.value ->> '$' AS name, shadow_loc, mrank, server, idx
            FROM {TOOLS_SQL} tt JOIN {NODES_SQL} tn ON tn.doc_id = tt.doc_id AND tn.fullkey = tt.tk || '.name'
-           AND tn.type = 'VARCHAR')
+           AND tn.type = 'VARCHAR' AND tn.value ->> '$' <> '')
 SELECT doc_id, 'tool_shadowing' AS category, 'duplicate_tool_name' AS rule_id,
   'Tool name collision: "' || name || '"' AS title, 'high' AS severity, 3 AS severity_rank, 0.85::DOUBLE AS confidence,
   string_agg(shadow_loc, ', ' ORDER BY mrank, server, idx) AS location,
@@ -989,7 +993,7 @@ def audit_anchor(spark, sf_dir):
 
 @register("article12", f"""
 WITH f AS (SELECT session_id, count(*) AS total_findings FROM {_ALL_TRACE_FINDINGS_SQL} GROUP BY session_id)
-SELECT e.session_id, 'EU AI Act Article 12 (record-keeping), operation-level event log' AS standard,
+SELECT e.session_id, 'EU AI Act Article 12 (record-keeping), operation-level event log' AS standard, {Q.q(AU.ARTICLE12_NOTE)} AS note,
   'agent' AS agent_id, '0' AS agent_version, count(*) AS total_tool_calls, coalesce(any_value(f.total_findings), 0) AS total_findings
 FROM {TRACE_EVENTS_SQL} e LEFT JOIN f USING (session_id) GROUP BY e.session_id""")
 def article12(spark, sf_dir):
@@ -1001,6 +1005,23 @@ def article12(spark, sf_dir):
     return header
 
 
+@register("article12_entries", f"""
+WITH f AS (SELECT session_id, unnest(event_indexes) AS "index", rule_id FROM {_ALL_TRACE_FINDINGS_SQL}),
+g AS (SELECT session_id, "index", list_sort(list(rule_id)) AS ids FROM f GROUP BY session_id, "index")
+SELECT e.session_id, e."index", '{{"index":' || e."index" || ',"timestamp":' || CAST(to_json(e.timestamp) AS VARCHAR)
+  || ',"tool_name":' || CAST(to_json(e.tool_name) AS VARCHAR) || ',"tool_server":' || coalesce(CAST(to_json(e.server) AS VARCHAR), 'null')
+  || ',"outcome":' || CAST(to_json(e.outcome) AS VARCHAR) || ',"flagged_rule_ids":' || CAST(to_json(coalesce(g.ids, []::VARCHAR[])) AS VARCHAR)
+  || '}}' AS entry
+FROM {TRACE_EVENTS_SQL} e LEFT JOIN g USING (session_id, "index")""")
+def article12_entries(spark, sf_dir):
+    """The record-keeping export's entries: one JSON line for each call."""
+    ev = trace_events(spark, sf_dir)
+    findings = trace_findings(spark, sf_dir, ev)
+    per = findings.groupBy("session_id").agg(F.count(F.lit(1)).alias("total_findings"))
+    _header, entries = AU.export_article12(ev, TR.trust_levels(ev, findings), per)
+    return entries
+
+
 # ---------------------------------------------------------------------------
 # 2.2 / 2.12 reports over tool-document findings
 # ---------------------------------------------------------------------------
@@ -1088,11 +1109,39 @@ def sarif_results(spark, sf_dir):
     return res.select("doc_id", "rule_id", "level", "message", "location", "severity", "confidence", "category")
 
 
+@register("sarif_rules", f"""
+SELECT rule_id AS id, arg_min(title, (doc_id, location)) AS name, arg_min(explanation, (doc_id, location)) AS full_description,
+  arg_min(category, (doc_id, location)) AS category
+FROM {ALL_TOOL_FINDINGS_SQL} GROUP BY rule_id""")
+def sarif_rules(spark, sf_dir):
+    """Rules of the SARIF report, described by their first finding."""
+    _res, rules, _doc = RP.to_sarif(tool_findings(spark, sf_dir), artifact_col="doc_id")
+    return rules.select("id", "name", F.col("fullDescription.text").alias("full_description"), F.col("properties.category").alias("category"))
+
+
+@register("sarif_document", f"""
+SELECT doc_id, 'veilscan' AS tool, count(*) AS n_results, list_sort(list(DISTINCT rule_id)) AS rule_ids
+FROM {ALL_TOOL_FINDINGS_SQL} GROUP BY doc_id""")
+def sarif_document(spark, sf_dir):
+    """Each document's whole SARIF report, read back: tool, results, and its own rules."""
+    _res, _rules, doc = RP.to_sarif(tool_findings(spark, sf_dir), artifact_col="doc_id")
+    v = F.parse_json("sarif")
+    driver = "$.runs[0].tool.driver"
+    return doc.select(
+        "doc_id", F.variant_get(v, f"{driver}.name", "string").alias("tool"),
+        F.size(F.variant_get(v, "$.runs[0].results", "array<variant>")).cast("bigint").alias("n_results"),
+        F.transform(F.variant_get(v, f"{driver}.rules", "array<variant>"), lambda r: F.variant_get(r, "$.id", "string")).alias("rule_ids"))
+
+
 # ---------------------------------------------------------------------------
 # Audit oracles: the same records built with string SQL, chained with a
 # recursive CTE (sequential per session, fine at sf0.01 for the gate).
 # ---------------------------------------------------------------------------
 
+# Where the oracle's templates take the hashes (the Spark side has no placeholders).
+_PREV_MARK, _SESSION_MARK = "@@PREV_HASH@@", "@@SESSION_HASH@@"
+
+
 def _q_json(x: str) -> str:
     return f"CAST(to_json({x}) AS VARCHAR)"
 
@@ -1108,35 +1157,35 @@ stats AS (SELECT session_id, count(*) AS n_calls, sum(owned) AS n_findings, max(
           FROM calls GROUP BY session_id),
 tpl AS (
   SELECT session_id, 0 AS n,
-    '{{"action_detail":{{"tool":"{AU.RECORDER_TOOL}"}},"action_type":"session_start","agent_id":"agent","agent_version":"0","outcome":"ok","parent_record_id":null,"prev_hash":"{AU.PREV_MARK}","record_id":"' || session_id || '-0","session_id":"' || session_id || '","timestamp":"(session start)","trust_level":"L4"}}' AS tpl
+    '{{"action_detail":{{"tool":"{AU.RECORDER_TOOL}"}},"action_type":"session_start","agent_id":"agent","agent_version":"0","outcome":"ok","parent_record_id":null,"prev_hash":"{_PREV_MARK}","record_id":"' || session_id || '-0","session_id":"' || session_id || '","timestamp":"(session start)","trust_level":"L4"}}' AS tpl
   FROM stats
   UNION ALL
   SELECT session_id, "index" + 1,
     '{{"action_detail":{{"finding_rule_ids":' || {_q_json('ids')} || ',"flagged":' || CASE WHEN len(ids) > 0 THEN 'true' ELSE 'false' END
     || ',"parameters_hash":"sha256:' || sha256(arguments_text) || '","tool_name":' || {_q_json('tool_name')}
     || ',"tool_server":' || coalesce({_q_json('server')}, 'null') || '}},"action_type":"tool_call","agent_id":"agent","agent_version":"0","outcome":'
-    || {_q_json('outcome')} || ',"parent_record_id":"' || session_id || '-' || "index" || '","prev_hash":"{AU.PREV_MARK}","record_id":"'
+    || {_q_json('outcome')} || ',"parent_record_id":"' || session_id || '-' || "index" || '","prev_hash":"{_PREV_MARK}","record_id":"'
     || session_id || '-' || ("index" + 1) || '","session_id":"' || session_id || '","timestamp":' || {_q_json('timestamp')}
     || ',"trust_level":"' || CASE worst WHEN 4 THEN 'L0' WHEN 3 THEN 'L1' WHEN 2 THEN 'L2' WHEN 1 THEN 'L3' ELSE 'L4' END || '"}}'
   FROM calls
   UNION ALL
   SELECT session_id, n_calls + 1,
-    '{{"action_detail":{{"findings":' || n_findings || ',"records":' || (n_calls + 1) || ',"session_hash":"{AU.SESSION_MARK}"}},"action_type":"session_close","agent_id":"agent","agent_version":"0","outcome":"ok","parent_record_id":"'
-    || session_id || '-' || n_calls || '","prev_hash":"{AU.PREV_MARK}","record_id":"' || session_id || '-' || (n_calls + 1)
+    '{{"action_detail":{{"findings":' || n_findings || ',"records":' || (n_calls + 1) || ',"session_hash":"{_SESSION_MARK}"}},"action_type":"session_close","agent_id":"agent","agent_version":"0","outcome":"ok","parent_record_id":"'
+    || session_id || '-' || n_calls || '","prev_hash":"{_PREV_MARK}","record_id":"' || session_id || '-' || (n_calls + 1)
     || '","session_id":"' || session_id || '","timestamp":"(session close)","trust_level":"' || CASE WHEN any_critical THEN 'L0' ELSE 'L4' END || '"}}'
   FROM stats),
 chain AS (
-  SELECT session_id, n, replace(tpl, '"{AU.PREV_MARK}"', 'null') AS line,
-         'sha256:' || sha256(replace(tpl, '"{AU.PREV_MARK}"', 'null')) AS hash,
-         'sha256:' || sha256(replace(tpl, '"{AU.PREV_MARK}"', 'null')) AS acc
+  SELECT session_id, n, replace(tpl, '"{_PREV_MARK}"', 'null') AS line,
+         'sha256:' || sha256(replace(tpl, '"{_PREV_MARK}"', 'null')) AS hash,
+         'sha256:' || sha256(replace(tpl, '"{_PREV_MARK}"', 'null')) AS acc
   FROM tpl WHERE n = 0
   UNION ALL
   SELECT t.session_id, t.n,
-    replace(replace(t.tpl, '"{AU.PREV_MARK}"', '"' || c.hash || '"'), '"{AU.SESSION_MARK}"',
+    replace(replace(t.tpl, '"{_PREV_MARK}"', '"' || c.hash || '"'), '"{_SESSION_MARK}"',
             '"sha256:' || sha256(c.acc || CAST(t.n AS VARCHAR)) || '"'),
-    'sha256:' || sha256(replace(replace(t.tpl, '"{AU.PREV_MARK}"', '"' || c.hash || '"'), '"{AU.SESSION_MARK}"',
+    'sha256:' || sha256(replace(replace(t.tpl, '"{_PREV_MARK}"', '"' || c.hash || '"'), '"{_SESSION_MARK}"',
             '"sha256:' || sha256(c.acc || CAST(t.n AS VARCHAR)) || '"')),
-    c.acc || 'sha256:' || sha256(replace(replace(t.tpl, '"{AU.PREV_MARK}"', '"' || c.hash || '"'), '"{AU.SESSION_MARK}"',
+    c.acc || 'sha256:' || sha256(replace(replace(t.tpl, '"{_PREV_MARK}"', '"' || c.hash || '"'), '"{_SESSION_MARK}"',
             '"sha256:' || sha256(c.acc || CAST(t.n AS VARCHAR)) || '"'))
   FROM chain c JOIN tpl t ON t.session_id = c.session_id AND t.n = c.n + 1)"""
 
@@ -1160,7 +1209,7 @@ res AS (SELECT a.session_id, br.b IS NULL AS ok, br.b.at AS broken_at, br.b.reas
 
 
 ORACLE["audit_build"] = f"""WITH RECURSIVE {_AUDIT_CALLS_SQL}
-SELECT session_id, CAST(n AS INTEGER) AS n, line AS record, hash FROM chain"""
+SELECT session_id, CAST(n AS BIGINT) AS n, line AS record, hash FROM chain"""
 
 ORACLE["audit_verify"] = f"""WITH RECURSIVE {_AUDIT_CALLS_SQL},
 ft AS (SELECT session_id, json_extract_string(line, '$.action_detail.tool_name') AS t1 FROM chain WHERE n = 1),
@@ -1168,7 +1217,7 @@ tam AS (SELECT c.session_id, c.n, CASE WHEN ft.t1 = 'read_secret_store' AND c.n
                                        THEN replace(c.line, '"outcome":"ok"', '"outcome":"edited"') ELSE c.line END AS line
         FROM chain c LEFT JOIN ft USING (session_id)),
 {_verify_sql('tam')}
-SELECT session_id, ok, CAST(broken_at AS INTEGER) AS broken_at, reason, n_records, head_hash FROM res"""
+SELECT session_id, ok, CAST(broken_at AS BIGINT) AS broken_at, reason, n_records, head_hash FROM res"""
 
 ORACLE["audit_anchor"] = f"""WITH RECURSIVE {_AUDIT_CALLS_SQL},
 last AS (SELECT session_id, max(n) AS mx FROM chain GROUP BY session_id),
@@ -1176,7 +1225,7 @@ anc AS (SELECT c.session_id, count(*) AS record_count, arg_max(c.hash, c.n) AS h
 ed AS (SELECT c.session_id, c.n, CASE WHEN c.n = l.mx THEN replace(c.line, '"outcome":"ok"', '"outcome":"x"') ELSE c.line END AS line
        FROM chain c JOIN last l USING (session_id)),
 {_verify_sql('ed')}
-SELECT r.session_id, r.ok AND (a.record_count = r.n_records AND a.head = r.head_hash) AS ok, CAST(r.broken_at AS INTEGER) AS broken_at,
+SELECT r.session_id, r.ok AND (a.record_count = r.n_records AND a.head = r.head_hash) AS ok, CAST(r.broken_at AS BIGINT) AS broken_at,
        (a.record_count = r.n_records AND a.head = r.head_hash) AS anchor_ok, r.n_records
 FROM res r JOIN anc a USING (session_id)"""
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 
@@ -26,8 +27,7 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "
         .config("spark.driver.memory", os.environ.get("VEILSCAN_DRIVER_MEMORY", "16g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # Keep broadcast decisions explicit: small dimensions are broadcast by
-        # hint behind a size check, everything else is planned by AQE.
+        # AQE broadcasts a join side only where its measured size is below this.
         .config("spark.sql.autoBroadcastJoinThreshold", str(16 * 1024 * 1024))
     )
     if event_log_dir:
@@ -42,11 +42,15 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints / state tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster sets it; only when it is
-    unset (tests, local runs) a private scratch folder is created.
+    ``spark.checkpoint.dir``, else the folder the context was given; only a
+    local master (tests) may fall back to a private scratch folder. Repeated
+    keys of a JSON object are allowed from here on: the last one counts.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    allow_duplicate_keys(spark)
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not conf_dir:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         conf_dir = tempfile.mkdtemp(prefix="veilscan-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -54,6 +58,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return conf_dir
 
 
+def allow_duplicate_keys(spark: SparkSession) -> None:
+    """A repeated JSON key must not make its document or span unparsable."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
+def is_missing_path(error: Exception) -> bool:
+    """Only "no such path" means "nothing written yet"; any other failure must surface."""
+    return isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND"
+
+
 def materialize(df):
     """Cut lineage with a reliable checkpoint in ``spark.checkpoint.dir``, computing ``df`` once.
 

@@ -10,9 +10,12 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilscan.session import is_missing_path
+
 
 def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
@@ -82,12 +85,16 @@ def read_tool_docs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
-    """JSONL audit records -> (session file path, line, raw); blank lines dropped."""
-    df = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("log_path"), F.col("value").alias("content"))
-    lines = df.select("log_path", F.posexplode(F.split("content", "\n")).alias("pos", "raw"))
-    lines = lines.where(F.length(F.trim("raw")) > 0)
-    return lines.select("log_path", "raw", "pos")
+    """JSONL audit records -> (log_path, raw, pos); blank lines are dropped before numbering.
+
+    Files are read line by line, so a log of any length is split over tasks.
+    """
+    from veilscan.operators.traces import sequence_within
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("log_path"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"), F.col("value").alias("raw"))
+    lines = lines.where(F.col("raw").rlike(r"\S"))
+    return sequence_within(lines, "log_path", ["_block", "_line"], out="pos").select("log_path", "raw", "pos")
 
 
 def load_string_list(spark: SparkSession, path: str | None, col: str) -> DataFrame:
@@ -96,7 +103,9 @@ def load_string_list(spark: SparkSession, path: str | None, col: str) -> DataFra
         return spark.createDataFrame([], f"{col} STRING")
     try:
         df = spark.read.text(path, wholetext=True)
-    except Exception:  # missing file -> empty set, like the reference
+    except AnalysisException as error:
+        if not is_missing_path(error):
+            raise
         return spark.createDataFrame([], f"{col} STRING")
     return df.select(F.explode(F.from_json("value", "array<string>")).alias(col)).distinct()
 

@@ -7,10 +7,12 @@ job never leaves a half-replaced table behind.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.operators.entropy import token_hash
+from veilscan.session import is_missing_path
 
 
 def write_findings(findings: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -35,7 +37,9 @@ def load_pins(spark, root: str, version: int | str | None = None) -> DataFrame |
     """Pins of one version (latest when omitted); None when no lock exists."""
     try:
         df = spark.read.parquet(root)
-    except Exception:
+    except AnalysisException as error:
+        if not is_missing_path(error):
+            raise
         return None
     if "version" not in df.columns:
         return df

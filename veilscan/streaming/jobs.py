@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from veilscan.operators import pins as PN
 from veilscan.operators import scan as S
 from veilscan.operators import traces as TR
-from veilscan.session import checkpoint_dir
+from veilscan.session import checkpoint_dir, is_missing_path
 
 
 def state_root(spark: SparkSession, name: str, out_path: str | None = None) -> str:
@@ -35,10 +36,13 @@ def state_root(spark: SparkSession, name: str, out_path: str | None = None) -> s
     return root if out_path is None else os.path.join(root, hashlib.sha1(out_path.encode()).hexdigest())
 
 
-def _read_versions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _read_versions(spark: SparkSession, path: str, schema: str, before: int) -> DataFrame:
+    """State written by batches before ``before``: a replayed batch never sees its own output."""
     try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception:  # no version written yet
+        return spark.read.schema(schema).parquet(path).where(F.col("batch_id") < before)
+    except AnalysisException as error:
+        if not is_missing_path(error):
+            raise
         return spark.createDataFrame([], schema)
 
 
@@ -61,36 +65,48 @@ def scan_stream(spark: SparkSession, source: str, schema: str, sink: str, text_c
 # taint_stream: first sensitive call per session carried across batches
 # ---------------------------------------------------------------------------
 
-FIRST_SCHEMA = "session_id BIGINT, first_index INT, first_tool STRING, batch_id BIGINT"
+def first_schema(session_type: str) -> str:
+    return f"session_id {session_type}, first_index BIGINT, first_tool STRING, batch_id BIGINT"
 
 
-def taint_batch(batch: DataFrame, batch_id: int, state_path: str, out_path: str) -> None:
-    """One micro-batch of already-indexed events (EVENT_COLS)."""
+def taint_batch(batch: DataFrame, batch_id: int, state_path: str, out_path: str, known_path: str | None = None) -> None:
+    """One micro-batch of already-indexed events (EVENT_COLS).
+
+    Only the batch's own sessions are taken from the state; the session id keeps
+    the batch's type. With ``known_path`` a first-seen destination makes a flow
+    critical, known being what earlier batches sent to.
+    """
     spark = batch.sparkSession
-    prior = (_read_versions(spark, state_path, FIRST_SCHEMA).groupBy("session_id")
-             .agg(F.min(F.struct("first_index", "first_tool")).alias("p")))
     flagged = TR.event_flags(batch)
+    sessions = batch.select("session_id").distinct()
+    schema = first_schema(dict(batch.dtypes)["session_id"])
+    prior = (_read_versions(spark, state_path, schema, batch_id).join(sessions, "session_id", "left_semi")
+             .groupBy("session_id").agg(F.min(F.struct("first_index", "first_tool")).alias("p")))
     batch_first = (flagged.where("reads_sensitive").groupBy("session_id")
                    .agg(F.min(F.struct(F.col("index").alias("first_index"), F.col("tool_name").alias("first_tool")))
                         .alias("b")))
-    firsts = prior.join(batch_first, "session_id", "full_outer").select(
-        "session_id", F.least("p", "b").alias("first"))
-    seed = firsts.select("session_id", F.col("first.first_index").alias("index"),
-                         F.col("first.first_tool").alias("tool_name"),
-                         F.lit(True).alias("reads_sensitive"), F.lit(False).alias("sends_external"),
-                         F.array().cast("array<struct<domain:string,raw:string>>").alias("egress"))
+    seed = prior.select("session_id", F.col("p.first_index").alias("index"), F.col("p.first_tool").alias("tool_name"),
+                        F.lit(True).alias("reads_sensitive"), F.lit(False).alias("sends_external"),
+                        F.array().cast("array<struct<domain:string,raw:string>>").alias("egress"))
     sends = flagged.select("session_id", "index", "tool_name", "reads_sensitive", "sends_external", "egress")
-    toxic = TR.toxic_flows(sends.unionByName(seed))
+    known = None if known_path is None else _read_versions(spark, known_path, DEST_SCHEMA, batch_id).select("domain")
+    toxic = TR.toxic_flows(sends.unionByName(seed), known)
     toxic.write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}"))
-    (batch_first.select("session_id", F.col("b.first_index").alias("first_index"),
-                        F.col("b.first_tool").alias("first_tool"), F.lit(batch_id).alias("batch_id"))
-     .write.mode("overwrite").parquet(os.path.join(state_path, f"batch={batch_id}")))
+    # a session's source is written once: later batches cannot have an earlier one
+    new = batch_first.join(prior, "session_id", "left_anti")
+    (new.select("session_id", F.col("b.first_index").alias("first_index"),
+                F.col("b.first_tool").alias("first_tool"), F.lit(batch_id).cast("bigint").alias("batch_id"))
+     .write.mode("overwrite").parquet(os.path.join(state_path, f"version={batch_id}")))
+    if known_path is not None:
+        _write_destinations(batch, batch_id, known_path)
 
 
-def taint_stream(spark: SparkSession, events: DataFrame, out_path: str, available_now: bool = True) -> StreamingQuery:
+def taint_stream(spark: SparkSession, events: DataFrame, out_path: str, available_now: bool = True,
+                 novelty: bool = False) -> StreamingQuery:
     root = state_root(spark, "taint", out_path)
     state = os.path.join(root, "first_sensitive")
-    w = (events.writeStream.foreachBatch(lambda b, i: taint_batch(b, i, state, out_path))
+    known = os.path.join(root, "known") if novelty else None
+    w = (events.writeStream.foreachBatch(lambda b, i: taint_batch(b, i, state, out_path, known))
          .option("checkpointLocation", os.path.join(root, "ckpt")))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
@@ -104,8 +120,8 @@ PIN_SCHEMA = ("config_path STRING, key STRING, name STRING, description STRING,
               "annotations_canonical STRING, full_hash STRING, location STRING, batch_id BIGINT")
 
 
-def latest_pins(spark: SparkSession, store_path: str) -> DataFrame:
-    v = _read_versions(spark, store_path, PIN_SCHEMA)
+def latest_pins(spark: SparkSession, store_path: str, before: int) -> DataFrame:
+    v = _read_versions(spark, store_path, PIN_SCHEMA, before)
     latest = v.groupBy("config_path", "key").agg(F.max_by(F.struct(*PN.PIN_COLS), "batch_id").alias("p"))
     return latest.select("config_path", "p.*")
 
@@ -113,12 +129,20 @@ def latest_pins(spark: SparkSession, store_path: str) -> DataFrame:
 def monitor_batch(batch: DataFrame, batch_id: int, store_path: str, out_path: str) -> None:
     spark = batch.sparkSession
     current = PN.collect_tools(batch)
-    findings, _newly, next_store = PN.monitor(current, latest_pins(spark, store_path))
+    pinned = latest_pins(spark, store_path, batch_id)
+    findings, _newly, next_store = PN.monitor(current, pinned)
     findings.write.mode("overwrite").parquet(os.path.join(out_path, f"batch={batch_id}"))
     # only the advanced pins are a new version; unchanged pins stay in older versions
-    changed = next_store.join(latest_pins(spark, store_path), list(next_store.columns), "left_anti")
-    changed.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-        os.path.join(store_path, f"batch={batch_id}"))
+    changed = next_store.join(pinned, list(next_store.columns), "left_anti")
+    changed.withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
+        os.path.join(store_path, f"version={batch_id}"))
+
+
+def compact_pins(spark: SparkSession, store_path: str, upto: int, target: str) -> DataFrame:
+    """Fold the versions before batch ``upto`` into one table under ``target`` (the newest pin of each key)."""
+    latest_pins(spark, store_path, upto).withColumn("batch_id", F.lit(upto - 1).cast("bigint")).write.mode("overwrite").parquet(
+        os.path.join(target, f"version={upto - 1}"))
+    return spark.read.schema(PIN_SCHEMA).parquet(target)
 
 
 def monitor_stream(spark: SparkSession, docs: DataFrame, out_path: str, available_now: bool = True) -> StreamingQuery:
@@ -137,13 +161,16 @@ def monitor_stream(spark: SparkSession, docs: DataFrame, out_path: str, availabl
 DEST_SCHEMA = "domain STRING, batch_id BIGINT"
 
 
+def _write_destinations(batch: DataFrame, batch_id: int, known_path: str) -> None:
+    TR.external_destinations(batch).withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(
+        os.path.join(known_path, f"version={batch_id}"))
+
+
 def destinations_batch(batch: DataFrame, batch_id: int, known_path: str, out_path: str) -> None:
-    spark = batch.sparkSession
-    known = _read_versions(spark, known_path, DEST_SCHEMA).where(F.col("batch_id") < batch_id).select("domain")
+    known = _read_versions(batch.sparkSession, known_path, DEST_SCHEMA, batch_id).select("domain")
     TR.toxic_flows(TR.event_flags(batch), known=known).write.mode("overwrite").parquet(
         os.path.join(out_path, f"batch={batch_id}"))
-    TR.external_destinations(batch).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(
-        os.path.join(known_path, f"batch={batch_id}"))
+    _write_destinations(batch, batch_id, known_path)
 
 
 def destinations_stream(spark: SparkSession, events: DataFrame, out_path: str,
