@@ -58,7 +58,7 @@ def collect_tools(docs: DataFrame, path_col: str = "config_path") -> DataFrame:
                         F.coalesce(name, F.lit("(unnamed)")).alias("name"), t["loc"].alias("loc"),
                         t["tool"].alias("tool"))
 
-    with_base = docs.where(F.col("doc").isNotNull()).select(
+    with_base = docs.select(
         path_col, F.transform(tools_of(F.col("doc")), base).alias("_t"))
 
     def numbered(t, i):

@@ -21,6 +21,7 @@ from veilscan.functions.rules import ALL_RULES, RULE_ORD, SEVERITY_RANK, Rule
 from veilscan.functions.validators import card_ok, card_ok_sql, verhoeff_ok, verhoeff_ok_sql
 
 HIT_TYPE = "array<struct<rule_ord:int,s:int,e:int,m:string>>"
+HIT_STRUCT = HIT_TYPE[len("array<"):-1]
 
 
 def _col(c: Column | str) -> Column:
@@ -174,14 +175,18 @@ def mark_spans(df: DataFrame, text_col: str = "text", out_col: str = "marked",
 # Finding-table operators
 # ---------------------------------------------------------------------------
 
+def contained_sql(hits: str) -> str:
+    """SQL: the hits without those whose match lies in a longer one of at least their rank."""
+    return (f"filter({hits}, f -> NOT exists({hits}, o -> element_at({RANKS_SQL}, o.rule_ord + 1) >= "
+            f"element_at({RANKS_SQL}, f.rule_ord + 1) AND length(o.m) > length(f.m) AND instr(o.m, f.m) > 0))")
+
+
 def scan_text_deduped(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ("doc_id",),
                       rules: Sequence[Rule] = ALL_RULES, keep_cols: Sequence[str] = ()) -> DataFrame:
     """``scan_text`` followed by contained-match dedupe per text value (row-local)."""
     cols = list(id_cols) + [c for c in keep_cols if c not in id_cols]
     hits = with_rule_hits(df.select(*cols, text_col), text_col, rules).drop(text_col)
-    dedup = (f"filter(`_hits`, f -> NOT exists(`_hits`, o -> element_at({RANKS_SQL}, o.rule_ord + 1) >= "
-             f"element_at({RANKS_SQL}, f.rule_ord + 1) AND length(o.m) > length(f.m) AND instr(o.m, f.m) > 0))")
-    hits = hits.select(*cols, F.expr(dedup).alias("_hits"))
+    hits = hits.select(*cols, F.expr(contained_sql("`_hits`")).alias("_hits"))
     exploded = hits.select(*cols, F.explode_outer("_hits").alias("_h")).where(F.col("_h").isNotNull())
     out = exploded.select(*cols, F.col("_h.rule_ord").alias("rule_ord"),
                           F.col("_h.s").alias("start"), F.col("_h.e").alias("end"),

@@ -96,6 +96,8 @@ SHADOW_EXPLANATION = ("The same tool name is defined by more than one server or
                       "a trusted tool by claiming its name, so the model calls the attacker's version.")
 PARSE_EXPLANATION = ("The input was not valid JSON, so tool-poisoning and shadowing checks were skipped. "
                      "Only a raw secret scan ran.")
+CONFIG_TITLE, RAW_TITLE = "Hardcoded secret in config: ", "Hardcoded secret: "
+PARSE_TITLE, PARSE_EVIDENCE = "Could not parse as JSON", "structural checks skipped"
 CONFIG_SUFFIX = " Hardcoded directly in an MCP config file; move it to an environment variable or secret manager."
 
 
@@ -196,25 +198,39 @@ def _step_sql(nodes: str) -> tuple[str, str]:
     return kids, f"concat({strings}, {keys})"
 
 
-def nesting_depth(df: DataFrame, col: str = "tool") -> int:
-    """Deepest nesting of objects and arrays in a VARIANT column (one aggregate over its brackets)."""
-    text = F.regexp_replace(F.regexp_replace(F.to_json(F.col(col)), r"\\\\.", ""), '"[^"]*"', "")
-    brackets = F.regexp_replace(text, r"[^\[\]{}]", "")
+def nesting_depth(docs: DataFrame, raw_col: str | None = None, doc_col: str = "doc") -> int:
+    """Deepest nesting of objects and arrays in the documents (one aggregate over their brackets).
+
+    Read off the raw text where it is given: without escapes and strings, what
+    is left of a JSON text are its brackets. Only a text that still holds a
+    slash then (a comment) is parsed for it.
+    """
+    def brackets(text):
+        bare = F.regexp_replace(F.regexp_replace(text, r"\\\\.", ""), '"[^"]*"', "")
+        return bare, F.regexp_replace(bare, r"[^\[\]{}]", "")
+
+    if raw_col is not None and raw_col in docs.columns:
+        bare, own = brackets(F.col(raw_col))
+        text = F.when(F.instr(bare, "/") > 0, brackets(F.to_json(tolerant_parse(F.col(raw_col))))[1]).otherwise(own)
+    else:
+        text = brackets(F.to_json(F.col(doc_col)))[1]
     deepest = F.expr("""aggregate(split(_b, ''), named_struct('d', 0, 'm', 0), (s, c) ->
         CASE WHEN c IN ('{', '[') THEN named_struct('d', s.d + 1, 'm', greatest(s.m, s.d + 1))
              WHEN c = '' THEN s ELSE named_struct('d', s.d - 1, 'm', s.m) END, s -> s.m)""")
-    return df.select(brackets.alias("_b")).agg(F.coalesce(F.max(deepest), F.lit(0))).first()[0]
+    return docs.select(text.alias("_b")).agg(F.coalesce(F.max(deepest), F.lit(0))).first()[0]
 
 
-def walk_strings(df: DataFrame, tool_col: str = "tool", loc_col: str = "loc", out_col: str = "strings") -> DataFrame:
+def walk_strings(df: DataFrame, depth: int, tool_col: str = "tool", loc_col: str = "loc",
+                 out_col: str = "strings") -> DataFrame:
     """Adds ``strings`` ARRAY<STRUCT<path, text>>: string leaves and object keys of the tool.
 
-    One row-local projection for each nesting level that the data really has.
-    Levels beyond ``LEVELS_A_ROUND`` go on from a staged table of the nodes left,
-    as further rows of the same tool, so any depth is walked whole.
+    One row-local projection for each nesting level, down to ``depth`` (see
+    ``nesting_depth``; text that is no document may overstate it). Levels beyond
+    ``LEVELS_A_ROUND`` go on from a staged table of the nodes left, as further
+    rows of the same tool, until none is left, so any depth is walked whole.
     """
-    depth = nesting_depth(df, tool_col)
-    cur = df.withColumn("_nodes", F.array(F.struct(F.col(loc_col).alias("path"), F.col(tool_col).alias("v"))))
+    cur = df.withColumn("_nodes", F.when(F.col(tool_col).isNull(), F.array().cast(NODE_TYPE)).otherwise(
+        F.array(F.struct(F.col(loc_col).alias("path"), F.col(tool_col).alias("v")))))
     kids, leaves = _step_sql("`_nodes`")
     done = None
     while True:
@@ -229,6 +245,8 @@ def walk_strings(df: DataFrame, tool_col: str = "tool", loc_col: str = "loc", ou
         if depth < 0:
             return done
         cur = materialize(cur.where(F.size("_nodes") > 0).drop(out_col))
+        if not cur.take(1):
+            return done
 
 
 _ANY_HIDDEN = "[" + "".join(c[2][1:-1] for c in UNICODE_CLASSES) + "]"
@@ -267,15 +285,15 @@ def parse_documents(df: DataFrame, raw_col: str = "raw") -> DataFrame:
 def tool_rows(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:
     """One row per tool: (ids, server, idx, loc, shadow_loc, name, tool)."""
     ids = list(id_cols)
-    t = docs.where(F.col("doc").isNotNull()).select(*ids, explode_rows(tools_of(F.col("doc"))).alias("_t")).where(F.col("_t").isNotNull())
+    t = docs.select(*ids, explode_rows(tools_of(F.col("doc"))).alias("_t")).where(F.col("_t").isNotNull())
     return t.select(*ids, "_t.server", "_t.idx", "_t.loc", "_t.shadow_loc",
                     F.try_variant_get("_t.tool", "$.name", "string").alias("name"), F.col("_t.tool").alias("tool"))
 
 
-def poison_findings(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:
+def poison_findings(docs: DataFrame, id_cols=("doc_id",), raw_col: str = "raw") -> DataFrame:
     """Poisoning + hidden unicode over every string leaf / key of every tool."""
     ids = list(id_cols)
-    tools = walk_strings(tool_rows(docs, ids))
+    tools = walk_strings(tool_rows(docs, ids), nesting_depth(docs, raw_col))
     # one row per string so the nine regex checks run in generated code, not
     # inside an interpreted lambda over the string array
     strings = tools.select(*ids, explode_rows("strings").alias("s")).where(F.col("s").isNotNull()).select(*ids, "s.path", "s.text")
@@ -286,67 +304,92 @@ def poison_findings(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:
     return ex.select(*ids, "f.*")
 
 
+def shadow_array() -> Column:
+    """ARRAY of findings: tool names defined more than once in the document ``doc`` (row-local)."""
+    named = F.filter(F.transform(tools_of(F.col("doc")), lambda t: F.struct(
+        F.when(F.schema_of_variant(F.try_variant_get(t["tool"], "$.name", "variant")) == "STRING",
+               F.try_variant_get(t["tool"], "$.name", "string")).alias("name"),
+        t["shadow_loc"].alias("loc"))), lambda x: x["name"] != "")
+    # sorted by name (then document order), the fold appends to the last group only
+    keyed = F.array_sort(F.transform(named, lambda x, i: F.struct(x["name"].alias("name"), i.alias("i"), x["loc"].alias("loc"))))
+    names = F.transform(keyed, lambda x: x["name"])
+    repeated = F.array_distinct(F.filter(F.transform(keyed, lambda x, i: F.when(
+        (i > 0) & (F.get(names, i - 1) == x["name"]), x["name"])), lambda n: n.isNotNull()))
+
+    def finding(n):
+        locs = F.transform(F.filter(keyed, lambda x: x["name"] == n), lambda x: x["loc"])
+        return _finding("tool_shadowing", "duplicate_tool_name",
+                        F.concat(F.lit('Tool name collision: "'), n, F.lit('"')), "high", 0.85,
+                        F.array_join(locs, ", "),
+                        F.concat(F.lit('"'), n, F.lit('" defined '), F.size(locs).cast("string"), F.lit(" times")),
+                        SHADOW_EXPLANATION, ("LLM01", "T2"))
+    return F.transform(repeated, finding)
+
+
 def shadowing_findings(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:
     """Tool names defined more than once in one document (row-local grouping)."""
     ids = list(id_cols)
-    named = docs.where(F.col("doc").isNotNull()).select(
-        *ids, F.filter(F.transform(tools_of(F.col("doc")), lambda t: F.struct(
-            F.when(F.schema_of_variant(F.try_variant_get(t["tool"], "$.name", "variant")) == "STRING",
-                   F.try_variant_get(t["tool"], "$.name", "string")).alias("name"),
-            t["shadow_loc"].alias("loc"))), lambda x: x["name"] != "").alias("_n"))
-
-    def group(n):
-        locs = F.transform(F.filter(F.col("_n"), lambda x: x["name"] == n), lambda x: x["loc"])
-        return F.struct(n.alias("name"), locs.alias("locs"))
-
-    grouped = named.select(*ids, F.transform(F.array_distinct(F.transform("_n", lambda x: x["name"])), group).alias("_g"))
-    ex = grouped.select(*ids, explode_rows("_g").alias("g")).where(F.col("g").isNotNull() & (F.size("g.locs") > 1))
-    f = _finding("tool_shadowing", "duplicate_tool_name",
-                 F.concat(F.lit('Tool name collision: "'), F.col("g.name"), F.lit('"')), "high", 0.85,
-                 F.array_join("g.locs", ", "),
-                 F.concat(F.lit('"'), F.col("g.name"), F.lit('" defined '), F.size("g.locs").cast("string"), F.lit(" times")),
-                 SHADOW_EXPLANATION, ("LLM01", "T2"))
-    return ex.select(*ids, f.alias("f")).select(*ids, "f.*")
+    ex = docs.select(*ids, explode_rows(shadow_array()).alias("f"))
+    return ex.where(F.col("f").isNotNull()).select(*ids, "f.*")
+
+
+def config_array() -> Column:
+    """ARRAY<STRUCT<path, text>>: command, string args, string env values and url of every server of ``doc``."""
+    def per_map(map_name):
+        return F.map_entries(F.coalesce(_as_map(F.try_variant_get(F.col("doc"), f"$.{map_name}", "variant")),
+                                        F.create_map().cast("map<string,variant>")))
+
+    def server(e):
+        v, name = e["value"], e["key"]
+
+        def str_at(path):
+            x = F.try_variant_get(v, path, "variant")
+            return F.when(_is_string(x), _str(x))
+
+        cmd = F.array(F.struct(F.concat(name, F.lit(".command")).alias("path"), str_at("$.command").alias("text")))
+        url = F.array(F.struct(F.concat(name, F.lit(".url")).alias("path"), str_at("$.url").alias("text")))
+        args = F.transform(F.coalesce(_as_array(F.try_variant_get(v, "$.args", "variant")), F.array().cast("array<variant>")),
+                           lambda a, i: F.struct(F.concat(name, F.lit(".args["), i.cast("string"), F.lit("]")).alias("path"),
+                                                 F.when(_is_string(a), _str(a)).alias("text")))
+        env = F.transform(F.map_entries(F.coalesce(_as_map(F.try_variant_get(v, "$.env", "variant")),
+                                                   F.create_map().cast("map<string,variant>"))),
+                          lambda kv: F.struct(F.concat(name, F.lit(".env."), kv["key"]).alias("path"),
+                                              F.when(_is_string(kv["value"]), _str(kv["value"])).alias("text")))
+        return F.concat(cmd, args, env, url)
+
+    values = F.flatten(F.transform(F.concat(per_map("mcpServers"), per_map("servers")), server))
+    return F.filter(values, lambda x: x["text"].isNotNull())
 
 
 def config_values(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:
     """(ids, path, text) for command, string args, string env values and url of every server."""
     ids = list(id_cols)
+    vals = docs.select(*ids, explode_rows(config_array()).alias("c"))
+    return vals.where(F.col("c").isNotNull()).select(*ids, "c.path", "c.text")
+
+
+def _config_finding() -> Column:
+    return _finding("secret_in_config", F.col("rule_id"), F.concat(F.lit(CONFIG_TITLE), F.col("rule_name")),
+                    F.col("severity"), F.col("confidence"), F.concat(F.lit("mcpServers."), F.col("path")),
+                    redact_evidence(F.col("matched")), F.concat(F.col("explanation"), F.lit(CONFIG_SUFFIX)), ("LLM06", "T3"))
 
-    def per_map(map_name):
-        return F.map_entries(F.coalesce(_as_map(F.try_variant_get(F.col("doc"), f"$.{map_name}", "variant")),
-                                        F.create_map().cast("map<string,variant>")))
 
-    servers = docs.where(F.col("doc").isNotNull()).select(
-        *ids, explode_rows(F.concat(per_map("mcpServers"), per_map("servers"))).alias("e")).where(F.col("e").isNotNull())
-    v = F.col("e.value")
-    name = F.col("e.key")
+def _raw_finding() -> Column:
+    return _finding("secret_in_config", F.col("rule_id"), F.concat(F.lit(RAW_TITLE), F.col("rule_name")),
+                    F.col("severity"), F.col("confidence"),
+                    F.concat(F.lit("(raw text, offset "), F.col("start").cast("string"), F.lit(")")),
+                    redact_evidence(F.col("matched")), F.col("explanation"), ("LLM06",))
 
-    def str_at(path):
-        x = F.try_variant_get(v, path, "variant")
-        return F.when(_is_string(x), _str(x))
 
-    cmd = F.array(F.struct(F.concat(name, F.lit(".command")).alias("path"), str_at("$.command").alias("text")))
-    url = F.array(F.struct(F.concat(name, F.lit(".url")).alias("path"), str_at("$.url").alias("text")))
-    args = F.transform(F.coalesce(_as_array(F.try_variant_get(v, "$.args", "variant")), F.array().cast("array<variant>")),
-                       lambda a, i: F.struct(F.concat(name, F.lit(".args["), i.cast("string"), F.lit("]")).alias("path"),
-                                             F.when(_is_string(a), _str(a)).alias("text")))
-    env = F.transform(F.map_entries(F.coalesce(_as_map(F.try_variant_get(v, "$.env", "variant")),
-                                               F.create_map().cast("map<string,variant>"))),
-                      lambda kv: F.struct(F.concat(name, F.lit(".env."), kv["key"]).alias("path"),
-                                          F.when(_is_string(kv["value"]), _str(kv["value"])).alias("text")))
-    vals = servers.select(*ids, explode_rows(F.concat(cmd, args, env, url)).alias("c")).where(F.col("c").isNotNull())
-    return vals.select(*ids, "c.path", "c.text").where(F.col("text").isNotNull())
+def _parse_warning() -> Column:
+    return _finding("parse_warning", "parse_failed", PARSE_TITLE, "low", 1.0, "(file)",
+                    PARSE_EVIDENCE, PARSE_EXPLANATION, F.array().cast("array<string>"))
 
 
 def config_secret_findings(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:
     ids = list(id_cols)
-    vals = config_values(docs, ids)
-    f = S.scan_text_deduped(vals, text_col="text", id_cols=ids + ["path"])
-    fin = _finding("secret_in_config", F.col("rule_id"), F.concat(F.lit("Hardcoded secret in config: "), F.col("rule_name")),
-                   F.col("severity"), F.col("confidence"), F.concat(F.lit("mcpServers."), F.col("path")),
-                   redact_evidence(F.col("matched")), F.concat(F.col("explanation"), F.lit(CONFIG_SUFFIX)), ("LLM06", "T3"))
-    return f.select(*ids, fin.alias("f")).select(*ids, "f.*")
+    f = S.scan_text_deduped(config_values(docs, ids), text_col="text", id_cols=ids + ["path"])
+    return f.select(*ids, _config_finding().alias("f")).select(*ids, "f.*")
 
 
 def fallback_findings(docs: DataFrame, id_cols=("doc_id",), raw_col: str = "raw") -> DataFrame:
@@ -354,25 +397,53 @@ def fallback_findings(docs: DataFrame, id_cols=("doc_id",), raw_col: str = "raw"
     ids = list(id_cols)
     bad = docs.where(F.col("doc").isNull()).select(*ids, raw_col)
     f = S.scan_text(bad, text_col=raw_col, id_cols=ids)
-    fin = _finding("secret_in_config", F.col("rule_id"), F.concat(F.lit("Hardcoded secret: "), F.col("rule_name")),
-                   F.col("severity"), F.col("confidence"),
-                   F.concat(F.lit("(raw text, offset "), F.col("start").cast("string"), F.lit(")")),
-                   redact_evidence(F.col("matched")), F.col("explanation"), ("LLM06",))
-    secrets = f.select(*ids, fin.alias("f")).select(*ids, "f.*")
-    warn = _finding("parse_warning", "parse_failed", "Could not parse as JSON", "low", 1.0, "(file)",
-                    "structural checks skipped", PARSE_EXPLANATION, F.array().cast("array<string>"))
-    warns = bad.select(*ids, warn.alias("f")).select(*ids, "f.*")
-    return secrets.unionByName(warns)
+    secrets = f.select(*ids, _raw_finding().alias("f")).select(*ids, "f.*")
+    return secrets.unionByName(bad.select(*ids, _parse_warning().alias("f")).select(*ids, "f.*"))
 
 
 def scan_documents(docs: DataFrame, id_cols=("doc_id",), raw_col: str = "raw") -> DataFrame:
-    """All tool-document findings: config secrets, poisoning, unicode, shadowing, fallback."""
+    """All tool-document findings: config secrets, poisoning, unicode, shadowing, fallback.
+
+    One pass: a document is parsed once into the list of what there is to check
+    (its tools, its configuration values, or its raw text) and the findings that
+    need the whole document; each entry becomes a row, a tool's row becomes its
+    strings, and both rule families run on that row.
+    """
     parsed = docs if "doc" in docs.columns else parse_documents(docs, raw_col)
     ids = list(id_cols)
-    return (config_secret_findings(parsed, ids)
-            .unionByName(poison_findings(parsed, ids))
-            .unionByName(shadowing_findings(parsed, ids))
-            .unionByName(fallback_findings(parsed, ids, raw_col)))
+    depth = nesting_depth(parsed, raw_col)
+    null = lambda t: F.lit(None).cast(t)
+
+    def item(kind, path=None, text=None, tool=None, f=None):
+        return F.struct(F.lit(kind).alias("kind"), (null("string") if path is None else path).alias("path"),
+                        (null("string") if text is None else text).alias("text"),
+                        (null("variant") if tool is None else tool).alias("tool"),
+                        (null(FINDING_TYPE) if f is None else f).alias("f"))
+
+    whole = F.concat(F.transform(tools_of(F.col("doc")), lambda t: item("tool", t["loc"], tool=t["tool"])),
+                     F.transform(config_array(), lambda c: item("config", c["path"], c["text"])),
+                     F.transform(shadow_array(), lambda f: item("done", f=f)))
+    broken = F.array(item("raw", text=F.col(raw_col)), item("done", f=_parse_warning()))
+    items = parsed.select(*ids, explode_rows(F.when(F.col("doc").isNull(), broken).otherwise(whole)).alias("i"))
+    items = items.where(F.col("i").isNotNull()).select(*ids, "i.*")
+    walked = walk_strings(items, depth, "tool", "path")
+    own = F.array(F.struct(F.col("path"), F.col("text")))
+    rows = walked.select(*ids, "kind", "f", explode_rows(F.when(F.col("kind") == "tool", F.col("strings")).otherwise(own)).alias("s"))
+    rows = rows.where(F.col("s").isNotNull()).select(*ids, "kind", "f", "s.path", "s.text")
+    is_tool = F.col("kind") == "tool"
+    rows = rows.select("*", F.when(~is_tool, F.col("text")).alias("_secret"))
+    hits = S.with_rule_hits(rows, "_secret").withColumn("_hits", F.when(
+        F.col("kind") == "config", F.expr(S.contained_sql("`_hits`"))).otherwise(F.col("_hits")))
+    poison = F.when(is_tool, string_findings(F.col("text"), F.col("path"))).otherwise(F.array().cast(f"array<{FINDING_TYPE}>"))
+    ready = F.when(F.col("f").isNull(), poison).otherwise(F.array("f"))
+    found = hits.select(*ids, "kind", "path", explode_rows(F.concat(
+        F.transform(ready, lambda f: F.struct(f.alias("f"), null(S.HIT_STRUCT).alias("h"))),
+        F.transform("_hits", lambda h: F.struct(null(FINDING_TYPE).alias("f"), h.alias("h"))))).alias("x")).where(F.col("x").isNotNull())
+    found = found.select(*ids, "kind", "path", F.col("x.f").alias("f"), F.col("x.h.rule_ord").alias("rule_ord"),
+                         F.col("x.h.s").alias("start"), F.col("x.h.m").alias("matched"))
+    named = S.attach_rule_meta(found)
+    f = F.when(F.col("f").isNotNull(), F.col("f")).when(F.col("kind") == "config", _config_finding()).otherwise(_raw_finding())
+    return named.select(*ids, f.alias("f")).select(*ids, "f.*")
 
 
 def document_counts(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:

@@ -1034,8 +1034,17 @@ ALL_TOOL_FINDINGS_SQL = (f"(SELECT {_FCOLS} FROM ({ORACLE['config_secrets']}) UN
                          f"UNION ALL SELECT {_FCOLS} FROM ({ORACLE['tool_shadowing']}) UNION ALL SELECT {_FCOLS} FROM ({_FALLBACK_TOOL_SQL}))")
 
 
-def tool_findings(spark, sf_dir) -> DataFrame:
-    return TD.scan_documents(tool_documents_parsed(spark, sf_dir))
+def tool_findings(spark, sf_dir, wanted: DataFrame | None = None) -> DataFrame:
+    """Findings of all documents, or of the ``wanted`` doc_ids only."""
+    docs = tool_documents(spark, sf_dir)
+    if wanted is not None:
+        docs = docs.join(wanted.select("doc_id"), "doc_id", "left_semi")
+    return TD.scan_documents(docs)
+
+
+def document_ids(spark, sf_dir) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id"])
+    return docs.unionByName(tool_doc_fixtures_df(spark).select("doc_id"))
 
 
 def manifest(spark, sf_dir) -> DataFrame:
@@ -1063,8 +1072,8 @@ SELECT m.name, CASE WHEN NOT readable THEN 'ERROR' WHEN coalesce(g.critical, 0)
   CASE WHEN NOT readable THEN 2 WHEN coalesce(g.critical, 0) > 0 THEN 0 WHEN coalesce(g.high, 0) > 0 THEN 1 ELSE 3 END AS verdict_order
 FROM m LEFT JOIN g USING (doc_id)""")
 def leaderboard(spark, sf_dir):
-    return RP.safety_leaderboard(manifest(spark, sf_dir), tool_documents(spark, sf_dir),
-                                 tool_findings(spark, sf_dir)).drop("doc_id")
+    wanted = manifest(spark, sf_dir)
+    return RP.safety_leaderboard(wanted, document_ids(spark, sf_dir), tool_findings(spark, sf_dir, wanted)).drop("doc_id")
 
 
 _CASES_SQL = "(SELECT doc_id, toxic = 1 AS malicious FROM labels)"
@@ -1079,7 +1088,7 @@ def evaluate_rules(spark, sf_dir):
     """Labelled cases (labels.toxic as the malicious flag) scored against the tool-document findings."""
     lab = read_table(spark, sf_dir, "labels", ["doc_id", "toxic"])
     cases = lab.select("doc_id", (F.col("toxic") == 1).alias("malicious"))
-    per_case, _summary = RP.evaluate_rules(cases, tool_findings(spark, sf_dir))
+    per_case, _summary = RP.evaluate_rules(cases, tool_findings(spark, sf_dir, cases))
     return per_case.select("doc_id", "malicious", "pass")
 
 
@@ -1094,7 +1103,7 @@ FROM c""")
 def evaluate_summary(spark, sf_dir):
     lab = read_table(spark, sf_dir, "labels", ["doc_id", "toxic"])
     cases = lab.select("doc_id", (F.col("toxic") == 1).alias("malicious"))
-    _per_case, summary = RP.evaluate_rules(cases, tool_findings(spark, sf_dir))
+    _per_case, summary = RP.evaluate_rules(cases, tool_findings(spark, sf_dir, cases))
     return summary
 
 
