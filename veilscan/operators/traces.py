@@ -21,7 +21,7 @@ from veilscan.functions.regex import explode_rows, q_ident, sql_str
 from veilscan.operators import entropy as EN
 from veilscan.operators import scan as S
 from veilscan.operators.tooldocs import _finding
-from veilscan.session import allow_duplicate_keys
+from veilscan.session import allow_duplicate_keys, materialize
 
 # ---------------------------------------------------------------------------
 # Sink hosts, URL / sensitive / send patterns.
@@ -64,7 +64,6 @@ def sequence_within(df: DataFrame, key: str, order: Sequence[str], out: str = "i
     local sort) and a small per-(partition, key) count table supplies the
     offsets. No task ever holds a whole group.
     """
-    from veilscan.session import materialize
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The range partitioner samples its input: persist it so an expensive
     # input (span parsing) is evaluated once; dropped after materialising.
@@ -146,7 +145,8 @@ def ingest_spans(lines: DataFrame, session_col: str = "session_id", line_col: st
         F.coalesce(A("gen_ai.tool.call.arguments"), A("tool.arguments"), F.lit("")).alias("arguments_text"),
         F.coalesce(A("gen_ai.tool.call.result"), A("tool.result"), F.lit("")).alias("result_text"),
         F.coalesce(A("outcome"), F.lit("ok")).alias("outcome"))
-    return sequence_within(ev, "session_id", order).select(*EVENT_COLS)
+    # every later step reads the numbered calls: the numbering join runs once
+    return materialize(sequence_within(ev, "session_id", order).select(*EVENT_COLS))
 
 
 # ---------------------------------------------------------------------------

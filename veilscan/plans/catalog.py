@@ -945,11 +945,10 @@ def trust_levels(spark, sf_dir):
 
 
 def audit_log(spark, sf_dir) -> DataFrame:
-    """One job: findings feed only the per-call aggregate; session stats are
-    summed from the per-call rows, so the aggregation exchange is reused by
-    the start, call and close record branches instead of recomputed."""
+    """The per-call rows are computed once and staged: the start, call and close
+    records and the session totals all read them."""
     ev = trace_events(spark, sf_dir)
-    calls = TR.trust_levels(ev, trace_findings(spark, sf_dir, ev))
+    calls = materialize(TR.trust_levels(ev, trace_findings(spark, sf_dir, ev)))
     return AU.build_audit_log(AU.record_templates(calls, TR.session_stats(calls)))
 
 
