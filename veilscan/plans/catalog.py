@@ -150,6 +150,19 @@ def suppress_findings(spark, sf_dir):
     return S.suppress(f, ignored, keys=("rule_id", "matched")).select("doc_id", "rule_id", "start", "end", "matched")
 
 
+@register("suppress_reviewed", f"""
+WITH f AS ({FINDINGS_SQL}),
+ign AS (SELECT DISTINCT f.doc_id, f.rule_id, f.matched FROM f JOIN labels l ON l.doc_id = f.doc_id WHERE l.toxic = 0)
+SELECT f.doc_id, f.rule_id, f.start, f."end", f.matched FROM f
+WHERE NOT EXISTS (SELECT 1 FROM ign WHERE ign.doc_id = f.doc_id AND ign.rule_id = f.rule_id AND ign.matched = f.matched)""")
+def suppress_reviewed(spark, sf_dir):
+    """The per-document form: findings of reviewed (not toxic) documents are ignored there, and only there."""
+    f = S.scan_text(texts(spark, sf_dir))
+    reviewed = read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]).where("toxic = 0")
+    ignored = f.join(reviewed.select("doc_id"), "doc_id", "left_semi").select("doc_id", "rule_id", "matched")
+    return S.suppress(f, ignored).select("doc_id", "rule_id", "start", "end", "matched")
+
+
 @register("fail_on_gate", f"""
 SELECT t.doc_id, coalesce(w.worst_rank, 0) AS worst_rank, coalesce(w.n, 0) AS n_findings,
        coalesce(w.worst_rank, 0) >= 3 AS gate_failed
@@ -400,6 +413,19 @@ def estimate_cost(spark, sf_dir):
     return CO.estimate_cost(p).drop("text")
 
 
+@register("estimate_cost_reply", f"""
+WITH t AS (SELECT conv_id, turn, CAST(ceil(length(text)/4) AS INTEGER) AS input_tokens FROM {TURNS_SQL}),
+j AS (SELECT t.*, pr.*, 2 * input_tokens AS estimated_output_tokens FROM t CROSS JOIN {_PRICING_SQL} pr)
+SELECT conv_id, turn, model, input_tokens, estimated_output_tokens,
+  input_tokens / 1e6 * pin AS input_cost_usd, estimated_output_tokens / 1e6 * pout AS estimated_output_cost_usd
+FROM j""")
+def estimate_cost_reply(spark, sf_dir):
+    """The live estimate: unrounded, with the caller's expected output (twice the input here)."""
+    t = turns(spark, sf_dir).withColumn("expected", 2 * RW.approx_tokens(F.col("text")))
+    out = CO.estimate_cost(t, expected_output_tokens=F.col("expected"), rounded=False)
+    return out.select("conv_id", "turn", "model", "input_tokens", "estimated_output_tokens", "input_cost_usd", "estimated_output_cost_usd")
+
+
 _PROMPT_HITS = Q.raw_hits_sql(PROMPTS_SQL, ["conv_id", "turn"], "text")
 
 
