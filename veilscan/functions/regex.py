@@ -228,14 +228,35 @@ def q_ident(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def bind_sql(name: str, value: str, body: str) -> str:
+    """``body`` with the lambda variable ``name`` standing for ``value``, which is evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+#: Entries that one inner fold handles: appending to an array copies it, so a
+#: long fold runs over blocks and copies a block, not everything before it.
+FOLD_BLOCK = 128
+
+
+def blocks_sql(array: str) -> str:
+    return (f"transform(sequence(0, CAST((size({array}) - 1) DIV {FOLD_BLOCK} AS INT)), "
+            f"i -> slice({array}, i * {FOLD_BLOCK} + 1, {FOLD_BLOCK}))")
+
+
 def offsets_sql(text_sql: str, hits_sql: str, java_pattern: str) -> str:
     """SQL for the offsets of precomputed match strings ``hits_sql`` in ``text_sql``
-    (gaps from a ``split`` of the same pattern; run only when there are hits)."""
+    (gaps from a ``split`` of the same pattern; run only when there are hits).
+
+    Block starts come from a fold over the blocks' lengths, offsets from a fold
+    inside each block.
+    """
     gaps = f"transform(split({text_sql}, {sql_str(java_pattern)}, -1), p -> length(p))"
     pairs = f"zip_with(slice({gaps}, 1, size({hits_sql})), {hits_sql}, (g, mm) -> named_struct('g', g, 'm', mm))"
-    init = f"named_struct('pos', 0, 'out', CAST(array() AS {OFFSET_TYPE}))"
     step = ("(acc, z) -> named_struct('pos', acc.pos + z.g + length(z.m), 'out', array_append(acc.out, "
             "named_struct('s', acc.pos + z.g, 'e', acc.pos + z.g + length(z.m), 'm', z.m)))")
-    return (f"CASE WHEN size({hits_sql}) > 0 THEN aggregate({pairs}, {init}, {step}, acc -> acc.out) "
-            f"ELSE CAST(array() AS {OFFSET_TYPE}) END")
-
+    starts = ("aggregate(bl, named_struct('pos', 0, 'out', CAST(array() AS array<int>)), (a, b) -> named_struct("
+              "'pos', a.pos + aggregate(b, 0, (n, z) -> n + z.g + length(z.m)), 'out', array_append(a.out, a.pos)), a -> a.out)")
+    inside = (f"flatten(zip_with(bl, {starts}, (b, st) -> aggregate(b, named_struct('pos', st, 'out', "
+              f"CAST(array() AS {OFFSET_TYPE})), {step}, acc -> acc.out)))")
+    whole = bind_sql("pairs", pairs, bind_sql("bl", blocks_sql("pairs"), inside))
+    return f"CASE WHEN size({hits_sql}) > 0 THEN {whole} ELSE CAST(array() AS {OFFSET_TYPE}) END"

@@ -16,7 +16,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.functions.regex import matches_with_offsets, offsets_sql, q_ident, raw_matches, sql_str, to_java
+from veilscan.functions.regex import bind_sql, blocks_sql, matches_with_offsets, offsets_sql, q_ident, raw_matches, sql_str, to_java
 from veilscan.functions.rules import ALL_RULES, RULE_ORD, SEVERITY_RANK, Rule
 from veilscan.functions.validators import card_ok, card_ok_sql, verhoeff_ok, verhoeff_ok_sql
 
@@ -284,9 +284,14 @@ def drop_overlaps_sql(hits: str) -> str:
     """Sort by (start, end desc, rule_ord); keep first, skip hits starting before the last kept end."""
     ordered = (f"transform(array_sort(transform({hits}, x -> named_struct('k1', x.s, 'k2', -x.e, 'k3', x.rule_ord, "
                f"'h', x))), k -> k.h)")
-    return (f"aggregate({ordered}, named_struct('last', 0, 'out', CAST(array() AS {HIT_TYPE})), "
-            f"(acc, h) -> CASE WHEN h.s >= acc.last THEN named_struct('last', h.e, 'out', array_append(acc.out, h)) "
-            f"ELSE acc END, acc -> acc.out)")
+    step = ("(acc, h) -> CASE WHEN h.s >= acc.last THEN named_struct('last', h.e, 'out', array_append(acc.out, h)) "
+            "ELSE acc END")
+    # each block's fold starts from the end the block before it left
+    block = f"aggregate(b, named_struct('last', a.last, 'out', CAST(array() AS {HIT_TYPE})), {step})"
+    fold = (f"aggregate({blocks_sql('od')}, named_struct('last', 0, 'outs', CAST(array() AS array<{HIT_TYPE}>)), "
+            f"(a, b) -> {bind_sql('r', block, "named_struct('last', r.last, 'outs', array_append(a.outs, r.out))")}, "
+            f"a -> flatten(a.outs))")
+    return bind_sql("od", ordered, f"CASE WHEN size(od) > 0 THEN {fold} ELSE od END")
 
 
 def rebuild_sql(text: str, kept: str, wrap, gap=lambda x: x) -> str:
