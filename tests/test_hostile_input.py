@@ -181,3 +181,12 @@ def test_estimate_without_rounding_and_with_output_tokens(spark):
     exact = CO.estimate_cost(rows, models=["gpt-4o-mini"], rounded=False, expected_output_tokens=7).first()
     assert exact.input_cost_usd == pytest.approx(4 / 1e6 * 0.15, abs=1e-15) and exact.estimated_output_tokens == 7
     assert CO.estimate_cost(rows, models=["gpt-4o-mini"]).first().input_cost_usd == 1e-6
+
+
+def test_known_destinations_never_overwrite_their_source(spark, tmp_path):
+    seen = spark.createDataFrame([("b.example.com",), ("a.example.com",)], "domain STRING")
+    one = writers.save_known_destinations(seen.limit(0), seen, str(tmp_path / "v1"))
+    with pytest.raises(ValueError):
+        writers.save_known_destinations(one, seen, str(tmp_path / "v1"))
+    two = writers.save_known_destinations(one, spark.createDataFrame([("c.example.com",)], "domain STRING"), str(tmp_path / "v2"))
+    assert [r.domain for r in two.collect()] == ["a.example.com", "b.example.com", "c.example.com"]

@@ -48,10 +48,16 @@ def load_pins(spark, root: str, version: int | str | None = None) -> DataFrame |
 
 
 def save_known_destinations(known: DataFrame, seen: DataFrame, path: str) -> DataFrame:
-    """Union of old and newly seen domains, sorted, as the next version."""
-    nxt = known.select("domain").union(seen.select("domain")).distinct().orderBy("domain")
+    """Union of old and newly seen domains, sorted, written as the version ``path`` and read back.
+
+    A version never replaces the table it is made from: a job that dies half way
+    must leave the old one whole.
+    """
+    if any(path.rstrip("/") + "/" in f for f in known.inputFiles()):
+        raise ValueError("write the next version of the known destinations to a path of its own")
+    nxt = known.select("domain").union(seen.select("domain")).distinct()
     nxt.write.mode("overwrite").parquet(path)
-    return nxt
+    return known.sparkSession.read.schema("domain STRING").parquet(path).orderBy("domain")
 
 
 def allow_tokens(allowlist: DataFrame, tokens: DataFrame, token_col: str = "token") -> DataFrame:
