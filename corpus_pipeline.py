@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet and reread.
 
 quality       documents that the classifier rejects go
-line_dedup    repeated chunks of lines go; a document of which little is left goes
+line_dedup    repeated chunks of lines go; a document of which little and no whole passage is left goes
 near_dedup    of each SimHash component the smallest doc_id stays
 decontaminate documents that hold a benchmark passage go
 pack          the rest is packed into sequences (the pieces are the result)

@@ -53,6 +53,20 @@ def test_pipeline_edges(spark, tmp_path):
     assert corpus_pipeline.quality_stage(spark, docs, SF).columns == docs.columns
 
 
+def test_no_passage_leaves_the_corpus(spark):
+    lines = lambda name, n: " ".join(f"The {name} sentence number {k} has its own words, and so on." for k in range(n))
+    old, new, rare = lines("boilerplate", 60), lines("later", 12), lines("rare", 12)
+    rows = [(1, old), (2, old + " " + new), (3, lines("third", 40) + " " + new), (4, lines("fourth", 40) + " " + new), (5, old + " " + rare), (6, old)]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup_stage(spark, docs, SF).collect()}
+    assert set(left) == {1, 2, 3, 4, 5}
+    assert len(left[2]) < line_dedup.MIN_KEPT * len(rows[1][1]) and len(left[5]) < line_dedup.MIN_KEPT * len(rows[4][1])
+    for _, text in rows:
+        for a, b, n in line_dedup.chunks(text.encode()):
+            body = text.encode()[a:b].strip()
+            assert not line_dedup.eligible(body, n) or any(body in t.encode() for t in left.values())
+
+
 def test_registered():
     assert "pipeline" in __spark_entry__.queries() and set(queries.QUERIES) <= set(__spark_entry__.queries())
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None

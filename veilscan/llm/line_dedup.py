@@ -13,8 +13,10 @@ position). Equal 64-bit hashes only propose: for each hash the smallest and
 the largest chunk text are compared byte by byte in the aggregate, which proves
 all of them equal, and a hash shared by different texts removes nothing.
 
-A document of which less than ``MIN_KEPT`` of its bytes stays is marked
-``copied``: what is left are the edits of a copy.
+A document of which less than ``MIN_KEPT`` of its bytes stays, and no chunk of
+``MIN_WORDS`` words or more, is marked ``copied``: what is left are the edits
+of a copy. First occurrences and passages found nowhere else are such chunks,
+so dropping the copied documents loses none of them.
 
 Shuffles: eligible chunk texts once (combined on the map side, so a hot chunk
 sends one row a task), their hashes once, and the documents once to meet their
@@ -80,8 +82,12 @@ def chunks(text: bytes) -> list[tuple[int, int, int]]:
     return [(edges[a], edges[b], b - a) for a, b in zip([0, *cuts], ends, strict=True)]
 
 
+def has_words(body: bytes) -> bool:
+    return len(body.split(None, MIN_WORDS)) >= MIN_WORDS
+
+
 def eligible(body: bytes, lines: int) -> bool:
-    return lines >= MIN_LINES and len(body.split(None, MIN_WORDS)) >= MIN_WORDS
+    return lines >= MIN_LINES and has_words(body)
 
 
 def digest(body: bytes) -> int:
@@ -170,7 +176,7 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 texts.append(kept.decode())
                 counts.append(len(parts) - len(held))
                 sizes.append(len(raw) - len(kept))
-                copied.append(len(kept.strip()) < min_kept * len(raw))
+                copied.append(len(kept.strip()) < min_kept * len(raw) and not any(has_words(part) for part in held))
             columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
             columns += [pa.array(counts, pa.int32()), pa.array(sizes, pa.int64()), pa.array(copied, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=kinds.fieldNames())
