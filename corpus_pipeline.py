@@ -44,7 +44,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, queries.vocabulary())
+    return packing.pack(docs, queries.vocabulary(), markers=True)
 
 
 STAGES = [

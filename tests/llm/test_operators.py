@@ -460,6 +460,26 @@ def test_packing_round_trip(spark, edge, empty, documents):
     assert packing.pack(edge, queries.vocabulary()).where("doc_id = 3 AND start = 0").count() == 2
 
 
+def test_packing_marker_ids_of_plain_call(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(queries.vocabulary())
+    rng = random.Random(11)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", " word", "it's", "é", "12", "\0"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>" * 3, *["".join(rng.choices(parts, k=12)) for _ in range(300)]]
+    for limit in (packing.LONG_TEXT, 0):  # the fast and the slow encoder
+        monkeypatch.setattr(packing, "LONG_TEXT", limit)
+        encode = packing.Encoder(queries.vocabulary(), markers=True)
+        assert all(encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids for t in texts)
+    monkeypatch.undo()
+    docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts[:20])], DOCS)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for made in (queries.op10_pack(spark, str(tmp_path)), corpus_pipeline.pack_stage(spark, docs, str(tmp_path))):
+        tokens = {r["doc_id"]: r["doc_tokens"] for r in made.collect()}
+        assert tokens == {k: len(plain.encode(t, add_special_tokens=False).ids) + 1 for k, t in enumerate(texts[:20])}
+
+
 def test_balance_takes_lowest_cost_in_descending_order():
     rng = random.Random(10)
     for n in (0, 1, 7, 300):

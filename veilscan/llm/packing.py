@@ -54,39 +54,44 @@ class Encoder:
     A byte-level BPE merges the pair whose result has the smallest id, so the
     vocabulary itself holds the ranks and tiktoken, which is several times
     faster, can read them. Very long texts take the tokenizers library.
+
+    With ``markers`` a special token written out in a text gets its own id, as
+    in the library's plain ``encode(text, add_special_tokens=False)``; without,
+    it is ordinary text (``encode_special_tokens``).
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, markers: bool = False):
         import public_tokenizers
         import tiktoken
 
         self.path = path
+        self.markers = markers
         alphabet = byte_alphabet()
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
-        special = {t["content"] for t in made.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in made.get("added_tokens", [])}
         ranks = {bytes(alphabet[c] for c in word): k for word, k in made["model"]["vocab"].items() if word not in special}
-        self.fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if markers else {})
         self.slow = None
 
     def __call__(self, text: str) -> np.ndarray:
         if len(text) <= LONG_TEXT:
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
+            return self.fast.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype(np.uint32, copy=False)
         if self.slow is None:
             from tokenizers import Tokenizer
 
             self.slow = Tokenizer.from_file(self.path)
-            self.slow.encode_special_tokens = True
+            self.slow.encode_special_tokens = not self.markers
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, markers: bool = False) -> Encoder:
+    if (path, markers) not in _ENCODERS:
+        _ENCODERS[path, markers] = Encoder(path, markers)
+    return _ENCODERS[path, markers]
 
 
 def capacities(total: int, length: int) -> list[int]:
@@ -124,9 +129,9 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4", copy=False).tobytes())
 
 
-def pack_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int, block: int, linear: float, quadratic: float, first_id: int) -> Iterator[pa.RecordBatch]:
+def pack_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, length: int, block: int, linear: float, quadratic: float, first_id: int, markers: bool = False) -> Iterator[pa.RecordBatch]:
     """Pieces of the (doc_id, text) batches of one partition."""
-    encode = encoder(path)
+    encode = encoder(path, markers)
     next_id = first_id
     out: list[tuple] = []
     rests: list[tuple] = []  # doc_id, start, ids, doc tokens
@@ -165,14 +170,14 @@ def pack_batches(batches: Iterator[pa.RecordBatch], path: str, end_id: int, leng
         yield flush()
 
 
-def pack(documents: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = 0, block: int = BLOCK, linear: float = 1.0, quadratic: float = 1.0) -> DataFrame:
+def pack(documents: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = 0, block: int = BLOCK, linear: float = 1.0, quadratic: float = 1.0, markers: bool = False) -> DataFrame:
     """One row for each piece: where it lies in its document and in its sequence."""
 
     def run(batches):
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() << 40
-        yield from pack_batches(batches, vocabulary, end_id, length, block, linear, quadratic, first)
+        yield from pack_batches(batches, vocabulary, end_id, length, block, linear, quadratic, first, markers)
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)

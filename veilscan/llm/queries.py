@@ -78,7 +78,7 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), markers=True)
 
 
 QUERIES = {
