@@ -416,6 +416,29 @@ def test_neighbours_recall(spark):
     assert hits >= 0.95 * 20 * (ids % 20 == 0).sum()
 
 
+@pytest.mark.parametrize("dims,kind", [(128, "one long"), (128, "spread"), (128, "equal"), (768, "one long"), (768, "spread")])
+def test_neighbours_recall_of_unequal_norms(spark, tmp_path, dims, kind):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng, n = np.random.default_rng(dims), 8_000
+    x = rng.standard_normal((n, dims))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind == "spread":
+        x *= np.exp(0.25 * rng.standard_normal(n))[:, None]
+    elif kind == "one long":
+        x[n - 1] *= 3
+    x = x.astype(np.float32)
+    lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dims).cast(pa.list_(pa.float32()))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": lists}), f"{tmp_path}/v.parquet")
+    table = spark.read.parquet(f"{tmp_path}/v.parquet")
+    got = {(r["query_id"], r["vec_id"]) for r in ann.nearest(table, table.where("vec_id < 60"), 20).collect()}
+    score = x[:60].astype(float) @ x.astype(float).T
+    score[np.arange(60), np.arange(60)] = -np.inf
+    want = {(q, int(v)) for q in range(60) for v in np.argsort(-score[q])[:20]}
+    assert len(got & want) >= 0.95 * len(want)
+
+
 def test_neighbours_ties_and_edges(spark):
     rows = [(k, [1.0, 0.0, 2.0]) for k in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [1.0, None, 2.0]), (63, [float("nan"), 1.0, 1.0]), (64, [float("inf"), 1.0, 1.0]), (65, [1.0]), (66, []), (67, [3.0, 0.0, 9.0]), (None, [1.0, 1.0, 1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("vector", "b", "g", "score", "rank", "query_id")})

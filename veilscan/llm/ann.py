@@ -1,14 +1,20 @@
 """Nearest neighbours by stable projections, a kd-tree and a chi-square stopping test.
 
 Largest inner product is turned into smallest distance: with M the largest
-norm, a vector x gets the extra coordinate sqrt(M^2 - |x|^2) and a query a
-zero, so |x - q|^2 = M^2 + |q|^2 - 2 x.q. Vectors are projected to ``M_DIMS``
-dimensions by Gaussian (2-stable) directions and a kd-tree is built over the
-projections of each block of vectors. A query takes the tree's leaves in the order of
+norm, a vector x gets the extra coordinate sqrt(M^2 - |x|^2) and a query q,
+scaled to length M, a zero, so |x - q|^2 = 2 M^2 - 2 x.q. The vectors of a block
+fall into bands by norm, each with its own M, so the extra coordinate stays
+small whatever the longest vector is; a band whose M is below a query's k-th
+best score is left out. Vectors are projected to ``M_DIMS`` dimensions by
+Gaussian (2-stable) directions and a kd-tree is built over the projections of
+each band. A query takes the tree's leaves in the order of
 their projected distance and verifies their vectors. For a vector at true
 distance d the squared projected distance over d^2 follows chi-square with
 ``M_DIMS`` degrees, so with r the next leaf's projected distance and d the
-k-th best distance, the search stops once chi2((r / d)^2) reaches ``CONFIDENCE``.
+k-th best distance, the search stops once chi2((r / d)^2) reaches ``CONFIDENCE``:
+a nearer vector lies beyond r with a chance of 1 - ``CONFIDENCE`` at most. All vectors
+share the extra coordinate's direction, so it is not left to chance: its squared
+length is ``M_DIMS``, the mean.
 
 Vectors and queries are dealt to blocks by hash; every query block meets every
 vector block in a task of its own, and each gives its k best, so a hot vector
@@ -33,7 +39,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 M_DIMS = 8
-CONFIDENCE = 0.8
+CONFIDENCE = 0.95
+#: Smallest norm in a band over its largest.
+BAND = 0.9
 LEAF = 16
 #: Leaves that a query verifies between two stopping tests.
 STEP = 32
@@ -56,7 +64,10 @@ def chi2_cdf(x: np.ndarray, degrees: int = M_DIMS) -> np.ndarray:
 
 
 def directions(dims: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((dims, M_DIMS))
+    """Directions of the vectors' coordinates, and of the extra one as last row."""
+    way = np.random.default_rng(SEED).standard_normal((dims + 1, M_DIMS))
+    way[dims] *= math.sqrt(M_DIMS / (way[dims] @ way[dims]))
+    return way
 
 
 class Tree:
@@ -92,52 +103,75 @@ class Tree:
         return out
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, top_norm: float, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+class Band:
+    """Vectors of similar norm: ``rows`` of the block in leaf order, each leaf's places in them, the largest norm."""
+
+    def __init__(self, rows: np.ndarray, vectors: np.ndarray, norms: np.ndarray, way: np.ndarray):
+        self.top = float(norms.max()) * (1 + 1e-9)
+        lift = np.sqrt(np.maximum(self.top**2 - norms**2, 0))
+        self.tree = Tree(vectors.astype(np.float64) @ way[:-1] + lift[:, None] * way[-1])
+        self.rows = rows[self.tree.order]
+        self.laid = vectors[self.tree.order]
+        edges = self.tree.edges
+        member = edges[:-1, None] + np.arange(int((edges[1:] - edges[:-1]).max()))
+        self.filled = member < edges[1:, None]
+        self.member = np.where(self.filled, member, 0)
+
+
+def bands(vectors: np.ndarray, way: np.ndarray) -> list[Band]:
+    """The vectors by norm, longest first; a band's norms differ by a factor of ``BAND`` at most."""
+    norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64))
+    kind = np.floor(np.log(norms.max() / norms) / -math.log(BAND) + 1e-6).astype(np.int64)
+    order = np.argsort(kind, kind="stable")
+    cuts = np.flatnonzero(np.diff(kind[order])) + 1
+    return [Band(rows, vectors[rows], norms[rows], way) for rows in np.split(order, cuts)]
+
+
+def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query_id, vec_id, score) of each query's k nearest found, and the number of verified pairs."""
-    dims = vectors.shape[1]
-    way = directions(dims + 1)
+    way = directions(vectors.shape[1])
     vectors, first, ids = classes(ids, np.ascontiguousarray(vectors, dtype=np.float32))
-    wide = vectors.astype(np.float64)
-    lift = np.sqrt(np.maximum(top_norm**2 - (wide * wide).sum(axis=1), 0))
-    tree = Tree(wide @ way[:dims] + lift[:, None] * way[dims])
-    del wide
-    laid = vectors[tree.order]
-    size = int((tree.edges[1:] - tree.edges[:-1]).max())
-    member = tree.edges[:-1, None] + np.arange(size)
-    filled = member < tree.edges[1:, None]
-    member = np.where(filled, member, 0)
+    parts = bands(vectors, way)
     spare = k + 12  # classes kept for the final order in double precision
     out, verified = [], 0
     for at in range(0, len(queries), BATCH):
         own, q = query_ids[at : at + BATCH], queries[at : at + BATCH].astype(np.float64)
-        q32 = q.astype(np.float32)[:, :, None]
-        far = tree.distances(q @ way[:dims])
-        turn = np.argsort(far, axis=1)
-        far = np.take_along_axis(far, turn, axis=1)
-        base = top_norm**2 + (q * q).sum(axis=1)
+        unit = q / np.sqrt((q * q).sum(axis=1))[:, None]
+        u32, projected = unit.astype(np.float32)[:, :, None], unit @ way[:-1]
         best = np.full((len(q), spare), -np.inf, dtype=np.float32)
         best_at = np.full((len(q), spare), -1, dtype=np.int64)
-        live = np.arange(len(q))
-        for leaf in range(0, turn.shape[1], STEP):
-            if leaf:
-                # the query's own class may be among the first k, so one more is asked for
-                kth = base[live] - 2 * np.partition(best[live], spare - k - 1, axis=1)[:, spare - k - 1].astype(np.float64)
-                ratio = np.where(np.isfinite(kth), far[live, leaf] / np.maximum(kth, 1e-12), 0)
-                live = live[chi2_cdf(ratio) < confidence]
-                if not len(live):
-                    break
-            leaves = turn[live, leaf : leaf + STEP]
-            rows = member[leaves].reshape(len(live), -1)
-            there = filled[leaves].reshape(len(live), -1)
-            verified += int(there.sum())
-            score = np.where(there, np.matmul(laid[rows], q32[live])[:, :, 0], -np.inf)
-            score = np.concatenate((best[live], score), axis=1)
-            where = np.concatenate((best_at[live], np.where(there, rows, -1)), axis=1)
-            pick = np.argpartition(-score, spare - 1, axis=1)[:, :spare]
-            best[live] = np.take_along_axis(score, pick, axis=1)
-            best_at[live] = np.take_along_axis(where, pick, axis=1)
+
+        def kth(rows: np.ndarray, best=best) -> np.ndarray:
+            # the query's own class may be among the first k, so one more is asked for
+            return np.partition(best[rows], spare - k - 1, axis=1)[:, spare - k - 1].astype(np.float64)
+
+        for band in parts:
+            live = np.flatnonzero(kth(np.arange(len(q))) <= band.top * (1 + 1e-6))
+            if not len(live):
+                break  # the bands to come are shorter
+            far = np.full((len(q), len(band.member)), np.inf)
+            far[live] = band.tree.distances(projected[live] * band.top)
+            turn = np.argsort(far, axis=1)
+            far = np.take_along_axis(far, turn, axis=1)
+            for leaf in range(0, turn.shape[1], STEP):
+                if leaf:
+                    near = 2 * band.top * (band.top - kth(live))
+                    ratio = np.where(np.isfinite(near), far[live, leaf] / np.maximum(near, 1e-12 * band.top**2), 0)
+                    live = live[chi2_cdf(ratio) < confidence]
+                    if not len(live):
+                        break
+                leaves = turn[live, leaf : leaf + STEP]
+                rows = band.member[leaves].reshape(len(live), -1)
+                there = band.filled[leaves].reshape(len(live), -1)
+                verified += int(there.sum())
+                score = np.where(there, np.matmul(band.laid[rows], u32[live])[:, :, 0], -np.inf)
+                score = np.concatenate((best[live], score), axis=1)
+                where = np.concatenate((best_at[live], np.where(there, band.rows[rows], -1)), axis=1)
+                pick = np.argpartition(-score, spare - 1, axis=1)[:, :spare]
+                best[live] = np.take_along_axis(score, pick, axis=1)
+                best_at[live] = np.take_along_axis(where, pick, axis=1)
         got = best_at >= 0
-        row, found = np.nonzero(got)[0], tree.order[best_at[got]]
+        row, found = np.nonzero(got)[0], best_at[got]
         exact = (vectors[found].astype(np.float64) * q[row]).sum(axis=1)
         # a class gives its k + 1 smallest ids: no more of them can be among a query's k nearest
         many = np.minimum(first[found + 1] - first[found], k + 1)
@@ -181,13 +215,12 @@ def nearest(table: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
         return kept.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
 
     base, asked = rows(table), rows(queries)
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    shapes = base.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n"), F.max(norm).alias("norm")).collect()
+    shapes = base.groupBy(F.size("vector").alias("dims")).agg(F.count("*").alias("n")).collect()
     if not shapes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shape = max(shapes, key=lambda r: (r["n"], -r["dims"]))
     base, asked = (df.where(F.size("vector") == shape["dims"]) for df in (base, asked))
-    n, n_asked, top_norm = shape["n"], asked.count(), float(shape["norm"]) * (1 + 1e-9)
+    n, n_asked = shape["n"], asked.count()
     cores = 2 * spark.sparkContext.defaultParallelism
     blocks = max(math.ceil(n / block_rows), min(cores, math.ceil(n / 2048)))
     groups = max(1, math.ceil(n_asked / query_rows))
@@ -198,7 +231,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        a, b, c, _ = search(*_array(left), *_array(right), k, top_norm, confidence)
+        a, b, c, _ = search(*_array(left), *_array(right), k, confidence)
         return pa.table({"query_id": a, "vec_id": b, "score": c})
 
     found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(run, SCHEMA)
