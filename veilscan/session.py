@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
@@ -81,3 +82,28 @@ def materialize(df):
     done = cached.checkpoint(eager=True)
     cached.unpersist()
     return done
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application.
+
+    Functions of the package are pickled by reference, so a worker has to import
+    it; Spark's own file distribution carries the zip, whatever folder the job
+    was started from.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="veilscan-package-"), f"veilscan_{context.applicationId.replace('-', '_')}")
+    with zipfile.ZipFile(f"{base}.zip", "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(f"{base}.zip")
+    _SHIPPED.add(context.applicationId)
