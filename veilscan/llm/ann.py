@@ -38,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import workers
+
 M_DIMS = 8
 CONFIDENCE = 0.95
 #: Smallest norm in a band over its largest.
@@ -234,6 +236,6 @@ def nearest(table: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
         a, b, c, _ = search(*_array(left), *_array(right), k, confidence)
         return pa.table({"query_id": a, "vec_id": b, "score": c})
 
-    found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(run, SCHEMA)
+    found = workers(left).groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(run, SCHEMA)
     nearest_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import workers
+
 #: q-gram length in bytes, 9 to 16.
 Q = 12
 #: Edits for each byte of an item.
@@ -262,7 +264,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
             yield from scan_batches(batches, shared.value, to_arrow_type(id_type))
 
-        parts.append(rows.mapInArrow(run, f"doc_id {id_type.simpleString()}, {SCHEMA}"))
+        parts.append(workers(rows).mapInArrow(run, f"doc_id {id_type.simpleString()}, {SCHEMA}"))
     if not parts:
         return spark.createDataFrame([], f"doc_id {id_type.simpleString()}, {SCHEMA}")
     out = parts[0]

@@ -39,6 +39,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import workers
+
 LINE_END = re.compile(rb"[.!?,;:][ \t]+|\n")
 MIN_LINES = 2
 MIN_WORDS = 8
@@ -124,7 +126,7 @@ def chunk_rows(keyed: DataFrame, with_body: bool) -> DataFrame:
                 names.append("body")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return keyed.mapInArrow(run, schema)
+    return workers(keyed).mapInArrow(run, schema)
 
 
 def alternate(id_col: Column, text: Column) -> Column:
@@ -181,4 +183,4 @@ def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
             columns += [pa.array(counts, pa.int32()), pa.array(sizes, pa.int64()), pa.array(copied, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=kinds.fieldNames())
 
-    return rows.mapInArrow(run, kinds)
+    return workers(rows).mapInArrow(run, kinds)

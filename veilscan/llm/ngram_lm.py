@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stage, work_dir
+from .common import partitions, stage, work_dir, workers
 
 #: Text bytes for each shard of the model: bounds what one task merges.
 SHARD_BYTES = 64 << 20
@@ -281,7 +281,7 @@ def _vocabulary_job(rows: DataFrame, model: Model) -> Model:
         ends = int(n[words == END].sum())
         return pa.table({"shard": pa.array([k], pa.int32()), "words": [len(words)], "tokens": [int(n.sum())], "documents": [ends]})
 
-    made = rows.mapInArrow(count, BLOCK).groupBy("shard").applyInArrow(reduce, "shard int, words long, tokens long, documents long").collect()
+    made = workers(rows).mapInArrow(count, BLOCK).groupBy("shard").applyInArrow(reduce, "shard int, words long, tokens long, documents long").collect()
     sizes = [0] * shards
     for r in made:
         sizes[r["shard"]] = r["words"]
@@ -362,7 +362,7 @@ def _bigram_job(rows: DataFrame, model: Model) -> Model:
         made = block([-1, *used], [wide, *[word[cut[r] : cut[r + 1]].astype("<u4").tobytes() for r in used]], [np.array([(n == x).sum() for x in (1, 2, 3, 4)] + [len(n)], "<i8").tobytes(), *[narrow(contexts[cut[r] : cut[r + 1]]) for r in used]])
         return pa.Table.from_batches([made])
 
-    sent = stage(rows.mapInArrow(count, BLOCK).groupBy("shard").applyInArrow(reduce, BLOCK), "bigrams")
+    sent = stage(workers(rows).mapInArrow(count, BLOCK).groupBy("shard").applyInArrow(reduce, BLOCK), "bigrams")
     kinds, wide = np.zeros(5, dtype=np.int64), {}
     for r in sent.where("shard = -1").select("a", "b").collect():
         kinds += np.frombuffer(r["b"], "<i8")
@@ -506,5 +506,5 @@ def score(documents: DataFrame, model: Model, held_out: Column, id_col: str = "d
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", *[c.split()[0] for c in OUT.split(", ")]])
 
     rows = documents.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(run, f"doc_id {id_type}, held_out boolean, {OUT}")
+    scored = workers(rows).mapInArrow(run, f"doc_id {id_type}, held_out boolean, {OUT}")
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

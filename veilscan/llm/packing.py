@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import workers
+
 LENGTH = 1024
 #: Rests that are balanced together: bounds a task's memory (4096 * 1023 ids at most).
 BLOCK = 4096
@@ -180,4 +182,4 @@ def pack(documents: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
         yield from pack_batches(batches, vocabulary, end_id, length, block, linear, quadratic, first, markers)
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, SCHEMA)
+    return workers(rows).mapInArrow(run, SCHEMA)

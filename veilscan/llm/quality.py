@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import workers
+
 PASSAGE = 64
 SAMPLE = 8000
 THRESHOLD = 0.3
@@ -196,7 +198,7 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, label_col: str
     # the chosen labels are bounded by ``sample``; one text for each of them
     rows = documents.join(F.broadcast(chosen), documents[id_col] == chosen["__id"]).select("__id", F.col(text_col).cast("string").alias("text"), "__label")
     kind = chosen.schema["__id"].dataType.simpleString()
-    made = rows.mapInArrow(run, f"id {kind}, label int, bag binary").collect()
+    made = workers(rows).mapInArrow(run, f"id {kind}, label int, bag binary").collect()
     made.sort(key=lambda r: (str(r["id"]), bytes(r["bag"])))
     made = made[:sample]
     bags = [np.frombuffer(r["bag"], dtype=np.float32).reshape(-1, FEATURES) for r in made]
@@ -222,4 +224,4 @@ def score(documents: DataFrame, net: Net, text_col: str = "text", out: str = "sc
 
     kept = documents.drop(out)
     schema = kept.schema.add(out, "double")
-    return kept.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return workers(kept).withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, schema)

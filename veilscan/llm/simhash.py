@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, workers
 
 SHINGLE = 3
 BITS = 2
@@ -76,7 +76,7 @@ def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["doc_id", "fp"])
 
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {id_type.simpleString()}, fp long")
+    return workers(rows).mapInArrow(run, f"doc_id {id_type.simpleString()}, fp long")
 
 
 def pieces(width: int, count: int) -> list[tuple[int, int]]:
@@ -212,7 +212,7 @@ def links(nodes: DataFrame, bits: int = BITS, hot_key: int = HOT_KEY) -> DataFra
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     # groups that share a hash only meet without need: every pair is compared bit by bit
-    return rows.select("fp", group).repartition("g").mapInArrow(run, "u long, v long")
+    return workers(rows).select("fp", group).repartition("g").mapInArrow(run, "u long, v long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

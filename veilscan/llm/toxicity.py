@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import workers
 from .quality import labelled
 
 SAMPLE = 20_000
@@ -177,7 +178,7 @@ def learn_lexicon(rows: DataFrame) -> tuple[dict[bytes, float], dict[bytes, floa
     clean, toxic = (int(x or 0) for x in rows.agg(F.sum(F.lit(1) - F.col("label")), F.sum("label")).first())
     if not clean or not toxic:
         return {}, {}
-    counts = rows.mapInArrow(count, "unit binary, clean long, toxic long").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = workers(rows).mapInArrow(count, "unit binary, clean long, toxic long").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     weight = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
     strong = counts.withColumn("weight", weight).where((F.col("toxic") >= max(LEAST_SUPPORT, SUPPORT * toxic)) & (F.col("weight") >= LEAST_WEIGHT))
     words, stems = {}, {}
@@ -201,7 +202,7 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, label_col: str
             made = [features(t.as_py(), words, stems) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.list_(pa.float64()))], names=["label", "x"])
 
-    made = rows.mapInArrow(run, "label int, x array<double>").groupBy("label", "x").count().collect()
+    made = workers(rows).mapInArrow(run, "label int, x array<double>").groupBy("label", "x").count().collect()
     x = np.array([r["x"] for r in made for _ in range(r["count"])]).reshape(-1, len(KINDS) + 1)
     y = np.array([r["label"] for r in made for _ in range(r["count"])], dtype=np.float64)
     return Grammar(words, stems, fit_weights(x, y))
@@ -217,4 +218,4 @@ def score(documents: DataFrame, grammar: Grammar, text_col: str = "text", out: s
 
     kept = documents.drop(out)
     schema = kept.schema.add(out, "double")
-    return kept.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return workers(kept).withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, schema)
