@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, line_dedup, ngram_lm, oracles, packing, quality, reshard, simhash, toxicity, url_filter
+from . import ann, decontaminate, line_dedup, ngram_lm, oracles, packing, quality, reshard, simhash, toxicity, url_filter, winnowing
 from .common import crc_mod
 
 SHARDS = 16
@@ -81,6 +81,10 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), markers=True)
 
 
+def op11_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_reshard": op1_reshard,
     "op2_decontaminate": op2_decontaminate,
@@ -92,5 +96,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_nearest": op9_nearest,
     "op10_pack": op10_pack,
+    "op11_winnow": op11_winnow,
 }
 ORACLE = oracles.ORACLE
