@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from veilscan.llm import queries, winnowing
+from veilscan.llm import prefix_trie, queries, winnowing
 
 SF = "/root/testdata/sf0.001"
 MASK = (1 << 64) - 1
@@ -97,3 +97,72 @@ def test_winnow_edge_rows(spark):
     assert made == sorted(slow_neighbours([(a, b or "") for a, b in rows]), key=repr)
     marks = {r["doc_id"]: [(x["hash"] & MASK, x["position"]) for x in r["marks"]] for r in winnowing.fingerprints(spark.createDataFrame([(2, "some text, some text", *clash), (1, None, *clash)], kind)).collect()}
     assert marks == {2: slow_marks("some text, some text", winnowing.K, winnowing.W), 1: []}
+
+
+# 12 prefix trie
+
+
+def slow_trie(rows):
+    """rows: (conv_id, turn, role, text), turns of a conversation in order."""
+    own = {}
+    for conv, _, role, text in rows:
+        if conv is not None:
+            own.setdefault(conv, []).append((role or "", text or ""))
+    built = {}
+    for conv, turns in own.items():
+        h = zlib.crc32(str(conv).encode()) % 9
+        built[conv] = tuple(own.get(conv - conv % 5, [])[:h] + turns[h:])
+    nodes = {}
+    for conv, turns in built.items():
+        for d in range(len(turns) + 1):
+            nodes.setdefault(turns[:d], []).append(conv)
+    children = Counter(p[:-1] for p in nodes if p)
+    leaves, saved = Counter(), Counter()
+    for path, members in nodes.items():
+        worth = (len(members) - 1) * len(path[-1][1].encode()) if path else 0
+        for d in range(len(path) + 1):
+            leaves[path[:d]] += not children[path]
+            saved[path[:d]] += worth
+    ends = lambda path: hashlib.sha256(",".join(str(c) for c in sorted(nodes[path]) if len(built[c]) == len(path)).encode()).hexdigest()
+    return sorted(
+        ((min(m), len(p), min(nodes[p[:-1]]) if p else None, len(m), children[p], leaves[p], saved[p], ends(p)) for p, m in nodes.items()),
+        key=repr,
+    )
+
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def trie(spark, rows, slices=None):
+    clash = {c: F.lit("x") for c in ("conv", "depth", "fp", "up", "v", "u", "pid", "idx", "spread", "h", "h1", "h2", "bytes")}
+    return sorted((tuple(r) for r in prefix_trie.build_trie(spark.createDataFrame(rows, TURNS).withColumns(clash)).collect()), key=repr)
+
+
+def test_trie_equals_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for conv in range(60):
+        rows += [(conv, t, rng.choice(["user", "assistant"]), rng.choice(["a", "b", "é é"])) for t in range(rng.randint(1, 12))]
+    rows = [r for r in rows if r[0] not in (10, 11, 20)]  # a base that is absent, and a member
+    assert trie(spark, rows) == slow_trie(rows)
+
+
+def test_trie_edge_rows(spark):
+    assert trie(spark, []) == []
+    odd = [(0, None, None, None), (0, 1, "user", ""), (1, 5, "user", "x" * 50_000), (None, 1, "user", "no conversation"), (3, 1, None, None), (12, 2, "user", "base absent"), (7, 1, "ab", "c"), (8, 1, "a", "bc")]
+    assert trie(spark, odd) == slow_trie(odd)
+
+
+def test_trie_of_a_hot_conversation(spark):
+    """One conversation longer than a slice, twins of it, and a chain in which each hangs on the one before."""
+    long = [(5, t, "user", f"turn {t % 7}") for t in range(900)] + [(c, t, "user", f"turn {t % 7}") for c in (105, 110) for t in range(900)]
+    chain = [(1000 + 5 * c, t, "user", "same" if t < c else f"own {c}") for c in range(12) for t in range(c + 1)]
+    assert trie(spark, long + chain) == slow_trie(long + chain)
+
+
+def test_trie_survives_hash_collisions(spark, monkeypatch):
+    """Under the first seed all turns have one hash: found out and built again."""
+    true_hash = prefix_trie.hashed_turns
+    monkeypatch.setattr(prefix_trie, "hashed_turns", lambda c, seed: true_hash(c, seed) if seed else true_hash(c, seed).withColumns({"h1": F.lit(1).cast("long"), "h2": F.lit(2).cast("long")}))
+    rows = [(c, t, "user", f"{c % 2} {t}") for c in range(6) for t in range(3)]
+    assert trie(spark, rows) == slow_trie(rows)

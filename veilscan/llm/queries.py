@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, line_dedup, ngram_lm, oracles, packing, quality, reshard, simhash, toxicity, url_filter, winnowing
+from . import ann, decontaminate, line_dedup, ngram_lm, oracles, packing, prefix_trie, quality, reshard, simhash, toxicity, url_filter, winnowing
 from .common import crc_mod
 
 SHARDS = 16
@@ -85,6 +85,10 @@ def op11_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.build_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_reshard": op1_reshard,
     "op2_decontaminate": op2_decontaminate,
@@ -97,5 +101,6 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_pack": op10_pack,
     "op11_winnow": op11_winnow,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 ORACLE = oracles.ORACLE
