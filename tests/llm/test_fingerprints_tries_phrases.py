@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
-import pytest
+import numpy as np
 from pyspark.sql import functions as F
 
-from veilscan.llm import prefix_trie, queries, winnowing
+from veilscan.llm import collocations, prefix_trie, queries, winnowing
 
 SF = "/root/testdata/sf0.001"
 MASK = (1 << 64) - 1
@@ -166,3 +167,83 @@ def test_trie_survives_hash_collisions(spark, monkeypatch):
     monkeypatch.setattr(prefix_trie, "hashed_turns", lambda c, seed: true_hash(c, seed) if seed else true_hash(c, seed).withColumns({"h1": F.lit(1).cast("long"), "h2": F.lit(2).cast("long")}))
     rows = [(c, t, "user", f"{c % 2} {t}") for c in range(6) for t in range(3)]
     assert trie(spark, rows) == slow_trie(rows)
+
+
+# 13 phrases
+
+
+def slow_phrases(rows, support, top):
+    """rows: (lang, text)."""
+    f, n = Counter(), Counter()
+    for lang, text in rows:
+        lang = lang or "und"
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for k in range(1, 5):
+                for i in range(len(words) - k + 1):
+                    f[lang, tuple(words[i : i + k])] += 1
+    out = []
+    found = {key: a for key, a in f.items() if a >= support and len(key[1]) > 1}
+    for (lang, p), a in found.items():
+        inside = lambda long, p=p: any(long[i : i + len(p)] == p for i in range(len(long) - len(p) + 1))
+        if any(x == lang and len(q) > len(p) and 100 * b >= 80 * a and inside(q) for (x, q), b in found.items()):
+            continue
+        cut = lambda k, p=p, lang=lang: (f[lang, p[:k]], f[lang, p[k:]])
+        worst, k = min((2_000_000 * a // sum(cut(k)), k) for k in range(1, len(p)))
+        out.append((lang, -worst, -a, " ".join(p).encode(), *cut(k)))
+    made, rank = [], Counter()
+    for lang, worst, a, phrase, left, right in sorted(out):
+        rank[lang] += 1
+        if rank[lang] <= top:
+            made.append((lang, rank[lang], phrase.decode(), -a, left, right, n[lang], -worst))
+    return sorted(made)
+
+
+def phrases(spark, rows, support=30, top=2000):
+    kind = "doc_id long, lang string, text string, shard string, phrase string, f string, n string, rank string"
+    table = spark.createDataFrame([(k % 7 or None, *r, *("x",) * 5) for k, r in enumerate(rows)], kind)
+    return sorted(tuple(r) for r in collocations.collocations(table, support, top).collect())
+
+
+def test_phrases_equal_brute_force(spark):
+    rng = random.Random(6)
+    words = ["new", "York", "york", "é", "of", "the", "a b", "stock", "x1"]
+    rows = [(rng.choice(["en", "de", None]), "".join(rng.choice(words) + rng.choice([" ", " ", "\t ", "  ", ". ", ",", "\n"]) for _ in range(rng.randint(0, 60)))) for _ in range(150)]
+    rows += [("en", None), ("fr", ""), ("en", rows[0][1])] * 3
+    for support, top in ((30, 2000), (8, 20), (1, 100)):
+        assert phrases(spark, rows, support, top) == slow_phrases(rows, support, top)
+
+
+def test_phrases_of_long_and_hot_texts(spark, monkeypatch):
+    """Blocks of a few bytes: words and phrases that lie across block ends count once."""
+    monkeypatch.setattr(collocations, "BLOCK", 64)
+    rng = random.Random(7)
+    long = " ".join(rng.choice(["aa", "b", "cc,", "averyveryverylongwordthatislongerthanablockofsixtyfourbytesinthistest"]) for _ in range(3000))
+    texts = [long.encode(), b"", b" ", b"x" * 500, b"a b c d"]
+    for raw in texts:
+        parts = list(collocations.cut_text(raw))
+        assert b"".join(t[:own] for t, own in parts) == raw
+    count = Counter()
+    for text, own in collocations.cut_text(long.encode()):
+        words = collocations.Words(text, own, 1)
+        for n in range(1, 5):
+            for at in words.windows(n).tolist():
+                count[tuple(words.text[words.start[at + k] : words.end[at + k]].decode() for k in range(n))] += 1
+    expected = Counter()
+    for piece in long.split(","):
+        words = piece.split()
+        expected.update(tuple(words[i : i + k]) for k in range(1, 5) for i in range(len(words) - k + 1))
+    assert count == expected
+    rows = [("en", "the same row of many")] * 300
+    assert phrases(spark, rows) == slow_phrases(rows, 30, 2000)
+    assert phrases(spark, []) == []
+
+
+def test_filters_hold_every_key(spark):
+    keys = [(i * 0x9E3779B97F4A7C15) & ((1 << 60) - 1) for i in range(1, 5000)]
+    made = collocations.build_filter(spark.createDataFrame([(k,) for k in keys], "h long"))
+    assert made.has(np.array(keys, dtype=np.uint64)).all()
+    other = np.random.default_rng(1).integers(0, 1 << 60, 20_000).astype(np.uint64)
+    assert made.has(other).mean() < 0.05

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, line_dedup, ngram_lm, oracles, packing, prefix_trie, quality, reshard, simhash, toxicity, url_filter, winnowing
+from . import ann, collocations, decontaminate, line_dedup, ngram_lm, oracles, packing, prefix_trie, quality, reshard, simhash, toxicity, url_filter, winnowing
 from .common import crc_mod
 
 SHARDS = 16
@@ -89,6 +89,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.build_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
 QUERIES = {
     "op1_reshard": op1_reshard,
     "op2_decontaminate": op2_decontaminate,
@@ -102,5 +106,6 @@ QUERIES = {
     "op10_pack": op10_pack,
     "op11_winnow": op11_winnow,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_collocations": op13_collocations,
 }
 ORACLE = oracles.ORACLE
