@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ HELD = 80
 FILTER_BITS, BITS_EACH = 1 << 28, 16
 #: Bytes of text that are parsed at once, and counts that a task holds before it sends them.
 BLOCK = 1 << 21
-HELD_COUNTS = 1 << 21
+HELD_COUNTS = 1 << 20
 
 _KIND = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -105,13 +106,13 @@ class Words:
             made = mix(made * _ODD[3] + self.hash[at + k])
         return (made + np.uint64(n)) & _MASK60
 
-    def codes(self) -> tuple[np.ndarray, list[str]]:
+    def codes(self) -> tuple[np.ndarray, pa.Array]:
         """Every word's number, and the distinct words."""
         raw = np.frombuffer(self.text, dtype=np.uint8)
         body = raw[(raw != 10) & (raw != 32)].tobytes()
         edges = np.concatenate(([0], np.cumsum(self.end - self.start))).astype(np.int32)
         made = pa.BinaryArray.from_buffers(pa.binary(), len(self.start), [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(body)]).dictionary_encode()
-        return made.indices.to_numpy().astype(np.int64), [w.decode("utf-8", "replace") for w in made.dictionary.to_pylist()]
+        return made.indices.to_numpy().astype(np.int64), made.dictionary.cast(pa.string())
 
 
 def cut_text(raw: bytes) -> Iterator[tuple[bytes, int]]:
@@ -268,17 +269,12 @@ def local_key() -> Column:
 
 
 def count_candidates(rows: DataFrame, known) -> DataFrame:
-    """lang, phrase, words, f: exact counts of every phrase in the filter, by its text."""
+    """lang, phrase, words, f: exact counts of every phrase in the filter, by its text.
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        held: dict[tuple[str, int, str], int] = {}
-
-        def send():
-            keys = list(held)
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(held.values()), pa.int64())]
-            held.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "words", "f"])
+    A task counts block by block; Spark's partial aggregation, which may spill, joins its blocks.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]):
         for lang, _, words in parsed(batches):
             code, names = words.codes()
             for n in range(1, LONGEST + 1):
@@ -292,12 +288,9 @@ def count_candidates(rows: DataFrame, known) -> DataFrame:
                         key = np.unique(key, return_inverse=True)[1]
                     key = key * len(names) + code[at + k]
                 _, first, count = np.unique(key, return_index=True, return_counts=True)
-                for place, c in zip(at[first].tolist(), count.tolist(), strict=True):
-                    one = (lang, n, " ".join([names[x] for x in code[place : place + n].tolist()]))
-                    held[one] = held.get(one, 0) + c
-            if len(held) > HELD_COUNTS // 4:
-                yield send()
-        yield send()
+                spoken = [names.take(pa.array(code[at[first] + k])) for k in range(n)]
+                phrase = pc.binary_join_element_wise(*spoken, " ") if n > 1 else spoken[0]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), phrase, pa.array(np.full(len(first), n, dtype=np.int32)), pa.array(count)], names=["lang", "phrase", "words", "f"])
 
     return workers(rows).mapInArrow(run, "lang string, phrase string, words int, f long").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 
