@@ -50,7 +50,9 @@ HELD = 80
 FILTER_BITS, BITS_EACH = 1 << 28, 16
 #: Bytes of text that are parsed at once, and counts that a task holds before it sends them.
 BLOCK = 1 << 21
-HELD_COUNTS = 1 << 20
+HELD_COUNTS = 1 << 19
+#: Rows of a batch that leaves a task.
+SLICE = 1 << 15
 
 _KIND = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 _ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -209,6 +211,12 @@ def build_filter(keys: DataFrame) -> Filter:
     return Filter(bits, size)
 
 
+def small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices, which the receiving side buffers one at a time."""
+    for at in range(0, batch.num_rows, SLICE):
+        yield batch.slice(at, SLICE)
+
+
 def shard_keys(h: np.ndarray, shard: int) -> np.ndarray:
     """Keys of a shard's own phrases."""
     return (h + np.uint64(shard * int(_ODD[1]) & int(_MASK60))) & _MASK60
@@ -222,7 +230,7 @@ def count_shards(rows: DataFrame, lengths: tuple[int, ...], parts: int, known) -
 
         def send(shard):
             h, n = np.unique(np.concatenate(waiting.pop(shard)), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.full(len(h), shard, dtype=np.int32)), pa.array(n)], names=["h", "shard", "n"])
+            return small(pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(np.full(len(h), shard, dtype=np.int32)), pa.array(n)], names=["h", "shard", "n"]))
 
         for _, shard, words in parsed(batches):
             usable = None
@@ -237,9 +245,9 @@ def count_shards(rows: DataFrame, lengths: tuple[int, ...], parts: int, known) -
                         at = at[usable[at + k]]
                 waiting.setdefault(shard, []).append(words.grams(at, n))
             if sum(map(len, waiting[shard])) > HELD_COUNTS:
-                yield send(shard)
+                yield from send(shard)
         for shard in list(waiting):
-            yield send(shard)
+            yield from send(shard)
 
     return workers(rows).mapInArrow(run, "h long, shard int, n long").groupBy("h", "shard").agg(F.sum("n").alias("n"))
 
@@ -290,7 +298,7 @@ def count_candidates(rows: DataFrame, known) -> DataFrame:
                 _, first, count = np.unique(key, return_index=True, return_counts=True)
                 spoken = [names.take(pa.array(code[at[first] + k])) for k in range(n)]
                 phrase = pc.binary_join_element_wise(*spoken, " ") if n > 1 else spoken[0]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), phrase, pa.array(np.full(len(first), n, dtype=np.int32)), pa.array(count)], names=["lang", "phrase", "words", "f"])
+                yield from small(pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), phrase, pa.array(np.full(len(first), n, dtype=np.int32)), pa.array(count)], names=["lang", "phrase", "words", "f"]))
 
     return workers(rows).mapInArrow(run, "lang string, phrase string, words int, f long").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 
