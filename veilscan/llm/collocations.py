@@ -49,7 +49,7 @@ HELD = 80
 #: Bits of a level's filter at most, and bits for each of its keys.
 FILTER_BITS, BITS_EACH = 1 << 28, 16
 #: Bytes of text that are parsed at once, and counts that a task holds before it sends them.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 HELD_COUNTS = 1 << 19
 #: Rows of a batch that leaves a task.
 SLICE = 1 << 15
