@@ -24,9 +24,9 @@ def vocabulary() -> str:
 
 
 def op1_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("_metadata.file_path").alias("place"))
-    made = reshard.plan_reshard(docs, "place", SHARDS)
-    rows = reshard.with_slots(reshard.assign(made).drop("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("_metadata.file_path").alias("place"), F.col("_metadata.row_index").alias("line"))
+    made = reshard.plan_reshard(docs, "place", SHARDS, row_col="line")
+    rows = reshard.with_slots(reshard.assign(made).drop("text", "line"))
     return rows.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
         "old_shard", (F.col("shard") != F.col("old_shard")).alias("moved"),

@@ -4,7 +4,8 @@ Old shard sizes and new capacities form a transport problem: shipping a byte
 from old shard i to new shard j costs 0 when the byte stays at home and 1 (or a
 caller's price) when it moves. The flow says how many bytes go from i to j.
 Rows are grouped into blocks inside their old shard (rows above a size
-threshold each on their own, the others by hash), and each old shard's blocks
+threshold each on their own, the others by a hash that counts the row's place in
+its file, so repeated rows spread like others), and each old shard's blocks
 are dealt, largest first, to the target with most flow left, so shard sizes
 differ by about ``balance`` of a shard.
 
@@ -14,7 +15,7 @@ map-side join, and their slot from a window inside a block (a bounded slice)
 plus the block's base slot, so no shard passes through one task.
 
 Defined cases: a null text has size 1; null ids are rows like others; repeated
-rows keep all their copies, each with its own slot; an empty table gives an
+rows keep all their copies, each with its own slot, and are spread over blocks; an empty table gives an
 empty result; extra columns are carried by ``rewrite``, except
 those named like the operator's own (``OWN``), which it replaces.
 """
@@ -46,38 +47,37 @@ def equal_capacities(total: int, shards: int) -> list[int]:
 def solve_transfers(sizes: list[int], capacities: list[int], prices: dict[tuple[int, int], int] | None = None) -> dict[tuple[int, int], int]:
     """Cheapest flow of all ``sizes`` into ``capacities``: {(old, new): bytes}.
 
-    Without prices a byte costs 0 at home (old = new) and 1 elsewhere; the two
-    cost classes are then filled in order, which is what successive shortest
-    paths do on such a network. With prices (missing pairs cost 1, home 0) the
-    general successive-shortest-path solver runs on the shard graph.
+    A byte costs 0 at home (old = new), its price on a priced pair, and 1
+    elsewhere. Moves at the common price run over a hub, so the network has as
+    many edges as shards and priced pairs; successive shortest paths solve it.
     """
     if sum(sizes) > sum(capacities):
         raise ValueError("the new shards cannot hold the old ones")
-    if prices is not None:
-        return _successive_paths(sizes, capacities, prices)
-    left, room, flow = list(sizes), list(capacities), {}
-    for i in range(min(len(sizes), len(capacities))):
-        if stay := min(left[i], room[i]):
-            flow[i, i] = stay
-            left[i] -= stay
-            room[i] -= stay
-    j = 0
-    for i, rest in enumerate(left):
-        while rest:
-            while not room[j]:
-                j += 1
-            part = min(rest, room[j])
-            flow[i, j] = flow.get((i, j), 0) + part
-            rest -= part
-            room[j] -= part
-    return flow
-
-
-def _successive_paths(sizes, capacities, prices):
     n, m = len(sizes), len(capacities)
-    source, sink = n + m, n + m + 1
+    if prices:
+        return _successive_paths(sizes, capacities, {(i, j): prices.get((i, j), int(i != j)) for i in range(n) for j in range(m)})
+    flow = _successive_paths(sizes, capacities, {(i, i): 0 for i in range(min(n, m))}, hub=1)
+    # what runs over the hub leaves it in any order
+    leaving = [[i, part] for (i, j), part in sorted(flow.items()) if j == m]
+    made = {pair: part for pair, part in flow.items() if pair[0] < n and pair[1] < m}
+    for (i, j), part in sorted(flow.items()):
+        while i == n and part:
+            step = min(part, leaving[-1][1])
+            made[leaving[-1][0], j] = made.get((leaving[-1][0], j), 0) + step
+            part -= step
+            leaving[-1][1] -= step
+            if not leaving[-1][1]:
+                leaving.pop()
+    return made
+
+
+def _successive_paths(sizes, capacities, prices, hub: int | None = None):
+    """Flow on the priced pairs; with ``hub`` also from old shards to the hub (pair (i, m), at that price) and on to new ones ((n, j), free)."""
+    n, m = len(sizes), len(capacities)
+    source, sink, centre = n + m, n + m + 1, n + m + 2
     edges: list[list[int]] = []  # to, room, cost
-    out: list[list[int]] = [[] for _ in range(n + m + 2)]
+    named: dict[int, tuple[int, int]] = {}
+    out: list[list[int]] = [[] for _ in range(n + m + 3)]
 
     def edge(a, b, room, cost):
         out[a].append(len(edges))
@@ -87,14 +87,21 @@ def _successive_paths(sizes, capacities, prices):
 
     for i, size in enumerate(sizes):
         edge(source, i, size, 0)
-        for j in range(m):
-            edge(i, n + j, size, prices.get((i, j), 0 if i == j else 1))
+        if hub is not None:
+            named[len(edges)] = i, m
+            edge(i, centre, size, hub)
+    for (i, j), price in prices.items():
+        named[len(edges)] = i, j
+        edge(i, n + j, sizes[i], price)
     for j, room in enumerate(capacities):
         edge(n + j, sink, room, 0)
-    height = [0] * (n + m + 2)
+        if hub is not None:
+            named[len(edges)] = n, j
+            edge(centre, n + j, room, 0)
+    height = [0] * (n + m + 3)
     left = sum(sizes)
     while left:
-        dist, via, heap = [math.inf] * (n + m + 2), {}, [(0, source)]
+        dist, via, heap = [math.inf] * (n + m + 3), {}, [(0, source)]
         dist[source] = 0
         while heap:
             d, a = heapq.heappop(heap)
@@ -115,13 +122,7 @@ def _successive_paths(sizes, capacities, prices):
             edges[k][1] -= part
             edges[k ^ 1][1] += part
         left -= part
-    flow = {}
-    for i in range(n):
-        for k in out[i]:
-            b = edges[k][0]
-            if not k & 1 and n <= b < n + m and (sent := edges[k ^ 1][1]):
-                flow[i, b - n] = sent
-    return flow
+    return {pair: sent for k, pair in named.items() if (sent := edges[k ^ 1][1])}
 
 
 class Reshard(NamedTuple):
@@ -135,15 +136,17 @@ def size_of(text: Column) -> Column:
     return (F.octet_length(text_or_empty(text)) + F.lit(1)).cast("long")
 
 
-def plan_reshard(rows: DataFrame, place_col: str, shards: int, id_col: str = "doc_id", text_col: str = "text", balance: float = BALANCE, prices: dict[tuple[int, int], int] | None = None) -> Reshard:
+def plan_reshard(rows: DataFrame, place_col: str, shards: int, id_col: str = "doc_id", text_col: str = "text", balance: float = BALANCE, prices: dict[tuple[int, int], int] | None = None, row_col: str | None = None) -> Reshard:
     """Plan the move of ``rows`` from their present places into ``shards`` shards of near-equal bytes.
 
     ``place_col`` names the file or folder a row lies in. Places in name order
     are the old shards; with more places than new shards, neighbouring places
-    form one old shard, so old shard i is at home in new shard i.
+    form one old shard, so old shard i is at home in new shard i. ``row_col``
+    tells repeated rows of a place apart (a file's row number); without it the
+    scan's running number does, which is the same in each job over the same files.
     """
     spark = rows.sparkSession
-    rows = rows.drop(*(OWN - {place_col, id_col, text_col}))
+    rows = rows.withColumn("row_no", F.monotonically_increasing_id() if row_col is None else F.col(row_col)).drop(*(OWN - {place_col, id_col, text_col}))
     text = text_or_empty(F.col(text_col))
     sized = rows.withColumns({"size": size_of(F.col(text_col)), "text_crc32": F.crc32(text.cast("binary"))})
     places = sorted((r[0] or "", r[1]) for r in sized.groupBy(place_col).agg(F.sum("size")).collect())
@@ -160,9 +163,9 @@ def plan_reshard(rows: DataFrame, place_col: str, shards: int, id_col: str = "do
     # one row a place; no hint, so it is broadcast only where its measured size allows
     lookup = spark.createDataFrame([(p, old_of[p], buckets[old_of[p]]) for p, _ in places], f"`{place_col}` string, old_shard int, buckets int")
     placed = sized.withColumn(place_col, F.coalesce(F.col(place_col), F.lit(""))).join(lookup, place_col)
-    key = F.xxhash64(F.col(id_col), F.col("text_crc32"))
+    key = F.xxhash64(F.col(id_col), F.col("text_crc32"), F.col(place_col), F.col("row_no"))
     blk = F.when(F.col("size") >= limit, key).otherwise(F.pmod(key, F.col("buckets").cast("long")))
-    placed = placed.withColumn("blk", blk).drop("buckets", place_col)
+    placed = placed.withColumn("blk", blk).drop("buckets", "row_no", place_col)
     blocks = placed.groupBy("old_shard", "blk").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()
     target = _deal(blocks, flow)
     base = [0] * shards
