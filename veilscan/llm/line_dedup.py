@@ -25,7 +25,9 @@ lists of removed chunks.
 Defined cases: null and empty texts pass unchanged; documents of one line are
 never changed; rows that share an id are one document to the operator, so
 repeated rows lose the same chunks; rows without an id are told apart by their
-text and come first; extra columns are carried.
+text and come first; very long texts are cut like others, in one pass; extra
+columns are carried, except those named like the operator's own (``OWN``, with
+the caller's prefix), which it replaces.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ from pyspark.sql import types as T
 from .common import workers
 
 LINE_END = re.compile(rb"[.!?,;:][ \t]+|\n")
+#: Columns that the operator adds.
+OWN = ("removed_chunks", "removed_bytes", "copied")
 MIN_LINES = 2
 MIN_WORDS = 8
 MIN_KEPT = 0.3
@@ -150,13 +154,15 @@ def removals(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return later.groupBy("id", "alt").agg(F.collect_set(F.struct("pos", "h")).alias("gone"))
 
 
-def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_kept: float = MIN_KEPT) -> DataFrame:
-    """The rows with the shortened text, ``removed_chunks``, ``removed_bytes`` and ``copied``."""
+def dedup_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_kept: float = MIN_KEPT, prefix: str = "") -> DataFrame:
+    """The rows with the shortened text, ``removed_chunks``, ``removed_bytes`` and ``copied`` (after ``prefix``)."""
+    names = [prefix + c for c in OWN]
+    documents = documents.drop(*(c for c in names if c not in (id_col, text_col)))
     gone = removals(documents, id_col, text_col).select(F.col("id").alias("__id"), F.col("alt").alias("__alt"), F.col("gone").alias("__gone"))
     same = documents[id_col].eqNullSafe(gone["__id"]) & alternate(documents[id_col], documents[text_col]).eqNullSafe(gone["__alt"])
     own = [documents[c] for c in documents.columns]
     rows = documents.join(gone, same, "left").select(*own, "__gone")
-    kinds = T.StructType([*documents.schema.fields, T.StructField("removed_chunks", T.IntegerType()), T.StructField("removed_bytes", T.LongType()), T.StructField("copied", T.BooleanType())])
+    kinds = T.StructType([*documents.schema.fields, *(T.StructField(c, t) for c, t in zip(names, (T.IntegerType(), T.LongType(), T.BooleanType()), strict=True))])
     at = documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
