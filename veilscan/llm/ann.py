@@ -50,6 +50,8 @@ STEP = 32
 #: Queries that are searched together in a task.
 BATCH = 128
 BLOCK_ROWS = 1 << 18
+#: Bytes of the vectors in a block at most (as doubles).
+BLOCK_BYTES = 1 << 26
 QUERY_ROWS = 1 << 16
 SEED = 20
 SCHEMA = "query_id long, vec_id long, score double"
@@ -111,7 +113,7 @@ class Band:
     def __init__(self, rows: np.ndarray, vectors: np.ndarray, norms: np.ndarray, way: np.ndarray):
         self.top = float(norms.max()) * (1 + 1e-9)
         lift = np.sqrt(np.maximum(self.top**2 - norms**2, 0))
-        self.tree = Tree(vectors.astype(np.float64) @ way[:-1] + lift[:, None] * way[-1])
+        self.tree = Tree(vectors @ way[:-1] + lift[:, None] * way[-1])
         self.rows = rows[self.tree.order]
         self.laid = vectors[self.tree.order]
         edges = self.tree.edges
@@ -132,20 +134,20 @@ def bands(vectors: np.ndarray, way: np.ndarray) -> list[Band]:
 def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(query_id, vec_id, score) of each query's k nearest found, and the number of verified pairs."""
     way = directions(vectors.shape[1])
-    vectors, first, ids = classes(ids, np.ascontiguousarray(vectors, dtype=np.float32))
+    vectors, first, ids = classes(ids, np.ascontiguousarray(vectors, dtype=np.float64))
     parts = bands(vectors, way)
-    spare = k + 12  # classes kept for the final order in double precision
+    spare = k + 12  # classes kept beside the k, as products of unit and original queries may round differently
     out, verified = [], 0
     for at in range(0, len(queries), BATCH):
         own, q = query_ids[at : at + BATCH], queries[at : at + BATCH].astype(np.float64)
         unit = q / np.sqrt((q * q).sum(axis=1))[:, None]
-        u32, projected = unit.astype(np.float32)[:, :, None], unit @ way[:-1]
-        best = np.full((len(q), spare), -np.inf, dtype=np.float32)
+        column, projected = unit[:, :, None], unit @ way[:-1]
+        best = np.full((len(q), spare), -np.inf)
         best_at = np.full((len(q), spare), -1, dtype=np.int64)
 
         def kth(rows: np.ndarray, best=best) -> np.ndarray:
             # the query's own class may be among the first k, so one more is asked for
-            return np.partition(best[rows], spare - k - 1, axis=1)[:, spare - k - 1].astype(np.float64)
+            return np.partition(best[rows], spare - k - 1, axis=1)[:, spare - k - 1]
 
         for band in parts:
             live = np.flatnonzero(kth(np.arange(len(q))) <= band.top * (1 + 1e-6))
@@ -166,7 +168,7 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
                 rows = band.member[leaves].reshape(len(live), -1)
                 there = band.filled[leaves].reshape(len(live), -1)
                 verified += int(there.sum())
-                score = np.where(there, np.matmul(band.laid[rows], u32[live])[:, :, 0], -np.inf)
+                score = np.where(there, np.matmul(band.laid[rows], column[live])[:, :, 0], -np.inf)
                 score = np.concatenate((best[live], score), axis=1)
                 where = np.concatenate((best_at[live], np.where(there, band.rows[rows], -1)), axis=1)
                 pick = np.argpartition(-score, spare - 1, axis=1)[:, :spare]
@@ -174,7 +176,7 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
                 best_at[live] = np.take_along_axis(where, pick, axis=1)
         got = best_at >= 0
         row, found = np.nonzero(got)[0], best_at[got]
-        exact = (vectors[found].astype(np.float64) * q[row]).sum(axis=1)
+        exact = (vectors[found] * q[row]).sum(axis=1)
         # a class gives its k + 1 smallest ids: no more of them can be among a query's k nearest
         many = np.minimum(first[found + 1] - first[found], k + 1)
         row, exact = np.repeat(row, many), np.repeat(exact, many)
@@ -224,6 +226,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id"
     base, asked = (df.where(F.size("vector") == shape["dims"]) for df in (base, asked))
     n, n_asked = shape["n"], asked.count()
     cores = 2 * spark.sparkContext.defaultParallelism
+    block_rows = max(1, min(block_rows, BLOCK_BYTES // (8 * shape["dims"])))
     blocks = max(math.ceil(n / block_rows), min(cores, math.ceil(n / 2048)))
     groups = max(1, math.ceil(n_asked / query_rows))
     deal = lambda count, salt: F.pmod(F.xxhash64("vec_id", "vector", F.lit(salt)), F.lit(count)).cast("int")
