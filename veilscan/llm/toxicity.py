@@ -1,19 +1,24 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause's words run through transducers in step:
-
-* lexical: a word becomes INSULT, THREAT, TARGET, NEGATION, REPORT or OTHER.
-  Insults come from a lexicon with weights (words and word stems) that is learned
-  from the labels; the function words are short lists of four languages.
-* negation: a negation opens a scope of ``SCOPE`` words.
-* reported speech: a verb of saying opens a scope up to the clause's end.
-* target: a person word opens a scope of ``SCOPE`` words, to either side.
-
-Their product state says how a matched insult or threat is meant: plain, at a
-target, negated, or reported. So it is clauses that score, not words: a
-document's features are the largest clause weight of each kind and the number
-of matched clauses, and a logistic model over them, held near hand-set weights
-by its prior, gives the score.
+A clause's words run through a cascade of transducers (arc tables, composed into
+one machine when the module is loaded):
+
+* lexical: a word becomes a symbol with a weight: insult, threat, target,
+  negation, report, or none of them. Insults come from a lexicon with weights
+  (words and word stems, ``LEXICON_SIZE`` entries at most) that is learned from
+  the labels; the function words are short lists of four languages.
+* target, right to left: a person word marks the ``SCOPE`` words before it.
+* negation: marks the ``SCOPE`` words after a negation.
+* reported speech: marks everything in the clause after a verb of saying.
+* target, left to right: marks the ``SCOPE`` words after a person word.
+* judge: turns the marks of an insult or threat into its kind (plain, targeted,
+  negated, reported, threat), on an arc with a weight.
+
+A match weighs its word's weight times its arc's, and a clause the largest match
+of each kind. So it is clauses that score, not words: a document's features are
+the largest clause weight of each kind (up to ``HEAVIEST``) and the number of
+matched clauses, and a logistic model over them, held near hand-set weights by
+its prior, gives the score. Time is linear in the words, whatever their clauses.
 
 Learning uses at most ``SAMPLE`` labelled rows (a documented bound); word counts
 by label are aggregated in Spark and only words that pass the bounds on
@@ -21,7 +26,8 @@ support and weight reach the driver. Scoring maps over all rows without a shuffl
 
 Defined cases: null and empty texts have no clause and the lowest score; without
 labels of both kinds only the threat grammar and the prior weights speak;
-repeated rows score alike; conflicting labels of an id count as 1.
+repeated rows score alike; conflicting labels of an id count as 1; a very long
+text is one list of words in a task, read in two passes.
 """
 
 from __future__ import annotations
@@ -37,6 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import workers
 from .quality import labelled
+from .transducers import compose, machine, run
 
 SAMPLE = 20_000
 THRESHOLD = 0.5
@@ -45,6 +52,7 @@ SCOPE = 4
 SUPPORT, LEAST_SUPPORT, LEAST_WEIGHT = 0.01, 4, 2.5
 STEMS = (4, 5, 6)
 LEXICON_SIZE = 4096
+HEAVIEST = 6.0
 KINDS = ("plain", "targeted", "negated", "reported", "threat")
 PRIOR = np.array([-3.0, 1.5, 2.0, 0.3, 0.5, 2.0, 0.5])
 PRIOR_SPREAD = np.array([3.0, 1.5, 1.5, 1.5, 1.5, 1.0, 1.0])
@@ -79,27 +87,49 @@ def insult_weight(word: bytes, words: dict[bytes, float], stems: dict[bytes, flo
     return found
 
 
+INSULT, DANGER, PERSON, NO, SAYS, NEGATED, REPORTED, NEAR = (1 << k for k in range(8))
+
+
+def _scope(opens: int, marks: int, own: bool):
+    """A machine that marks the SCOPE words after an opening one (and that one, if ``own``)."""
+    return machine(SCOPE + 1, lambda s, x: (SCOPE if x & opens else max(0, s - 1), x | (marks if s or own and x & opens else 0)))
+
+
+def _judge(state: int, x: int) -> tuple[int, int]:
+    """Number of the match's kind, from 1; 0 where there is none."""
+    if not x & (INSULT | DANGER):
+        return 0, 0
+    if x & (REPORTED | NEGATED):
+        kind = "reported" if x & REPORTED else "negated"
+    elif x & INSULT:
+        kind = "targeted" if x & NEAR else "plain"
+    else:
+        kind = "threat" if x & NEAR else ""
+    return 0, KINDS.index(kind) + 1 if kind else 0
+
+
+TARGETED = _scope(PERSON, NEAR, True)
+GRAMMAR = compose(compose(compose(_scope(NO, NEGATED, False), machine(2, lambda s, x: (s or int(x & SAYS > 0), x | (REPORTED if s else 0)))), TARGETED), machine(1, _judge))
+#: Weight of the judge's arcs, by kind.
+ARC_WEIGHT = {"plain": 1.0, "targeted": 1.0, "negated": 1.0, "reported": 1.0, "threat": 2.0}
+
+
+def symbol(word: bytes, words: dict[bytes, float], stems: dict[bytes, float]) -> tuple[int, float]:
+    """The lexical machine: a word's symbol and weight."""
+    weight, danger = insult_weight(word, words, stems), word in THREATS
+    made = INSULT * (weight > 0) | DANGER * danger | PERSON * (word in TARGETS) | NO * (word in NEGATIONS) | SAYS * (word in REPORTS)
+    return made, weight or 1.0
+
+
 def run_clause(clause: list[bytes], words: dict[bytes, float], stems: dict[bytes, float]) -> dict[str, float]:
-    """Largest weight of each kind that the composed transducers give the clause."""
-    aimed = [k for k, w in enumerate(clause) if w in TARGETS]
+    """Largest weight of each kind that the composed machine gives the clause."""
+    made = [symbol(word, words, stems) for word in clause]
+    marked = run(TARGETED, [x for x, _ in reversed(made)])[::-1]
     out: dict[str, float] = {}
-    negated, reported = 0, False
-    for k, word in enumerate(clause):
-        weight, threat = insult_weight(word, words, stems), word in THREATS
-        if weight or threat:
-            near = any(abs(k - t) <= SCOPE for t in aimed)
-            if reported:
-                kind = "reported"
-            elif negated:
-                kind = "negated"
-            elif threat and not weight:
-                kind, weight = ("threat", 2.0) if near else ("", 0.0)
-            else:
-                kind = "targeted" if near else "plain"
-            if kind:
-                out[kind] = max(out.get(kind, 0.0), weight or 1.0)
-        negated = SCOPE if word in NEGATIONS else max(0, negated - 1)
-        reported = reported or word in REPORTS
+    for number, (_, weight) in zip(run(GRAMMAR, marked), made, strict=True):
+        if number:
+            kind = KINDS[number - 1]
+            out[kind] = max(out.get(kind, 0.0), weight * ARC_WEIGHT[kind])
     return out
 
 
@@ -123,23 +153,23 @@ def features(text: str | None, words: dict[bytes, float], stems: dict[bytes, flo
         clauses += bool(made)
         for kind, weight in made.items():
             best[kind] = max(best[kind], weight)
-    return [*(min(best[kind], 6.0) / 3 for kind in KINDS), math.log1p(clauses)]
+    return [*(min(best[kind], HEAVIEST) / 3 for kind in KINDS), math.log1p(clauses)]
 
 
 def logistic(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(weights[0] + x @ weights[1:])))
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Most probable logistic weights under a normal prior around PRIOR, by Newton steps."""
+def fit_weights(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Most probable logistic weights under a normal prior around PRIOR, by Newton steps; row k counts n[k] times."""
     weights = PRIOR.copy()
     if not len(y):
         return weights
     wide = np.concatenate((np.ones((len(x), 1)), x), axis=1)
     for _ in range(50):
         p = logistic(x, weights)
-        slope = wide.T @ (p - y) + (weights - PRIOR) / PRIOR_SPREAD**2
-        bend = (wide * (p * (1 - p))[:, None]).T @ wide + np.diag(1 / PRIOR_SPREAD**2)
+        slope = wide.T @ (n * (p - y)) + (weights - PRIOR) / PRIOR_SPREAD**2
+        bend = (wide * (n * p * (1 - p))[:, None]).T @ wide + np.diag(1 / PRIOR_SPREAD**2)
         step = np.linalg.solve(bend, slope)
         weights = weights - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
@@ -197,25 +227,25 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, label_col: str
     rows = documents.join(F.broadcast(chosen), documents[id_col] == chosen["__id"]).where(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col("__label").alias("label"))
     words, stems = learn_lexicon(rows)
 
-    def run(batches: Iterator[pa.RecordBatch]):
+    def measure(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             made = [features(t.as_py(), words, stems) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(made, pa.list_(pa.float64()))], names=["label", "x"])
 
-    made = workers(rows).mapInArrow(run, "label int, x array<double>").groupBy("label", "x").count().collect()
-    x = np.array([r["x"] for r in made for _ in range(r["count"])]).reshape(-1, len(KINDS) + 1)
-    y = np.array([r["label"] for r in made for _ in range(r["count"])], dtype=np.float64)
-    return Grammar(words, stems, fit_weights(x, y))
+    made = workers(rows).mapInArrow(measure, "label int, x array<double>").groupBy("label", "x").count().collect()
+    x = np.array([r["x"] for r in made]).reshape(-1, len(KINDS) + 1)
+    y, n = (np.array([r[c] for r in made], dtype=np.float64) for c in ("label", "count"))
+    return Grammar(words, stems, fit_weights(x, y, n))
 
 
 def score(documents: DataFrame, grammar: Grammar, text_col: str = "text", out: str = "score") -> DataFrame:
     """The rows with their score between 0 and 1 in column ``out``."""
 
-    def run(batches: Iterator[pa.RecordBatch]):
+    def judge(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             x = np.array([features(t.as_py(), grammar.words, grammar.stems) for t in batch.column(batch.num_columns - 1)]).reshape(-1, len(KINDS) + 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(logistic(x, grammar.weights), pa.float64())], schema=pa.schema([*list(batch.schema)[:-1], pa.field(out, pa.float64())]))
 
     kept = documents.drop(out)
     schema = kept.schema.add(out, "double")
-    return workers(kept).withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return workers(kept).withColumn("__text", F.col(text_col).cast("string")).mapInArrow(judge, schema)
