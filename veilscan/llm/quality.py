@@ -11,13 +11,15 @@ and the score is the logistic of a linear map of the weighted sum of h. Only
 document labels are used, so the attention learns which passages tell.
 
 Learning uses at most ``SAMPLE`` labelled rows (the smallest id hashes, a
-documented bound); their passage features are the only data that reaches the
+documented bound), one text of each id (the smallest), and ``TRAIN_PASSAGES``
+passages of it at most; their passage features are the only data that reaches the
 driver. Scoring maps over all rows without a shuffle.
 
 Defined cases: null and empty texts are a bag of one empty passage; without
 labels of both kinds every score is the share of label 1 (0.5 without any);
 repeated rows score alike; conflicting labels of an id count as 1; ids that are
-null are scored, and held out by the fold of the empty text.
+null are scored, and held out by the fold of the empty text; of a very long text
+every passage is scored.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .common import workers
 
 PASSAGE = 64
 SAMPLE = 8000
+#: Passages of one document that learning uses at most; scoring uses all.
+TRAIN_PASSAGES = 512
 THRESHOLD = 0.3
 HIDDEN, GATE = 16, 8
 EPOCHS, BAGS, RATE, DECAY = 40, 128, 0.01, 1e-4
@@ -186,21 +190,28 @@ def labelled(labels: DataFrame, learn: Column, label_col: str, sample: int, id_c
     return rows.orderBy(F.xxhash64("__id"), "__id").limit(sample)
 
 
+def spread(bag: np.ndarray) -> np.ndarray:
+    """``TRAIN_PASSAGES`` passages at most, evenly spread over the document (for learning only)."""
+    if len(bag) <= TRAIN_PASSAGES:
+        return bag
+    return bag[np.linspace(0, len(bag) - 1, TRAIN_PASSAGES).astype(np.int64)]
+
+
 def train(documents: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Net:
     """Fit on the labelled rows for which ``learn`` (over the labels table) holds."""
     chosen = labelled(labels, learn, label_col, sample, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            made = [encode(t.as_py()).tobytes() for t in batch.column(1)]
+            made = [spread(encode(t.as_py())).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.binary())], names=["id", "label", "bag"])
 
     # the chosen labels are bounded by ``sample``; one text for each of them
     rows = documents.join(F.broadcast(chosen), documents[id_col] == chosen["__id"]).select("__id", F.col(text_col).cast("string").alias("text"), "__label")
+    rows = rows.groupBy("__id").agg(F.min("text").alias("text"), F.max("__label").alias("__label"))
     kind = chosen.schema["__id"].dataType.simpleString()
     made = workers(rows).mapInArrow(run, f"id {kind}, label int, bag binary").collect()
     made.sort(key=lambda r: (str(r["id"]), bytes(r["bag"])))
-    made = made[:sample]
     bags = [np.frombuffer(r["bag"], dtype=np.float32).reshape(-1, FEATURES) for r in made]
     return fit(bags, np.array([r["label"] for r in made], dtype=np.float64))
 
