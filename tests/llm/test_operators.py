@@ -4,13 +4,16 @@ import collections
 import itertools
 import math
 import random
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veilscan.llm import ann, decontaminate, line_dedup, ngram_lm, packing, quality, queries, reshard, simhash, toxicity, url_filter
+from veilscan.llm import ann, decontaminate, line_dedup, ngram_lm, packing, quality, queries, reshard, simhash, toxicity, transducers, url_filter
 from veilscan.llm.common import crc_mod
 
 SF = "/root/testdata/sf0.001"
@@ -522,3 +525,102 @@ def test_balance_takes_lowest_cost_in_descending_order():
             if part < -size:
                 todo.append((size + part, piece, start + part))
         assert made == want and sum(room) == sum(sizes)
+
+
+# long, repeated and clashing input
+
+
+def test_law_holds_with_repeated_rows(spark):
+    """A third of the rows are copies of one row: shard sizes stay within 1 % of the mean, slots have no gaps."""
+    rows = [(k, "t" * (k % 61)) for k in range(12_000)] + [(7, "the same row again")] * 6000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("place", F.concat(F.lit("f"), F.spark_partition_id()))
+    made = reshard.with_slots(reshard.assign(reshard.plan_reshard(docs, "place", 8))).groupBy("shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    mean = sum(r["bytes"] for r in made) / 8
+    assert len(made) == 8 and all(abs(r["bytes"] - mean) <= 0.01 * mean and r["n"] == r["slots"] == r["last"] + 1 for r in made)
+
+
+def test_flow_of_many_shards_runs_through_the_solver():
+    sizes, room = [100, 3, 40, 0, 57], reshard.equal_capacities(200, 4)
+    flow = reshard.solve_transfers(sizes, room)
+    assert [sum(v for (i, _), v in flow.items() if i == k) for k in range(5)] == sizes
+    assert [sum(v for (_, j), v in flow.items() if j == k) for k in range(4)] == room
+    assert sum(v for (i, j), v in flow.items() if i != j) == 200 - sum(min(a, b) for a, b in zip(sizes, room, strict=False))
+
+
+def test_line_dedup_replaces_its_own_names(spark, documents):
+    clash = documents.withColumns({c: F.lit("own") for c in line_dedup.OWN})
+    plain = line_dedup.dedup_lines(documents).select("doc_id", "text", *line_dedup.OWN)
+    assert sorted(map(tuple, line_dedup.dedup_lines(clash).select("doc_id", "text", *line_dedup.OWN).collect())) == sorted(map(tuple, plain.collect()))
+    kept = line_dedup.dedup_lines(clash, prefix="new_")
+    assert {r["copied"] for r in kept.collect()} == {"own"} and kept.schema["new_copied"].dataType.simpleString() == "boolean"
+
+
+def test_neighbours_compare_doubles(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0 + 2.0**-40, 0.0]), (2, [1.0, 0.0]), (3, [1.0 + 2.0**-30, 0.0])]
+    made = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>"), 3).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in made] == [(3, 1.0 + 2.0**-30), (1, 1.0 + 2.0**-40), (2, 1.0)]
+
+
+def test_composed_grammar_equals_its_definition():
+    """Every clause of a small alphabet, read by the machine and by the scopes' definition."""
+    words = {b"bad": 3.0}
+    symbols = [b"bad", b"kill", b"you", b"not", b"said", b"x"]
+    rng = random.Random(8)
+    clauses = [list(c) for n in range(1, 6) for c in itertools.product(symbols, repeat=n)] + [rng.choices(symbols, k=14) for _ in range(2000)]
+    for clause in clauses:
+        expected = {}
+        for k, word in enumerate(clause):
+            if word in (b"bad", b"kill"):
+                near = any(clause[t] == b"you" and abs(k - t) <= toxicity.SCOPE for t in range(len(clause)))
+                if b"said" in clause[:k]:
+                    kind = "reported"
+                elif b"not" in clause[max(0, k - toxicity.SCOPE) : k]:
+                    kind = "negated"
+                elif word == b"bad":
+                    kind = "targeted" if near else "plain"
+                else:
+                    kind = "threat" if near else None
+                if kind:
+                    weight = 3.0 if word == b"bad" else 2.0 if kind == "threat" else 1.0
+                    expected[kind] = max(expected.get(kind, 0.0), weight)
+        assert toxicity.run_clause(clause, words, {}) == expected
+
+
+def test_composition_is_application_in_turn():
+    rng = random.Random(9)
+    one, two = (transducers.machine(n, lambda s, x, n=n: ((s * 5 + x) % n, (x * 7 + s) % transducers.SYMBOLS)) for n in (3, 4))
+    both = transducers.compose(one, two)
+    for _ in range(50):
+        said = [rng.randrange(transducers.SYMBOLS) for _ in range(30)]
+        assert transducers.run(both, said) == transducers.run(two, transducers.run(one, said))
+    assert len(both.arcs) <= 12
+
+
+def test_a_clause_of_many_words_is_read_in_linear_time():
+    clause = "you bad x said ".split() * 250_000
+    began = time.time()
+    assert toxicity.features(" ".join(clause), {b"bad": 3.0}, {})[3] > 0
+    assert time.time() - began < 30
+
+
+def test_repetitive_and_long_texts_are_scanned_whole(monkeypatch):
+    item = "a" * 400
+    index = decontaminate.build_index([(1, item), (2, "some words that a benchmark asks about in one line"), (3, "some words that a benchmark asks about in one line")])
+    whole = "a" * 3000 + " x " + "some words that a benchmark asks about in one line" + " y" * 4000
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([whole])], names=["doc_id", "text"])
+    find = lambda: [r for b in decontaminate.scan_batches(iter([batch]), index, pa.int64()) for r in b.to_pylist()]
+    expected = find()
+    assert sum(r["item_id"] == 1 and r["edits"] == 0 for r in expected) >= 5 and {r["item_id"] for r in expected} == {1, 2, 3}
+    monkeypatch.setattr(decontaminate, "PAIRS", 1000)
+    assert find() == expected
+    monkeypatch.setattr(decontaminate, "SCAN_BYTES", 700)
+    assert {(r["item_id"], r["start"]) for r in find() if r["item_id"] > 1} == {(r["item_id"], r["start"]) for r in expected if r["item_id"] > 1}
+
+
+def test_repetitive_text_needs_bounded_memory():
+    index = decontaminate.build_index([(1, "a" * 2000)])
+    tracemalloc.start()
+    decontaminate.scan(index, b"a" * 300_000, np.zeros(1, dtype=np.int64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400e6
