@@ -8,7 +8,10 @@ pack          the rest is packed into sequences (the pieces are the result)
 
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of
 ``documents``. Repeated rows (same doc_id) are kept or dropped together; a null
-doc_id never matches another row's decision, so such rows stay.
+doc_id never matches another row's decision, so such rows stay (by the last
+stage null and empty texts are packed as their end id alone). Very long texts pass
+each stage whole; extra columns, also those named like an operator's own, are carried
+to the last stage.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    made = line_dedup.dedup_lines(docs).where(~F.col("copied"))
-    return made.withColumn("n_chars", F.when(F.col("removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    made = line_dedup.dedup_lines(docs, prefix="__dedup_").where(~F.col("__dedup_copied"))
+    shortened = F.when(F.col("__dedup_removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return made.withColumn("n_chars", shortened).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
