@@ -116,13 +116,13 @@ def tool(text):
     return '{"tools": [{"name": "t", "description": "' + text + '"}]}'
 
 
-def test_monitor_batches_replay_and_compact(spark, tmp_path):
+def test_monitor_batches_replay(spark, tmp_path):
     store, out = str(tmp_path / "store"), str(tmp_path / "out")
     jobs.monitor_batch(documents(spark, ("p", tool("one")), ("q", tool("same"))), 0, store, out)
     for _ in range(2):
         jobs.monitor_batch(documents(spark, ("p", tool("two"))), 1, store, out)
         assert [(r.config_path, r.rule_id) for r in spark.read.parquet(out).collect()] == [("p", "description_changed")]
-    folded = jobs.compact_pins(spark, store, 2, str(tmp_path / "folded"))
+    folded = jobs.latest_pins(spark, store, 2)
     assert sorted((r.config_path, r.description) for r in folded.collect()) == [("p", "two"), ("q", "same")]
 
 

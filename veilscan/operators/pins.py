@@ -10,6 +10,8 @@ which spreads evenly (keys are unique per document).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,11 +46,11 @@ def hash_text(c: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(c, 256))
 
 
-def collect_tools(docs: DataFrame, path_col: str = "config_path") -> DataFrame:
+def collect_tools(docs: DataFrame, path_col: str = "config_path", carry: Sequence[str] = ()) -> DataFrame:
     """Pins of every tool of every document: (config_path, key, name, ..., location).
 
     Key ``server/name`` (``(root)/name`` for top-level tools); the n-th repeat
-    of a key inside one document gets ``#n``.
+    of a key inside one document gets ``#n``. Columns of ``carry`` are kept.
     """
     def base(t):
         v = F.try_variant_get(t["tool"], "$.name", "variant")
@@ -59,20 +61,20 @@ def collect_tools(docs: DataFrame, path_col: str = "config_path") -> DataFrame:
                         t["tool"].alias("tool"))
 
     with_base = docs.select(
-        path_col, F.transform(tools_of(F.col("doc")), base).alias("_t"))
+        path_col, *carry, F.transform(tools_of(F.col("doc")), base).alias("_t"))
 
     def numbered(t, i):
         n = F.size(F.filter(F.slice(F.col("_t"), 1, i), lambda x: x["base"] == t["base"]))
         key = F.when(n > 0, F.concat(t["base"], F.lit("#"), n.cast("string"))).otherwise(t["base"])
         return F.struct(key.alias("key"), t["name"].alias("name"), t["loc"].alias("loc"), t["tool"].alias("tool"))
 
-    ex = with_base.select(path_col, explode_rows(F.transform("_t", numbered)).alias("t")).where(F.col("t").isNotNull())
+    ex = with_base.select(path_col, *carry, explode_rows(F.transform("_t", numbered)).alias("t")).where(F.col("t").isNotNull())
     tool = F.col("t.tool")
     desc_v = F.try_variant_get(tool, "$.description", "variant")
     schema = F.coalesce(F.try_variant_get(tool, "$.inputSchema", "variant"),
                         F.try_variant_get(tool, "$.input_schema", "variant"))
     return ex.select(
-        path_col, F.col("t.key").alias("key"), F.col("t.name").alias("name"),
+        path_col, *carry, F.col("t.key").alias("key"), F.col("t.name").alias("name"),
         F.coalesce(F.when(F.schema_of_variant(desc_v) == "STRING", F.try_variant_get(tool, "$.description", "string")),
                    F.lit("")).alias("description"),
         canonical_json(schema).alias("schema_canonical"),

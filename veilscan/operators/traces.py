@@ -117,12 +117,9 @@ def lookup_attr(flat: Column, entries: Column, key: str) -> Column:
                   f"CAST(array() AS array<struct<k:string,v:string>>)), e -> e.k = {k} AND e.v IS NOT NULL), 1).v)")
 
 
-def ingest_spans(lines: DataFrame, session_col: str = "session_id", line_col: str = "line",
-                 order_col: str | Sequence[str] = "line_no") -> DataFrame:
-    """JSONL spans -> tool-call events. Blank / invalid / non-tool-call lines are dropped;
-    ``index`` numbers the kept calls of a session in line order."""
+def span_calls(lines: DataFrame, session_col: str, line_col: str, order: Sequence[str]) -> DataFrame:
+    """Tool calls of JSONL span lines with their order columns, not yet numbered."""
     allow_duplicate_keys(lines.sparkSession)
-    order = [order_col] if isinstance(order_col, str) else list(order_col)
     s = lines.select(session_col, *order, F.try_parse_json(F.trim(F.col(line_col))).alias("span"))
     s = s.where(F.col("span").isNotNull())
     flat, entries = span_attr_tables(F.col("span"))
@@ -138,13 +135,21 @@ def ingest_spans(lines: DataFrame, session_col: str = "session_id", line_col: st
                | F.coalesce(A("mcp.method.name") == "tools/call", F.lit(False))
                | F.coalesce(name, F.lit("")).rlike(f"(?i){TOOL_CALL_NAME}"))
     ts = F.coalesce(F.nullif(F.col("_ts"), F.lit("")), F.nullif(A("timestamp"), F.lit("")), F.lit("(unknown)"))
-    ev = s.where(is_call).select(
+    return s.where(is_call).select(
         F.col(session_col).alias("session_id"), *order, ts.alias("timestamp"),
         F.coalesce(A("gen_ai.tool.name"), A("tool.name"), name, F.lit("unknown")).alias("tool_name"),
         F.coalesce(A("mcp.session.id"), A("server.address")).alias("server"),
         F.coalesce(A("gen_ai.tool.call.arguments"), A("tool.arguments"), F.lit("")).alias("arguments_text"),
         F.coalesce(A("gen_ai.tool.call.result"), A("tool.result"), F.lit("")).alias("result_text"),
         F.coalesce(A("outcome"), F.lit("ok")).alias("outcome"))
+
+
+def ingest_spans(lines: DataFrame, session_col: str = "session_id", line_col: str = "line",
+                 order_col: str | Sequence[str] = "line_no") -> DataFrame:
+    """JSONL spans -> tool-call events. Blank / invalid / non-tool-call lines are dropped;
+    ``index`` numbers the kept calls of a session in line order."""
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    ev = span_calls(lines, session_col, line_col, order)
     # every later step reads the numbered calls: the numbering join runs once
     return materialize(sequence_within(ev, "session_id", order).select(*EVENT_COLS))
 

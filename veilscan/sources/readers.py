@@ -97,6 +97,19 @@ def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
     return sequence_within(lines, "log_path", ["_block", "_line"], out="pos").select("log_path", "raw", "pos")
 
 
+def read_trace_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Span files -> (session_id, block, line_no, line): one session a file, lines in file order by (block, line_no)."""
+    return spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("session_id"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+
+
+def read_traces(spark: SparkSession, path: str) -> DataFrame:
+    """Tool-call events of every span file under ``path``; a file of any length is split over tasks."""
+    from veilscan.operators.traces import ingest_spans
+    return ingest_spans(read_trace_lines(spark, path), order_col=["block", "line_no"])
+
+
 def load_string_list(spark: SparkSession, path: str | None, col: str) -> DataFrame:
     """JSON array of strings (allowlist, known destinations). Empty when missing."""
     if path is None:
