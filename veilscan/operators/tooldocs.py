@@ -21,11 +21,13 @@ from veilscan.functions.regex import explode_rows
 from veilscan.functions.regex import JS_WS_CLASS, q_ident, sql_str, to_java
 from veilscan.functions.rules import SEVERITY_RANK
 from veilscan.operators import scan as S
-from veilscan.session import allow_duplicate_keys, materialize
+from veilscan.session import allow_duplicate_keys, ship_package
 from veilscan.sources.readers import tolerant_parse
 
-#: Nesting levels that one projection chain walks before what is left is staged.
-LEVELS_A_ROUND = 16
+#: Nesting levels that the projection chain walks; deeper documents go through the token pass.
+LEVELS = 16
+#: Bytes of strings in one batch of the token pass.
+TOKEN_BATCH = 1 << 22
 
 FINDING_SCHEMA_COLS = ["category", "rule_id", "title", "severity", "severity_rank", "confidence", "location",
                        "evidence", "explanation", "owasp"]
@@ -198,8 +200,14 @@ def _step_sql(nodes: str) -> tuple[str, str]:
     return kids, f"concat({strings}, {keys})"
 
 
-def nesting_depth(docs: DataFrame, raw_col: str | None = None, doc_col: str = "doc") -> int:
-    """Deepest nesting of objects and arrays in the documents (one aggregate over their brackets).
+def _depth_sql(brackets: str) -> str:
+    return f"""aggregate(split({brackets}, ''), named_struct('d', 0, 'm', 0), (s, c) ->
+        CASE WHEN c IN ('{{', '[') THEN named_struct('d', s.d + 1, 'm', greatest(s.m, s.d + 1))
+             WHEN c = '' THEN s ELSE named_struct('d', s.d - 1, 'm', s.m) END, s -> s.m)"""
+
+
+def with_depth(docs: DataFrame, raw_col: str | None = None, doc_col: str = "doc", out: str = "_depth") -> DataFrame:
+    """Adds the deepest nesting of objects and arrays in each document.
 
     Read off the raw text where it is given: without escapes and strings, what
     is left of a JSON text are its brackets. Only a text that still holds a
@@ -211,42 +219,79 @@ def nesting_depth(docs: DataFrame, raw_col: str | None = None, doc_col: str = "d
 
     if raw_col is not None and raw_col in docs.columns:
         bare, own = brackets(F.col(raw_col))
-        text = F.when(F.instr(bare, "/") > 0, brackets(F.to_json(tolerant_parse(F.col(raw_col))))[1]).otherwise(own)
+        clean = F.coalesce(F.to_json(tolerant_parse(F.col(raw_col))), F.col(raw_col))
+        text = F.when(F.instr(bare, "/") > 0, brackets(clean)[1]).otherwise(own)
     else:
         text = brackets(F.to_json(F.col(doc_col)))[1]
-    deepest = F.expr("""aggregate(split(_b, ''), named_struct('d', 0, 'm', 0), (s, c) ->
-        CASE WHEN c IN ('{', '[') THEN named_struct('d', s.d + 1, 'm', greatest(s.m, s.d + 1))
-             WHEN c = '' THEN s ELSE named_struct('d', s.d - 1, 'm', s.m) END, s -> s.m)""")
-    return docs.select(text.alias("_b")).agg(F.coalesce(F.max(deepest), F.lit(0))).first()[0]
+    return docs.withColumn("_b", text).withColumn(out, F.expr(f"coalesce({_depth_sql('`_b`')}, 0)")).drop("_b")
+
+
+def nesting_depth(docs: DataFrame, raw_col: str | None = None, doc_col: str = "doc") -> int:
+    """Deepest nesting in all documents (one aggregate)."""
+    return with_depth(docs, raw_col, doc_col).agg(F.coalesce(F.max("_depth"), F.lit(0))).first()[0]
 
 
 def walk_strings(df: DataFrame, depth: int, tool_col: str = "tool", loc_col: str = "loc",
                  out_col: str = "strings") -> DataFrame:
     """Adds ``strings`` ARRAY<STRUCT<path, text>>: string leaves and object keys of the tool.
 
-    One row-local projection for each nesting level, down to ``depth`` (see
-    ``nesting_depth``; text that is no document may overstate it). Levels beyond
-    ``LEVELS_A_ROUND`` go on from a staged table of the nodes left, as further
-    rows of the same tool, until none is left, so any depth is walked whole.
+    One row-local projection for each nesting level down to ``depth`` (see
+    ``nesting_depth``), for documents of up to ``LEVELS`` levels; ``deep_entries``
+    reads deeper ones.
     """
     cur = df.withColumn("_nodes", F.when(F.col(tool_col).isNull(), F.array().cast(NODE_TYPE)).otherwise(
         F.array(F.struct(F.col(loc_col).alias("path"), F.col(tool_col).alias("v")))))
     kids, leaves = _step_sql("`_nodes`")
-    done = None
-    while True:
-        cur = cur.withColumn(out_col, F.array().cast(LEAF_TYPE))
-        steps = min(depth + 1, LEVELS_A_ROUND)
-        for _ in range(steps):
-            cur = (cur.withColumn(out_col, F.expr(f"concat({q_ident(out_col)}, {leaves})"))
-                      .withColumn("_nodes", F.expr(kids)))
-        part = cur.drop("_nodes")
-        done = part if done is None else done.unionByName(part)
-        depth -= steps
-        if depth < 0:
-            return done
-        cur = materialize(cur.where(F.size("_nodes") > 0).drop(out_col))
-        if not cur.take(1):
-            return done
+    cur = cur.withColumn(out_col, F.array().cast(LEAF_TYPE))
+    for _ in range(depth + 1):
+        cur = (cur.withColumn(out_col, F.expr(f"concat({q_ident(out_col)}, {leaves})"))
+                  .withColumn("_nodes", F.expr(kids)))
+    return cur.drop("_nodes")
+
+
+def split_by_depth(docs: DataFrame, raw_col: str) -> tuple[DataFrame, DataFrame | None, int]:
+    """(documents of up to ``LEVELS`` levels, deeper ones or None, levels to walk)."""
+    depth = nesting_depth(docs, raw_col)
+    if depth <= LEVELS or raw_col not in docs.columns:
+        return docs, None, depth
+    measured = with_depth(docs, raw_col)
+    return measured.where(F.col("_depth") <= LEVELS).drop("_depth"), measured.where(F.col("_depth") > LEVELS).drop("_depth"), LEVELS
+
+
+def deep_entries(docs: DataFrame, ids: list[str], raw_col: str = "raw") -> DataFrame:
+    """(ids, kind, path, text, n) of what there is to check in documents of any depth (see ``jsontokens.entries``).
+
+    One pass over each text's tokens; nothing is parsed by levels, so JSON that no
+    parser takes for its depth is walked whole as well.
+    """
+    ship_package(docs.sparkSession)
+    rows = docs.select(*ids, F.col(raw_col).alias("_raw")).where(F.col("_raw").isNotNull())
+
+    def run(batches):
+        import pyarrow as pa
+
+        from veilscan.functions.jsontokens import entries
+
+        def send(batch, at, held):
+            columns = [pa.array([h[c] for h in held], t) for c, t in enumerate((pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int32()))]
+            one = [batch.column(c).take(pa.array([at] * len(held), pa.int64())) for c in range(len(ids))]
+            return pa.RecordBatch.from_arrays([*one, *columns], names=[*ids, "kind", "_path", "text", "_key", "n"])
+
+        for batch in batches:
+            for at, raw in enumerate(batch.column(len(ids))):
+                held, size = [], 0
+                for entry in entries(raw.as_py()):
+                    held.append(entry)
+                    size += len(entry[1] or "") + len(entry[2])
+                    if size > TOKEN_BATCH:
+                        yield send(batch, at, held)
+                        held, size = [], 0
+                yield send(batch, at, held)
+
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in ids)
+    found = rows.mapInArrow(run, f"{kinds}, kind string, _path string, text string, _key boolean, n int")
+    path = F.expr(f"CASE WHEN _key THEN concat(_path, '.<key:', {_redact_sql('text', 24)}, '>') ELSE _path END")
+    return found.withColumn("path", path).select(*ids, "kind", "path", "text", "n")
 
 
 _ANY_HIDDEN = "[" + "".join(c[2][1:-1] for c in UNICODE_CLASSES) + "]"
@@ -293,10 +338,13 @@ def tool_rows(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:
 def poison_findings(docs: DataFrame, id_cols=("doc_id",), raw_col: str = "raw") -> DataFrame:
     """Poisoning + hidden unicode over every string leaf / key of every tool."""
     ids = list(id_cols)
-    tools = walk_strings(tool_rows(docs, ids), nesting_depth(docs, raw_col))
+    docs, deep, depth = split_by_depth(docs, raw_col)
+    tools = walk_strings(tool_rows(docs, ids), depth)
     # one row per string so the nine regex checks run in generated code, not
     # inside an interpreted lambda over the string array
     strings = tools.select(*ids, explode_rows("strings").alias("s")).where(F.col("s").isNotNull()).select(*ids, "s.path", "s.text")
+    if deep is not None:
+        strings = strings.unionByName(deep_entries(deep, ids, raw_col).where("kind = 'tool'").select(*ids, "path", "text"))
     per = strings.select(*ids, string_findings(F.col("text"), F.col("path")).alias("_f"))
     # explode_outer + null filter: a plain explode lets Catalyst infer and push
     # down a size(_f) > 0 filter that evaluates every regex a second time
@@ -318,14 +366,16 @@ def shadow_array() -> Column:
 
     def finding(n):
         locs = F.transform(F.filter(keyed, lambda x: x["name"] == n), lambda x: x["loc"])
-        return _finding("tool_shadowing", "duplicate_tool_name",
-                        F.concat(F.lit('Tool name collision: "'), n, F.lit('"')), "high", 0.85,
-                        F.array_join(locs, ", "),
-                        F.concat(F.lit('"'), n, F.lit('" defined '), F.size(locs).cast("string"), F.lit(" times")),
-                        SHADOW_EXPLANATION, ("LLM01", "T2"))
+        return _shadow_finding(n, F.array_join(locs, ", "), F.size(locs))
     return F.transform(repeated, finding)
 
 
+def _shadow_finding(name: Column, places: Column, times: Column) -> Column:
+    return _finding("tool_shadowing", "duplicate_tool_name", F.concat(F.lit('Tool name collision: "'), name, F.lit('"')), "high", 0.85,
+                    places, F.concat(F.lit('"'), name, F.lit('" defined '), times.cast("string"), F.lit(" times")),
+                    SHADOW_EXPLANATION, ("LLM01", "T2"))
+
+
 def shadowing_findings(docs: DataFrame, id_cols=("doc_id",)) -> DataFrame:
     """Tool names defined more than once in one document (row-local grouping)."""
     ids = list(id_cols)
@@ -411,7 +461,7 @@ def scan_documents(docs: DataFrame, id_cols=("doc_id",), raw_col: str = "raw") -
     """
     parsed = docs if "doc" in docs.columns else parse_documents(docs, raw_col)
     ids = list(id_cols)
-    depth = nesting_depth(parsed, raw_col)
+    parsed, deep, depth = split_by_depth(parsed, raw_col)
     null = lambda t: F.lit(None).cast(t)
 
     def item(kind, path=None, text=None, tool=None, f=None):
@@ -430,8 +480,14 @@ def scan_documents(docs: DataFrame, id_cols=("doc_id",), raw_col: str = "raw") -
     own = F.array(F.struct(F.col("path"), F.col("text")))
     rows = walked.select(*ids, "kind", "f", explode_rows(F.when(F.col("kind") == "tool", F.col("strings")).otherwise(own)).alias("s"))
     rows = rows.where(F.col("s").isNotNull()).select(*ids, "kind", "f", "s.path", "s.text")
+    if deep is not None:
+        more = deep_entries(deep, ids, raw_col)
+        ready = F.when(F.col("kind") == "shadow", _shadow_finding(F.col("text"), F.col("path"), F.col("n")))
+        found = more.select(*ids, F.when(F.col("kind") == "shadow", F.lit("done")).otherwise(F.col("kind")).alias("kind"), ready.cast(FINDING_TYPE).alias("f"), "path", "text")
+        broken = more.where("kind = 'raw'").select(*ids, F.lit("done").alias("kind"), _parse_warning().cast(FINDING_TYPE).alias("f"), "path", "text")
+        rows = rows.unionByName(found).unionByName(broken)
     is_tool = F.col("kind") == "tool"
-    rows = rows.select("*", F.when(~is_tool, F.col("text")).alias("_secret"))
+    rows = rows.select("*", F.when(F.col("kind").isin("config", "raw"), F.col("text")).alias("_secret"))
     hits = S.with_rule_hits(rows, "_secret").withColumn("_hits", F.when(
         F.col("kind") == "config", F.expr(S.contained_sql("`_hits`"))).otherwise(F.col("_hits")))
     poison = F.when(is_tool, string_findings(F.col("text"), F.col("path"))).otherwise(F.array().cast(f"array<{FINDING_TYPE}>"))
