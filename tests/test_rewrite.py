@@ -30,7 +30,7 @@ def test_code_fences_untouched(spark):
 
 def test_soft_opener_removed_and_recapitalised(spark):
     r = RW.compress_prompt(_df(spark, [dict(PROMPT_FIXTURES)[-2]]), level="medium").collect()[0]
-    assert r.compressed_text == "Write a function that validates the emails in this list"
+    assert r.compressed_text == "Draft a short table of the hotels that lie near the harbour"
 
 
 def test_caveman_drops_articles(spark):

@@ -143,3 +143,14 @@ def test_monitor_batches_take_documents_in_order(spark, tmp_path):
     assert [r.rule_id for r in made] == ["description_changed"] and "zz first" in made[0].evidence.split("now:")[0]
     assert [r.description for r in jobs.latest_pins(spark, str(tmp_path / "store"), 1).collect()] == ["aa second"]
     assert PN.collect_tools(docs, carry=["turn"]).columns[:2] == ["config_path", "turn"]
+
+
+def test_a_session_of_many_sends_gives_one_bounded_record(spark):
+    """20,000 sends after one sensitive read: its call lists a rule once, with its count."""
+    calls = spark.range(20_001).select(
+        F.lit("x").alias("session_id"), F.col("id").alias("index"), F.lit("t").alias("timestamp"),
+        F.when(F.col("id") == 0, "read_secret_store").otherwise("http_post").alias("tool_name"), F.lit(None).cast("string").alias("server"),
+        F.when(F.col("id") == 0, "{}").otherwise("https://a.example.com/x").alias("arguments_text"), F.lit("").alias("result_text"), F.lit("ok").alias("outcome"))
+    made = TR.trust_levels(calls, TR.toxic_flows(TR.event_flags(calls))).where("index = 0").first()
+    assert made.finding_rule_ids == ["read_then_exfiltrate"] and [(c.rule_id, c.n) for c in made.finding_counts] == [("read_then_exfiltrate", 20_000)]
+    assert made.n_owned == 20_000 and made.trust_level == "L1"

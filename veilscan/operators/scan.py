@@ -11,7 +11,7 @@ linearly with executors.
 
 from __future__ import annotations
 
-from typing import Iterable, Sequence
+from typing import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,7 +66,7 @@ def with_rule_hits(df: DataFrame, text_col: str = "text", rules: Sequence[Rule]
     for k, r in enumerate(rules):
         raw = q_ident(f"_raw{k}")
         offs = offsets_sql(t_sql, raw, to_java(r.pattern, r.ignore_case))
-        tagged = (f"transform({offs}, x -> named_struct('rule_ord', CAST({RULE_ORD.get(r.id)} AS INT), "
+        tagged = (f"transform({offs}, x -> named_struct('rule_ord', CAST({RULE_ORD.get(r.id, len(ALL_RULES) + k)} AS INT), "
                   f"'s', x.s, 'e', x.e, 'm', x.m))")
         if validate and r.validator:
             check = card_ok_sql("x.m") if r.validator == "card" else verhoeff_ok_sql("x.m")
@@ -76,19 +76,40 @@ def with_rule_hits(df: DataFrame, text_col: str = "text", rules: Sequence[Rule]
     return staged.select(*df.columns, out.alias(out_col))
 
 
-def _meta(ord_col: Column, attr: str) -> Column:
+def _meta(ord_col: Column, attr: str, own: dict[int, Rule]) -> Column:
     vals = [getattr(r, attr) for r in ALL_RULES]
-    return F.element_at(F.array(*[F.lit(v) for v in vals]), ord_col + 1)
+    if not own:
+        return F.element_at(F.array(*[F.lit(v) for v in vals]), ord_col + 1)
+    table = {**dict(enumerate(vals)), **{k: getattr(r, attr) for k, r in own.items()}}
+    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), ord_col)
 
 
-def attach_rule_meta(df: DataFrame, ord_col: str = "rule_ord") -> DataFrame:
-    o = F.col(ord_col)
-    return (df.withColumn("rule_id", _meta(o, "id"))
-              .withColumn("rule_name", _meta(o, "name"))
-              .withColumn("severity", _meta(o, "severity"))
-              .withColumn("severity_rank", _meta(o, "rank").cast("int"))
-              .withColumn("confidence", _meta(o, "confidence").cast("double"))
-              .withColumn("explanation", _meta(o, "explanation")))
+def own_rules(rules: Sequence[Rule]) -> dict[int, Rule]:
+    """The caller's own rules by the number that their hits carry (after the built-in ones)."""
+    return {len(ALL_RULES) + k: r for k, r in enumerate(rules) if r.id not in RULE_ORD}
+
+
+def attach_rule_meta(df: DataFrame, ord_col: str = "rule_ord", rules: Sequence[Rule] = ALL_RULES) -> DataFrame:
+    o, own = F.col(ord_col), own_rules(rules)
+    return (df.withColumn("rule_id", _meta(o, "id", own))
+              .withColumn("rule_name", _meta(o, "name", own))
+              .withColumn("severity", _meta(o, "severity", own))
+              .withColumn("severity_rank", _meta(o, "rank", own).cast("int"))
+              .withColumn("confidence", _meta(o, "confidence", own).cast("double"))
+              .withColumn("explanation", _meta(o, "explanation", own)))
+
+
+def validated(findings: DataFrame, validators: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """The findings without those that their rule's validator turns down.
+
+    A validator maps the matched text to a boolean Column: built-in functions or
+    an Arrow UDF. It sees the matches of its own rule, never the texts.
+    """
+    for rule_id, accepts in validators.items():
+        own = F.col("rule_id") == rule_id
+        passed = accepts(F.when(own, F.col("matched")))
+        findings = findings.where(F.col("rule_id").isNull() | ~own | F.coalesce(passed, F.lit(False)))
+    return findings
 
 
 FINDING_COLS = ["rule_id", "rule_name", "severity", "severity_rank", "start", "end", "matched",
@@ -97,9 +118,12 @@ FINDING_COLS = ["rule_id", "rule_name", "severity", "severity_rank", "start", "e
 
 def scan_text(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ("doc_id",),
               rules: Sequence[Rule] = ALL_RULES, keep_cols: Sequence[str] = (),
-              outer: bool = False) -> DataFrame:
+              outer: bool = False, validators: Mapping[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Findings table: one row per validated rule hit.
 
+    ``rules`` may hold the caller's own rules; ``validators`` (rule id to a function
+    of the matched text) drops hits, see ``validated``.
+
     Columns: ``id_cols + keep_cols + FINDING_COLS``. Map-only (no shuffle).
     ``outer=True`` keeps one all-NULL finding row for texts without hits, so
     per-document aggregates need no join back to the text table.
@@ -114,37 +138,13 @@ def scan_text(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ("
     out = exploded.select(*cols, F.col("_h.rule_ord").alias("rule_ord"),
                           F.col("_h.s").alias("start"), F.col("_h.e").alias("end"),
                           F.col("_h.m").alias("matched"))
-    return attach_rule_meta(out).select(*cols, *FINDING_COLS)
+    return validated(attach_rule_meta(out, rules=rules), validators or {}).select(*cols, *FINDING_COLS)
 
 
 # ---------------------------------------------------------------------------
 # Overlap handling and text rebuild (row-local)
 # ---------------------------------------------------------------------------
 
-def rebuild(text: Column, spans: Column, wrap) -> Column:
-    """Replace each (sorted, non-overlapping) span by ``wrap(span, piece)``.
-
-    ``wrap(h, piece)`` returns the replacement Column; gaps go through
-    ``gap(piece)``. Linear: pieces are joined once with ``array_join``.
-    """
-    return rebuild_with_gap(text, spans, wrap, lambda piece: piece)
-
-
-def rebuild_with_gap(text: Column, spans: Column, wrap, gap) -> Column:
-    n = F.size(spans)
-
-    def piece(h, i):
-        prev_end = F.when(i == 0, F.lit(0)).otherwise(F.element_at(spans, i)["e"])
-        before = F.substring(text, prev_end + 1, h["s"] - prev_end)
-        inside = F.substring(text, h["s"] + 1, h["e"] - h["s"])
-        return F.concat(gap(before), wrap(h, inside))
-
-    last_end = F.when(n > 0, F.element_at(spans, -1)["e"]).otherwise(F.lit(0))
-    tail = F.substring(text, last_end + 1, F.greatest(F.length(text) - last_end, F.lit(0)))
-    body = F.array_join(F.transform(spans, piece), "")
-    return F.when(text.isNull(), text).otherwise(F.concat(body, gap(tail)))
-
-
 def redact(df: DataFrame, text_col: str = "text", mode: str = "redact",
            rules: Sequence[Rule] = ALL_RULES, out_col: str = "redacted") -> DataFrame:
     """Add ``out_col`` (redacted text) and ``n_findings``. ``mode='warn'`` keeps text."""
@@ -203,11 +203,6 @@ def suppress(findings: DataFrame, ignored: DataFrame, keys: Sequence[str] = ("do
     return findings.join(ignored.select(*keys).distinct(), on=list(keys), how="left_anti")
 
 
-def worst_severity(findings: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    return findings.groupBy(*group_cols).agg(F.max("severity_rank").alias("worst_rank"),
-                                             F.count(F.lit(1)).alias("n_findings"))
-
-
 def gate(df: DataFrame, text_col: str = "text", threshold: str = "high",
          rules: Sequence[Rule] = ALL_RULES) -> DataFrame:
     """Row-local gate: worst rank, finding count and ``gate_failed`` per text row.

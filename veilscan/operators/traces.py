@@ -326,17 +326,25 @@ def external_destinations(events: DataFrame) -> DataFrame:
 
 
 def trust_levels(events: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per call: flagged rule ids (sorted), worst rank, trust level L0..L4 and
-    ``n_owned`` (findings whose first referenced call is this one, so that
-    summing it per session counts every finding exactly once)."""
+    """Per call: flagged rule ids (each once, sorted) with their counts, worst rank, trust
+    level L0..L4 and ``n_owned`` (findings whose first referenced call is this one, so that
+    summing it per session counts every finding exactly once).
+
+    A call may be named by any number of findings (a session's first sensitive call by
+    every later send): they are counted by rule first, map-side, so a call's row is as
+    long as the list of rules and no longer.
+    """
     ex = findings.select("session_id", F.posexplode("event_indexes").alias("pos", "index"), "rule_id", "severity_rank")
-    per = (ex.groupBy("session_id", "index")
-           .agg(F.array_sort(F.collect_list("rule_id")).alias("finding_rule_ids"),
-                F.max("severity_rank").alias("worst_rank"), F.count_if(F.col("pos") == 0).alias("n_owned")))
+    rule = ex.groupBy("session_id", "index", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.max("severity_rank").alias("rank"), F.count_if(F.col("pos") == 0).alias("owned"))
+    per = (rule.groupBy("session_id", "index")
+           .agg(F.array_sort(F.collect_list(F.struct("rule_id", "n"))).alias("finding_counts"),
+                F.max("rank").alias("worst_rank"), F.sum("owned").alias("n_owned"))
+           .withColumn("finding_rule_ids", F.col("finding_counts.rule_id")))
     j = events.join(per, ["session_id", "index"], "left")
     w = F.coalesce(F.col("worst_rank"), F.lit(0))
     level = (F.when(w == 4, "L0").when(w == 3, "L1").when(w == 2, "L2").when(w == 1, "L3").otherwise("L4"))
     return (j.withColumn("finding_rule_ids", F.coalesce("finding_rule_ids", F.array().cast("array<string>")))
+             .withColumn("finding_counts", F.coalesce("finding_counts", F.array().cast("array<struct<rule_id:string,n:bigint>>")))
              .withColumn("worst_rank", w).withColumn("trust_level", level)
              .withColumn("n_owned", F.coalesce("n_owned", F.lit(0))))
 

@@ -13,7 +13,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.functions.rules import ALL_RULES, RULES_BY_ID, rules_df
+from veilscan.functions.rules import ALL_RULES, RULES_BY_ID, Rule, rules_df
 from veilscan.operators import scan as S
 from veilscan.plans import sql as Q
 from veilscan.plans.fixtures import fixtures_df, fixtures_sql
@@ -56,6 +56,36 @@ def scan_findings(spark, sf_dir):
     return S.scan_text(texts(spark, sf_dir))
 
 
+#: A caller's own rule: three to twelve digits, of which the validators keep those whose digits sum to a multiple of 3, and no repdigit.
+BADGE = Rule(id="badge_number", name="Badge number", severity="low", confidence=0.5, explanation="Looks like a badge number.", pattern=r"\b\d{3,12}\b")
+
+
+def digit_sum_ok(matched):
+    """Column validator: the digits sum to a multiple of 3."""
+    digits = F.aggregate(F.split(matched, ""), F.lit(0), lambda a, c: a + F.coalesce(c.try_cast("int"), F.lit(0)))
+    return digits % 3 == 0
+
+
+@register("custom_rules", r"""
+SELECT doc_id, 'badge_number' AS rule_id, 'Badge number' AS rule_name, m AS matched, count(*) AS n FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, '\b[0-9]{3,12}\b')) AS m FROM documents)
+WHERE list_sum([CAST(c AS INTEGER) FOR c IN regexp_extract_all(m, '[0-9]')]) % 3 = 0 AND NOT regexp_matches(m, '^(0+|1+|2+|3+|4+|5+|6+|7+|8+|9+)$')
+GROUP BY doc_id, m""")
+def custom_rules(spark, sf_dir):
+    """A caller's own rule with its own validators: one of built-in functions, one an Arrow UDF."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("boolean")
+    def varied(matched):
+        import pyarrow as pa
+        return pa.array([m is not None and len(set(m)) > 1 for m in matched.to_pylist()], pa.bool_())
+
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"], balance=True)
+    both = lambda m: digit_sum_ok(m) & varied(m)
+    found = S.scan_text(docs, rules=[BADGE], validators={"badge_number": both})
+    return found.groupBy("doc_id", "rule_id", "rule_name", "matched").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("scan_counts_by_rule", f"""
 SELECT rm.rule_id, rm.severity, coalesce(c.n_findings, 0) AS n_findings, coalesce(c.n_docs, 0) AS n_docs
 FROM {Q.rule_meta_sql()} rm LEFT JOIN (
@@ -977,16 +1007,17 @@ _ALL_TRACE_FINDINGS_SQL = f"""(SELECT session_id, event_indexes, rule_id, severi
 
 @register("trust_levels", f"""
 WITH f AS (SELECT session_id, unnest(event_indexes) AS "index", rule_id, severity_rank FROM {_ALL_TRACE_FINDINGS_SQL}),
-g AS (SELECT session_id, "index", list_sort(list(rule_id)) AS finding_rule_ids, max(severity_rank) AS worst_rank
-      FROM f GROUP BY session_id, "index")
+g AS (SELECT session_id, "index", list_sort(list(rule_id)) AS finding_rule_ids, string_agg(rule_id || '=' || n, ',' ORDER BY rule_id) AS finding_counts,
+      max(rank) AS worst_rank FROM (SELECT session_id, "index", rule_id, count(*) AS n, max(severity_rank) AS rank FROM f GROUP BY ALL) GROUP BY session_id, "index")
 SELECT e.session_id, e."index", e.tool_name, coalesce(g.finding_rule_ids, []::VARCHAR[]) AS finding_rule_ids,
-  coalesce(g.worst_rank, 0) AS worst_rank,
+  coalesce(g.finding_counts, '') AS finding_counts, coalesce(g.worst_rank, 0) AS worst_rank,
   CASE coalesce(g.worst_rank, 0) WHEN 4 THEN 'L0' WHEN 3 THEN 'L1' WHEN 2 THEN 'L2' WHEN 1 THEN 'L3' ELSE 'L4' END AS trust_level
 FROM {TRACE_EVENTS_SQL} e LEFT JOIN g USING (session_id, "index")""")
 def trust_levels(spark, sf_dir):
     ev = trace_events(spark, sf_dir)
     t = TR.trust_levels(ev, trace_findings(spark, sf_dir, ev))
-    return t.select("session_id", "index", "tool_name", "finding_rule_ids", "worst_rank", "trust_level")
+    counts = F.array_join(F.transform("finding_counts", lambda c: F.concat(c["rule_id"], F.lit("="), c["n"].cast("string"))), ",")
+    return t.select("session_id", "index", "tool_name", "finding_rule_ids", counts.alias("finding_counts"), "worst_rank", "trust_level")
 
 
 def audit_log(spark, sf_dir) -> DataFrame:
@@ -1051,7 +1082,7 @@ def article12(spark, sf_dir):
 
 @register("article12_entries", f"""
 WITH f AS (SELECT session_id, unnest(event_indexes) AS "index", rule_id FROM {_ALL_TRACE_FINDINGS_SQL}),
-g AS (SELECT session_id, "index", list_sort(list(rule_id)) AS ids FROM f GROUP BY session_id, "index")
+g AS (SELECT session_id, "index", list_sort(list(DISTINCT rule_id)) AS ids FROM f GROUP BY session_id, "index")
 SELECT e.session_id, e."index", '{{"index":' || e."index" || ',"timestamp":' || CAST(to_json(e.timestamp) AS VARCHAR)
   || ',"tool_name":' || CAST(to_json(e.tool_name) AS VARCHAR) || ',"tool_server":' || coalesce(CAST(to_json(e.server) AS VARCHAR), 'null')
   || ',"outcome":' || CAST(to_json(e.outcome) AS VARCHAR) || ',"flagged_rule_ids":' || CAST(to_json(coalesce(g.ids, []::VARCHAR[])) AS VARCHAR)
@@ -1202,7 +1233,7 @@ def _q_json(x: str) -> str:
 _AUDIT_CALLS_SQL = f"""
 fx AS (SELECT session_id, unnest(event_indexes) AS "index", unnest(range(len(event_indexes))) AS pos, rule_id,
               severity_rank FROM {_ALL_TRACE_FINDINGS_SQL}),
-per AS (SELECT session_id, "index", list_sort(list(rule_id)) AS ids, max(severity_rank) AS worst,
+per AS (SELECT session_id, "index", list_sort(list(DISTINCT rule_id)) AS ids, max(severity_rank) AS worst,
                count_if(pos = 0) AS owned FROM fx GROUP BY session_id, "index"),
 calls AS (SELECT e.*, coalesce(per.ids, []::VARCHAR[]) AS ids, coalesce(per.worst, 0) AS worst,
                  coalesce(per.owned, 0) AS owned FROM {TRACE_EVENTS_SQL} e LEFT JOIN per USING (session_id, "index")),

@@ -76,14 +76,14 @@ PROMPT_FIXTURES: list[tuple[int, str]] = [
     (-1, "Hello! Could you please, if possible, draft a summary of how our warehouse handles returns? I would like you "
          "to mention the three slowest steps, and I was wondering if you could also list what causes them, due to the "
          "fact that we plan a budget in order to fix them. I really appreciate it, thanks in advance!"),
-    (-2, "Could you please write a function that validates the emails in this list"),
+    (-2, "Would you please draft a short table of the hotels that lie near the harbour"),
     (-3, "Please look over this query:\n\n```sql\nSELECT count(*) FROM orders -- could you please keep this comment\n"
          "WHERE total > 100\n```\n\nI was wondering if the filter is in the right place, thank you!"),
     (-4, "pg Could you please just basically explain how a hash map works in order to help me study"),
     (-5, "pg! Show me the file the user opened on the desktop and explain the error in the log"),
     (-6, "pg "),
     (-7, "pgadmin shows a connection error when I open the dashboard, what does it mean?"),
-    (-8, "Write Python function for prime numbers."),
+    (-8, "Sort these towns by rainfall."),
     (-9, "I would really appreciate it if you could just basically explain what a monad is, "
          "due to the fact that I am confused at this point in time."),
     (-10, "Can you tell me what the difference between a process and a thread is in an operating system "
