@@ -154,3 +154,17 @@ def test_a_session_of_many_sends_gives_one_bounded_record(spark):
     made = TR.trust_levels(calls, TR.toxic_flows(TR.event_flags(calls))).where("index = 0").first()
     assert made.finding_rule_ids == ["read_then_exfiltrate"] and [(c.rule_id, c.n) for c in made.finding_counts] == [("read_then_exfiltrate", 20_000)]
     assert made.n_owned == 20_000 and made.trust_level == "L1"
+
+
+def test_pins_are_read_through_their_pointer(spark, tmp_path):
+    """The lock is what was committed last; a version that was written but not committed is not seen."""
+    from veilscan.sources.writers import load_pins, save_pins
+    root = str(tmp_path / "pins")
+    assert load_pins(spark, root) is None
+    one = lambda text: spark.createDataFrame([("p", text)], "config_path STRING, description STRING")
+    for version in range(8, 12):  # 9 and 10 sort differently as text
+        save_pins(one(f"at {version}"), root, version)
+    one("lost").write.parquet(f"{root}/version=99")
+    assert [r.description for r in load_pins(spark, root).collect()] == ["at 11"]
+    assert len(load_pins(spark, root).inputFiles()) <= 8 and [r.description for r in load_pins(spark, root, 9).collect()] == ["at 9"]
+    assert len(list((tmp_path / "pins" / "_commits").glob("0*.json"))) == 2

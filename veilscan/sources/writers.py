@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from veilscan.operators.entropy import token_hash
 from veilscan.session import is_missing_path
+from veilscan.streaming.state import Pointers
 
 
 def write_findings(findings: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -27,14 +28,29 @@ def write_audit_log(log: DataFrame, path: str, session_col: str = "session_id")
 
 
 def save_pins(pins: DataFrame, root: str, version: int | str) -> str:
-    """Write a pins snapshot as a new version; returns its path."""
+    """Write a pins snapshot as a new version and point the lock at it; returns its path.
+
+    The pointer is written last and renamed into place, so a job that dies half
+    way leaves the version before as the lock.
+    """
     path = f"{root.rstrip('/')}/version={version}"
     pins.write.mode("overwrite").parquet(path)
+    pointers = Pointers(pins.sparkSession, f"{root.rstrip('/')}/_commits")
+    number = (pointers.numbers() or [-1])[-1] + 1
+    pointers.save(number, {"version": str(version)})
+    pointers.prune(number)
     return path
 
 
 def load_pins(spark, root: str, version: int | str | None = None) -> DataFrame | None:
-    """Pins of one version (latest when omitted); None when no lock exists."""
+    """Pins of one version (the one that was committed last when omitted); None when no lock exists.
+
+    Only that version's files are listed and read, however many there are. A
+    folder without a pointer (written by hand) is read whole: its largest version counts.
+    """
+    found = Pointers(spark, f"{root.rstrip('/')}/_commits").newest()
+    if found:
+        return spark.read.parquet(f"{root.rstrip('/')}/version={found['version'] if version is None else version}")
     try:
         df = spark.read.parquet(root)
     except AnalysisException as error:
