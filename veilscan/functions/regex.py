@@ -260,3 +260,12 @@ def offsets_sql(text_sql: str, hits_sql: str, java_pattern: str) -> str:
               f"CAST(array() AS {OFFSET_TYPE})), {step}, acc -> acc.out)))")
     whole = bind_sql("pairs", pairs, bind_sql("bl", blocks_sql("pairs"), inside))
     return f"CASE WHEN size({hits_sql}) > 0 THEN {whole} ELSE CAST(array() AS {OFFSET_TYPE}) END"
+
+
+def runs_sql(rows: str, key: str, wrap) -> str:
+    """SQL: ``wrap(rows, first, size)`` of each run of equal ``key`` in an array sorted by it; linear in the array."""
+    starts = "filter(sequence(0, size(sr) - 1), j -> j = 0 OR sr[j].{k} <> sr[j - 1].{k})".format(k=key)
+    each = f"transform(st, (f, q) -> {wrap('sr', 'f', '(coalesce(get(st, q + 1), size(sr)) - f)')})"
+    # no rows: a sequence would run backwards
+    made = bind_sql("st", f"CASE WHEN size(sr) > 0 THEN {starts} ELSE CAST(array() AS array<int>) END", each)
+    return bind_sql("sr", rows, made)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from veilscan.functions.regex import explode_rows
 
-from veilscan.functions.regex import JS_WS_CLASS, to_java
+from veilscan.functions.regex import JS_WS_CLASS, bind_sql, runs_sql, to_java
 from veilscan.operators.tooldocs import FINDING_TYPE, POISON_RULES, _finding, tools_of
 
 PIN_COLS = ["key", "name", "description", "schema_canonical", "annotations_canonical", "full_hash", "location"]
@@ -62,13 +62,15 @@ def collect_tools(docs: DataFrame, path_col: str = "config_path", carry: Sequenc
 
     with_base = docs.select(
         path_col, *carry, F.transform(tools_of(F.col("doc")), base).alias("_t"))
-
-    def numbered(t, i):
-        n = F.size(F.filter(F.slice(F.col("_t"), 1, i), lambda x: x["base"] == t["base"]))
-        key = F.when(n > 0, F.concat(t["base"], F.lit("#"), n.cast("string"))).otherwise(t["base"])
-        return F.struct(key.alias("key"), t["name"].alias("name"), t["loc"].alias("loc"), t["tool"].alias("tool"))
-
-    ex = with_base.select(path_col, *carry, explode_rows(F.transform("_t", numbered)).alias("t")).where(F.col("t").isNotNull())
+    # the rank of a tool among those of its key: its place in the key's run of the sorted array
+    sorted_keys = "sort_array(transform(`_t`, (x, i) -> named_struct('base', x.base, 'i', i)))"
+    ranks = runs_sql(sorted_keys, "base", lambda rows, first, size: (
+        f"transform(slice({rows}, {first} + 1, {size}), (x, n) -> named_struct('i', x.i, 'n', n))"))
+    key = "CASE WHEN r[i].n > 0 THEN concat(t.base, '#', CAST(r[i].n AS STRING)) ELSE t.base END"
+    numbered = bind_sql("r", f"sort_array(flatten({ranks}))", (
+        f"transform(`_t`, (t, i) -> named_struct('key', {key}, 'name', t.name, 'loc', t.loc, 'tool', t.tool))"))
+
+    ex = with_base.select(path_col, *carry, explode_rows(F.expr(numbered)).alias("t")).where(F.col("t").isNotNull())
     tool = F.col("t.tool")
     desc_v = F.try_variant_get(tool, "$.description", "variant")
     schema = F.coalesce(F.try_variant_get(tool, "$.inputSchema", "variant"),

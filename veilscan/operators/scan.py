@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from veilscan.functions.regex import bind_sql, blocks_sql, matches_with_offsets, offsets_sql, q_ident, raw_matches, sql_str, to_java
 from veilscan.functions.rules import ALL_RULES, RULE_ORD, SEVERITY_RANK, Rule
 from veilscan.functions.validators import card_ok, card_ok_sql, verhoeff_ok, verhoeff_ok_sql
+from veilscan.session import ship_package
 
 HIT_TYPE = "array<struct<rule_ord:int,s:int,e:int,m:string>>"
 HIT_STRUCT = HIT_TYPE[len("array<"):-1]
@@ -175,18 +176,51 @@ def mark_spans(df: DataFrame, text_col: str = "text", out_col: str = "marked",
 # Finding-table operators
 # ---------------------------------------------------------------------------
 
+#: Up to so many hits of a text are compared pairwise in the JVM; beyond, an automaton finds the same hits.
+PAIRWISE_HITS = 64
+
+
 def contained_sql(hits: str) -> str:
-    """SQL: the hits without those whose match lies in a longer one of at least their rank."""
+    """SQL: the hits without those whose match lies in a longer one of at least their rank (all pairs)."""
     return (f"filter({hits}, f -> NOT exists({hits}, o -> element_at({RANKS_SQL}, o.rule_ord + 1) >= "
             f"element_at({RANKS_SQL}, f.rule_ord + 1) AND length(o.m) > length(f.m) AND instr(o.m, f.m) > 0))")
 
 
+def drop_contained(df: DataFrame, hits: str = "_hits", where: Column | None = None) -> DataFrame:
+    """``hits`` without those whose match lies in a longer one of at least their rank (of the same row).
+
+    Row-local. Rows of few hits stay in the JVM; only the matches of rows with more
+    than ``PAIRWISE_HITS`` go through the automaton of ``functions.containment``,
+    which is linear where pairs are quadratic. ``where`` limits it to some rows.
+    """
+    from pyspark.sql.functions import arrow_udf
+
+    from veilscan.functions.containment import uncontained
+    ship_package(df.sparkSession)
+
+    @arrow_udf("array<int>")
+    def places(matches, ranks):
+        import pyarrow as pa
+        pairs = zip(matches.to_pylist(), ranks.to_pylist(), strict=True)
+        return pa.array([None if m is None else uncontained(m, r) for m, r in pairs], pa.list_(pa.int32()))
+
+    asked = F.lit(True) if where is None else where
+    many = asked & (F.size(hits) > PAIRWISE_HITS)
+    h = q_ident(hits)
+    staged = df.withColumn("_places", places(
+        F.when(many, F.expr(f"transform({h}, x -> x.m)")),
+        F.when(many, F.expr(f"transform({h}, x -> element_at({RANKS_SQL}, x.rule_ord + 1))"))))
+    left = (F.when(F.col("_places").isNotNull(), F.expr(f"transform(_places, k -> {h}[k])"))
+             .when(asked, F.expr(contained_sql(h))).otherwise(F.col(hits)))
+    return staged.withColumn(hits, left).drop("_places")
+
+
 def scan_text_deduped(df: DataFrame, text_col: str = "text", id_cols: Sequence[str] = ("doc_id",),
                       rules: Sequence[Rule] = ALL_RULES, keep_cols: Sequence[str] = ()) -> DataFrame:
     """``scan_text`` followed by contained-match dedupe per text value (row-local)."""
     cols = list(id_cols) + [c for c in keep_cols if c not in id_cols]
     hits = with_rule_hits(df.select(*cols, text_col), text_col, rules).drop(text_col)
-    hits = hits.select(*cols, F.expr(contained_sql("`_hits`")).alias("_hits"))
+    hits = drop_contained(hits)
     exploded = hits.select(*cols, F.explode_outer("_hits").alias("_h")).where(F.col("_h").isNotNull())
     out = exploded.select(*cols, F.col("_h.rule_ord").alias("rule_ord"),
                           F.col("_h.s").alias("start"), F.col("_h.e").alias("end"),

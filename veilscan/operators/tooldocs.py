@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from veilscan.functions.regex import explode_rows
 
-from veilscan.functions.regex import JS_WS_CLASS, q_ident, sql_str, to_java
+from veilscan.functions.regex import JS_WS_CLASS, q_ident, runs_sql, sql_str, to_java
 from veilscan.functions.rules import SEVERITY_RANK
 from veilscan.operators import scan as S
 from veilscan.session import allow_duplicate_keys, ship_package
@@ -354,20 +354,14 @@ def poison_findings(docs: DataFrame, id_cols=("doc_id",), raw_col: str = "raw")
 
 def shadow_array() -> Column:
     """ARRAY of findings: tool names defined more than once in the document ``doc`` (row-local)."""
-    named = F.filter(F.transform(tools_of(F.col("doc")), lambda t: F.struct(
-        F.when(F.schema_of_variant(F.try_variant_get(t["tool"], "$.name", "variant")) == "STRING",
-               F.try_variant_get(t["tool"], "$.name", "string")).alias("name"),
-        t["shadow_loc"].alias("loc"))), lambda x: x["name"] != "")
-    # sorted by name (then document order), the fold appends to the last group only
-    keyed = F.array_sort(F.transform(named, lambda x, i: F.struct(x["name"].alias("name"), i.alias("i"), x["loc"].alias("loc"))))
-    names = F.transform(keyed, lambda x: x["name"])
-    repeated = F.array_distinct(F.filter(F.transform(keyed, lambda x, i: F.when(
-        (i > 0) & (F.get(names, i - 1) == x["name"]), x["name"])), lambda n: n.isNotNull()))
-
-    def finding(n):
-        locs = F.transform(F.filter(keyed, lambda x: x["name"] == n), lambda x: x["loc"])
-        return _shadow_finding(n, F.array_join(locs, ", "), F.size(locs))
-    return F.transform(repeated, finding)
+    name = "try_variant_get(t.tool, '$.name', 'variant')"
+    named = (f"filter(transform({tools_of_sql()}, t -> named_struct('name', CASE WHEN schema_of_variant({name}) = 'STRING' "
+             f"THEN try_variant_get(t.tool, '$.name', 'string') END, 'loc', t.shadow_loc)), x -> x.name <> '')")
+    keyed = f"sort_array(transform({named}, (x, i) -> named_struct('name', x.name, 'i', i, 'loc', x.loc)))"
+    groups = runs_sql(keyed, "name", lambda rows, first, size: (
+        f"named_struct('name', {rows}[{first}].name, 'locs', transform(slice({rows}, {first} + 1, {size}), x -> x.loc))"))
+    return F.transform(F.expr(f"filter({groups}, g -> size(g.locs) > 1)"),
+                       lambda g: _shadow_finding(g["name"], F.array_join(g["locs"], ", "), F.size(g["locs"])))
 
 
 def _shadow_finding(name: Column, places: Column, times: Column) -> Column:
@@ -488,8 +482,7 @@ def scan_documents(docs: DataFrame, id_cols=("doc_id",), raw_col: str = "raw") -
         rows = rows.unionByName(found).unionByName(broken)
     is_tool = F.col("kind") == "tool"
     rows = rows.select("*", F.when(F.col("kind").isin("config", "raw"), F.col("text")).alias("_secret"))
-    hits = S.with_rule_hits(rows, "_secret").withColumn("_hits", F.when(
-        F.col("kind") == "config", F.expr(S.contained_sql("`_hits`"))).otherwise(F.col("_hits")))
+    hits = S.drop_contained(S.with_rule_hits(rows, "_secret"), where=F.col("kind") == "config")
     poison = F.when(is_tool, string_findings(F.col("text"), F.col("path"))).otherwise(F.array().cast(f"array<{FINDING_TYPE}>"))
     ready = F.when(F.col("f").isNull(), poison).otherwise(F.array("f"))
     found = hits.select(*ids, "kind", "path", explode_rows(F.concat(
