@@ -1344,3 +1344,6 @@ FROM e WHERE h >= CASE WHEN hex THEN {EN.HEX_MIN_ENTROPY} ELSE {EN.MIN_ENTROPY}
 def trace_entropy(spark, sf_dir):
     """Opt-in entropy findings on tool-call fields that no named rule flagged."""
     return TR.entropy_findings(trace_events(spark, sf_dir))
+
+
+from veilscan.plans import roundtrips  # noqa: E402, F401  (registers its queries)
