@@ -26,6 +26,6 @@ def test_queries_run_from_another_folder(tmp_path):
     script.write_text(JOB)
     shared = tmp_path / "shared"
     shared.mkdir()
-    done = subprocess.run([sys.executable, str(script), REPO, str(shared), "op,pipeline,audit_"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=1200)
+    done = subprocess.run([sys.executable, str(script), REPO, str(shared), "op,pipeline,audit_,dedupe_contained"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=1200)
     assert done.returncode == 0, done.stderr[-3000:]
-    assert "ran audit_anchor" in done.stdout
+    assert "ran audit_anchor" in done.stdout and "ran dedupe_contained" in done.stdout

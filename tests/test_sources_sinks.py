@@ -93,3 +93,33 @@ def test_manifest_and_pinned_case(spark):
     assert res == {1: True, 2: False}
     s = summary.first()
     assert s.detected == 1 and s.false_positives == 1 and s.recall == 1.0
+
+
+def test_audit_table_holds_many_sessions_a_file(spark, tmp_path):
+    from veilscan.operators import audit as AU
+    from veilscan.sources.readers import read_audit_table
+    from veilscan.sources.writers import write_audit_table
+    records = spark.range(3_000).select((F.col("id") % 1_000).alias("session_id"), F.expr("id DIV 1000").alias("n"))
+    records = records.withColumn("record", F.to_json(F.struct("n", "session_id")))
+    path = str(tmp_path / "log")
+    write_audit_table(records, path, records_per_file=500)
+    files = [f for f in os.listdir(path) if f.endswith(".parquet")]
+    assert len(files) <= 3_000 // 500 + 2 * spark.sparkContext.defaultParallelism
+    some = read_audit_table(spark, path, [7, 8])
+    assert sorted((r.log_path, r.pos) for r in some.collect()) == [(s, n) for s in (7, 8) for n in range(3)]
+    # records that name no record before them: only the first one of a session can be right
+    assert {(r.ok, r.broken_at, r.n_records) for r in AU.verify_audit_log(read_audit_table(spark, path), "log_path", "pos", "raw").collect()} == {(False, 1, 3)}
+
+
+def test_novelty_spreads_a_hot_domain(spark):
+    from veilscan.operators import traces as TR
+    calls = spark.range(4_000).select(
+        (F.col("id") % 40).alias("session_id"), F.expr("id DIV 40").alias("index"), F.lit("t").alias("timestamp"),
+        F.when(F.col("id") < 40, "read_secret_store").otherwise("http_post").alias("tool_name"), F.lit(None).cast("string").alias("server"),
+        F.when(F.col("id") < 40, "{}").when(F.col("id") % 3 == 0, "https://hot.example.net/x").otherwise(
+            F.concat(F.lit("https://d"), (F.col("id") % 50).cast("string"), F.lit(".example.net/"))).alias("arguments_text"),
+        F.lit("").alias("result_text"), F.lit("ok").alias("outcome"))
+    known = spark.createDataFrame([(f"d{k}.example.net",) for k in range(25)], "domain STRING")
+    got = {(r.session_id, r.event_indexes[1]): r.severity for r in TR.toxic_flows(TR.event_flags(calls), known).collect()}
+    want = {(i % 40, i // 40): "critical" if i % 3 == 0 or i % 50 >= 25 else "high" for i in range(40, 4_000)}
+    assert got == want

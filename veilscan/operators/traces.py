@@ -43,6 +43,9 @@ TOXIC_EXPL = ("A tool that touched sensitive data was followed, later in the ses
 RESULT_SUFFIX = " Appeared in a tool RESULT at runtime, which a pre-install static scan cannot see."
 ARGS_SUFFIX = " Passed as a tool-call argument at runtime."
 
+#: Slots over which the sends to one domain are spread when it is looked up.
+DOMAIN_SLOTS = 32
+
 EVENT_COLS = ["session_id", "index", "timestamp", "tool_name", "server", "arguments_text", "result_text", "outcome"]
 
 
@@ -280,7 +283,10 @@ def toxic_flows(flagged: DataFrame, known: DataFrame | None = None) -> DataFrame
         ex = j.select("session_id", "index", explode_rows("egress.domain").alias("d")).where(F.col("d").isNotNull())
         # each domain is looked up once, however many calls send to it
         new = ex.select("d").distinct().join(known.select(F.col("domain").alias("d")).distinct(), "d", "left_anti")
-        nov = ex.join(new, "d").select("session_id", "index").distinct().withColumn("novel", F.lit(True))
+        # a domain that takes a third of all sends is spread over the slots; the looked-up side is one row a domain and slot
+        ex = ex.withColumn("_slot", F.pmod(F.xxhash64("session_id", "index"), F.lit(DOMAIN_SLOTS)).cast("int"))
+        new = new.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(DOMAIN_SLOTS - 1))))
+        nov = ex.join(new, ["d", "_slot"]).select("session_id", "index").distinct().withColumn("novel", F.lit(True))
         j = j.join(nov, ["session_id", "index"], "left")
     else:
         j = j.withColumn("novel", F.lit(False))

@@ -81,6 +81,15 @@ def audit_files(spark, sf_dir):
     return checked.select(F.regexp_extract("session_id", r"session_id=([^/]+)/", 1).alias("session_id"), "ok", "n_records")
 
 
+@register("audit_table", """
+SELECT user_id AS session_id, true AS ok, count(*) + 2 AS n_records FROM events GROUP BY user_id""")
+def audit_table(spark, sf_dir):
+    """The same logs with many sessions a file, read back and verified."""
+    path = folder(spark, "audit-table")
+    writers.write_audit_table(C.audit_log(spark, sf_dir), path)
+    return AU.verify_audit_log(readers.read_audit_table(spark, path), "log_path", "pos", "raw").select("session_id", "ok", "n_records")
+
+
 @register("pins_lock", f"""
 SELECT 'newest' AS lock, * FROM {C.PINS_CUR_SQL} UNION ALL SELECT 'first' AS lock, * FROM {C.PINS_BASE_SQL}""")
 def pins_lock(spark, sf_dir):

@@ -97,6 +97,14 @@ def read_audit_log(spark: SparkSession, path: str) -> DataFrame:
     return sequence_within(lines, "log_path", ["_block", "_line"], out="pos").select("log_path", "raw", "pos")
 
 
+def read_audit_table(spark: SparkSession, path: str, sessions: list | None = None, session_col: str = "session_id") -> DataFrame:
+    """Records of ``write_audit_table`` -> (log_path, raw, pos), the session id in place of the path; of ``sessions`` only if given."""
+    rows = spark.read.parquet(path)
+    if sessions is not None:
+        rows = rows.where(F.col(session_col).isin(sessions))
+    return rows.select(F.col(session_col).alias("log_path"), F.col("record").alias("raw"), F.col("n").alias("pos"))
+
+
 def read_trace_lines(spark: SparkSession, path: str) -> DataFrame:
     """Span files -> (session_id, block, line_no, line): one session a file, lines in file order by (block, line_no)."""
     return spark.read.text(path).select(

@@ -27,6 +27,17 @@ def write_audit_log(log: DataFrame, path: str, session_col: str = "session_id")
         .write.mode("overwrite").partitionBy(session_col).text(path))
 
 
+def write_audit_table(log: DataFrame, path: str, session_col: str = "session_id", records_per_file: int = 1_000_000) -> None:
+    """Audit records of many sessions a file, sorted by (session, n).
+
+    The number of files follows the number of records, not of sessions, and a long
+    session is split over files. The statistics in each file's footer let a reader
+    of few sessions skip the others.
+    """
+    (log.select(session_col, "n", "record").repartitionByRange(session_col, "n").sortWithinPartitions(session_col, "n")
+        .write.mode("overwrite").option("maxRecordsPerFile", records_per_file).parquet(path))
+
+
 def save_pins(pins: DataFrame, root: str, version: int | str) -> str:
     """Write a pins snapshot as a new version and point the lock at it; returns its path.
 
