@@ -25,10 +25,10 @@ def to_sarif(findings: DataFrame, artifact_col: str = "doc_id"):
     (artifact, location)). The document column nests only that artifact's
     findings (bounded by one document's findings).
     """
+    message = F.concat(F.col("title"), F.lit(" at "), F.col("location"), F.lit(": "), F.col("explanation"),
+                       F.lit(" (evidence: "), F.col("evidence"), F.lit(")"))
     res = findings.select(
-        artifact_col, "rule_id", sarif_level(F.col("severity")).alias("level"),
-        F.concat(F.col("title"), F.lit(" at "), F.col("location"), F.lit(": "), F.col("explanation"),
-                 F.lit(" (evidence: "), F.col("evidence"), F.lit(")")).alias("message"),
+        artifact_col, "rule_id", sarif_level(F.col("severity")).alias("level"), message.alias("message"),
         "location", "severity", "confidence", "owasp", "category")
     first = F.min_by(F.struct("title", "explanation", "owasp", "category"), F.struct(artifact_col, "location"))
 
@@ -48,11 +48,13 @@ def to_sarif(findings: DataFrame, artifact_col: str = "doc_id"):
             .alias("physicalLocation"),
             F.array(F.struct(F.col("location").alias("fullyQualifiedName"))).alias("logicalLocations"))).alias("locations"),
         F.struct("severity", "confidence", "owasp", "category").alias("properties"))
-    per_doc = res.groupBy(artifact_col).agg(F.sort_array(F.collect_list(result_struct)).alias("results"))
-    # an artifact's own rules, each described by its first finding there (bounded by the rule lists)
-    own = findings.groupBy(artifact_col, "rule_id").agg(first.alias("f")).groupBy(artifact_col).agg(
-        F.sort_array(F.collect_list(rule_struct(F.col("rule_id")))).alias("rules"))
-    doc = per_doc.join(own, artifact_col).select(artifact_col, F.to_json(F.struct(
+    # one pass over the findings: the results of a rule in an artifact, then the artifact's results and its own rules
+    # (each described by its first finding there; bounded by the rule lists)
+    described = findings.withColumn("level", sarif_level(F.col("severity"))).withColumn("message", message)
+    own = described.groupBy(artifact_col, "rule_id").agg(first.alias("f"), F.collect_list(result_struct).alias("of_rule"))
+    per_doc = own.groupBy(artifact_col).agg(F.sort_array(F.flatten(F.collect_list("of_rule"))).alias("results"),
+                                            F.sort_array(F.collect_list(rule_struct(F.col("rule_id")))).alias("rules"))
+    doc = per_doc.select(artifact_col, F.to_json(F.struct(
         F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"),
         F.array(F.struct(F.struct(F.struct(F.lit(TOOL_NAME).alias("name"), F.col("rules").alias("rules")).alias("driver")).alias("tool"),
                          F.col("results").alias("results"))).alias("runs"))).alias("sarif"))
