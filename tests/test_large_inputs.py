@@ -4,9 +4,11 @@ import json
 
 from pyspark.sql import functions as F
 
+from veilscan.operators import audit as AU
 from veilscan.operators import report as RP
 from veilscan.operators import scan as S
 from veilscan.operators import tooldocs as TD
+from veilscan.operators import traces as TR
 
 
 def plan(df) -> str:
@@ -62,3 +64,17 @@ def test_sarif_documents_read_the_findings_once(spark):
     assert [r["id"] for r in report["tool"]["driver"]["rules"]] == ["r0", "r1"]
     assert [r["name"] for r in report["tool"]["driver"]["rules"]] == ["t4", "t3"]
     assert len(report["results"]) == 5 and report["results"] == sorted(report["results"], key=lambda r: (r["ruleId"], r["level"], r["message"]["text"]))
+
+
+def test_audit_records_name_every_finding(spark):
+    kinds = "session_id INT, index BIGINT, timestamp STRING, tool_name STRING, server STRING, arguments_text STRING, outcome STRING"
+    events = spark.createDataFrame([(1, 0, "t0", "read", None, "a", "ok"), (1, 1, "t1", "post", None, "b", "ok"), (1, 2, "t2", "post", None, "c", "ok")], kinds)
+    found = spark.createDataFrame([(1, [0, 1], "flow", 3), (1, [0, 2], "flow", 4), (1, [0], "a_secret", 2)], "session_id INT, event_indexes ARRAY<BIGINT>, rule_id STRING, severity_rank INT")
+    levels = TR.trust_levels(events, found)
+    ids = ["a_secret", "flow", "flow"]
+    calls = TR.every_finding(levels)
+    assert {r["index"]: r.finding_rule_ids for r in calls.collect()} == {0: ids, 1: ["flow"], 2: ["flow"]}
+    log = AU.build_audit_log(AU.record_templates(calls, TR.session_stats(levels)))
+    assert json.loads(log.where("n = 1").first().record)["action_detail"]["finding_rule_ids"] == ids
+    entries = AU.export_article12(events, calls, found.groupBy("session_id").agg(F.count("rule_id").alias("total_findings")))[1]
+    assert json.loads(entries.where("index = 0").first().entry)["flagged_rule_ids"] == ids
