@@ -78,3 +78,26 @@ def test_audit_records_name_every_finding(spark):
     assert json.loads(log.where("n = 1").first().record)["action_detail"]["finding_rule_ids"] == ids
     entries = AU.export_article12(events, calls, found.groupBy("session_id").agg(F.count("rule_id").alias("total_findings")))[1]
     assert json.loads(entries.where("index = 0").first().entry)["flagged_rule_ids"] == ids
+
+
+def test_audit_lines_are_hashed_once(spark):
+    calls = TR.every_finding(TR.trust_levels(
+        spark.createDataFrame([(1, k, f"t{k}", 'a "signature":  / <b>', None, "a", "ok") for k in range(4)],
+                              "session_id INT, index BIGINT, timestamp STRING, tool_name STRING, server STRING, arguments_text STRING, outcome STRING"),
+        spark.createDataFrame([], "session_id INT, event_indexes ARRAY<BIGINT>, rule_id STRING, severity_rank INT")))
+    log = AU.build_audit_log(AU.record_templates(calls, TR.session_stats(calls))).select("session_id", F.col("n").alias("pos"), F.col("record").alias("raw"), "hash")
+    signed = log.withColumn("raw", F.when(F.col("pos") == 2, F.regexp_replace("raw", r"\}$", r',"signature":"s"}')).otherwise(F.col("raw")))
+    for lines in (log, signed):
+        checked = AU.verify_audit_log(lines)
+        assert plan(checked).count("sha2") == 0
+        assert (checked.first().ok, checked.first().n_records) == (True, 6)
+    assert log.where(AU.record_hash(F.col("raw")) != F.col("hash")).count() == 0
+
+
+def test_only_fields_with_a_match_are_scanned_for_secrets(spark):
+    events = spark.createDataFrame([(1, 0, "read", "HTTPS://A.example/x and ftp://b http://10.0.0.1:8/y", "mail a@example.org"), (1, 1, "read", "none", ""), (1, 2, "read", None, None)],
+                                   "session_id INT, index BIGINT, tool_name STRING, arguments_text STRING, result_text STRING")
+    assert "ArrowEvalPython" in plan(TR.secret_findings(events))
+    assert [r.event_indexes for r in TR.secret_findings(events).collect()] == [[0]]
+    flags = {r["index"]: ([d.domain for d in r.domains] if r.domains is not None else None, r.reads_sensitive) for r in TR.event_flags(events).collect()}
+    assert flags == {0: (["a.example", "10.0.0.1"], True), 1: ([], False), 2: (None, None)}
