@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from veilscan.operators import audit as AU
 from veilscan.operators import report as RP
+from veilscan.operators import rewrite as RW
 from veilscan.operators import scan as S
 from veilscan.operators import tooldocs as TD
 from veilscan.operators import traces as TR
+from veilscan.sources.readers import read_table
 
 
 def plan(df) -> str:
@@ -101,3 +103,20 @@ def test_only_fields_with_a_match_are_scanned_for_secrets(spark):
     assert [r.event_indexes for r in TR.secret_findings(events).collect()] == [[0]]
     flags = {r["index"]: ([d.domain for d in r.domains] if r.domains is not None else None, r.reads_sensitive) for r in TR.event_flags(events).collect()}
     assert flags == {0: (["a.example", "10.0.0.1"], True), 1: ([], False), 2: (None, None)}
+
+
+def test_levels_go_on_from_the_level_before(spark):
+    texts = ["Could you please just write a summary of the report? ```please just keep the code``` Thanks in advance!", "I think the answer is, basically, an apple .", "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k INT, text STRING")
+    levels = RW.compress_levels(df)
+    got = {(r.k, r.level): r.compressed_text for r in levels.collect()}
+    for level in RW.LEVELS:
+        assert {r.k: r.c for r in df.select("k", RW.compress_text(F.col("text"), level).alias("c")).collect()} == {k: got[k, level] for k in range(len(texts))}
+    rules = RW.LEVEL_RULES["caveman"]
+    assert all(RW.LEVEL_RULES[lv] == rules[:len(RW.LEVEL_RULES[lv])] for lv in RW.LEVELS)
+    assert plan(levels).count("my question is") == 1  # a rule of the third level, not run again for the fourth
+
+
+def test_rows_of_a_task_do_not_grow_with_the_table(spark, tmp_path):
+    spark.range(1000).repartition(1).write.parquet(str(tmp_path / "t.parquet"))
+    assert read_table(spark, str(tmp_path), "t", rows_a_task=10).rdd.getNumPartitions() == 100

@@ -210,19 +210,24 @@ WARNINGS = {
 FENCE = r"```[\s\S]*?```"
 
 
-def _compress_segment(c: Column, level: str) -> Column:
-    for pat, rep in LEVEL_RULES[level]:
+def _substituted(c: Column, rules) -> Column:
+    for pat, rep in rules:
         c = F.regexp_replace(c, to_java(pat, ignore_case=True), rep)
-    c = F.regexp_replace(c, " {2,}", " ")
-    return F.regexp_replace(c, r"[ \t]+([.,!?;:])", "$1")
+    return c
 
 
-def compress_text(text: Column, level: str) -> Column:
-    """Compress non-fenced segments at ``level``; fenced code blocks untouched."""
-    fence = to_java(FENCE)
-    parts = F.split(text, fence, -1)
-    fences = F.regexp_extract_all(text, F.lit("(" + fence + ")"), 1)
-    joined = F.array_join(F.zip_with(F.transform(parts, lambda p: _compress_segment(p, level)), fences,
+def _segments(text: Column) -> Column:
+    """The parts of the text between fenced code blocks."""
+    return F.split(text, to_java(FENCE), -1)
+
+
+def _joined(text: Column, segments: Column) -> Column:
+    """Substituted segments tidied and put around the untouched fenced code blocks."""
+    def tidy(c):
+        return F.regexp_replace(F.regexp_replace(c, " {2,}", " "), r"[ \t]+([.,!?;:])", "$1")
+
+    fences = F.regexp_extract_all(text, F.lit("(" + to_java(FENCE) + ")"), 1)
+    joined = F.array_join(F.zip_with(F.transform(segments, tidy), fences,
                                      lambda p, f: F.concat(F.coalesce(p, F.lit("")), F.coalesce(f, F.lit("")))), "")
     r = F.regexp_replace(joined, "\n{3,}", "\n\n")
     r = js_trim(r)
@@ -232,6 +237,11 @@ def compress_text(text: Column, level: str) -> Column:
     return F.when(recap, F.concat(F.upper(first), F.substring(r, 2, 1 << 30))).otherwise(r)
 
 
+def compress_text(text: Column, level: str) -> Column:
+    """Compress non-fenced segments at ``level``; fenced code blocks untouched."""
+    return _joined(text, F.transform(_segments(text), lambda p: _substituted(p, LEVEL_RULES[level])))
+
+
 def compress_prompt(df: DataFrame, text_col: str = "text", level: str = "medium",
                     token_counter=approx_tokens) -> DataFrame:
     t = F.col(text_col)
@@ -249,7 +259,13 @@ def compress_prompt(df: DataFrame, text_col: str = "text", level: str = "medium"
 def compress_levels(df: DataFrame, text_col: str = "text", token_counter=approx_tokens) -> DataFrame:
     """One row for each level and input row, from one pass over the rows."""
     t = F.col(text_col)
-    staged = df.select("*", *[compress_text(t, lv).alias(f"_{lv}") for lv in LEVELS])
+    # a level's rules begin with those of the level before: each level goes on from that one's segments
+    staged, segments, done = df, _segments(t), 0
+    for lv in LEVELS:
+        rules = LEVEL_RULES[lv][done:]
+        staged = staged.withColumn(f"_s_{lv}", F.transform(segments, lambda p: _substituted(p, rules)))
+        segments, done = F.col(f"_s_{lv}"), len(LEVEL_RULES[lv])
+    staged = staged.select(*df.columns, *[_joined(t, F.col(f"_s_{lv}")).alias(f"_{lv}") for lv in LEVELS])
     rows = staged.select(*df.columns, F.explode(F.array(*[
         F.struct(F.lit(lv).alias("level"), F.col(f"_{lv}").alias("compressed_text"), F.lit(WARNINGS[lv]).alias("warning"))
         for lv in LEVELS])).alias("_c")).select(*df.columns, "_c.*")
