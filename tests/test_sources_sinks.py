@@ -123,3 +123,85 @@ def test_novelty_spreads_a_hot_domain(spark):
     got = {(r.session_id, r.event_indexes[1]): r.severity for r in TR.toxic_flows(TR.event_flags(calls), known).collect()}
     want = {(i % 40, i // 40): "critical" if i % 3 == 0 or i % 50 >= 25 else "high" for i in range(40, 4_000)}
     assert got == want
+
+
+def _spark_rows(spark, path):
+    """(path, text) as Spark's own reader gives them."""
+    return sorted((r.p, r.value) for r in spark.read.text(path, wholetext=True).select(F.input_file_name().alias("p"), "value").collect())
+
+
+def test_tool_doc_files_in_few_folders(spark):
+    import glob
+
+    import __spark_entry__ as entry
+    from conftest import SF_SMALL
+    from veilscan.session import checkpoint_dir
+    root = os.path.join(checkpoint_dir(spark).removeprefix("file://"), "veilscan-roundtrips", "tool-docs-*")
+    before = set(glob.glob(root))
+    rows = entry.queries()["tool_doc_files"](spark, SF_SMALL).collect()
+    (made,) = set(glob.glob(root)) - before
+    found = [(at, names) for at, _, names in os.walk(made)]
+    # a file a document, but neither a folder nor a checksum file a document
+    assert sum(len(names) for _, names in found) == len(rows) == len({r.doc_id for r in rows}) > 200
+    assert len(found) <= 3 * spark.sparkContext.defaultParallelism
+
+
+def test_tool_docs_written_and_read(spark, tmp_path, monkeypatch):
+    from veilscan.sources import readers, writers
+    text = {1: '{"a": 1}', 2: "broken {", 3: '{"b": [1,],} // é', -4: "two\nlines", 5: "", 6: None}
+    rows = [*text.items(), (1, '{"a": 1}'), (1, '{"a": 2}'), (None, "null")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, raw STRING").repartition(3)
+    want = sorted(((i, (t or "") + "\n") for i, t in rows), key=str)
+    for at, packed in (("own", False), ("own packed", True), ("other store", False), ("other store, packed", True)):
+        at = str(tmp_path / at)
+        if "other" in at:  # by Spark's writer and reader
+            for module in (writers, readers):
+                monkeypatch.setattr(module, "local_folder", lambda spark, path: None)
+        writers.write_tool_docs(docs, at, packed=packed)
+        made = readers.read_tool_docs(spark, at).select(
+            "path", F.regexp_extract("path", r"doc_id=(-?\d+)[./][^/]*$", 1).try_cast("bigint").alias("i"), "raw", F.col("doc").isNotNull().alias("ok")).collect()
+        assert sorted(((r.i, r.raw) for r in made), key=str) == want
+        assert len({r.path for r in made}) == len(rows)
+        assert {r.i: r.ok for r in made} == {1: True, 2: False, 3: True, -4: False, 5: False, 6: False, None: True}
+        assert all(r.path.endswith(".gz") == packed for r in made)
+
+
+def test_read_tool_docs_like_sparks_reader(spark, tmp_path):
+    import bz2
+    import gzip
+
+    from veilscan.sources.readers import read_tool_docs
+    plain, keyed, packed, mixed = (tmp_path / n for n in ("plain docs", "keyed", "packed", "mixed"))
+    for d in (plain / "sub", keyed / "k=1" / "m=x y", keyed / "k=2" / "m=_z", keyed / "_k=3", packed, mixed):
+        d.mkdir(parents=True)
+    for name in ("a.json", "b c.json", "100%.json", "q#?[1].json", "é ü.json", "_hidden.json", ".hidden", "_k=v.json", "x._COPYING_"):
+        (plain / name).write_bytes(f'{{"n": "{name}"}}\r\n'.encode())
+    (plain / "empty.json").write_bytes(b"")
+    (plain / "bad.json").write_bytes(b"\xff\xfe{}")
+    (plain / "sub" / "below.json").write_text("{}")
+    for n, d in enumerate((keyed / "k=1" / "m=x y", keyed / "k=2" / "m=_z")):
+        (d / "doc.json").write_text(f"[{n}]")
+    (packed / "a.json.gz").write_bytes(gzip.compress(b'{"z": 1}'))
+    (packed / "two.json.gz").write_bytes(gzip.compress(b'{"z"') + gzip.compress(b": 2}"))
+    (packed / "none.json.gz").write_bytes(b"")
+    (packed / "blank.json.gz").write_bytes(gzip.compress(b""))
+    for d in (packed, mixed):
+        (d / "b.json").write_text("{}")
+    (mixed / "c.json.bz2").write_bytes(bz2.compress(b"[1]"))
+    for folder in (plain, keyed, packed, mixed, plain / "a.json", f"{plain}/*.json", f"file://{keyed}/k=*/*"):
+        got = read_tool_docs(spark, str(folder))
+        assert sorted((r.path, r.raw) for r in got.select("path", "raw").collect()) == _spark_rows(spark, str(folder))
+    assert [read_tool_docs(spark, str(d)).where("doc IS NOT NULL").count() for d in (packed, mixed)] == [3, 2]
+
+
+def test_read_tool_docs_missing_folder(spark, tmp_path):
+    import pytest
+    from pyspark.errors import AnalysisException
+
+    from veilscan.session import is_missing_path
+    from veilscan.sources.readers import read_tool_docs
+    with pytest.raises(AnalysisException) as error:
+        read_tool_docs(spark, str(tmp_path / "none")).collect()
+    assert is_missing_path(error.value)
+    (tmp_path / "empty").mkdir()
+    assert read_tool_docs(spark, str(tmp_path / "empty")).count() == 0

@@ -64,10 +64,9 @@ def hook_texts(spark, sf_dir):
 def tool_doc_files(spark, sf_dir):
     """Tool documents written one a file, with comments, trailing commas and broken ones, and read back."""
     path = folder(spark, "tool-docs")
-    docs = C.tool_documents(spark, sf_dir).select("doc_id", F.col("raw").alias("value"))
-    docs.repartition("doc_id").write.partitionBy("doc_id").text(path)
-    made = readers.read_tool_docs(spark, f"{path}/*")
-    number = F.regexp_extract("path", r"doc_id=(-?\d+)/", 1).cast("bigint")
+    writers.write_tool_docs(C.tool_documents(spark, sf_dir), path, packed=True)
+    made = readers.read_tool_docs(spark, path)
+    number = F.regexp_extract("path", r"doc_id=(-?\d+)[./][^/]*$", 1).try_cast("bigint")
     return made.select(number.alias("doc_id"), F.col("doc").isNotNull().alias("parsed"))
 
 

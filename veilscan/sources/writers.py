@@ -7,12 +7,19 @@ job never leaves a half-replaced table behind.
 
 from __future__ import annotations
 
+import gzip
+import os
+from collections import Counter
+from hashlib import blake2b
+from urllib.parse import quote
+
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.operators.entropy import token_hash
-from veilscan.session import is_missing_path
+from veilscan.session import is_missing_path, local_folder, ship_package
 from veilscan.streaming.state import Pointers
 
 
@@ -20,6 +27,46 @@ def write_findings(findings: DataFrame, path: str, fmt: str = "parquet", mode: s
     findings.write.mode(mode).format(fmt).save(path)
 
 
+def write_tool_docs(docs: DataFrame, path: str, name_col: str = "doc_id", text_col: str = "raw", packed: bool = False) -> None:
+    """One file per document into a new folder; its path holds ``<name_col>=<value>``. ``packed`` ones are gzip files.
+
+    In a store that tasks can open, each task fills a ``slice=`` folder by plain
+    file calls: Spark's writer makes a folder a document, and its commit moves
+    them one by one. A file gets its name when it is whole, and the name follows
+    from value and text, so a task that runs twice writes the same files.
+    """
+    spark = docs.sparkSession
+    folder = local_folder(spark, path)
+    rows = docs.select(F.col(name_col), F.col(text_col).alias("value"))
+    if folder is None:
+        (rows.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2)
+             .option("compression", "gzip" if packed else "none").partitionBy(name_col).text(path))
+        return
+    os.makedirs(folder)
+    ending = "json.gz" if packed else "json"
+
+    def run(batches):
+        import pyarrow as pa
+        task, copies = TaskContext.get(), Counter()
+        own = f"{folder}/slice={task.partitionId()}"
+        os.makedirs(own, exist_ok=True)
+        part = f"{own}/.{task.taskAttemptId()}"  # hidden from readers
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name = f"{name_col}={'__null__' if name is None else quote(name, safe='')}"
+                text = (text or b"") + b"\n"
+                key = blake2b(name.encode() + b"/" + text, digest_size=16).digest()
+                with open(part, "wb") as out:
+                    out.write(gzip.compress(text, 3, mtime=0) if packed else text)
+                os.replace(part, f"{own}/{name}.{key.hex()}.{copies[key]}.{ending}")
+                copies[key] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([copies.total()], pa.int64())], names=["n"])
+
+    ship_package(spark)
+    made = rows.select(F.col(name_col).cast("string"), F.col("value").cast("binary")).mapInArrow(run, "n long")
+    made.agg(F.sum("n")).collect()
+
+
 def write_audit_log(log: DataFrame, path: str, session_col: str = "session_id") -> None:
     """One JSONL file set per session, records in chain order."""
     (log.repartition(session_col).sortWithinPartitions(session_col, "n")
