@@ -205,3 +205,159 @@ def test_read_tool_docs_missing_folder(spark, tmp_path):
     assert is_missing_path(error.value)
     (tmp_path / "empty").mkdir()
     assert read_tool_docs(spark, str(tmp_path / "empty")).count() == 0
+
+
+def _audit_records(spark, sessions, records):
+    from veilscan.operators import audit as AU
+    kinds = "session_id BIGINT, index BIGINT, timestamp STRING, tool_name STRING, server STRING, arguments_text STRING, outcome STRING, finding_rule_ids ARRAY<STRING>, trust_level STRING"
+    calls = spark.createDataFrame([(s, k, f"t{k}", "read", None, f"{s} {k}", "ok", [], "L4") for s in sessions for k in range(records)], kinds)
+    stats = spark.createDataFrame([(s, records, 0, False) for s in sessions], "session_id BIGINT, n_calls BIGINT, n_findings BIGINT, any_critical BOOLEAN")
+    return AU.build_audit_log(AU.record_templates(calls, stats))
+
+
+def test_audit_files_leave_one_packed_file_a_session(spark):
+    import glob
+
+    import __spark_entry__ as entry
+    from conftest import SF_SMALL
+    from veilscan.session import checkpoint_dir
+    shared = checkpoint_dir(spark).removeprefix("file://")
+    root = os.path.join(shared, "veilscan-roundtrips", "audit-*")
+    before, kept = set(glob.glob(root)), set(os.listdir(shared))
+    rows = entry.queries()["audit_files"](spark, SF_SMALL).collect()
+    (made,) = set(glob.glob(root)) - before
+    found = [(at, names) for at, _, names in os.walk(made)]
+    names = [n for _, names in found for n in names]
+    # a file a session, packed, with neither a folder nor a checksum file of its own
+    assert sorted(names) == sorted(f"session_id={r.session_id}.jsonl.gz" for r in rows) and len(rows) > 10 and all(r.ok for r in rows)
+    assert len(found) <= 2 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # what the records were made of is gone; the setting under which shuffle files go is as before
+    assert not [n for n in set(os.listdir(shared)) - kept if n.startswith("veilscan-staged")]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    # the lines are those that Spark's reader finds
+    lines = spark.read.text(made, recursiveFileLookup=True)
+    assert lines.count() == sum(r.n_records for r in rows) == lines.select(F.get_json_object("value", "$.record_id")).distinct().count()
+
+
+def test_long_packed_logs_are_read_in_pieces(spark, tmp_path, monkeypatch):
+    import pytest
+
+    from veilscan.operators import audit as AU
+    from veilscan.sources import readers, writers
+    monkeypatch.setattr(writers, "MEMBER", 2_000)
+    monkeypatch.setattr(readers, "PIECE", 2_000)
+    log = _audit_records(spark, [1, None], 120).unionByName(_audit_records(spark, [2], 1)).localCheckpoint()
+    path = str(tmp_path / "logs")
+    for whole in (False, True):  # the second run replaces the files of the first
+        writers.write_audit_log(log.repartition("session_id").sortWithinPartitions("session_id", "n") if whole else log.repartition(5), path, packed=True, whole=whole)
+    folder = readers._folder_files(spark, path)
+    pieces = folder.mapInArrow(readers._cut_logs(readers.PIECE), "path string, start long, size long, cut boolean, left boolean").collect()
+    count = {os.path.basename(p.path): sum(q.path == p.path for q in pieces) for p in pieces}
+    assert set(count) == {f"session_id={s}.jsonl.gz" for s in (1, 2, "__null__")} and count["session_id=1.jsonl.gz"] > 3 and count["session_id=2.jsonl.gz"] == 1
+    got = readers.read_audit_log(spark, path).collect()
+    want = {(f"session_id={'__null__' if r.session_id is None else r.session_id}.jsonl.gz", r.n, r.record) for r in log.collect()}
+    assert {(os.path.basename(r.log_path), r.pos, r.raw) for r in got} == want and len(got) == len(want) == 247
+    assert sorted((r.ok, r.n_records) for r in AU.verify_audit_log(readers.read_audit_log(spark, path), "log_path").collect()) == [(True, 3), (True, 122), (True, 122)]
+    # a member put behind them by other means is read with the last piece
+    (name,) = [p.path for p in pieces if p.path.endswith("=1.jsonl.gz") and p.start == 0]
+    import gzip
+    with open(name, "ab") as out:
+        out.write(gzip.compress(b"not json\n"))
+    broken = [r for r in AU.verify_audit_log(readers.read_audit_log(spark, path), "log_path").collect() if not r.ok]
+    assert [(r.broken_at, r.reason, r.n_records) for r in broken] == [(122, "record is not valid JSON", 123)]
+    # a length that cannot be is not followed; a member that ends within a line is told
+    one = writers.gzip_member(os.urandom(4_000).hex().encode() + b"\n")
+    (tmp_path / "zero").mkdir()
+    (tmp_path / "zero" / "a.gz").write_bytes(one[:16] + bytes(8) + one[24:])
+    assert [(r.pos, len(r.raw)) for r in readers.read_audit_log(spark, str(tmp_path / "zero")).collect()] == [(0, 8_000)]
+    (tmp_path / "zero" / "b.gz").write_bytes(writers.gzip_member(os.urandom(4_000).hex().encode()) + one)
+    with pytest.raises(Exception, match="ends within a line"):
+        readers.read_audit_log(spark, str(tmp_path / "zero")).collect()
+
+
+def test_records_out_of_order_are_not_written_as_whole(spark, tmp_path):
+    import pytest
+
+    from veilscan.sources import writers
+    rows = spark.createDataFrame([(1, 1, "b"), (1, 0, "a")], "session_id BIGINT, n BIGINT, record STRING").coalesce(1)
+    with pytest.raises(Exception, match="not in chain order"):
+        writers.write_audit_log(rows, str(tmp_path / "log"), packed=True, whole=True)
+
+
+def test_audit_log_reader_like_sparks_reader(spark, tmp_path, monkeypatch):
+    import bz2
+    import gzip
+
+    from veilscan.sources import readers
+    texts = {"a b.jsonl": b"\xef\xbb\xbfone\r\ntwo\rthree\n\n \t\x0b\x0c\n\xc3\xa9\xff last", "b%.jsonl": b"", "c.jsonl": b"\r\n\nx\r", "_no.jsonl": b"hidden",
+             "d.jsonl.gz": gzip.compress(b"one\ntw") + gzip.compress(b"o\nthree"), "e.jsonl.gz": b"", "long.jsonl": b"".join(b"%d\r\n" % k for k in range(400_000))}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+
+    def rows(df):
+        return sorted((r.log_path, r.pos, r.h) for r in df.select("log_path", "pos", F.hex("raw").alias("h")).where("pos < 100 OR pos % 1000 = 999").collect())
+
+    own = rows(readers.read_audit_log(spark, str(tmp_path)))
+    with monkeypatch.context() as m:
+        m.setattr(readers, "_folder_files", lambda *_: None)
+        assert own == rows(readers.read_audit_log(spark, str(tmp_path)))
+    assert len(own) > 500
+    with monkeypatch.context() as m:  # a long plain file is left to Spark's reader, which cuts it
+        m.setattr(readers, "PIECE", 1_000_000)
+        assert readers._folder_lines(spark, str(tmp_path)) is None
+        assert own == rows(readers.read_audit_log(spark, str(tmp_path)))
+    (tmp_path / "g.jsonl.bz2").write_bytes(bz2.compress(b"{}"))
+    assert readers._folder_lines(spark, str(tmp_path)) is None
+
+
+def test_audit_runs_judge_like_pairs_of_lines(spark):
+    import random
+
+    from veilscan.operators import audit as AU
+    log = [(r.session_id, r.n, r.record) for r in _audit_records(spark, [0], 8).collect()]
+    rng, rows = random.Random(7), []
+    for s in range(120):
+        mine = [(s, n + s % 3, text) for _, n, text in sorted(log, key=lambda r: r[1])]
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            k, what = rng.randrange(len(mine)), rng.choice(["edit", "drop", "json", "again", "other", "first", "shift"])
+            _, n, text = mine[k]
+            if what == "edit":
+                mine[k] = (s, n, text.replace('"ok"', '"no"'))
+            elif what == "drop":
+                mine.pop(k)
+            elif what == "json":
+                mine[k] = (s, n, "{")
+            elif what == "again":
+                mine.append(mine[k])
+            elif what == "other":
+                mine.append((s, n, text.replace('"ok"', '"no"')))
+            elif what == "first":
+                mine[k] = (s, n, text.split('"prev_hash":')[0] + '"prev_hash":null}')
+            else:
+                mine = [(s, m + (m > n), t) for _, m, t in mine]
+        rows += mine
+    rng.shuffle(rows)
+    rows += [(None, n, text.replace("read", "other") if n == 4 else text) for _, n, text in log]
+    lines = spark.createDataFrame(rows, "session_id BIGINT, pos BIGINT, raw STRING")
+    want = {tuple(r) for r in AU._verify_pairs(lines).collect()}
+    assert 30 < sum(w[1] for w in want) < 90 and (None, False, 5) in {w[:3] for w in want}
+    # lines that lie together, spread by session, and each anywhere
+    for spread in (lines.coalesce(1), lines.repartition(4, "session_id"), lines.repartition(7)):
+        got = AU.verify_audit_log(spread).collect()
+        assert len(got) == len(want) == 121 and {tuple(r) for r in got} == want
+
+
+def test_numbers_within_keys_over_partitions(spark):
+    from pyspark.sql import Window
+
+    from veilscan.operators import traces as TR
+    # one key holds nearly all rows and others stand around it; a null key is a key
+    rows = spark.range(6_000).select(
+        F.when(F.col("id") % 10 < 8, 5).when(F.col("id") % 100 == 8, F.lit(None)).otherwise(F.col("id") % 13).cast("long").alias("k"),
+        F.timestamp_micros(F.pmod(F.xxhash64("id"), F.lit(1_000_000))).alias("ts"), "id")
+    got = TR.sequence_within(rows, "k", ["ts", "id"], partitions=9)
+    assert got.columns == ["k", "ts", "id", "index"]
+    want = rows.withColumn("index", F.row_number().over(Window.partitionBy("k").orderBy("ts", "id")).cast("long") - 1)
+    assert got.count() == 6_000 and got.exceptAll(want).count() == 0
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().toString()  # the rows move once
+    assert TR.sequence_within(rows.where("k < 0"), "k", ["ts", "id"]).count() == 0

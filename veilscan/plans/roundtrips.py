@@ -23,7 +23,7 @@ from veilscan.plans import catalog as C
 from veilscan.plans import sql as Q
 from veilscan.plans.catalog import register
 from veilscan.plans.fixtures import LABELLED_CASES
-from veilscan.session import checkpoint_dir
+from veilscan.session import StagedFiles, checkpoint_dir
 from veilscan.sources import readers, writers
 from veilscan.streaming import jobs
 
@@ -75,9 +75,11 @@ SELECT CAST(user_id AS VARCHAR) AS session_id, true AS ok, count(*) + 2 AS n_rec
 def audit_files(spark, sf_dir):
     """Audit logs written as JSON lines, read back by line and verified: a start, a record a call and a close."""
     path = folder(spark, "audit")
-    writers.write_audit_log(C.audit_log(spark, sf_dir), path)
-    checked = AU.verify_audit_log(readers.read_audit_log(spark, f"{path}/*"), "log_path", "pos", "raw")
-    return checked.select(F.regexp_extract("session_id", r"session_id=([^/]+)/", 1).alias("session_id"), "ok", "n_records")
+    with StagedFiles(spark) as stage:
+        writers.write_audit_log(C.audit_log(spark, sf_dir, stage), path, packed=True, whole=True)
+    checked = AU.verify_audit_log(readers.read_audit_log(spark, path), "log_path", "pos", "raw")
+    name = F.regexp_extract("session_id", r"session_id=([^/]+?)(\.jsonl\.gz$|/)", 1)
+    return checked.select(F.when(~name.isin(writers.NULL_NAMES), name).alias("session_id"), "ok", "n_records")
 
 
 @register("audit_table", """

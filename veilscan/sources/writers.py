@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import gzip
 import os
+import struct
+import zlib
 from collections import Counter
 from hashlib import blake2b
 from urllib.parse import quote
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.operators.entropy import token_hash
-from veilscan.session import is_missing_path, local_folder, ship_package
+from veilscan.session import is_missing_path, local_folder, remove_folder, ship_package, shuffles_removed
 from veilscan.streaming.state import Pointers
 
 
@@ -67,11 +69,79 @@ def write_tool_docs(docs: DataFrame, path: str, name_col: str = "doc_id", text_c
     made.agg(F.sum("n")).collect()
 
 
-def write_audit_log(log: DataFrame, path: str, session_col: str = "session_id") -> None:
-    """One JSONL file set per session, records in chain order."""
-    (log.repartition(session_col).sortWithinPartitions(session_col, "n")
-        .select(session_col, F.col("record").alias("value"))
-        .write.mode("overwrite").partitionBy(session_col).text(path))
+NULL_NAMES = ["__null__", "__HIVE_DEFAULT_PARTITION__"]  # ours, and that of Spark's writer
+MEMBER = 4 << 20  # bytes of text in a gzip member
+
+
+def gzip_member(text: bytes) -> bytes:
+    """A gzip member with its own length in the header, so that a reader finds the next one without unpacking."""
+    deflate = zlib.compressobj(6, zlib.DEFLATED, -zlib.MAX_WBITS)
+    packed = deflate.compress(text) + deflate.flush()
+    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHQ", 12, b"VS", 8, 24 + len(packed) + 8)
+    return head + packed + struct.pack("<II", zlib.crc32(text), len(text))
+
+
+def write_audit_log(log: DataFrame, path: str, session_col: str = "session_id", packed: bool = False, whole: bool = False) -> None:
+    """One JSONL file per session, records in chain order; its path holds ``<session_col>=<value>``. ``packed`` ones are gzip files.
+
+    With ``whole`` the log's tasks hold whole sessions in chain order already, as
+    ``build_audit_log`` makes them, and no record is moved again. Packed files go
+    to a store that tasks can open by plain file calls, into one ``slice=`` folder
+    a task: no folder and no checksum file a session. A file is made of members of
+    ``MEMBER`` bytes of text, so a task holds no session whole and a long file can
+    be read in pieces. It gets its name when it is whole, so a task that runs twice
+    writes the same files. Elsewhere Spark writes a folder a session.
+    """
+    spark = log.sparkSession
+    folder = local_folder(spark, path) if packed else None
+    if folder is None or not whole:
+        log = log.repartition(session_col).sortWithinPartitions(session_col, "n")
+    if folder is None:
+        (log.select(session_col, F.col("record").alias("value"))
+            .write.mode("overwrite").option("compression", "gzip" if packed else "none").partitionBy(session_col).text(path))
+        return
+    remove_folder(spark, path)
+    os.makedirs(folder)
+
+    def run(batches):
+        import pyarrow as pa
+        task = TaskContext.get()
+        own = f"{folder}/slice={task.partitionId()}"
+        os.makedirs(own, exist_ok=True)
+        part = f"{own}/.{task.taskAttemptId()}"  # hidden from readers
+        out, held, size, session, last, count = None, [], 0, None, None, 0
+
+        def flush():
+            out.write(gzip_member(b"".join(held)))
+
+        def close():
+            flush()
+            out.close()
+            os.replace(part, f"{own}/{session_col}={NULL_NAMES[0] if session is None else quote(session, safe='')}.jsonl.gz")
+
+        for batch in batches:
+            for name, n, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if out is None or name != session:
+                    if out is not None:
+                        close()
+                    out, held, size, session, last = open(part, "wb"), [], 0, name, None
+                if last is not None and n <= last:
+                    raise ValueError(f"records of session {name} are not in chain order: {n} after {last}")
+                held += text, b"\n"
+                size += len(text)
+                last = n
+                if size > MEMBER:
+                    flush()
+                    held, size = [], 0
+                count += 1
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["n"])
+
+    ship_package(spark)
+    rows = log.select(F.col(session_col).cast("string"), F.col("n").cast("long"), F.col("record").cast("binary"))
+    with shuffles_removed(spark):
+        rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def write_audit_table(log: DataFrame, path: str, session_col: str = "session_id", records_per_file: int = 1_000_000) -> None:
