@@ -1,5 +1,6 @@
 """Steps whose cost must follow the input: what may be left out of them, and what may not."""
 
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -120,3 +121,20 @@ def test_levels_go_on_from_the_level_before(spark):
 def test_rows_of_a_task_do_not_grow_with_the_table(spark, tmp_path):
     spark.range(1000).repartition(1).write.parquet(str(tmp_path / "t.parquet"))
     assert read_table(spark, str(tmp_path), "t", rows_a_task=10).rdd.getNumPartitions() == 100
+
+
+def test_audit_texts_are_made_behind_the_shuffle(spark):
+    calls = TR.every_finding(TR.trust_levels(
+        spark.createDataFrame([(1, 0, "t0", "read", None, "x" * 1000, "ok"), (1, 1, "t1", None, "s", None, None)],
+                              "session_id INT, index BIGINT, timestamp STRING, tool_name STRING, server STRING, arguments_text STRING, outcome STRING"),
+        spark.createDataFrame([], "session_id INT, event_indexes ARRAY<BIGINT>, rule_id STRING, severity_rank INT")))
+    log = AU.build_audit_log(AU.record_templates(calls, TR.session_stats(calls), "me", "2"))
+    shown = log._jdf.queryExecution().optimizedPlan().toString()
+    above, below = shown.split("RepartitionByExpression")
+    assert " AS head#" in above and " AS head#" not in below and "StructsToJson" in above and "StructsToJson" not in below and "sha2(" in below
+    records = [json.loads(r.record) for r in log.orderBy("n").collect()]
+    assert [r["action_type"] for r in records] == ["session_start", "tool_call", "tool_call", "session_close"]
+    assert records[1]["action_detail"]["parameters_hash"] == "sha256:" + hashlib.sha256(b"x" * 1000).hexdigest()
+    assert (records[2]["action_detail"], records[2]["outcome"], records[2]["parent_record_id"]) == (
+        {"finding_rule_ids": [], "flagged": False, "parameters_hash": None, "tool_name": None, "tool_server": "s"}, None, "1-1")
+    assert {(r["agent_id"], r["agent_version"]) for r in records} == {("me", "2")} and AU.verify_audit_log(log, "session_id", "n", "record").first().ok
