@@ -361,3 +361,13 @@ def test_numbers_within_keys_over_partitions(spark):
     assert got.count() == 6_000 and got.exceptAll(want).count() == 0
     assert "Exchange hashpartitioning" not in got._jdf.queryExecution().toString()  # the rows move once
     assert TR.sequence_within(rows.where("k < 0"), "k", ["ts", "id"]).count() == 0
+
+
+def test_audit_files_in_a_store_that_only_spark_opens(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from conftest import SF_SMALL
+    from veilscan.sources import readers, writers
+    own = sorted(map(tuple, entry.queries()["audit_files"](spark, SF_SMALL).collect()))
+    for module in (writers, readers):
+        monkeypatch.setattr(module, "local_folder", lambda spark, path: None)
+    assert sorted(map(tuple, entry.queries()["audit_files"](spark, SF_SMALL).collect())) == own and len(own) > 10
